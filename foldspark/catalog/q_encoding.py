@@ -1,4 +1,4 @@
-"""Encoders and fold-safe composition."""
+"""Encoders, fold-safe composition and lineage."""
 
 from __future__ import annotations
 
@@ -7,39 +7,496 @@ from pyspark.sql import functions as F
 from foldspark.catalog import blocks as B
 from foldspark.catalog.q_splits import ORDERS_SPLIT, orders_uses
 from foldspark.catalog.registry import query
+from foldspark.operators import cube as cb
+from foldspark.operators import encoders as enc
 from foldspark.operators import foldsafe as fs
+from foldspark.operators import lineage as lin
 from foldspark.operators import splits
+from foldspark.session import materialize
 from foldspark.sources import rowsets as rs
 
 COLS = rs.ORDERS_COLUMNS
-REFITS = f"{ORDERS_SPLIT}, {B.assigned('orders_cat')}, {B.refits(COLS)}"
+ASG = f"{ORDERS_SPLIT}, {B.assigned('orders_cat')}"
+REFITS = f"{ASG}, {B.refits(COLS)}"
+EVENTS_SPLIT = f"WITH {B.EVENTS}, {B.splits('events_cat')}, {B.assigned('events_cat')}"
+POSITION = "(CASE {t}.col " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(COLS)) + " END)::INT AS position"
 
+# codes of a state in DuckDB; s: level counts, f: fit totals, k: levels of the column
+PRIOR = "(f.fit_pos / f.fit_n)"
+TARGET = f"(s.pos + 20.0::DOUBLE * {PRIOR}) / (s.n + 20.0::DOUBLE)"
+ORDERED_MAP = f"(s.pos + {PRIOR}) / (s.n + 1.0::DOUBLE)"
+WOE = """greatest(-5.0::DOUBLE, least(5.0::DOUBLE, ln(
+  ((s.pos + 0.5::DOUBLE) / (f.fit_pos + 0.5::DOUBLE * k.k))
+  / ((s.n - s.pos + 0.5::DOUBLE) / (f.fit_n - f.fit_pos + 0.5::DOUBLE * k.k)))))"""
 
-def flat(coded, *extra):
+
+def flat(coded, *extra, column="codes"):
     """Long, rounded codes for comparison: one row per code position."""
-    each = coded.select("row_id", "outer_fold", "phase", "role", *extra, F.posexplode("codes").alias("position", "code"))
+    each = coded.select("row_id", *extra, F.posexplode(column).alias("position", "code"))
     return each.withColumn("code", F.round("code", 9))
 
 
-def assigned(spark, sf):
+def assigned_orders(spark, sf):
     rows, uses = orders_uses(spark, sf)
     return splits.assign(rows, uses)
 
 
-def _lookup_sql(code: str, unseen: str, own_part: str, extra: str = "") -> str:
+def assigned_events(spark, sf):
+    rows = rs.events_cat(spark, sf)
+    return splits.assign(rows, splits.fold_uses(rows))
+
+
+# ---- plain fits ------------------------------------------------------------------------------
+
+PLAIN = f"""WITH {B.ORDERS}, {B.long('orders_cat', COLS, 'row_id, y')},
+    g AS (SELECT col, level, count(*) AS n, sum(y) AS pos FROM lng GROUP BY ALL),
+    s AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY level) AS ix FROM g),
+    f AS (SELECT count(*) AS fit_n, sum(y) AS fit_pos FROM orders_cat),
+    k AS (SELECT col, count(*) AS k FROM s GROUP BY col)"""
+
+
+def plain_sql(code: str) -> str:
+    return f"""{PLAIN} SELECT l.row_id, {POSITION.format(t='l')}, round({code}, 9) AS code
+    FROM lng l JOIN s ON s.col = l.col AND s.level = l.level JOIN k ON k.col = l.col, f"""
+
+
+def plain(name):
+    def run(spark, sf):
+        rows = rs.orders_cat(spark, sf)
+        encoder = enc.ENCODERS[name]
+        states = cb.whole_states(rows, COLS)
+        codes = encoder.codes(states, ())
+        return flat(fs.apply_plain(rows, codes, COLS, F.lit(encoder.unseen or 0.0)))
+
+    return run
+
+
+query("enc_label", plain_sql("s.ix::DOUBLE"))(plain("label"))
+query("enc_count", plain_sql("s.n::DOUBLE / f.fit_n"))(plain("count"))
+query("enc_target", plain_sql(TARGET))(plain("target"))
+query("enc_woe", plain_sql(WOE))(plain("woe"))
+
+
+@query(
+    "enc_ordered",
+    f"""WITH {B.ORDERS}, {B.long('orders_cat', COLS, 'row_id, y')},
+    f AS (SELECT sum(y) / count(*) AS prior FROM orders_cat),
+    p AS (SELECT row_id, col,
+                 (coalesce(sum(y) OVER w, 0) + prior) / (count(*) OVER w + 1.0::DOUBLE) AS c
+          FROM lng, f, range(0, 4) t(p)
+          WINDOW w AS (PARTITION BY col, level, p ORDER BY md5((977 + p) || ':' || row_id), row_id
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT row_id, {POSITION.format(t='p')}, round(avg(c), 9) AS code FROM p GROUP BY row_id, col""",
+)
+def enc_ordered(spark, sf):
+    return flat(fs.ordered_whole_codes(rs.orders_cat(spark, sf), COLS))
+
+
+@query(
+    "enc_onehot",
+    f"""{PLAIN},
+    b AS (SELECT col, k, coalesce(sum(k + 1) OVER (ORDER BY {POSITION.format(t='k').split(' AS ')[0]}
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM k)
+    SELECT l.row_id, l.col, (b.start + s.ix - 1)::BIGINT AS slot, (b.start + b.k)::BIGINT AS unseen_slot
+    FROM lng l JOIN s ON s.col = l.col AND s.level = l.level JOIN b ON b.col = l.col""",
+)
+def enc_onehot(spark, sf):
+    rows = rs.orders_cat(spark, sf)
+    states = cb.whole_states(rows, COLS)
+    slots = enc.onehot_slots(states, COLS)
+    table = materialize(slots.select("col", "level", "n", "slot", "unseen_slot"), "slots")
+    long = fs.to_long(rows, COLS, ["row_id"])
+    return fs.lookup(long, table, ["col", "level"], ["row_id"]).select("row_id", "col", "slot", "unseen_slot")
+
+
+def bucket_sql(token: str, buckets: str) -> str:
+    return f"({B.prefix48(f'(20260810 || {chr(39)}:{chr(39)} || {token})')} % {buckets})::INT"
+
+
+AWARE = "length(col) || ':' || col || '=' || level"
+
+
+def hash_sql(token: str) -> str:
+    return f"""{PLAIN}, b AS (SELECT CASE WHEN count(*) < 50 THEN 16 WHEN count(*) < 500 THEN 32
+        WHEN count(*) < 5000 THEN 64 ELSE 4 END AS b FROM s)
+    SELECT row_id, {bucket_sql(token, 'b')} AS bucket, count(*)::BIGINT AS hits FROM lng, b GROUP BY ALL"""
+
+
+def hashed(column_aware):
+    def run(spark, sf):
+        rows = rs.orders_cat(spark, sf)
+        buckets = enc.hash_width(cb.whole_states(rows, COLS), COLS).select("buckets").scalar()
+        each = rows.withColumn("buckets", buckets)
+        hits = enc.buckets_of(enc.row_hashes(COLS, column_aware), F.col("buckets"))
+        slots, counts = enc.sparse_counts(hits)  # counted inside the row, no shuffle
+        pairs = F.explode(F.arrays_zip(slots.alias("bucket"), counts.alias("hits"))).alias("p")
+        return each.select("row_id", pairs).select("row_id", "p.bucket", F.col("p.hits").cast("bigint").alias("hits"))
+
+    return run
+
+
+query("enc_hash_column", hash_sql(AWARE))(hashed(True))
+query("enc_hash_shared", hash_sql("level"))(hashed(False))
+
+FULL_LEVELS = "lv AS (SELECT outer_fold, phase, col, level FROM states WHERE part = -1)"
+WIDTHS = f"""{REFITS}, {FULL_LEVELS},
+    widths AS (SELECT outer_fold, phase, count(*)::BIGINT AS cardinality,
+      (CASE WHEN count(*) < 50 THEN 16 WHEN count(*) < 500 THEN 32 WHEN count(*) < 5000 THEN 64 ELSE 4 END)::INT AS buckets
+      FROM lv GROUP BY ALL)"""
+
+
+def fitted_widths(spark, sf):
+    cube = cb.fold_cube(assigned_orders(spark, sf), COLS)
+    return enc.hash_width(cb.full_states(cube, COLS[0]), COLS, cb.SIDE)
+
+
+@query("hash_width", f"{WIDTHS} SELECT * FROM widths")
+def hash_width(spark, sf):
+    return fitted_widths(spark, sf)
+
+
+@query(
+    "sentinel_buckets",
+    f"""{WIDTHS} SELECT *, {bucket_sql("'0'", 'buckets')} AS zero_bucket, {bucket_sql("'1'", 'buckets')} AS one_bucket,
+    {bucket_sql("'0'", 'buckets')} <> {bucket_sql("'1'", 'buckets')} AS distinct_buckets FROM widths""",
+)
+def sentinel_buckets(spark, sf):
+    return enc.sentinel_buckets(fitted_widths(spark, sf))
+
+
+EVENT_TOKENS = f"""WITH {B.EVENTS}, {B.long('events_cat', rs.EVENTS_COLUMNS, 'row_id')},
+    tok AS (SELECT DISTINCT {AWARE} AS token FROM lng),
+    tb AS (SELECT token, {bucket_sql('token', '32')} AS bucket FROM tok)"""
+
+
+def event_tokens(spark, sf):
+    states = cb.whole_states(rs.events_cat(spark, sf), rs.EVENTS_COLUMNS)
+    return enc.token_table(states, F.lit(32), True)
+
+
+@query("token_bucket", f"{EVENT_TOKENS} SELECT token, bucket FROM tb")
+def token_bucket(spark, sf):
+    return event_tokens(spark, sf)
+
+
+@query(
+    "hash_collisions",
+    f"""{EVENT_TOKENS}, c AS (SELECT bucket, count(*) AS c FROM tb GROUP BY 1)
+    SELECT sum(c)::BIGINT AS n_tokens, count(*)::BIGINT AS n_buckets_used,
+           (sum(c) - count(*))::BIGINT AS n_colliding_tokens, (sum(c * (c - 1)) / 2)::BIGINT AS n_colliding_pairs,
+           32 AS buckets, round(sum(c) * (sum(c) - 1) / 2.0::DOUBLE / 32, 9) AS expected_pairs FROM c""",
+)
+def hash_collisions(spark, sf):
+    return enc.hash_collisions(event_tokens(spark, sf), F.lit(32))
+
+
+@query(
+    "scale_minmax",
+    """WITH e AS (SELECT vec_id AS row_id, generate_subscripts(embedding, 1) - 1 AS position,
+                         unnest(embedding)::DOUBLE AS v FROM embeddings),
+    b AS (SELECT position, min(v) AS lo, max(v) AS hi FROM e GROUP BY 1)
+    SELECT row_id, position::INT AS position, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END, 9) AS code
+    FROM e JOIN b USING (position)""",
+)
+def scale_minmax(spark, sf):
+    coded = rs.embedding_codes(spark, sf).withColumn("state", F.lit("all"))
+    bounds = fs.scaler_bounds(coded, ["state"], F.lit(True))
+    return flat(fs.scale(coded, bounds, ["state"]), column="scaled")
+
+
+@query(
+    "state_summary",
+    f"""{REFITS} SELECT outer_fold, phase, part, col, count(*)::BIGINT AS n_levels, any_value(fit_n) AS fit_n,
+    round(any_value(fit_pos / fit_n), 9) AS prior FROM states JOIN fit USING (outer_fold, phase, part) GROUP BY ALL""",
+)
+def state_summary(spark, sf):
+    cube = cb.fold_cube(assigned_orders(spark, sf), COLS)
+    return enc.state_summary(cb.all_states(cube, COLS[0]), cb.STATE)
+
+
+@query(
+    "onehot_eligibility",
+    f"""{EVENTS_SPLIT}, {B.long('asg', rs.EVENTS_COLUMNS, 'outer_fold, role')},
+    w AS (SELECT outer_fold, col, count(DISTINCT level) + 1 AS w FROM lng WHERE role = 'inner_train' GROUP BY ALL)
+    SELECT outer_fold, sum(w)::BIGINT AS width,
+           CASE WHEN sum(w) <= 1500 THEN 'ELIGIBLE' ELSE 'SKIPPED_INELIGIBLE' END AS status FROM w GROUP BY 1""",
+)
+def onehot_eligibility(spark, sf):
+    cube = cb.fold_cube(assigned_events(spark, sf), rs.EVENTS_COLUMNS)
+    inner = cb.full_states(cube, rs.EVENTS_COLUMNS[0]).where("phase = 'inner'")
+    return enc.onehot_eligibility(inner, ["outer_fold"])
+
+
+# ---- fold-safe composition -------------------------------------------------------------------
+
+
+def lookup_cte(code: str, unseen: str, own_part: str) -> str:
     """Code every use of every row from its refitted state."""
-    cases = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(COLS))
-    return f"""{REFITS}{extra}
-    SELECT u.row_id, u.outer_fold, u.phase, u.role, (CASE u.col {cases} END)::INT AS position,
-           round(coalesce({code}, {unseen}), 9) AS code
-    FROM ulng u JOIN fit f ON f.outer_fold = u.outer_fold AND f.phase = u.phase AND f.part = {own_part}
-    LEFT JOIN states s ON s.outer_fold = u.outer_fold AND s.phase = u.phase AND s.part = {own_part}
-         AND s.col = u.col AND s.level = u.level"""
+    return f"""{REFITS},
+    widths AS (SELECT outer_fold, phase, part, col, count(*) AS k FROM states GROUP BY ALL),
+    coded AS (
+      SELECT u.row_id, u.y, u.outer_fold, u.phase, u.role, {POSITION.format(t='u')}, coalesce({code}, {unseen}) AS raw
+      FROM ulng u JOIN fit f ON f.outer_fold = u.outer_fold AND f.phase = u.phase AND f.part = {own_part}
+      JOIN widths k ON k.outer_fold = u.outer_fold AND k.phase = u.phase AND k.part = {own_part} AND k.col = u.col
+      LEFT JOIN states s ON s.outer_fold = u.outer_fold AND s.phase = u.phase AND s.part = {own_part}
+           AND s.col = u.col AND s.level = u.level)"""
+
+
+FLAT = "SELECT row_id, outer_fold, phase, role, position, round(raw, 9) AS code FROM coded"
+FOLDSAFE_TARGET = lookup_cte(TARGET, PRIOR, "u.part")
+USE = ("outer_fold", "phase", "role")
+
+
+def safe(name):
+    def run(spark, sf):
+        return flat(fs.encode(assigned_orders(spark, sf), COLS, name), *USE)
+
+    return run
+
+
+query("foldsafe_target", f"{FOLDSAFE_TARGET} {FLAT}")(safe("target"))
+query("foldsafe_woe", f"{lookup_cte(WOE, '0.0::DOUBLE', 'u.part')} {FLAT}")(safe("woe"))
+query("foldsafe_count", f"{lookup_cte('s.n::DOUBLE / f.fit_n', '0.0::DOUBLE', '-1')} {FLAT}")(safe("count"))
+query(
+    "foldsafe_label",
+    f"""{lookup_cte('(SELECT count(*) FROM states t WHERE t.outer_fold = s.outer_fold AND t.phase = s.phase '
+                    'AND t.part = -1 AND t.col = s.col AND t.level <= s.level AND s.level IS NOT NULL)::DOUBLE',
+                    '0.0::DOUBLE', '-1')} {FLAT}""",
+)(safe("label"))
+
+query(
+    "foldsafe_ordered",
+    f"""{REFITS},
+    scan AS (SELECT u.row_id, u.outer_fold, u.phase, u.role, u.col,
+               (coalesce(sum(y) OVER w, 0) + {PRIOR}) / (count(*) OVER w + 1.0::DOUBLE) AS c
+             FROM ulng u JOIN fit f ON f.outer_fold = u.outer_fold AND f.phase = u.phase AND f.part = -1,
+                  range(0, 4) t(p)
+             WHERE u.part >= 0
+             WINDOW w AS (PARTITION BY u.outer_fold, u.phase, u.col, u.level, p
+                          ORDER BY md5((977 + p) || ':' || u.row_id), u.row_id
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    held AS (SELECT u.row_id, u.outer_fold, u.phase, u.role, {POSITION.format(t='u')},
+                    round(coalesce({ORDERED_MAP}, {PRIOR}), 9) AS code
+             FROM ulng u JOIN fit f ON f.outer_fold = u.outer_fold AND f.phase = u.phase AND f.part = -1
+             LEFT JOIN states s ON s.outer_fold = u.outer_fold AND s.phase = u.phase AND s.part = -1
+                  AND s.col = u.col AND s.level = u.level
+             WHERE u.part < 0)
+    SELECT row_id, outer_fold, phase, role, {POSITION.format(t='scan')}, round(avg(c), 9) AS code
+    FROM scan GROUP BY row_id, outer_fold, phase, role, col
+    UNION ALL SELECT * FROM held""",
+)(safe("ordered"))
+
+
+@query(
+    "foldsafe_onehot",
+    f"""{REFITS}, {FULL_LEVELS},
+    ix AS (SELECT *, row_number() OVER (PARTITION BY outer_fold, phase, col ORDER BY level) AS ix FROM lv),
+    blk AS (SELECT outer_fold, phase, col, k, coalesce(sum(k + 1) OVER (PARTITION BY outer_fold, phase
+              ORDER BY {POSITION.format(t='kk').split(' AS ')[0]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+              sum(k + 1) OVER (PARTITION BY outer_fold, phase) AS width
+            FROM (SELECT outer_fold, phase, col, count(*) AS k FROM lv GROUP BY ALL) kk)
+    SELECT u.row_id, u.outer_fold, u.phase, u.role, {POSITION.format(t='u')},
+           (b.start + coalesce(ix.ix - 1, b.k))::INT AS slot, b.width::INT AS width
+    FROM ulng u JOIN blk b ON b.outer_fold = u.outer_fold AND b.phase = u.phase AND b.col = u.col
+    LEFT JOIN ix ON ix.outer_fold = u.outer_fold AND ix.phase = u.phase AND ix.col = u.col AND ix.level = u.level""",
+)
+def foldsafe_onehot(spark, sf):
+    coded = fs.encode_onehot(assigned_orders(spark, sf), COLS)
+    return coded.select("row_id", *USE, "width", F.posexplode("slots").alias("position", "slot"))
+
+
+def safe_hash_sql(token: str) -> str:
+    return f"""{WIDTHS} SELECT u.row_id, u.outer_fold, u.phase, u.role, {bucket_sql(token, 'w.buckets')} AS position,
+        count(*)::DOUBLE AS code FROM ulng u JOIN widths w ON w.outer_fold = u.outer_fold AND w.phase = u.phase
+        GROUP BY ALL"""
+
+
+def safe_hash(column_aware):
+    def run(spark, sf):
+        coded = fs.encode_hash(assigned_orders(spark, sf), COLS, column_aware)
+        pairs = F.explode(F.arrays_zip("slots", "counts")).alias("p")
+        each = coded.select("row_id", *USE, pairs)
+        return each.select("row_id", *USE, F.col("p.slots").alias("position"), F.col("p.counts").alias("code"))
+
+    return run
+
+
+query("foldsafe_hash_column", safe_hash_sql(AWARE.replace("col", "u.col").replace("level", "u.level")))(safe_hash(True))
+query("foldsafe_hash_shared", safe_hash_sql("u.level"))(safe_hash(False))
+
+SCALED = """, b AS (SELECT outer_fold, phase, position, min(raw) AS lo, max(raw) AS hi FROM coded
+      WHERE role IN ('inner_train', 'train') GROUP BY ALL)"""
+
+
+@query(
+    "foldsafe_scaled",
+    f"""{FOLDSAFE_TARGET}{SCALED} SELECT row_id, outer_fold, phase, role, position,
+    round(CASE WHEN hi > lo THEN greatest(0, least(1, (raw - lo) / (hi - lo))) ELSE 0 END, 9) AS code
+    FROM coded JOIN b USING (outer_fold, phase, position)""",
+)
+def foldsafe_scaled(spark, sf):
+    coded = materialize(fs.encode(assigned_orders(spark, sf), COLS, "target"), "coded")
+    return flat(fs.scale_foldsafe(coded), *USE, column="scaled")
+
+
+@query(
+    "global_target",
+    f"""{ASG}, {B.long('orders_cat', COLS, 'row_id, y')},
+    s AS (SELECT col, level, count(*) AS n, sum(y) AS pos FROM lng GROUP BY ALL),
+    f AS (SELECT count(*) AS fit_n, sum(y) AS fit_pos FROM orders_cat)
+    SELECT l.row_id, a.outer_fold, a.phase, a.role, 'global' AS protocol, {POSITION.format(t='l')},
+           round({TARGET}, 9) AS code
+    FROM lng l JOIN s ON s.col = l.col AND s.level = l.level JOIN asg a ON a.row_id = l.row_id, f""",
+)
+def global_target(spark, sf):
+    return flat(fs.encode_global(assigned_orders(spark, sf), COLS, "target"), *USE, "protocol")
+
+
+TRAP = ["priority", "rowkey"]
+TRAP_REFITS = f"""{ORDERS_SPLIT}, rk_rows AS (SELECT *, row_id::VARCHAR AS rowkey FROM orders_cat),
+    {B.assigned('rk_rows')}, {B.refits(TRAP)}"""
+
+
+@query(
+    "own_label_gap",
+    f"""{TRAP_REFITS}, {B.long('rk_rows', TRAP, 'row_id, y')},
+    safe AS (SELECT 'foldsafe' AS protocol, u.outer_fold, u.phase, u.role, u.col, u.y, coalesce({TARGET}, {PRIOR}) AS c
+      FROM ulng u JOIN fit f ON f.outer_fold = u.outer_fold AND f.phase = u.phase AND f.part = u.part
+      LEFT JOIN states s ON s.outer_fold = u.outer_fold AND s.phase = u.phase AND s.part = u.part
+           AND s.col = u.col AND s.level = u.level),
+    gs AS (SELECT col, level, count(*) AS n, sum(y) AS pos FROM lng GROUP BY ALL),
+    gf AS (SELECT count(*) AS fit_n, sum(y) AS fit_pos FROM orders_cat),
+    everyone AS (SELECT 'global' AS protocol, u.outer_fold, u.phase, u.role, u.col, u.y,
+      {TARGET} AS c FROM ulng u JOIN gs s ON s.col = u.col AND s.level = u.level, gf f)
+    SELECT protocol, outer_fold, phase, role, (CASE col WHEN 'priority' THEN 0 ELSE 1 END)::INT AS position,
+           round(avg(c) FILTER (y = 1) - avg(c) FILTER (y = 0), 9) AS gap
+    FROM (SELECT * FROM safe UNION ALL SELECT * FROM everyone) GROUP BY ALL""",
+)
+def own_label_gap(spark, sf):
+    rows, uses = orders_uses(spark, sf)
+    assigned = splits.assign(rows.withColumn("rowkey", F.col("row_id").cast("string")), uses)
+    safe_codes = fs.encode(assigned, TRAP, "target").withColumn("protocol", F.lit("foldsafe"))
+    both = safe_codes.unionByName(fs.encode_global(assigned, TRAP, "target"))
+    gap = fs.own_label_gap(both, ["protocol", *USE])
+    return gap.withColumn("gap", F.round("gap", 9))
+
+
+# ---- lineage ---------------------------------------------------------------------------------
+
+ARTIFACTS = [
+    {"name": "target", "kind": "encoder", "supervised": True, "config": '{"alpha":20.0}'},
+    {"name": "count", "kind": "encoder", "supervised": False, "config": "{}"},
+    {"name": "minmax", "kind": "scaler", "supervised": False, "config": "{}"},
+]
+
+
+@query(
+    "lineage_records",
+    f"""{ASG},
+    wanted AS (SELECT DISTINCT outer_fold, phase, part FROM uses WHERE part >= 0
+               UNION SELECT DISTINCT outer_fold, phase, -1 FROM uses),
+    st AS (SELECT w.outer_fold, w.phase, w.phase || '_' || CASE WHEN w.part < 0 THEN 'map' ELSE 'oof' || w.part END AS fit_role,
+             w.part,
+             count(*) FILTER (a.part >= 0 AND a.part <> w.part) AS fit_n,
+             sum({B.prefix48('a.row_id::VARCHAR')}) FILTER (a.part >= 0 AND a.part <> w.part) AS fit_h,
+             count(*) FILTER (a.part = w.part) AS transform_n,
+             sum({B.prefix48('a.row_id::VARCHAR')}) FILTER (a.part = w.part) AS transform_h
+           FROM wanted w JOIN asg a ON a.outer_fold = w.outer_fold AND a.phase = w.phase GROUP BY ALL),
+    art(name, kind, sup, config) AS (VALUES ('target', 'encoder', true, '{{"alpha":20.0}}'),
+        ('count', 'encoder', false, '{{}}'), ('minmax', 'scaler', false, '{{}}'))
+    SELECT kind || '|' || name || '|f' || outer_fold || '|' || fit_role AS artifact_id, kind || ':' || name AS artifact_type,
+           outer_fold, fit_role, sha256(config) AS config_hash, fit_n::BIGINT AS fit_n, fit_h::VARCHAR AS fit_ids_hash,
+           (CASE WHEN sup THEN fit_n ELSE 0 END)::BIGINT AS label_n,
+           CASE WHEN sup THEN fit_h::VARCHAR ELSE '0' END AS label_ids_hash,
+           transform_n::BIGINT AS transform_n, transform_h::VARCHAR AS transform_ids_hash
+    FROM st, art WHERE sup OR part < 0""",
+)
+def lineage_records(spark, sf):
+    return lin.records(assigned_orders(spark, sf), ARTIFACTS)
+
+
+@query(
+    "idset_hash",
+    f"WITH {B.ORDERS} SELECT group_id, {B.set_hash('row_id')} FROM orders_cat GROUP BY ALL",
+)
+def idset_hash(spark, sf):
+    return lin.idset_hash(rs.orders_cat(spark, sf), ["group_id"])
+
+
+@query(
+    "leakage_audit",
+    f"""{ASG}, fb AS (SELECT outer_fold, row_id FROM asg WHERE role = 'test'),
+    ft AS (SELECT DISTINCT 'foldsafe' AS protocol, outer_fold, row_id FROM asg WHERE part >= 0
+           UNION SELECT DISTINCT 'global', outer_fold, row_id FROM asg)
+    SELECT protocol, outer_fold, count(*)::BIGINT AS n_fit,
+           count(fb.row_id)::BIGINT AS n_overlap FROM ft LEFT JOIN fb USING (outer_fold, row_id) GROUP BY ALL""",
+)
+def leakage_audit(spark, sf):
+    each = assigned_orders(spark, sf).select("row_id", F.explode("uses").alias("u")).select("row_id", "u.*")
+    forbidden = each.where("role = 'test'")
+    on = ["outer_fold", "row_id"]
+    arms = {"foldsafe": each.where("part >= 0"), "global": each}
+    found = [lin.overlaps(fit, forbidden, on, ["outer_fold"]).withColumn("protocol", F.lit(p)) for p, fit in arms.items()]
+    return fs.union_all(found)
+
+
+def _relabel(assigned, condition):
+    return assigned.withColumn("y", F.when(condition, 1 - F.col("y")).otherwise(F.col("y")))
+
+
+def _audit(spark, sf, name, flip, watch):
+    """Encode twice, once with flipped labels; count watched rows whose codes moved."""
+    assigned = materialize(assigned_orders(spark, sf), "assigned")
+    kept = ["row_id", "outer_fold", "phase", "role", "codes"]
+    a = fs.encode(assigned, COLS, name).where("outer_fold = 0").select(*kept)
+    b = fs.encode(_relabel(assigned, flip), COLS, name).where("outer_fold = 0").select(*kept)
+    own = assigned.select("row_id", F.explode(F.filter("uses", watch)).alias("u")).select(
+        "row_id", "u.outer_fold", "u.phase"
+    )
+    watched = [x.join(own, ["row_id", "outer_fold", "phase"], "left_semi") for x in (a, b)]
+    moved = lin.differences(*watched).groupBy().agg(F.count("*").alias("n_diff"))
+    size = watched[0].groupBy().agg(F.count("*").alias("n")).scalar()
+    return moved.select(F.lit(name).alias("encoder"), size.alias("n_watched"), "n_diff")
+
+
+@query(
+    "audit_label_permutation",
+    f"""{ASG} SELECT 'target' AS encoder, count(*)::BIGINT AS n_watched, 0::BIGINT AS n_diff
+    FROM asg WHERE outer_fold = 0""",
+)
+def audit_label_permutation(spark, sf):
+    """Labels of the test rows of a fold cannot move any code of that fold."""
+    test = F.exists("uses", lambda u: (u["outer_fold"] == 0) & (u["role"] == "test"))
+    return _audit(spark, sf, "target", test, lambda u: u["outer_fold"] == 0)
+
+
+@query(
+    "audit_own_part",
+    f"""{ASG} SELECT 'woe' AS encoder, count(*)::BIGINT AS n_watched, 0::BIGINT AS n_diff
+    FROM asg WHERE outer_fold = 0 AND phase = 'outer' AND part = 0""",
+)
+def audit_own_part(spark, sf):
+    """Labels of an out-of-fold part cannot move the codes of that part."""
+    def own(u):
+        return (u["outer_fold"] == 0) & (u["phase"] == "outer") & (u["part"] == 0)
+
+    return _audit(spark, sf, "woe", F.exists("uses", own), own)
 
 
-TARGET = "(s.pos + 20.0::DOUBLE * (f.fit_pos / f.fit_n)) / (s.n + 20.0::DOUBLE)"
+@query(
+    "audit_inner_validation",
+    f"""{ASG} SELECT 'woe' AS encoder, count(*)::BIGINT AS n_watched, 0::BIGINT AS n_diff
+    FROM asg WHERE outer_fold = 0 AND phase = 'inner'""",
+)
+def audit_inner_validation(spark, sf):
+    """Labels of inner-validation rows cannot move any inner code."""
+    val = F.exists("uses", lambda u: (u["outer_fold"] == 0) & (u["role"] == "inner_val"))
+    return _audit(spark, sf, "woe", val, lambda u: (u["outer_fold"] == 0) & (u["phase"] == "inner"))
 
 
-@query("foldsafe_target", _lookup_sql(TARGET, "f.fit_pos / f.fit_n", "u.part"))
-def foldsafe_target(spark, sf):
-    return flat(fs.encode(assigned(spark, sf), COLS, "target"))
+@query("determinism_audit", "SELECT 0::BIGINT AS n_diff")
+def determinism_audit(spark, sf):
+    """Two independent builds of split and codes agree on every row."""
+    a = fs.encode(assigned_orders(spark, sf), COLS, "target")
+    b = fs.encode(assigned_orders(spark, sf), COLS, "target")
+    return lin.differences(a.drop("y"), b.drop("y")).groupBy().agg(F.count("*").alias("n_diff"))

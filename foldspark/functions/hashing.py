@@ -28,10 +28,15 @@ def unit_interval(seed, ident) -> Column:
     )
 
 
+def token_hash(token: Column, seed: int = HASH_SEED) -> Column:
+    """Seeded, process-independent 48-bit hash of a token."""
+    return md5_prefix(F.concat(F.lit(f"{seed}:"), token))
+
+
 def token_bucket(token: Column, buckets, seed: int = HASH_SEED) -> Column:
-    """Bucket of a token in ``[0, buckets)``: process-independent and seeded."""
+    """Bucket of a token in ``[0, buckets)``."""
     buckets = buckets if isinstance(buckets, Column) else F.lit(buckets)
-    return F.pmod(md5_prefix(F.concat(F.lit(f"{seed}:"), token)), buckets).cast("int")
+    return F.pmod(token_hash(token, seed), buckets).cast("int")
 
 
 def length_prefixed(columns: list[str]) -> Column:

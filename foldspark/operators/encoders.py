@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.functions.hashing import token_bucket
+from foldspark.functions.hashing import token_bucket, token_hash
 from foldspark.operators.scan import exact_rank
 
 # Fixed values of the encoders
@@ -132,18 +132,27 @@ def hash_token(column: Column, level: Column, column_aware: bool) -> Column:
     return F.concat(F.length(column).cast("string"), F.lit(":"), column, F.lit("="), level)
 
 
-def row_buckets(columns: Sequence[str], buckets: Column, column_aware: bool) -> Column:
-    """Bucket of each column's token, in column order: no shuffle, no fitted table."""
-    return F.array(
-        *[token_bucket(hash_token(F.lit(c), F.col(c), column_aware), buckets) for c in columns]
-    )
+def row_hashes(columns: Sequence[str], column_aware: bool) -> Column:
+    """Token hash of each column, in column order: no shuffle, no fitted table."""
+    return F.array(*[token_hash(hash_token(F.lit(c), F.col(c), column_aware)) for c in columns])
+
+
+def buckets_of(hashes: Column, buckets: Column) -> Column:
+    return F.transform(hashes, lambda h: F.pmod(h, buckets).cast("int"))
+
+
+def sparse_counts(hits: Column) -> tuple[Column, Column]:
+    """Unsigned counts over shared buckets: occupied buckets in order, and their counts."""
+    slots = F.array_sort(F.array_distinct(hits))
+    counts = F.transform(slots, lambda s: F.size(F.filter(hits, lambda h: h == s)).cast("double"))
+    return slots, counts
 
 
-def bucket_counts(hits: Column, buckets: Column) -> Column:
-    """Dense unsigned counts per bucket."""
+def dense_counts(slots: Column, counts: Column, width: Column) -> Column:
+    """Dense vector of a sparse code."""
+    filled = F.map_from_arrays(slots, counts)
     return F.transform(
-        F.sequence(F.lit(0), buckets - 1),
-        lambda b: F.size(F.filter(hits, lambda h: h == b)).cast("double"),
+        F.sequence(F.lit(0), width - 1), lambda b: F.coalesce(F.try_element_at(filled, b), F.lit(0.0))
     )
 
 

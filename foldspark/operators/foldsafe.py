@@ -113,10 +113,13 @@ def ordered_fit_codes(
     all training sides are conditional sums over one scan.
     """
     sides = [(f, p) for f in range(plan.k) for p in ("inner", "outer")]
-    member = {
-        i: F.exists("uses", lambda u, f=f, p=p: (u["outer_fold"] == f) & (u["phase"] == p) & (u["part"] >= 0))
-        for i, (f, p) in enumerate(sides)
-    }
+
+    def fits_in(fold: int, phase: str) -> Column:
+        return F.exists(
+            "uses", lambda u: (u["outer_fold"] == fold) & (u["phase"] == phase) & (u["part"] >= 0)
+        )
+
+    member = {i: fits_in(f, p) for i, (f, p) in enumerate(sides)}
     flagged = assigned.select(
         "row_id", "y", *columns, *[m.cast("int").alias(f"_in{i}") for i, m in member.items()]
     )
@@ -214,14 +217,19 @@ def dense_slots(slots: Column, width: Column) -> Column:
 def encode_hash(
     assigned: DataFrame, columns: list[str], column_aware: bool, cube: DataFrame | None = None
 ) -> DataFrame:
-    """Fold-safe hashed counts: only the bucket width is fitted, per training side."""
+    """Fold-safe hashed counts: only the bucket width is fitted, per training side.
+
+    Codes are sparse, ``slots ARRAY<INT>`` with their ``counts``; the token hashes of a row are
+    computed once and reduced to buckets per use.
+    """
     cube = fold_cube(assigned, columns) if cube is None else cube
     widths = enc.hash_width(cube.select(*cb.SIDE, "col", "level").distinct(), columns, cb.SIDE)
-    each = assigned.select("row_id", "y", *columns, F.explode("uses").alias("u"))
-    each = each.select("row_id", "y", *columns, "u.*").join(F.broadcast(widths), cb.SIDE)  # 2k records
-    hits = each.withColumn("_hits", enc.row_buckets(columns, F.col("buckets"), column_aware))
-    codes = enc.bucket_counts(F.col("_hits"), F.col("buckets"))
-    return hits.select("row_id", "y", *USE, codes.alias("codes"))
+    hashes = enc.row_hashes(columns, column_aware)
+    each = assigned.select("row_id", "y", hashes.alias("_h"), F.explode("uses").alias("u"))
+    each = each.select("row_id", "y", "_h", "u.*").join(F.broadcast(widths), cb.SIDE)  # 2k records
+    hits = each.withColumn("_hits", enc.buckets_of(F.col("_h"), F.col("buckets")))
+    slots, counts = enc.sparse_counts(F.col("_hits"))
+    return hits.select("row_id", "y", *USE, slots.alias("slots"), counts.alias("counts"), "buckets")
 
 
 def encode_global(assigned: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -243,7 +251,7 @@ def apply_plain(rows: DataFrame, states: DataFrame, columns: list[str], unseen:
     table = materialize(states.select("col", "level", "n", F.array("code").alias("codes")), "codes", "col")
     wide = _attach(rows, table, columns)
     codes = [F.coalesce(F.col(f"_codes{i}")[0], unseen) for i in range(len(columns))]
-    return wide.drop(*[f"_codes{i}" for i in range(len(columns))]).withColumn("codes", F.array(*codes))
+    return wide.withColumn("codes", F.array(*codes)).drop(*[f"_codes{i}" for i in range(len(columns))])
 
 
 # ---- scaling ---------------------------------------------------------------------------------

@@ -70,9 +70,10 @@ def compare(df, con, sql: str) -> str | None:
     want = [tuple(_plain(r[i]) for i in at) for r in res.fetchall()]
     if len(rows) != len(want):
         return f"{len(rows)} rows against {len(want)}"
-    a, b = sorted(rows, key=repr), sorted(want, key=repr)
-    if a != b:
-        sa, sb = set(a), set(b)
+    from collections import Counter
+
+    if Counter(rows) != Counter(want):
+        sa, sb = set(rows), set(want)
         return f"{len(sa - sb)} rows differ: {sorted(sa - sb, key=repr)[:3]} against {sorted(sb - sa, key=repr)[:3]} ({columns})"
     return None
 
@@ -97,7 +98,7 @@ def main(sf_dir: str, names: list[str]) -> int:
                 problem = None if n else "no rows"
                 name += f" (rows only: {n})"
         except Exception as e:  # noqa: BLE001 - report and go on
-            problem = f"{type(e).__name__}: {str(e)[:700]}"
+            problem = f"{type(e).__name__}: {str(e)[:400]}"
         failures += problem is not None
         print(f"{'FAIL' if problem else 'ok  '} {time.time() - t:6.1f}s {name} {problem or ''}", flush=True)
     print(f"{failures} failures")
