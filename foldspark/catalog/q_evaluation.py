@@ -1 +1,420 @@
-"""Queries."""
+"""Metrics, selection, reports and run statuses."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foldspark.catalog import blocks as B
+from foldspark.catalog.q_splits import orders_uses
+from foldspark.catalog.registry import query
+from foldspark.functions.hashing import unit_interval
+from foldspark.operators import metrics as mt
+from foldspark.operators import selection as sel
+from foldspark.operators import splits
+from foldspark.operators.skew import lookup
+from foldspark.plans import status as st
+from foldspark.session import materialize
+from foldspark.sources import rowsets as rs
+
+PREDS = f"WITH {B.ORDERS}, {B.PREDS}"
+RUN = ["run_id"]
+
+
+def hist_sql(source: str, keys: str) -> str:
+    return (
+        f"hist AS (SELECT {keys}, y_score AS s, count(*) AS n, sum(y_true) AS pos "
+        f"FROM {source} GROUP BY {keys}, y_score)"
+    )
+
+
+def ranking_sql(keys: str) -> str:
+    """CTE rank_metrics over hist: AUC from ranks below, AP from the top."""
+    return f"""curve AS (SELECT *, coalesce(sum(n - pos) OVER lo, 0) AS neg_below,
+        sum(n) OVER hi AS called, sum(pos) OVER hi AS tp,
+        sum(pos) OVER (PARTITION BY {keys}) AS pp, sum(n) OVER (PARTITION BY {keys}) AS nn
+      FROM hist WINDOW lo AS (PARTITION BY {keys} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        hi AS (PARTITION BY {keys} ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+    rank_metrics AS (SELECT {keys}, any_value(nn)::BIGINT AS n_rows, any_value(pp)::BIGINT AS n_pos,
+        CASE WHEN any_value(pp) > 0 AND any_value(pp) < any_value(nn) THEN
+          sum(pos * (neg_below + (n - pos) / 2.0::DOUBLE)) / any_value(pp * (nn - pp)) END AS auc,
+        CASE WHEN any_value(pp) > 0 AND any_value(pp) < any_value(nn) THEN
+          sum(pos * tp / called::DOUBLE) / any_value(pp) END AS pr_auc
+      FROM curve GROUP BY {keys})"""
+
+
+def point_sql(keys: str, threshold: str = "0.5::DOUBLE") -> str:
+    return f"""clipped AS (SELECT *, greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, s)) AS p,
+        {threshold} AS thr FROM hist),
+    conf AS (SELECT {keys}, sum(n) AS nn, sum(pos) AS pp,
+        sum(-(pos * ln(p) + (n - pos) * ln(1 - p))) AS ll,
+        sum(pos * (1 - s) * (1 - s) + (n - pos) * s * s) AS sq,
+        sum(CASE WHEN s >= thr THEN pos ELSE 0 END) AS tp, sum(CASE WHEN s >= thr THEN n - pos ELSE 0 END) AS fp
+      FROM clipped GROUP BY {keys}),
+    points AS (SELECT {keys}, nn::BIGINT AS n_rows, pp::BIGINT AS n_pos,
+        CASE WHEN pp > 0 AND pp < nn THEN ll / nn END AS logloss,
+        CASE WHEN pp > 0 AND pp < nn THEN sq / nn END AS brier,
+        CASE WHEN pp > 0 AND pp < nn THEN (tp / pp + (nn - pp - fp) / (nn - pp)) / 2 END AS balanced_accuracy,
+        CASE WHEN pp > 0 AND pp < nn THEN coalesce(2 * tp / nullif(tp + fp + pp, 0), 0) END AS f1
+      FROM conf)"""
+
+
+def newton_sql(keys: str, rounds: int = 10) -> str:
+    """Unrolled Newton iterations over hist."""
+    out = [
+        "lg AS (SELECT *, ln(greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, s)) / "
+        "(1 - greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, s)))) AS x FROM hist)",
+        f"it0 AS (SELECT {keys}, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM lg GROUP BY {keys})",
+    ]
+    for i in range(rounds):
+        out.append(
+            f"""it{i + 1} AS (SELECT {keys}, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a,
+                 b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM (
+              SELECT {keys}, any_value(a) AS a, any_value(b) AS b, sum(pos - n * p) AS g0, sum((pos - n * p) * x) AS g1,
+                 sum(n * p * (1 - p)) AS h00, sum(n * p * (1 - p) * x) AS h01, sum(n * p * (1 - p) * x * x) AS h11
+              FROM (SELECT lg.*, a, b, 1 / (1 + exp(-(a + b * x))) AS p FROM lg JOIN it{i} USING ({keys}))
+              GROUP BY {keys}))"""
+        )
+    out.append(
+        f"calib AS (SELECT {keys}, round(b, 6) AS calibration_slope, round(a, 6) AS calibration_intercept FROM it{rounds})"
+    )
+    return ", ".join(out)
+
+
+def rounded(df, *columns, digits=9):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def run_hist(spark, sf):
+    return mt.histogram(rs.predictions(spark, sf), RUN)
+
+
+HIST = f"{PREDS}, {hist_sql('preds', 'run_id')}"
+
+
+@query("metric_auc", f"{HIST}, {ranking_sql('run_id')} SELECT run_id, round(auc, 9) AS auc FROM rank_metrics")
+def metric_auc(spark, sf):
+    return rounded(mt.ranking(run_hist(spark, sf), RUN).select("run_id", "auc"), "auc")
+
+
+@query("metric_pr_auc", f"{HIST}, {ranking_sql('run_id')} SELECT run_id, round(pr_auc, 9) AS pr_auc FROM rank_metrics")
+def metric_pr_auc(spark, sf):
+    return rounded(mt.ranking(run_hist(spark, sf), RUN).select("run_id", "pr_auc"), "pr_auc")
+
+
+def point_query(column):
+    def run(spark, sf):
+        return rounded(mt.pointwise(run_hist(spark, sf), RUN).select("run_id", column), column)
+
+    return run
+
+
+for _name, _column in {
+    "metric_logloss": "logloss",
+    "metric_brier": "brier",
+    "metric_bal_acc": "balanced_accuracy",
+    "metric_f1": "f1",
+}.items():
+    query(_name, f"{HIST}, {point_sql('run_id')} SELECT run_id, round({_column}, 9) AS {_column} FROM points")(
+        point_query(_column)
+    )
+
+
+@query(
+    "metric_calibration",
+    f"{HIST}, {newton_sql('run_id')} SELECT run_id, calibration_slope, calibration_intercept FROM calib",
+)
+def metric_calibration(spark, sf):
+    fit = mt.calibration(run_hist(spark, sf), RUN)
+    return rounded(fit, "calibration_slope", "calibration_intercept", digits=6)
+
+
+@query(
+    "metric_status",
+    f"""WITH {B.DOCS} SELECT source, lang, count(*)::BIGINT AS n_rows, sum(y)::BIGINT AS n_pos,
+    CASE WHEN min(y) = max(y) THEN 'METRIC_UNDEFINED' ELSE 'SUCCESS' END AS status
+    FROM docs_cat GROUP BY source, lang""",
+)
+def metric_status(spark, sf):
+    """Small cells of labelled documents: many have one class."""
+    docs = rs.docs_cat(spark, sf).select("source", "lang", F.col("y").alias("y_true"), F.lit(0.5).alias("y_score"))
+    return mt.status(mt.histogram(docs, ["source", "lang"]), ["source", "lang"])
+
+
+def threshold_sql(keys: str) -> str:
+    return f"""steps AS (SELECT *, row_number() OVER w - 1 AS i, lead(s) OVER w AS nxt,
+        sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS n_le, sum(pos) OVER (w ROWS UNBOUNDED PRECEDING) AS pos_le,
+        sum(n) OVER (PARTITION BY {keys}) AS nn, sum(pos) OVER (PARTITION BY {keys}) AS pp,
+        count(*) OVER (PARTITION BY {keys}) AS ns
+      FROM hist WINDOW w AS (PARTITION BY {keys} ORDER BY s)),
+    kept AS (SELECT * FROM steps WHERE nxt IS NOT NULL AND pp > 0 AND pp < nn AND (ns - 1 <= 200 OR i = ns - 2
+        OR list_contains(list_transform(range(0, 199), lambda j: floor(j * ((ns - 2) / 199.0::DOUBLE))::BIGINT), i))),
+    best AS (SELECT {keys}, arg_max((s + nxt) / 2, (round(2 * (pp - pos_le) / (nn - n_le + pp), 12), -i)) AS t,
+        max(round(2 * (pp - pos_le) / (nn - n_le + pp), 12)) AS best_f1 FROM kept GROUP BY {keys}),
+    thr AS (SELECT DISTINCT {keys}, CASE WHEN ns > 1 AND pp > 0 AND pp < nn THEN t ELSE 0.5::DOUBLE END AS threshold,
+        best_f1 FROM steps LEFT JOIN best USING ({keys}))"""
+
+
+@query(
+    "select_threshold",
+    f"""{HIST}, {threshold_sql('run_id')}
+    SELECT run_id, round(threshold, 9) AS threshold, round(best_f1, 9) AS best_f1 FROM thr""",
+)
+def select_threshold(spark, sf):
+    return rounded(mt.select_threshold(rs.predictions(spark, sf), RUN), "threshold", "best_f1")
+
+
+PANEL = ["auc", "pr_auc", "logloss", "brier", "balanced_accuracy", "f1"]
+PANEL_SQL = ", ".join(f"round({c}, 9) AS {c}" for c in PANEL)
+
+
+@query(
+    "metric_panel",
+    f"""{HIST}, {ranking_sql('run_id')}, {threshold_sql('run_id')},
+    {point_sql('run_id', '(SELECT threshold FROM thr t WHERE t.run_id = hist.run_id)')}, {newton_sql('run_id')}
+    SELECT r.run_id, r.n_rows, r.n_pos, {PANEL_SQL}, calibration_slope, calibration_intercept,
+           CASE WHEN auc IS NULL THEN 'METRIC_UNDEFINED' ELSE 'SUCCESS' END AS status
+    FROM rank_metrics r JOIN points p ON p.run_id = r.run_id JOIN calib c ON c.run_id = r.run_id""",
+)
+def metric_panel(spark, sf):
+    preds = rs.predictions(spark, sf)
+    thresholds = mt.select_threshold(preds, RUN).select("run_id", "threshold")
+    out = rounded(mt.panel(preds, RUN, thresholds), *PANEL)
+    return rounded(out, "calibration_slope", "calibration_intercept", digits=6)
+
+
+# ---- cells: every (segment, run, fold) is a candidate; inner_val rows select, test rows report ----
+
+CELL = ["segment", "run", "outer_fold", "phase"]
+POLICY = ["segment", "outer_fold", "branch"]
+CELLS = f"""WITH {B.ORDERS}, {B.PREDS}, {B.splits('orders_cat')},
+    scored AS (SELECT segment, run, outer_fold, phase, y_true, y_score FROM preds JOIN uses USING (group_id) WHERE part < 0),
+    {hist_sql('scored', 'segment, run, outer_fold, phase')}, {ranking_sql('segment, run, outer_fold, phase')},
+    cells AS (SELECT segment, run, outer_fold, CASE WHEN run < 4 THEN 'image' ELSE 'tabular' END AS branch,
+        'cfg' || run AS config_id, round(max(auc) FILTER (phase = 'inner'), 2) AS inner_metric,
+        round(max(auc) FILTER (phase = 'outer'), 9) AS outer_auc,
+        round(max(pr_auc) FILTER (phase = 'outer'), 9) AS outer_pr_auc,
+        (run % 3 + 1)::DOUBLE AS complexity, (run * 7 % 5)::DOUBLE AS fit_time_s,
+        {B.prefix48("'fit:' || segment || run || outer_fold")} / 281474976710656.0::DOUBLE AS u_fit,
+        {B.prefix48("'refit:' || segment || run || outer_fold")} / 281474976710656.0::DOUBLE AS u_refit
+      FROM rank_metrics GROUP BY segment, run, outer_fold),
+    cands AS (SELECT *, CASE WHEN u_fit < 0.15::DOUBLE THEN 'TRAINING_FAILURE' WHEN inner_metric IS NULL THEN 'METRIC_UNDEFINED'
+                        ELSE 'SUCCESS' END AS status,
+        CASE WHEN u_refit < 0.3::DOUBLE THEN 'TIMEOUT' WHEN outer_auc IS NULL THEN 'METRIC_UNDEFINED' ELSE 'SUCCESS' END AS refit_status
+      FROM cells),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY segment, outer_fold, branch
+        ORDER BY inner_metric DESC, complexity, fit_time_s, config_id) AS rank
+      FROM cands WHERE status = 'SUCCESS' AND inner_metric IS NOT NULL),
+    tb AS (SELECT segment, outer_fold, branch, count(*)::BIGINT AS n_tied, CASE WHEN count(*) = 1 THEN 'none'
+        WHEN count(DISTINCT complexity) > 1 THEN 'complexity' WHEN count(DISTINCT fit_time_s) > 1 THEN 'fit_time'
+        ELSE 'config_id' END AS tie_break
+      FROM (SELECT *, max(inner_metric) OVER (PARTITION BY segment, outer_fold, branch) AS best FROM ranked)
+      WHERE inner_metric = best GROUP BY ALL),
+    chosen AS (SELECT segment, outer_fold, branch, count(*)::BIGINT AS candidate_count FROM cands GROUP BY ALL),
+    pick AS (SELECT segment, outer_fold, branch, min(rank) FILTER (refit_status IN ('SUCCESS', 'METRIC_UNDEFINED')) AS r,
+        count(*) AS nr FROM ranked GROUP BY ALL),
+    fallback AS (SELECT c.segment, c.outer_fold, c.branch, candidate_count, k.config_id,
+        CASE WHEN k.config_id IS NOT NULL THEN tie_break END AS tie_break, k.inner_metric,
+        coalesce(p.r - 1, nr, 0)::BIGINT AS n_fallbacks, coalesce(k.refit_status, 'TRAINING_FAILURE') AS status
+      FROM chosen c LEFT JOIN pick p ON p.segment = c.segment AND p.outer_fold = c.outer_fold AND p.branch = c.branch
+      LEFT JOIN ranked k ON k.segment = c.segment AND k.outer_fold = c.outer_fold AND k.branch = c.branch AND k.rank = p.r
+      LEFT JOIN tb ON tb.segment = c.segment AND tb.outer_fold = c.outer_fold AND tb.branch = c.branch)"""
+
+
+def cells(spark, sf):
+    """Inner and outer AUC of every (segment, run, fold), with a data-derived failure pattern."""
+    _, uses = orders_uses(spark, sf)
+    held = splits.uses_by_group(uses).withColumn("uses", F.filter("uses", lambda u: u["part"] < 0))
+    each = lookup(rs.predictions(spark, sf), held, ["group_id"], ["row_id", "run"], how="inner")
+    scored = each.select("segment", "run", "y_true", "y_score", F.explode("uses").alias("u"))
+    scored = scored.select("segment", "run", "u.outer_fold", "u.phase", "y_true", "y_score")
+    ranked = mt.ranking(mt.histogram(scored, CELL), CELL)
+    inner = F.col("phase") == "inner"
+    ident = F.concat("segment", F.col("run").cast("string"), F.col("outer_fold").cast("string"))
+    wide = ranked.groupBy("segment", "run", "outer_fold").agg(
+        F.round(F.max(F.when(inner, F.col("auc"))), 2).alias("inner_metric"),
+        F.round(F.max(F.when(~inner, F.col("auc"))), 9).alias("outer_auc"),
+        F.round(F.max(F.when(~inner, F.col("pr_auc"))), 9).alias("outer_pr_auc"),
+    )
+    out = wide.select(
+        "*",
+        F.when(F.col("run") < 4, "image").otherwise("tabular").alias("branch"),
+        F.concat(F.lit("cfg"), F.col("run").cast("string")).alias("config_id"),
+        (F.col("run") % 3 + 1).cast("double").alias("complexity"),
+        (F.col("run") * 7 % 5).cast("double").alias("fit_time_s"),
+        F.when(unit_interval("fit", ident) < 0.15, "TRAINING_FAILURE")
+        .when(F.col("inner_metric").isNull(), "METRIC_UNDEFINED")
+        .otherwise("SUCCESS")
+        .alias("status"),
+        F.when(unit_interval("refit", ident) < 0.3, "TIMEOUT")
+        .when(F.col("outer_auc").isNull(), "METRIC_UNDEFINED")
+        .otherwise("SUCCESS")
+        .alias("refit_status"),
+    )
+    return materialize(out, "cells")
+
+
+def candidates(cell_table):
+    return cell_table.select(*POLICY, "config_id", "inner_metric", "complexity", "fit_time_s", "status")
+
+
+def refits(cell_table):
+    return cell_table.select(*POLICY, "config_id", "refit_status")
+
+
+@query(
+    "rank_candidates",
+    f"{CELLS} SELECT segment, outer_fold, branch, config_id, inner_metric, rank::BIGINT AS rank FROM ranked",
+)
+def rank_candidates(spark, sf):
+    ranked = sel.rank_candidates(candidates(cells(spark, sf)), POLICY)
+    return ranked.select(*POLICY, "config_id", "inner_metric", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("tie_break", f"{CELLS} SELECT * FROM tb")
+def tie_break(spark, sf):
+    return sel.tie_break(candidates(cells(spark, sf)), POLICY)
+
+
+@query("select_fallback", f"{CELLS} SELECT * FROM fallback")
+def select_fallback(spark, sf):
+    c = cells(spark, sf)
+    return sel.select_with_fallback(candidates(c), refits(c), POLICY)
+
+
+@query(
+    "policy_report",
+    f"""{CELLS} SELECT f.*, c.outer_auc, c.outer_pr_auc FROM fallback f LEFT JOIN cands c
+    ON c.segment = f.segment AND c.outer_fold = f.outer_fold AND c.branch = f.branch AND c.config_id = f.config_id""",
+)
+def policy_report(spark, sf):
+    c = cells(spark, sf)
+    outer = c.select(*POLICY, "config_id", "outer_auc", "outer_pr_auc")
+    return sel.policy_report(candidates(c), refits(c), outer, POLICY)
+
+
+@query(
+    "selection_churn",
+    f"""{CELLS}, per AS (SELECT segment, branch, config_id, count(*) AS c FROM fallback WHERE config_id IS NOT NULL GROUP BY ALL)
+    SELECT segment, branch, sum(c)::BIGINT AS n_folds, count(*)::BIGINT AS n_configs,
+           round(max(c) / sum(c), 9) AS mode_share FROM per GROUP BY ALL""",
+)
+def selection_churn(spark, sf):
+    c = cells(spark, sf)
+    return sel.selection_churn(sel.select_with_fallback(candidates(c), refits(c), POLICY), ["segment", "branch"])
+
+
+CONTRAST = f"""{CELLS},
+    arms AS (SELECT segment, outer_fold, run // 4 AS seed, CASE WHEN run % 4 < 2 THEN 'global' ELSE 'safe' END || '_' ||
+        CASE WHEN run % 2 = 0 THEN 'image' ELSE 'tabular' END AS cell, refit_status AS status,
+        CASE WHEN refit_status = 'SUCCESS' THEN outer_auc END AS auc FROM cands),
+    wide AS (SELECT segment, outer_fold, seed::INT AS seed,
+        max(auc) FILTER (cell = 'global_image') AS gi, max(auc) FILTER (cell = 'global_tabular') AS gt,
+        max(auc) FILTER (cell = 'safe_image') AS si, max(auc) FILTER (cell = 'safe_tabular') AS st,
+        bool_and(status = 'SUCCESS') AND count(*) = 4 AS ok,
+        coalesce(string_agg(cell || '=' || status, ';' ORDER BY cell) FILTER (status <> 'SUCCESS'), '') AS notes
+      FROM arms GROUP BY ALL),
+    contrast AS (SELECT segment, outer_fold, seed, gi AS global_image_auc, gt AS global_tabular_auc, si AS safe_image_auc,
+        st AS safe_tabular_auc, round(CASE WHEN ok THEN gi - si END, 9) AS b_image,
+        round(CASE WHEN ok THEN gt - st END, 9) AS b_tabular, round(CASE WHEN ok THEN (gi - gt) - (si - st) END, 9) AS b_delta,
+        CASE WHEN ok THEN 'SUCCESS' ELSE 'PARTIAL_FAILURE' END AS status, notes FROM wide)"""
+PAIR = ["segment", "outer_fold", "seed"]
+
+
+def arms(spark, sf):
+    run = F.col("run")
+    return cells(spark, sf).select(
+        "segment",
+        "outer_fold",
+        F.floor(run / 4).cast("int").alias("seed"),
+        F.when(run % 4 < 2, "global").otherwise("safe").alias("protocol"),
+        F.when(run % 2 == 0, "image").otherwise("tabular").alias("arm"),
+        F.col("refit_status").alias("status"),
+        F.col("outer_auc").alias("auc"),
+    )
+
+
+def contrasts(spark, sf):
+    return rounded(sel.paired_contrast(arms(spark, sf), PAIR), "b_image", "b_tabular", "b_delta")
+
+
+@query("paired_contrast", f"{CONTRAST} SELECT * FROM contrast")
+def paired_contrast(spark, sf):
+    return contrasts(spark, sf)
+
+
+@query(
+    "contrast_summary",
+    f"""{CONTRAST} SELECT count(*)::BIGINT AS n, count(b_delta)::BIGINT AS n_ok,
+    round(quantile_cont(b_delta, 0.5), 9) AS median_delta, min(b_delta) AS min_delta, max(b_delta) AS max_delta FROM contrast""",
+)
+def contrast_summary(spark, sf):
+    return rounded(sel.contrast_summary(contrasts(spark, sf)), "median_delta")
+
+
+@query(
+    "paired_exclusions",
+    f"""{CONTRAST}, per AS (SELECT segment, outer_fold, seed,
+        string_agg(DISTINCT cell || ':' || status, ';' ORDER BY cell || ':' || status) FILTER (status <> 'SUCCESS') AS reason
+      FROM arms GROUP BY ALL)
+    SELECT segment, reason, count(*)::BIGINT AS n_keys FROM per GROUP BY ALL""",
+)
+def paired_exclusions(spark, sf):
+    named = arms(spark, sf).withColumn("arm", F.concat_ws("_", "protocol", "arm"))
+    return sel.paired_exclusions(named, PAIR, ["segment"])
+
+
+@query(
+    "status_aggregate",
+    f"""{CELLS} SELECT branch, count(*)::BIGINT AS n_runs, count(*) FILTER (refit_status = 'SUCCESS')::BIGINT AS n_success,
+    round(avg(outer_auc) FILTER (refit_status = 'SUCCESS'), 9) AS mean_auc FROM cands GROUP BY branch""",
+)
+def status_aggregate(spark, sf):
+    runs = cells(spark, sf).select("branch", F.col("refit_status").alias("status"), F.col("outer_auc").alias("auc"))
+    return sel.status_aggregate(runs, ["branch"])
+
+
+@query(
+    "status_counts",
+    f"{CELLS} SELECT branch, refit_status AS status, count(*)::BIGINT AS n_runs FROM cands GROUP BY ALL",
+)
+def status_counts(spark, sf):
+    return sel.status_counts(cells(spark, sf).select("branch", F.col("refit_status").alias("status")), ["branch"])
+
+
+@query(
+    "status_gate",
+    f"""{CELLS} SELECT segment, outer_fold, config_id, refit_status AS status,
+    CASE WHEN refit_status = 'SUCCESS' THEN outer_auc END AS outer_auc,
+    CASE WHEN refit_status = 'SUCCESS' THEN outer_pr_auc END AS outer_pr_auc,
+    refit_status NOT IN ('SUCCESS', 'SKIPPED_INELIGIBLE') AS is_failure FROM cands""",
+)
+def status_gate(spark, sf):
+    runs = cells(spark, sf).select(
+        "segment", "outer_fold", "config_id", F.col("refit_status").alias("status"), "outer_auc", "outer_pr_auc"
+    )
+    return st.gate(runs, ["outer_auc", "outer_pr_auc"])
+
+
+@query(
+    "nonfinite_guard",
+    f"""{PREDS} SELECT run_id, segment, count(*)::BIGINT AS n_rows, count(*) FILTER (y_score > 0.995::DOUBLE)::BIGINT AS n_nonfinite,
+    CASE WHEN count(*) FILTER (y_score > 0.995::DOUBLE) > 0 THEN 'NUMERICAL_FAILURE' ELSE 'SUCCESS' END AS status
+    FROM preds GROUP BY ALL""",
+)
+def nonfinite_guard(spark, sf):
+    """exp(712 s) overflows a double for the largest scores."""
+    big = F.array(F.col("y_score"), F.exp(F.col("y_score") * F.lit(712.9)))
+    return st.nonfinite_guard(rs.predictions(spark, sf).withColumn("codes", big), ["run_id", "segment"], "codes")
+
+
+@query(
+    "sanitize_message",
+    r"""SELECT doc_id, left(regexp_replace('cannot read C:\data\' || source || '\' || doc_id || '.txt: ' || text,
+        '[A-Za-z]:\\\\?[^\s''"]+', '<path>', 'g'), 300) AS message FROM documents""",
+)
+def sanitize_message(spark, sf):
+    d = rs.table(spark, sf, "documents")
+    message = F.concat(
+        F.lit("cannot read C:\\data\\"), "source", F.lit("\\"), F.col("doc_id").cast("string"), F.lit(".txt: "), "text"
+    )
+    return d.select("doc_id", st.sanitize(message).alias("message"))
