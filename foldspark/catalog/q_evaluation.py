@@ -160,7 +160,8 @@ def threshold_sql(keys: str) -> str:
     SELECT run_id, round(threshold, 9) AS threshold, round(best_f1, 9) AS best_f1 FROM thr""",
 )
 def select_threshold(spark, sf):
-    return rounded(mt.select_threshold(rs.predictions(spark, sf), RUN), "threshold", "best_f1")
+    hist = materialize(run_hist(spark, sf), "hist")
+    return rounded(mt.select_threshold(hist, RUN), "threshold", "best_f1")
 
 
 PANEL = ["auc", "pr_auc", "logloss", "brier", "balanced_accuracy", "f1"]
@@ -176,9 +177,9 @@ PANEL_SQL = ", ".join(f"round({c}, 9) AS {c}" for c in PANEL)
     FROM rank_metrics r JOIN points p ON p.run_id = r.run_id JOIN calib c ON c.run_id = r.run_id""",
 )
 def metric_panel(spark, sf):
-    preds = rs.predictions(spark, sf)
-    thresholds = mt.select_threshold(preds, RUN).select("run_id", "threshold")
-    out = rounded(mt.panel(preds, RUN, thresholds), *PANEL)
+    hist = materialize(run_hist(spark, sf), "hist")
+    thresholds = mt.select_threshold(hist, RUN).select("run_id", "threshold")
+    out = rounded(mt.panel(hist, RUN, thresholds), *PANEL)
     return rounded(out, "calibration_slope", "calibration_intercept", digits=6)
 
 

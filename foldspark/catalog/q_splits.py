@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from foldspark.catalog import blocks as B
 from foldspark.catalog.registry import query
-from foldspark.operators import groups, lineage, splits
+from foldspark.operators import groups, splits
+from foldspark.session import materialize
 from foldspark.sources import categories as cat
 from foldspark.sources import rowsets as rs
 
@@ -139,15 +140,13 @@ def outer_folds(spark, sf):
 
 @query("inner_split", f"{ORDERS_SPLIT} SELECT group_id, outer_fold, is_val FROM holdout")
 def inner_split(spark, sf):
-    from foldspark.session import materialize
-
     dealt = splits.outer_folds(splits.group_table(rs.orders_cat(spark, sf)))
-    return splits.inner_holdout(materialize(dealt, "dealt"))
+    return splits.inner_holdout(materialize(dealt, "dealt")).drop("n")
 
 
-@query("oof_folds", f"{ORDERS_SPLIT} SELECT group_id, outer_fold, phase, role, part, n, pos FROM uses")
+@query("oof_folds", f"{ORDERS_SPLIT} SELECT group_id, outer_fold, phase, role, part, n FROM uses")
 def oof_folds(spark, sf):
-    return orders_uses(spark, sf)[1].select("group_id", "outer_fold", "phase", "role", "part", "n", "pos")
+    return orders_uses(spark, sf)[1].select("group_id", "outer_fold", "phase", "role", "part", "n")
 
 
 @query(
@@ -185,4 +184,5 @@ def _report_sql() -> str:
     FROM uses JOIN o2 USING (outer_fold) GROUP BY outer_fold""",
 )
 def split_report(spark, sf):
-    return splits.split_report(orders_uses(spark, sf)[1])
+    dealt = materialize(splits.outer_folds(splits.group_table(rs.orders_cat(spark, sf))), "dealt")
+    return splits.split_report(splits.uses_of(dealt), dealt)

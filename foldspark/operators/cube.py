@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.session import materialize
-from foldspark.sources.categories import to_long
+from foldspark.sources.categories import stored_columns, to_long
 
 SIDE = ["outer_fold", "phase"]
 STATE = ["outer_fold", "phase", "part"]
@@ -25,7 +25,7 @@ def fold_cube(assigned: DataFrame, columns: list[str]) -> DataFrame:
     per task and never the exploded rows.
     """
     fit = F.explode(F.filter("uses", lambda u: u["part"] >= 0)).alias("u")
-    long = to_long(assigned.select("y", fit, *columns), columns, ["y", "u"])
+    long = to_long(assigned.select("y", fit, *stored_columns(columns)), columns, ["y", "u"])
     each = long.select("u.outer_fold", "u.phase", "u.part", "col", "level", "y")
     cube = each.groupBy(*STATE, "col", "level").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     return materialize(cube, "cube")

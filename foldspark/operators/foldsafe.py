@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from foldspark.operators.scan import prefix_scan
 from foldspark.operators.skew import lookup
 from foldspark.operators.splits import SplitPlan
 from foldspark.session import materialize
-from foldspark.sources.categories import to_long
+from foldspark.sources.categories import Wide, level_array, stored_columns, to_long
 
 PERMUTATION_SEED = 977  # fixed values of the ordered statistic
 PERMUTATIONS = 4
@@ -43,38 +44,119 @@ def pack_codes(codes: DataFrame, plan: SplitPlan) -> DataFrame:
 
 
 def _attach(rows: DataFrame, packed: DataFrame, columns: list[str]) -> DataFrame:
+    """Add ``_codes ARRAY<ARRAY<DOUBLE>>``: the packed codes of each category of a row.
+
+    One lookup per column. A wide table is looked up in long form instead, and each row is
+    put together again; only its m own entries meet in one group.
+    """
+    if isinstance(columns, Wide):
+        long = to_long(rows, columns, ["row_id"])
+        found = lookup(long, packed, ["col", "level"], ["row_id"])
+        at = F.struct(F.col("col").cast("int").alias("i"), F.col("codes").alias("c"))
+        per_row = found.groupBy("row_id").agg(F.array_sort(F.collect_list(at)).alias("_c"))
+        per_row = per_row.select("row_id", F.transform("_c", lambda e: e["c"]).alias("_codes"))
+        return rows.join(per_row, "row_id")
+    sizes = {r["col"]: r["count"] for r in packed.groupBy("col").count().collect()}  # one per column
     for i, c in enumerate(columns):
         one = packed.where(F.col("col") == c).select(
             F.col("level").alias(c), "n", F.col("codes").alias(f"_codes{i}")
         )
-        rows = lookup(rows, one, [c], ["row_id"])
-    return rows
+        rows = lookup(rows, one, [c], ["row_id"], rows=sizes.get(c, 0))
+    held = [f"_codes{i}" for i in range(len(columns))]
+    return rows.withColumn("_codes", F.array(*held)).drop(*held)
+
+
+def _pick(slot: Column, unseen: Column) -> Column:
+    """The code of every category in one state."""
+    return F.transform("_codes", lambda c: F.coalesce(F.get(c, slot), unseen))
+
+
+def _each_use(assigned: DataFrame, held: str) -> DataFrame:
+    return assigned.select("row_id", "y", held, F.explode("uses").alias("u")).select("row_id", "y", held, "u.*")
 
 
 def code_rows(
     assigned: DataFrame,
-    packed: DataFrame,
-    totals: DataFrame,
+    codes: DataFrame,
     columns: list[str],
-    encoder: enc.Encoder,
     plan: SplitPlan,
+    unseen: DataFrame | float,
+    whole_side: bool,
 ) -> DataFrame:
-    """``row_id, y, outer_fold, phase, role, codes``; held-out rows use the whole-side state."""
-    wide = _attach(assigned.drop("n"), packed, columns)
-    kept = ["row_id", "y", *[f"_codes{i}" for i in range(len(columns))]]
-    each = wide.select(*kept, F.explode("uses").alias("u")).select(*kept, "u.*")
-    if not encoder.supervised:
+    """``row_id, y, outer_fold, phase, role, codes`` from fitted ``STATE, col, level, n, code``.
+
+    ``unseen`` is the code of unseen levels, or a table of it per state. ``whole_side`` uses the
+    whole-side state for all rows (label-free encoders).
+    """
+    small = _dictionary(codes, columns)
+    if small is None:
+        each = _each_use(_attach(assigned.drop("n"), pack_codes(codes, plan), columns), "_codes")
+    else:
+        slots = F.zip_with(small[0], level_array(columns), _slot_in)
+        each = _each_use(assigned.withColumn("_slots", slots), "_slots")
+    if whole_side:
         each = each.withColumn("part", F.lit(cb.FULL))
-    if encoder.unseen is None:
-        prior = totals.select(*cb.STATE, (F.col("fit_pos") / F.col("fit_n")).alias("_unseen"))
-        each = each.join(F.broadcast(prior), cb.STATE)  # one record per state
+    if isinstance(unseen, DataFrame):
+        each = each.join(F.broadcast(unseen), cb.STATE)  # one record per state
     else:
-        each = each.withColumn("_unseen", F.lit(encoder.unseen))
-    slot = _slot(F.col("outer_fold"), F.col("phase"), F.col("part"), plan)
-    codes = [
-        F.coalesce(F.get(f"_codes{i}", slot), F.col("_unseen")) for i in range(len(columns))
-    ]
-    return each.select("row_id", "y", *USE, F.array(*codes).alias("codes"))
+        each = each.withColumn("_unseen", F.lit(unseen))
+    if small is None:
+        slot = _slot(F.col("outer_fold"), F.col("phase"), F.col("part"), plan)
+        picked = _pick(slot, F.col("_unseen"))
+    else:
+        # one record per state, each at most DICTIONARY_SLOTS codes
+        each = each.join(F.broadcast(_state_arrays(codes, columns, *small)), cb.STATE)
+        picked = F.transform("_slots", lambda s: F.coalesce(F.get("_table", s), F.col("_unseen")))
+    return each.select("row_id", "y", *USE, picked.alias("codes"))
+
+
+# ---- dictionary of few levels ----------------------------------------------------------------
+
+DICTIONARY_SLOTS = 8192  # levels of all columns together
+DICTIONARY_LEVELS = 256  # levels of one column
+
+
+def _dictionary(codes: DataFrame, columns: list[str]) -> tuple[Column, int] | None:
+    """Constant ``ARRAY<STRUCT<start, levels>>`` in column order, and its number of slots.
+
+    Offered only when the checked numbers of levels are small; rows are then coded without
+    any join on levels.
+    """
+    per = codes.select("col", "level").distinct().groupBy("col")
+    top, size, found = per.agg(F.count("*").alias("k")).agg(F.max("k"), F.sum("k"), F.count("*")).first()
+    if found != len(columns) or top > DICTIONARY_LEVELS or size > DICTIONARY_SLOTS:
+        return None
+    levels = per.agg(F.array_sort(F.collect_list("level")).alias("levels"))
+    start, entries = 0, []
+    for row in sorted(levels.select(_position(columns).alias("i"), "levels").collect()):
+        entries.append({"start": start, "levels": row.levels})
+        start += len(row.levels)
+    return F.from_json(F.lit(json.dumps(entries)), "array<struct<start:int,levels:array<string>>>"), size
+
+
+def _position(columns: list[str]) -> Column:
+    """0-based position of the column named in ``col``."""
+    at = F.col("col") if isinstance(columns, Wide) else enc.column_positions(columns)
+    return at.cast("int")
+
+
+def _slot_in(entry: Column, level: Column) -> Column:
+    """Slot of a level; NULL when the dictionary does not have it."""
+    found = F.nullif(F.array_position(entry["levels"], level), F.lit(0))
+    return (found + entry["start"] - 1).cast("int")
+
+
+def _state_arrays(codes: DataFrame, columns: list[str], dictionary: Column, size: int) -> DataFrame:
+    """Codes of every state as one array indexed by slot; NULL where a level is unseen.
+
+    One record per state, of ``size`` codes.
+    """
+    entry = F.get(dictionary, _position(columns))
+    known = codes.select(*cb.STATE, "code", _slot_in(entry, F.col("level")).alias("slot"))
+    every = codes.select(*cb.STATE).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    filled = every.join(known, [*cb.STATE, "slot"], "left")
+    packed = filled.groupBy(*cb.STATE).agg(F.array_sort(F.collect_list(F.struct("slot", "code"))).alias("_t"))
+    return packed.select(*cb.STATE, F.transform("_t", lambda e: e["code"]).alias("_table"))
 
 
 def encode(
@@ -89,15 +171,16 @@ def encode(
     encoder = enc.ENCODERS[name]
     cube = fold_cube(assigned, columns) if cube is None else cube
     totals = cb.state_totals(cube, columns[0])
-    if name == "ordered" or not encoder.supervised:
-        states = cb.full_states(cube, columns[0])
-    else:
-        states = cb.all_states(cube, columns[0])
-    packed = pack_codes(encoder.codes(states, cb.STATE), plan)
+    own_part = encoder.supervised and name != "ordered"
+    states = (cb.all_states if own_part else cb.full_states)(cube, columns[0])
+    codes = materialize(encoder.codes(states, cb.STATE).select(*cb.STATE, "col", "level", "n", "code"), "states")
+    unseen = encoder.unseen
+    if unseen is None:
+        unseen = totals.select(*cb.STATE, (F.col("fit_pos") / F.col("fit_n")).alias("_unseen"))
     if name != "ordered":
-        return code_rows(assigned, packed, totals, columns, encoder, plan)
+        return code_rows(assigned, codes, columns, plan, unseen, not encoder.supervised)
     held_out = F.filter("uses", lambda u: u["part"] < 0)
-    others = code_rows(assigned.withColumn("uses", held_out), packed, totals, columns, encoder, plan)
+    others = code_rows(assigned.withColumn("uses", held_out), codes, columns, plan, unseen, True)
     return ordered_fit_codes(assigned, totals, columns, plan).unionByName(others)
 
 
@@ -121,7 +204,7 @@ def ordered_fit_codes(
 
     member = {i: fits_in(f, p) for i, (f, p) in enumerate(sides)}
     flagged = assigned.select(
-        "row_id", "y", *columns, *[m.cast("int").alias(f"_in{i}") for i, m in member.items()]
+        "row_id", "y", *stored_columns(columns), *[m.cast("int").alias(f"_in{i}") for i, m in member.items()]
     )
     marks = [f"_in{i}" for i in member]
     scanned = _ordered_sums(
@@ -155,7 +238,7 @@ def ordered_fit_codes(
 def ordered_whole_codes(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Ordered codes of a plain fit on all rows."""
     totals = rows.agg(F.count("*").alias("fit_n"), F.sum("y").alias("fit_pos"))
-    scanned = _ordered_sums(rows.select("row_id", "y", *columns), columns, [], {"n": F.lit(1), "s": F.col("y")})
+    scanned = _ordered_sums(rows.select("row_id", "y", *stored_columns(columns)), columns, [], {"n": F.lit(1), "s": F.col("y")})
     each = scanned.withColumns(
         {"fit_n": totals.select("fit_n").scalar(), "fit_pos": totals.select("fit_pos").scalar()}
     )
@@ -175,7 +258,7 @@ def _average_permutations(each: DataFrame, columns: list[str], keys: list[str])
     # co-locate a row once: both aggregations below reuse that partitioning
     placed = each.withColumn("code", code).repartition("row_id")
     mean = placed.groupBy(*keys, "col").agg(F.avg("code").alias("code"))
-    at = F.struct(enc.column_positions(columns).alias("i"), "code")
+    at = F.struct(_position(columns).alias("i"), "code")
     packed = mean.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("_c"))  # one per column
     return packed.select(*keys, F.transform("_c", lambda e: e["code"]).alias("codes"))
 
@@ -186,24 +269,18 @@ def encode_onehot(
     """Fold-safe one-hot codes as active slots (one per column) and the code width."""
     cube = fold_cube(assigned, columns) if cube is None else cube
     states = materialize(cb.full_states(cube, columns[0]), "states")
-    slots = enc.onehot_slots(states, columns, cb.STATE)
-    packed = pack_codes(slots.withColumn("code", F.col("slot").cast("double")), plan)
+    slots = enc.onehot_slots(states, columns, cb.STATE).withColumn("code", F.col("slot").cast("double"))
+    codes = materialize(slots.select(*cb.STATE, "col", "level", "n", "code"), "slots")
+    coded = code_rows(assigned, codes, columns, plan, -1.0, True)
     blocks = enc.onehot_blocks(states, columns, cb.STATE)
-    at = F.struct(enc.column_positions(columns).alias("i"), F.col("unseen_slot").cast("int").alias("s"))
+    at = F.struct(_position(columns).alias("i"), F.col("unseen_slot").cast("int").alias("s"))
     per_state = blocks.groupBy(*cb.SIDE).agg(
         F.array_sort(F.collect_list(at)).alias("_unseen"),
         F.sum(F.col("levels") + 1).cast("int").alias("width"),
     )
-    wide = _attach(assigned.drop("n"), packed, columns)
-    kept = ["row_id", "y", *[f"_codes{i}" for i in range(len(columns))]]
-    each = wide.select(*kept, F.explode("uses").alias("u")).select(*kept, "u.*")
-    each = each.join(F.broadcast(per_state), cb.SIDE)  # 2k records
-    slot = _slot(F.col("outer_fold"), F.col("phase"), F.lit(cb.FULL), plan)
-    active = [
-        F.coalesce(F.get(f"_codes{i}", slot).cast("int"), F.col("_unseen")[i]["s"])
-        for i in range(len(columns))
-    ]
-    return each.select("row_id", "y", *USE, F.array(*active).alias("slots"), "width")
+    each = coded.join(F.broadcast(per_state), cb.SIDE)  # 2k records
+    active = F.zip_with("codes", "_unseen", lambda c, u: F.when(c < 0, u["s"]).otherwise(c.cast("int")))
+    return each.select("row_id", "y", *USE, active.alias("slots"), "width")
 
 
 def dense_slots(slots: Column, width: Column) -> Column:
@@ -239,7 +316,7 @@ def encode_global(assigned: DataFrame, columns: list[str], name: str) -> DataFra
     codes = encoder.codes(states, ())
     table = materialize(codes.select("col", "level", "n", F.array("code").alias("codes")), "codes", "col")
     wide = _attach(assigned.drop("n"), table, columns)
-    codes = F.array(*[F.col(f"_codes{i}")[0] for i in range(len(columns))])
+    codes = F.transform("_codes", lambda c: c[0])  # every level was fitted
     each = wide.select("row_id", "y", codes.alias("codes"), F.explode("uses").alias("u"))
     return each.select("row_id", "y", "u.outer_fold", "u.phase", "u.role", "codes").withColumn(
         "protocol", F.lit("global")
@@ -250,8 +327,7 @@ def apply_plain(rows: DataFrame, states: DataFrame, columns: list[str], unseen:
     """Codes of rows under one plain fitted state (``col, level, n, code``)."""
     table = materialize(states.select("col", "level", "n", F.array("code").alias("codes")), "codes", "col")
     wide = _attach(rows, table, columns)
-    codes = [F.coalesce(F.col(f"_codes{i}")[0], unseen) for i in range(len(columns))]
-    return wide.withColumn("codes", F.array(*codes)).drop(*[f"_codes{i}" for i in range(len(columns))])
+    return wide.withColumn("codes", _pick(F.lit(0), unseen)).drop("_codes")
 
 
 # ---- scaling ---------------------------------------------------------------------------------

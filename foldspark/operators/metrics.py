@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foldspark.operators.scan import prefix_scan
 from foldspark.operators.skew import lookup
-from foldspark.session import materialize
+from foldspark.session import BROADCAST_ROWS, materialize
 
 EPS = 1e-12  # fixed values of the metrics
 DEFAULT_THRESHOLD = 0.5
@@ -20,6 +20,7 @@ MAX_THRESHOLDS = 200
 LOGIT_RANGE = 1e-9
 MAX_SLOPE = 1e4
 NEWTON_ROUNDS = 24
+STEPS_PER_TABLE = 4  # Newton steps planned as one job before the lineage is cut
 
 
 def histogram(preds: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,10 +34,10 @@ def _undefined(value: Column) -> Column:
     return F.when((F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n_rows")), value)
 
 
-def ranking(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """Tie-aware ROC AUC and average precision per run."""
+def ranking(hist: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """Tie-aware ROC AUC and average precision per run; ``rows`` is the histogram's size if known."""
     scanned = prefix_scan(
-        hist, [*keys, F.col("score").desc()], {"n_above": "n", "pos_above": "pos"}, within=keys
+        hist, [*keys, F.col("score").desc()], {"n_above": "n", "pos_above": "pos"}, within=keys, rows=rows
     )
     neg = F.col("n") - F.col("pos")
     lost = F.col("pos") * (F.col("n_above") - F.col("pos_above") + neg / 2)
@@ -108,8 +109,11 @@ def calibration(hist: DataFrame, keys: list[str]) -> DataFrame:
     fit = materialize(
         start.withColumns({"a": zero, "b": zero, "step": F.lit(float("inf"))}), "newton"
     )
-    for _ in range(NEWTON_ROUNDS):
-        fit = materialize(_newton_step(x, fit, keys), "newton")
+    runs = fit.count()
+    for _ in range(NEWTON_ROUNDS // STEPS_PER_TABLE):
+        for _ in range(STEPS_PER_TABLE):
+            fit = _newton_step(x, fit, keys, runs)
+        fit = materialize(fit, "newton")
         if fit.where("step > 1e-9 AND abs(b) <= 1e6").isEmpty():
             break
     good = (
@@ -126,8 +130,8 @@ def calibration(hist: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _newton_step(x: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
-    each = lookup(x, fit.select(*keys, "_w", "a", "b"), keys, ["x"], weight="_w", how="inner")
+def _newton_step(x: DataFrame, fit: DataFrame, keys: list[str], runs: int) -> DataFrame:
+    each = lookup(x, fit.select(*keys, "_w", "a", "b"), keys, ["x"], weight="_w", how="inner", rows=runs)
     each = each.withColumn("p", 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x")))))
     r = F.col("pos") - F.col("n") * F.col("p")
     w = F.col("n") * F.col("p") * (1 - F.col("p"))
@@ -155,35 +159,34 @@ def status(hist: DataFrame, keys: list[str]) -> DataFrame:
     return sums.withColumn("status", F.when(one_class, "METRIC_UNDEFINED").otherwise("SUCCESS"))
 
 
-def panel(preds: DataFrame, keys: list[str], thresholds: DataFrame | None = None) -> DataFrame:
-    """All metrics in one record per run."""
-    hist = materialize(histogram(preds, keys), "hist")
+def panel(hist: DataFrame, keys: list[str], thresholds: DataFrame | None = None) -> DataFrame:
+    """All metrics in one record per run; ``hist`` should be materialized."""
     points = pointwise(hist, keys, thresholds).drop("n_rows", "n_pos")
-    out = ranking(hist, keys).join(points, keys).join(calibration(hist, keys), keys)
+    out = ranking(hist, keys, hist.count()).join(points, keys).join(calibration(hist, keys), keys)
     return out.withColumn("status", F.when(F.col("auc").isNull(), "METRIC_UNDEFINED").otherwise("SUCCESS"))
 
 
-def select_threshold(preds: DataFrame, keys: list[str]) -> DataFrame:
+def select_threshold(hist: DataFrame, keys: list[str]) -> DataFrame:
     """First threshold with the best F1 among midpoints of the distinct scores.
 
     More than 200 candidates are thinned to 200 evenly spaced ones (truncated positions). One
-    distinct score or one class gives the default.
+    distinct score or one class gives the default. ``hist`` should be materialized.
     """
-    hist = materialize(histogram(preds, keys), "hist")
     totals = hist.groupBy(*keys).agg(
         F.count("*").alias("_scores"), F.sum("n").alias("n_rows"), F.sum("pos").alias("n_pos")
     )
     totals = materialize(totals, "totals")
     scanned = prefix_scan(
         hist, ["score"], {"i": F.lit(1), "n_below": "n", "pos_below": "pos"}, within=keys,
-        following={"next_score": "score"},
+        following={"next_score": "score"}, rows=hist.count(),
     )
     usable = "_scores > 1 AND n_pos > 0 AND n_pos < n_rows"
-    each = lookup(scanned, totals, keys, ["score"], weight="_scores", how="inner")
+    runs = totals.count()
+    each = lookup(scanned, totals, keys, ["score"], weight="_scores", how="inner", rows=runs)
     each = each.where("next_score IS NOT NULL AND n_pos > 0 AND n_pos < n_rows")
-    each = each.join(F.broadcast(_kept_positions(totals)), [*keys, "i"], "left_semi") if _is_small(
-        totals
-    ) else each.join(_kept_positions(totals), [*keys, "i"], "left_semi")
+    kept = _kept_positions(totals)  # at most 200 records per run
+    kept = F.broadcast(kept) if runs * MAX_THRESHOLDS <= BROADCAST_ROWS else kept
+    each = each.join(kept, [*keys, "i"], "left_semi")
     tp = F.col("n_pos") - F.col("pos_below") - F.col("pos")
     called = F.col("n_rows") - F.col("n_below") - F.col("n")
     f1 = F.round(2 * tp / (called + F.col("n_pos")), 12)
@@ -196,11 +199,6 @@ def select_threshold(preds: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _is_small(totals: DataFrame, runs: int = 500) -> bool:
-    """At most 200 positions per run: broadcast them only for a few hundred runs."""
-    return totals.limit(runs + 1).count() <= runs
-
-
 def _kept_positions(totals: DataFrame) -> DataFrame:
     keys = [c for c in totals.columns if c not in ("_scores", "n_rows", "n_pos")]
     last = F.col("_scores") - 2  # position of the last candidate

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from foldspark.session import materialize
 
+# A table known to be this small may be sorted by one task.
+SINGLE_TASK_ROWS = 200_000
+
 
 def _sort_columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
@@ -27,15 +30,19 @@ def prefix_scan(
     within: Sequence[str] = (),
     following: dict[str, str] | None = None,
     pieces: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add exclusive running sums, ``sums = {output: expression}``, per ``within`` group.
 
     ``order`` must be total inside a group. ``following = {output: column}`` adds the
     value of that column in the next row of the group (NULL at its end; ascending order only).
+    ``rows`` is the size of ``df`` where the caller knows it.
     """
     order = _sort_columns(order)
     within = list(within)
     following = following or {}
+    if rows is not None and rows <= SINGLE_TASK_ROWS:
+        return _plain_scan(df, order, sums, within, following)
     named = df.select("*", *[_expr(e).alias(f"_v_{o}") for o, e in sums.items()])
     keys = [F.col(c) for c in within] + order
     ranged = named.repartitionByRange(pieces, *keys) if pieces else named.repartitionByRange(*keys)
@@ -70,15 +77,26 @@ def prefix_scan(
     return joined.select(*[F.col(c) for c in df.columns], *out)
 
 
+def _plain_scan(
+    df: DataFrame, order: list[Column], sums: dict, within: list[str], following: dict[str, str]
+) -> DataFrame:
+    whole = Window.partitionBy(*within).orderBy(*order)
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    out = [F.coalesce(F.sum(_expr(e)).over(before), F.lit(0)).alias(o) for o, e in sums.items()]
+    out += [F.lead(c).over(whole).alias(o) for o, c in following.items()]
+    return df.select("*", *out)
+
+
 def exact_rank(
     df: DataFrame,
     order: Sequence[str | Column],
     out: str = "rank",
     within: Sequence[str] = (),
     pieces: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
-    """``row_number()`` (1-based) without a single-task sort."""
-    scanned = prefix_scan(df, order, {out: F.lit(1)}, within, pieces=pieces)
+    """``row_number()`` (1-based) without a single-task sort of a large table."""
+    scanned = prefix_scan(df, order, {out: F.lit(1)}, within, pieces=pieces, rows=rows)
     return scanned.withColumn(out, (F.col(out) + 1).cast("bigint"))
 
 

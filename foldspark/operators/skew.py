@@ -18,16 +18,16 @@ def lookup(
     spread: list[str],
     weight: str = "n",
     how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has one row per key and a row ``weight`` per key.
 
-    ``right`` should be a materialized table: its row count decides. Small tables are
-    broadcast. Otherwise both sides are shuffled on (key, salt), where only hot keys are
+    ``right`` must be a materialized table: its row count (``rows`` if known, else read from
+    the file footers) decides. Small tables are broadcast. Otherwise both sides are shuffled on (key, salt), where only hot keys are
     salted; the hot keys number at most ``1 / HOT_SHARE`` by construction, so their list
     is broadcast. ``spread`` names left columns that distinguish the rows of one key.
     """
-    if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if (right.count() if rows is None else rows) <= BROADCAST_ROWS:
         return left.join(F.broadcast(right.drop(weight)), on, how)
     return salted_lookup(left, right, on, spread, weight, how)
 

@@ -161,10 +161,12 @@ def run_base(cell: Cell) -> dict:
 def evaluate(runs: DataFrame, predictions: DataFrame) -> DataFrame:
     """Inner AUC and threshold, then outer metrics at that threshold, for all runs at once."""
     key = ["run_id"]
-    inner = predictions.where("phase = 'inner'")
-    inner_auc = mt.ranking(mt.histogram(inner, key), key).select("run_id", F.col("auc").alias("inner_auc"))
+    inner, outer = (
+        materialize(mt.histogram(predictions.where(F.col("phase") == p), key), "hist") for p in ("inner", "outer")
+    )
+    inner_auc = mt.ranking(inner, key).select("run_id", F.col("auc").alias("inner_auc"))
     thresholds = mt.select_threshold(inner, key).select("run_id", "threshold")
-    outer = mt.panel(predictions.where("phase = 'outer'"), key, thresholds).withColumnRenamed("status", "_ms")
+    outer = mt.panel(outer, key, thresholds).withColumnRenamed("status", "_ms")
     out = runs.join(inner_auc, key, "left").join(thresholds, key, "left").join(outer, key, "left")
     status = F.when(F.col("status") == "SUCCESS", F.coalesce("_ms", "status")).otherwise(F.col("status"))
     return out.withColumn("status", status).drop("_ms")

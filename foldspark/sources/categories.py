@@ -52,8 +52,29 @@ def define_target(column: Column, positive) -> Column:
     return F.when(column.isNull(), missing).otherwise((column == F.lit(positive)).cast("int"))
 
 
+class Wide(list):
+    """Many categories held in one array column; they are named by position, "0", "1", …"""
+
+    def __init__(self, array: str, width: int):
+        super().__init__(str(i) for i in range(width))
+        self.array = array
+
+
+def stored_columns(columns: Sequence[str]) -> list[str]:
+    """The table columns that hold the categories."""
+    return [columns.array] if isinstance(columns, Wide) else list(columns)
+
+
+def level_array(columns: Sequence[str]) -> Column:
+    """All categories of a row as one array, in column order."""
+    return F.col(columns.array) if isinstance(columns, Wide) else F.array(*columns)
+
+
 def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """One row per (row, column): ``keep…, col, level``."""
+    if isinstance(columns, Wide):
+        each = df.select(*keep, F.posexplode(columns.array).alias("col", "level"))
+        return each.withColumn("col", F.col("col").cast("string"))
     pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("level")) for c in columns])
     return df.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.col", "_p.level")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.functions.hashing import unit_interval
+from foldspark.session import spread
 from foldspark.sources.categories import define_target, normalize
 
 ORDERS_COLUMNS = ["priority", "segment", "nation", "oyear"]
@@ -20,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fact(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table that drives row-level work: small files are spread over the cores."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def orders_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the segment and nation of their customer; customers are the groups."""
-    o = table(spark, sf_dir, "orders")
+    o = fact(spark, sf_dir, "orders", "o_orderkey")
     c = table(spark, sf_dir, "customer")
     joined = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     rows = joined.select(
@@ -38,7 +44,7 @@ def orders_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = fact(spark, sf_dir, "events", "event_id")
     return event_rows(e)
 
 
@@ -75,7 +81,7 @@ def docs_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the brand and type of their part; no row id (aggregates only)."""
-    li = table(spark, sf_dir, "lineitem")
+    li = fact(spark, sf_dir, "lineitem", "l_orderkey")
     p = table(spark, sf_dir, "part")
     rows = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").cast("string").alias("group_id"),
@@ -90,7 +96,7 @@ def line_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedding_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric codes: ``row_id, y, codes ARRAY<DOUBLE>``."""
-    e = table(spark, sf_dir, "embeddings")
+    e = fact(spark, sf_dir, "embeddings", "vec_id")
     return e.select(
         F.col("vec_id").alias("row_id"),
         (F.col("label") < 5).cast("int").alias("y"),
