@@ -30,10 +30,17 @@ WOE = """greatest(-5.0::DOUBLE, least(5.0::DOUBLE, ln(
   / ((s.n - s.pos + 0.5::DOUBLE) / (f.fit_n - f.fit_pos + 0.5::DOUBLE * k.k)))))"""
 
 
+NUDGE = 1e-12  # codes are ratios of small integers: keeps exact ties of rounding apart
+
+
 def flat(coded, *extra, column="codes"):
     """Long, rounded codes for comparison: one row per code position."""
     each = coded.select("row_id", *extra, F.posexplode(column).alias("position", "code"))
-    return each.withColumn("code", F.round("code", 9))
+    return each.withColumn("code", F.round(F.col("code") + NUDGE, 9))
+
+
+def rounded_sql(code: str) -> str:
+    return f"round({code} + {NUDGE}::DOUBLE, 9)"
 
 
 def assigned_orders(spark, sf):
@@ -56,7 +63,7 @@ PLAIN = f"""WITH {B.ORDERS}, {B.long('orders_cat', COLS, 'row_id, y')},
 
 
 def plain_sql(code: str) -> str:
-    return f"""{PLAIN} SELECT l.row_id, {POSITION.format(t='l')}, round({code}, 9) AS code
+    return f"""{PLAIN} SELECT l.row_id, {POSITION.format(t='l')}, {rounded_sql(code)} AS code
     FROM lng l JOIN s ON s.col = l.col AND s.level = l.level JOIN k ON k.col = l.col, f"""
 
 
@@ -86,7 +93,7 @@ query("enc_woe", plain_sql(WOE))(plain("woe"))
           FROM lng, f, range(0, 4) t(p)
           WINDOW w AS (PARTITION BY col, level, p ORDER BY md5((977 + p) || ':' || row_id), row_id
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT row_id, {POSITION.format(t='p')}, round(avg(c), 9) AS code FROM p GROUP BY row_id, col""",
+    SELECT row_id, {POSITION.format(t='p')}, {rounded_sql('avg(c)')} AS code FROM p GROUP BY row_id, col""",
 )
 def enc_ordered(spark, sf):
     return flat(fs.ordered_whole_codes(rs.orders_cat(spark, sf), COLS))
@@ -195,7 +202,7 @@ def hash_collisions(spark, sf):
     """WITH e AS (SELECT vec_id AS row_id, generate_subscripts(embedding, 1) - 1 AS position,
                          unnest(embedding)::DOUBLE AS v FROM embeddings),
     b AS (SELECT position, min(v) AS lo, max(v) AS hi FROM e GROUP BY 1)
-    SELECT row_id, position::INT AS position, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END, 9) AS code
+    SELECT row_id, position::INT AS position, round((CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END) + 1e-12::DOUBLE, 9) AS code
     FROM e JOIN b USING (position)""",
 )
 def scale_minmax(spark, sf):
@@ -242,7 +249,7 @@ def lookup_cte(code: str, unseen: str, own_part: str) -> str:
            AND s.col = u.col AND s.level = u.level)"""
 
 
-FLAT = "SELECT row_id, outer_fold, phase, role, position, round(raw, 9) AS code FROM coded"
+FLAT = f"SELECT row_id, outer_fold, phase, role, position, {rounded_sql('raw')} AS code FROM coded"
 FOLDSAFE_TARGET = lookup_cte(TARGET, PRIOR, "u.part")
 USE = ("outer_fold", "phase", "role")
 
@@ -276,12 +283,12 @@ query(
                           ORDER BY md5((977 + p) || ':' || u.row_id), u.row_id
                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     held AS (SELECT u.row_id, u.outer_fold, u.phase, u.role, {POSITION.format(t='u')},
-                    round(coalesce({ORDERED_MAP}, {PRIOR}), 9) AS code
+                    {rounded_sql(f"coalesce({ORDERED_MAP}, {PRIOR})")} AS code
              FROM ulng u JOIN fit f ON f.outer_fold = u.outer_fold AND f.phase = u.phase AND f.part = -1
              LEFT JOIN states s ON s.outer_fold = u.outer_fold AND s.phase = u.phase AND s.part = -1
                   AND s.col = u.col AND s.level = u.level
              WHERE u.part < 0)
-    SELECT row_id, outer_fold, phase, role, {POSITION.format(t='scan')}, round(avg(c), 9) AS code
+    SELECT row_id, outer_fold, phase, role, {POSITION.format(t='scan')}, {rounded_sql('avg(c)')} AS code
     FROM scan GROUP BY row_id, outer_fold, phase, role, col
     UNION ALL SELECT * FROM held""",
 )(safe("ordered"))
@@ -331,7 +338,7 @@ SCALED = """, b AS (SELECT outer_fold, phase, position, min(raw) AS lo, max(raw)
 @query(
     "foldsafe_scaled",
     f"""{FOLDSAFE_TARGET}{SCALED} SELECT row_id, outer_fold, phase, role, position,
-    round(CASE WHEN hi > lo THEN greatest(0, least(1, (raw - lo) / (hi - lo))) ELSE 0 END, 9) AS code
+    {rounded_sql('(CASE WHEN hi > lo THEN greatest(0, least(1, (raw - lo) / (hi - lo))) ELSE 0 END)')} AS code
     FROM coded JOIN b USING (outer_fold, phase, position)""",
 )
 def foldsafe_scaled(spark, sf):
@@ -345,7 +352,7 @@ def foldsafe_scaled(spark, sf):
     s AS (SELECT col, level, count(*) AS n, sum(y) AS pos FROM lng GROUP BY ALL),
     f AS (SELECT count(*) AS fit_n, sum(y) AS fit_pos FROM orders_cat)
     SELECT l.row_id, a.outer_fold, a.phase, a.role, 'global' AS protocol, {POSITION.format(t='l')},
-           round({TARGET}, 9) AS code
+           {rounded_sql(TARGET)} AS code
     FROM lng l JOIN s ON s.col = l.col AND s.level = l.level JOIN asg a ON a.row_id = l.row_id, f""",
 )
 def global_target(spark, sf):

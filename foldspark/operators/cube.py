@@ -24,9 +24,9 @@ def fold_cube(assigned: DataFrame, columns: list[str]) -> DataFrame:
     The explode feeds map-side partial aggregation, so what is shuffled is at most one cube
     per task and never the exploded rows.
     """
-    fit = F.explode(F.filter("uses", lambda u: u["part"] >= 0)).alias("u")
-    long = to_long(assigned.select("y", fit, *stored_columns(columns)), columns, ["y", "u"])
-    each = long.select("u.outer_fold", "u.phase", "u.part", "col", "level", "y")
+    fit = F.explode(F.filter("uses", lambda u: u["part"] >= 0)).alias("_use")
+    long = to_long(assigned.select("y", fit, *stored_columns(columns)), columns, ["y", "_use"])
+    each = long.select("_use.outer_fold", "_use.phase", "_use.part", "col", "level", "y")
     cube = each.groupBy(*STATE, "col", "level").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     return materialize(cube, "cube")
 

@@ -6,9 +6,11 @@ name the state a level belongs to (empty for a plain fit).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,10 +191,6 @@ def hash_collisions(tokens: DataFrame, buckets: Column) -> DataFrame:
 
 def blake2b_buckets(tokens: DataFrame, buckets: int, seed: int) -> DataFrame:
     """Keyed 64-bit BLAKE2b bucket, computed in Arrow batches over distinct tokens only."""
-    import hashlib
-
-    import pandas as pd
-
     key = seed.to_bytes(8, "little")
 
     @F.pandas_udf("int")

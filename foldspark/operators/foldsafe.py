@@ -72,7 +72,7 @@ def _pick(slot: Column, unseen: Column) -> Column:
 
 
 def _each_use(assigned: DataFrame, held: str) -> DataFrame:
-    return assigned.select("row_id", "y", held, F.explode("uses").alias("u")).select("row_id", "y", held, "u.*")
+    return assigned.select("row_id", "y", held, F.explode("uses").alias("_use")).select("row_id", "y", held, "_use.*")
 
 
 def code_rows(
@@ -302,8 +302,8 @@ def encode_hash(
     cube = fold_cube(assigned, columns) if cube is None else cube
     widths = enc.hash_width(cube.select(*cb.SIDE, "col", "level").distinct(), columns, cb.SIDE)
     hashes = enc.row_hashes(columns, column_aware)
-    each = assigned.select("row_id", "y", hashes.alias("_h"), F.explode("uses").alias("u"))
-    each = each.select("row_id", "y", "_h", "u.*").join(F.broadcast(widths), cb.SIDE)  # 2k records
+    each = assigned.select("row_id", "y", hashes.alias("_h"), F.explode("uses").alias("_use"))
+    each = each.select("row_id", "y", "_h", "_use.*").join(F.broadcast(widths), cb.SIDE)  # 2k records
     hits = each.withColumn("_hits", enc.buckets_of(F.col("_h"), F.col("buckets")))
     slots, counts = enc.sparse_counts(F.col("_hits"))
     return hits.select("row_id", "y", *USE, slots.alias("slots"), counts.alias("counts"), "buckets")
@@ -317,8 +317,8 @@ def encode_global(assigned: DataFrame, columns: list[str], name: str) -> DataFra
     table = materialize(codes.select("col", "level", "n", F.array("code").alias("codes")), "codes", "col")
     wide = _attach(assigned.drop("n"), table, columns)
     codes = F.transform("_codes", lambda c: c[0])  # every level was fitted
-    each = wide.select("row_id", "y", codes.alias("codes"), F.explode("uses").alias("u"))
-    return each.select("row_id", "y", "u.outer_fold", "u.phase", "u.role", "codes").withColumn(
+    each = wide.select("row_id", "y", codes.alias("codes"), F.explode("uses").alias("_use"))
+    return each.select("row_id", "y", "_use.outer_fold", "_use.phase", "_use.role", "codes").withColumn(
         "protocol", F.lit("global")
     )
 

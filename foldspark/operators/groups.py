@@ -75,7 +75,7 @@ def connected_groups(
 
 
 def _hooks(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both.groupBy(F.col("u").alias("node")).agg(
         F.min("v").alias("least"), F.count("*").alias("degree")
     )

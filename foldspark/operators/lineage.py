@@ -28,9 +28,9 @@ def _id_sums(assigned: DataFrame) -> DataFrame:
     """Count and exact hash sum of the row ids per (fold, phase, role, part)."""
     each = assigned.select(
         md5_prefix(F.col("row_id").cast("string")).cast("decimal(38,0)").alias("h"),
-        F.explode("uses").alias("u"),
+        F.explode("uses").alias("_use"),
     )
-    return each.groupBy("u.outer_fold", "u.phase", "u.role", "u.part").agg(
+    return each.groupBy("_use.outer_fold", "_use.phase", "_use.role", "_use.part").agg(
         F.count("*").alias("n"), F.sum("h").alias("h")
     )
 

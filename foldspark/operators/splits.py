@@ -182,8 +182,8 @@ def assign(rows: DataFrame, uses: DataFrame, spread: str = "row_id") -> DataFram
 
 def fold_fingerprint(assigned: DataFrame) -> DataFrame:
     """Order-free hash of the row ids on each side of each fold."""
-    each = assigned.select("row_id", F.explode("uses").alias("u"))
-    return each.groupBy("u.outer_fold", "u.phase", "u.role").agg(*set_hash(F.col("row_id")))
+    each = assigned.select("row_id", F.explode("uses").alias("_use"))
+    return each.groupBy("_use.outer_fold", "_use.phase", "_use.role").agg(*set_hash(F.col("row_id")))
 
 
 def split_report(uses: DataFrame, groups: DataFrame) -> DataFrame:
