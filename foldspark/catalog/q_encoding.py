@@ -10,10 +10,13 @@ from foldspark.catalog.registry import query
 from foldspark.operators import cube as cb
 from foldspark.operators import encoders as enc
 from foldspark.operators import foldsafe as fs
+from foldspark.operators import layouts as ly
 from foldspark.operators import lineage as lin
 from foldspark.operators import splits
 from foldspark.session import materialize
 from foldspark.sources import rowsets as rs
+from foldspark.sources.categories import Wide
+from foldspark.streaming import apply as live
 
 COLS = rs.ORDERS_COLUMNS
 ASG = f"{ORDERS_SPLIT}, {B.assigned('orders_cat')}"
@@ -25,9 +28,9 @@ POSITION = "(CASE {t}.col " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumer
 PRIOR = "(f.fit_pos / f.fit_n)"
 TARGET = f"(s.pos + 20.0::DOUBLE * {PRIOR}) / (s.n + 20.0::DOUBLE)"
 ORDERED_MAP = f"(s.pos + {PRIOR}) / (s.n + 1.0::DOUBLE)"
-WOE = """greatest(-5.0::DOUBLE, least(5.0::DOUBLE, ln(
+WOE = """(CASE WHEN s.n IS NOT NULL THEN greatest(-5.0::DOUBLE, least(5.0::DOUBLE, ln(
   ((s.pos + 0.5::DOUBLE) / (f.fit_pos + 0.5::DOUBLE * k.k))
-  / ((s.n - s.pos + 0.5::DOUBLE) / (f.fit_n - f.fit_pos + 0.5::DOUBLE * k.k)))))"""
+  / ((s.n - s.pos + 0.5::DOUBLE) / (f.fit_n - f.fit_pos + 0.5::DOUBLE * k.k))))) END)"""
 
 
 NUDGE = 1e-12  # codes are ratios of small integers: keeps exact ties of rounding apart
@@ -388,6 +391,75 @@ def own_label_gap(spark, sf):
     return gap.withColumn("gap", F.round("gap", 9))
 
 
+# ---- wide tables and streams -----------------------------------------------------------------
+
+BITS_SPLIT = f"WITH {B.DOCS}, {B.splits('docs_cat')}, {B.assigned('docs_cat')}"
+
+
+def assigned_bits(spark, sf):
+    rows = rs.docs_bits(spark, sf)
+    return materialize(splits.assign(rows, splits.fold_uses(rows)), "bits")
+
+
+BITS = Wide("levels", rs.BITS)
+
+
+@query(
+    "foldsafe_target_wide",
+    f"""{BITS_SPLIT},
+    w AS (SELECT d.doc_id AS row_id, unnest(string_split_regex(text, '[ \\t\\n\\r]+')) AS word
+          FROM documents d JOIN labels USING (doc_id)),
+    hit AS (SELECT DISTINCT row_id, ({B.prefix48('word')} % {rs.BITS})::INT AS i FROM w),
+    bits AS (SELECT u.*, i, (hit.i IS NOT NULL)::INT AS bit
+             FROM (SELECT *, c::INT AS ci FROM asg, range(0, {rs.BITS}) t(c)) u LEFT JOIN hit ON hit.row_id = u.row_id AND hit.i = u.ci),
+    part_n AS (SELECT outer_fold, phase, part, ci, bit, count(*) AS n, sum(y) AS pos FROM bits WHERE part >= 0 GROUP BY ALL),
+    wanted AS (SELECT DISTINCT outer_fold, phase, part FROM uses WHERE part >= 0 UNION SELECT DISTINCT outer_fold, phase, -1 FROM uses),
+    s AS (SELECT w.outer_fold, w.phase, w.part, ci, bit, sum(n) AS n, sum(pos) AS pos FROM wanted w JOIN part_n p
+          ON p.outer_fold = w.outer_fold AND p.phase = w.phase AND p.part <> w.part GROUP BY ALL),
+    f AS (SELECT outer_fold, phase, part, sum(n) AS fit_n, sum(pos) AS fit_pos FROM s WHERE ci = 0 GROUP BY ALL),
+    c AS (SELECT b.row_id, b.outer_fold, b.phase, b.role, b.ci, coalesce({TARGET}, {PRIOR}) AS code
+          FROM bits b JOIN f ON f.outer_fold = b.outer_fold AND f.phase = b.phase AND f.part = b.part
+          LEFT JOIN s ON s.outer_fold = b.outer_fold AND s.phase = b.phase AND s.part = b.part AND s.ci = b.ci AND s.bit = b.bit)
+    SELECT row_id, outer_fold, phase, role, count(*)::INT AS n_codes, round(sum(code), 6) AS code_sum,
+           round(max(code), 6) AS code_max FROM c GROUP BY ALL""",
+)
+def foldsafe_target_wide(spark, sf):
+    """1,024 binary columns per document in one array; each row's codes reduced to a checksum."""
+    coded = fs.encode(assigned_bits(spark, sf), BITS, "target")
+    total = F.aggregate("codes", F.lit(0.0), lambda a, v: a + v)
+    return coded.select(
+        "row_id", *USE, F.size("codes").alias("n_codes"), F.round(total, 6).alias("code_sum"),
+        F.round(F.array_max("codes"), 6).alias("code_max"),
+    )
+
+
+@query("placement_wide")
+def placement_wide(spark, sf):
+    """Placement of 1,024 codes on the training side of fold 0 (iterative: no SQL form)."""
+    coded = fs.encode(assigned_bits(spark, sf), BITS, "target")
+    side = coded.where("outer_fold = 0 AND role = 'train'").select(F.lit("f0").alias("state"), "codes")
+    out = ly.fit_placement(materialize(side, "side"), ["state"])
+    return out.select("state", "seed", F.round("error", 3).alias("error"), F.round("start_error", 3).alias("start_error"), "perm")
+
+
+STREAM_SQL = f"""WITH {B.EVENTS}, {B.long('events_cat', rs.EVENTS_COLUMNS, 'row_id, y')},
+    s AS (SELECT col, level, count(*) AS n, sum(y) AS pos FROM lng GROUP BY ALL),
+    f AS (SELECT count(*) AS fit_n, sum(y) AS fit_pos FROM events_cat)
+    SELECT l.row_id, (CASE l.col WHEN 'user' THEN 0 ELSE 1 END)::INT AS position, {rounded_sql(TARGET)} AS code
+    FROM lng l JOIN s ON s.col = l.col AND s.level = l.level, f"""
+
+
+@query("stream_apply", STREAM_SQL)
+def stream_apply(spark, sf):
+    """Events read as a stream and coded by a state fitted in batch; append mode, stateless."""
+    events = rs.table(spark, sf, "events")
+    codes = enc.target_codes(cb.whole_states(rs.event_rows(events), rs.EVENTS_COLUMNS))
+    fitted = materialize(codes.select("col", "level", "code"), "fitted")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    coded = live.encode_stream(rs.event_rows(stream), fitted, rs.EVENTS_COLUMNS, 0.0).select("row_id", "codes")
+    return flat(live.drain(coded))
+
+
 # ---- lineage ---------------------------------------------------------------------------------
 
 ARTIFACTS = [

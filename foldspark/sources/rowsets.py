@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foldspark.functions.hashing import unit_interval
+from foldspark.functions.hashing import md5_prefix, unit_interval
 from foldspark.session import spread
 from foldspark.sources.categories import define_target, normalize
 
@@ -15,6 +18,7 @@ DOCS_COLUMNS = ["lang", "source", "size"]
 LINE_COLUMNS = ["returnflag", "linestatus", "brand", "ptype"]
 EMBEDDING_WIDTH = 64
 RUNS = 8
+BITS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +83,31 @@ def docs_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(rows, DOCS_COLUMNS)
 
 
+def docs_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as wide binary categories: bit i is set by any word hashed to i."""
+    d = fact(spark, sf_dir, "documents", "doc_id")
+    words = F.array_distinct(F.split("text", "[ \\t\\n\\r]+"))
+    hits = F.array_distinct(F.transform(words, lambda w: F.pmod(md5_prefix(w), F.lit(BITS)).cast("int")))
+    return table(spark, sf_dir, "labels").join(d, "doc_id").select(
+        F.col("doc_id").alias("row_id"),
+        F.md5("text").alias("group_id"),
+        define_target(F.col("quality"), 1).alias("y"),
+        _bit_levels(hits).alias("levels"),
+    )
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _bit_levels(hits: pd.Series) -> pd.Series:
+    """Set positions to a dense array of "0" / "1"."""
+
+    def dense(at: np.ndarray) -> np.ndarray:
+        out = np.full(BITS, "0", object)
+        out[at] = "1"
+        return out
+
+    return hits.map(dense)
+
+
 def line_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the brand and type of their part; no row id (aggregates only)."""
     li = fact(spark, sf_dir, "lineitem", "l_orderkey")
