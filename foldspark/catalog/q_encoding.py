@@ -38,7 +38,8 @@ NUDGE = 1e-12  # codes are ratios of small integers: keeps exact ties of roundin
 
 def flat(coded, *extra, column="codes"):
     """Long, rounded codes for comparison: one row per code position."""
-    each = coded.select("row_id", *extra, F.posexplode(column).alias("position", "code"))
+    # the outer form: a plain explode would add a filter that computes the codes a second time
+    each = coded.select("row_id", *extra, F.posexplode_outer(column).alias("position", "code"))
     return each.withColumn("code", F.round(F.col("code") + NUDGE, 9))
 
 

@@ -193,56 +193,59 @@ def ordered_fit_codes(
     """Ordered codes of the training rows of every (fold, phase) from one sort per permutation.
 
     The order is a seeded hash of the row id, the same for all folds, so the running sums of
-    all training sides are conditional sums over one scan.
+    all training sides are conditional sums over one scan. Codes are averaged over the
+    permutations before the folds are told apart.
     """
     sides = [(f, p) for f in range(plan.k) for p in ("inner", "outer")]
+    priors = {(r.outer_fold, r.phase): r.fit_pos / r.fit_n for r in totals.where(F.col("part") == cb.FULL).collect()}
 
     def fits_in(fold: int, phase: str) -> Column:
         return F.exists(
             "uses", lambda u: (u["outer_fold"] == fold) & (u["phase"] == phase) & (u["part"] >= 0)
         )
 
-    member = {i: fits_in(f, p) for i, (f, p) in enumerate(sides)}
-    flagged = assigned.select(
-        "row_id", "y", *stored_columns(columns), *[m.cast("int").alias(f"_in{i}") for i, m in member.items()]
-    )
-    marks = [f"_in{i}" for i in member]
-    scanned = _ordered_sums(
-        flagged, columns, marks,
-        {f"n{i}": F.col(f"_in{i}") for i in member} | {f"s{i}": F.col(f"_in{i}") * F.col("y") for i in member},
-    )
-    # a few records: the prior of each training side
-    prior = totals.where(F.col("part") == cb.FULL)
-    side = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("outer_fold"), F.lit(p).alias("phase"),
-                F.col(f"_in{i}").alias("fit"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("s"),
-            )
-            for i, (f, p) in enumerate(sides)
-        ]
-    )
-    each = (
-        scanned.select("row_id", "y", "col", F.explode(side).alias("e"))
-        .select("row_id", "y", "col", "e.*")
-        .where("fit = 1")
-        .join(F.broadcast(prior), cb.SIDE)
-    )
-    return _average_permutations(each, columns, ["row_id", "y", *cb.SIDE]).select(
-        "row_id", "y", *cb.SIDE,
-        F.when(F.col("phase") == "inner", "inner_train").otherwise("train").alias("role"),
-        "codes",
+    mask = sum((F.when(fits_in(*side), 1 << i).otherwise(0) for i, side in enumerate(sides)), F.lit(0))
+    flagged = assigned.select("row_id", "y", *stored_columns(columns), mask.alias("_mask"))
+
+    def bit(i: int) -> Column:
+        return F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0
+
+    sums = {f"n{i}": bit(i).cast("int") for i in range(len(sides))}
+    sums |= {f"s{i}": F.when(bit(i), F.col("y")).otherwise(0) for i in range(len(sides))}
+    scanned = _ordered_sums(flagged, columns, ["_mask"], sums)
+    code = [_ordered_code(F.col(f"s{i}"), F.col(f"n{i}"), priors[side]) for i, side in enumerate(sides)]
+    packed = _average_permutations(
+        scanned.select("row_id", "y", "_mask", "col", *[c.alias(f"c{i}") for i, c in enumerate(code)]),
+        columns, ["row_id", "y", "_mask"], [f"c{i}" for i in range(len(sides))],
     )
+    side = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(f).alias("outer_fold"), F.lit(p).alias("phase"),
+                    F.lit("inner_train" if p == "inner" else "train").alias("role"),
+                    bit(i).alias("fits"), F.lit(i).alias("i"),
+                )
+                for i, (f, p) in enumerate(sides)
+            ]
+        )
+    ).alias("_side")
+    each = packed.select("row_id", "y", "_c", side).where("_side.fits").select("row_id", "y", "_c", "_side.*")
+    return each.select("row_id", "y", *USE, F.transform("_c", lambda e: F.get(e["codes"], F.col("i"))).alias("codes"))
 
 
 def ordered_whole_codes(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Ordered codes of a plain fit on all rows."""
-    totals = rows.agg(F.count("*").alias("fit_n"), F.sum("y").alias("fit_pos"))
-    scanned = _ordered_sums(rows.select("row_id", "y", *stored_columns(columns)), columns, [], {"n": F.lit(1), "s": F.col("y")})
-    each = scanned.withColumns(
-        {"fit_n": totals.select("fit_n").scalar(), "fit_pos": totals.select("fit_pos").scalar()}
-    )
-    return _average_permutations(each, columns, ["row_id", "y"])
+    prior = rows.agg(F.sum("y") / F.count("*")).first()[0]
+    flagged = rows.select("row_id", "y", *stored_columns(columns))
+    scanned = _ordered_sums(flagged, columns, [], {"n": F.lit(1), "s": F.col("y")})
+    coded = scanned.select("row_id", "col", _ordered_code(F.col("s"), F.col("n"), prior).alias("c0"))
+    packed = _average_permutations(coded, columns, ["row_id"], ["c0"])
+    return packed.select("row_id", F.transform("_c", lambda e: e["codes"][0]).alias("codes"))
+
+
+def _ordered_code(s: Column, n: Column, prior: float) -> Column:
+    return (s + F.lit(enc.ORDERED_ALPHA * prior)) / (n + F.lit(enc.ORDERED_ALPHA))
 
 
 def _ordered_sums(rows: DataFrame, columns: list[str], marks: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -252,15 +255,13 @@ def _ordered_sums(rows: DataFrame, columns: list[str], marks: list[str], sums: d
     return prefix_scan(hashed, ["_h", "row_id"], sums, within=["col", "level", "perm"])
 
 
-def _average_permutations(each: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    prior = F.col("fit_pos") / F.col("fit_n")
-    code = (F.col("s") + F.lit(enc.ORDERED_ALPHA) * prior) / (F.col("n") + F.lit(enc.ORDERED_ALPHA))
+def _average_permutations(each: DataFrame, columns: list[str], keys: list[str], codes: list[str]) -> DataFrame:
+    """``keys…, _c``: per column in order, the codes averaged over the permutations."""
     # co-locate a row once: both aggregations below reuse that partitioning
-    placed = each.withColumn("code", code).repartition("row_id")
-    mean = placed.groupBy(*keys, "col").agg(F.avg("code").alias("code"))
-    at = F.struct(_position(columns).alias("i"), "code")
-    packed = mean.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("_c"))  # one per column
-    return packed.select(*keys, F.transform("_c", lambda e: e["code"]).alias("codes"))
+    placed = each.repartition("row_id")
+    mean = placed.groupBy(*keys, "col").agg(*[F.avg(c).alias(c) for c in codes])
+    at = F.struct(_position(columns).alias("i"), F.array(*codes).alias("codes"))
+    return mean.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("_c"))  # one entry per column
 
 
 def encode_onehot(
@@ -335,7 +336,7 @@ def apply_plain(rows: DataFrame, states: DataFrame, columns: list[str], unseen:
 
 def scaler_bounds(coded: DataFrame, keys: list[str], fit: Column) -> DataFrame:
     """Minimum and maximum of every code position over the fitting rows of each state."""
-    long = coded.where(fit).select(*keys, F.posexplode("codes").alias("i", "v"))
+    long = coded.where(fit).select(*keys, F.posexplode_outer("codes").alias("i", "v"))
     per = long.groupBy(*keys, "i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     packed = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("bounds"))
     return packed
@@ -361,7 +362,7 @@ def scale_foldsafe(coded: DataFrame) -> DataFrame:
 
 def own_label_gap(coded: DataFrame, keys: list[str]) -> DataFrame:
     """Mean code of positives minus mean code of negatives, per code position."""
-    long = coded.select(*keys, "y", F.posexplode("codes").alias("i", "v"))
+    long = coded.select(*keys, "y", F.posexplode_outer("codes").alias("i", "v"))
     gap = F.avg(F.when(F.col("y") == 1, F.col("v"))) - F.avg(F.when(F.col("y") == 0, F.col("v")))
     return long.groupBy(*keys, F.col("i").alias("position")).agg(gap.alias("gap"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foldspark.functions.hashing import length_prefixed
 from foldspark.operators.scan import exact_rank
 from foldspark.operators.skew import lookup
-from foldspark.session import materialize
+from foldspark.session import materialize, release
 
 
 def duplicate_key(columns: list[str]) -> Column:
@@ -54,12 +54,14 @@ def connected_groups(
         if edges.isEmpty():
             break
         parent = _flatten(_hooks(edges))
+        old_edges, old_root = edges, root
         edges = materialize(_contract(edges, parent), "edges")
         cluster = root.groupBy("root").agg(F.count("*").alias("n"))
         to = parent.select(F.col("node").alias("root"), F.col("parent").alias("_to"))
         moved = materialize(cluster.join(to, "root"), "moved")
         held = lookup(root, moved, ["root"], ["node"])
         root = materialize(held.select("node", F.coalesce("_to", "root").alias("root")), "root")
+        release(old_edges, old_root, moved, parent)
     else:
         raise RuntimeError("connected_groups did not converge")
 
@@ -93,11 +95,14 @@ def _flatten(parent: DataFrame) -> DataFrame:
             fan.join(up, "_p").select(F.col("_p").alias("parent"), "_up", "_fan"), "jump"
         )
         if grand.where("_up <> parent").isEmpty():
+            release(grand)
             return parent
         jumped = lookup(parent, grand, ["parent"], ["node"], weight="_fan")
+        old = parent
         parent = materialize(
             jumped.select("node", F.coalesce("_up", "parent").alias("parent"), "degree"), "hooks"
         )
+        release(old, grand)
 
 
 def _contract(edges: DataFrame, parent: DataFrame) -> DataFrame:

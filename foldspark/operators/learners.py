@@ -75,11 +75,12 @@ def fit_categorical_gbt(
     train: DataFrame, columns: list[str], seed: int = 5, trees: int = TREES, depth: int = 6
 ) -> Fitted:
     """Trees on raw categories: indexed levels are nominal features, unseen levels a bin of their own."""
-    levels = train.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    bins = max(32, int(max(levels) * 1.2) + 2)
-    if bins > MAX_CATEGORY_BINS:
-        raise ValueError(f"{max(levels)} levels: use ordered codes instead of raw categories")
-    index = StringIndexer(inputCols=columns, outputCols=[f"_ix_{c}" for c in columns], handleInvalid="keep")
+    # refuse before the indexer gathers the levels of a high-cardinality column
+    rough = max(train.agg(*[F.approx_count_distinct(c) for c in columns]).first())
+    if rough > 1.2 * MAX_CATEGORY_BINS:
+        raise ValueError(f"about {rough} levels: use ordered codes instead of raw categories")
+    index = StringIndexer(inputCols=columns, outputCols=[f"_ix_{c}" for c in columns], handleInvalid="keep").fit(train)
+    bins = max(32, 1 + max(len(labels) for labels in index.labelsArray))
     pack = VectorAssembler(inputCols=[f"_ix_{c}" for c in columns], outputCol="features")
     model = GBTClassifier(featuresCol="features", labelCol="y", maxIter=trees, stepSize=LEARNING_RATE, maxDepth=depth, maxBins=bins, seed=seed)
     return Fitted(Pipeline(stages=[index, pack, model]).fit(train), lambda d: d)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foldspark.operators.scan import prefix_scan
 from foldspark.operators.skew import lookup
-from foldspark.session import BROADCAST_ROWS, materialize
+from foldspark.session import BROADCAST_ROWS, materialize, release
 
 EPS = 1e-12  # fixed values of the metrics
 DEFAULT_THRESHOLD = 0.5
@@ -37,7 +37,7 @@ def _undefined(value: Column) -> Column:
 def ranking(hist: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """Tie-aware ROC AUC and average precision per run; ``rows`` is the histogram's size if known."""
     scanned = prefix_scan(
-        hist, [*keys, F.col("score").desc()], {"n_above": "n", "pos_above": "pos"}, within=keys, rows=rows
+        hist, [F.col("score").desc()], {"n_above": "n", "pos_above": "pos"}, within=keys, rows=rows
     )
     neg = F.col("n") - F.col("pos")
     lost = F.col("pos") * (F.col("n_above") - F.col("pos_above") + neg / 2)
@@ -109,11 +109,13 @@ def calibration(hist: DataFrame, keys: list[str]) -> DataFrame:
     fit = materialize(
         start.withColumns({"a": zero, "b": zero, "step": F.lit(float("inf"))}), "newton"
     )
-    runs = fit.count()
+    runs, old_fit = fit.count(), fit
     for _ in range(NEWTON_ROUNDS // STEPS_PER_TABLE):
         for _ in range(STEPS_PER_TABLE):
             fit = _newton_step(x, fit, keys, runs)
         fit = materialize(fit, "newton")
+        release(old_fit)
+        old_fit = fit
         if fit.where("step > 1e-9 AND abs(b) <= 1e6").isEmpty():
             break
     good = (

@@ -43,10 +43,10 @@ def prefix_scan(
     following = following or {}
     if rows is not None and rows <= SINGLE_TASK_ROWS:
         return _plain_scan(df, order, sums, within, following)
-    named = df.select("*", *[_expr(e).alias(f"_v_{o}") for o, e in sums.items()])
     keys = [F.col(c) for c in within] + order
-    ranged = named.repartitionByRange(pieces, *keys) if pieces else named.repartitionByRange(*keys)
+    ranged = df.repartitionByRange(pieces, *keys) if pieces else df.repartitionByRange(*keys)
     laid = materialize(ranged.withColumn("_piece", F.spark_partition_id()), "scan")
+    laid = laid.select("*", *[_expr(e).alias(f"_v_{o}") for o, e in sums.items()])
 
     totals = laid.groupBy(*within, "_piece").agg(
         *[F.sum(f"_v_{o}").alias(f"_t_{o}") for o in sums],

@@ -51,7 +51,19 @@ def materialize(df: DataFrame, label: str = "table", partition_by: str | None =
     path = f"{scratch_dir(spark)}/foldspark/{label}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that an iteration has replaced and nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None) if "_scratch_path" in vars(table) else None
+        if path:
+            context = table.sparkSession.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
