@@ -335,6 +335,16 @@ def safe_hash(column_aware):
 query("foldsafe_hash_column", safe_hash_sql(AWARE.replace("col", "u.col").replace("level", "u.level")))(safe_hash(True))
 query("foldsafe_hash_shared", safe_hash_sql("u.level"))(safe_hash(False))
 
+@query("foldsafe_homals")
+def foldsafe_homals(spark, sf):
+    """Quantifications fitted on each training side (iterative: no SQL form)."""
+    return rounded6(flat(fs.encode_homals(assigned_orders(spark, sf), COLS), *USE))
+
+
+def rounded6(df):
+    return df.withColumn("code", F.round("code", 6))
+
+
 SCALED = """, b AS (SELECT outer_fold, phase, position, min(raw) AS lo, max(raw) AS hi FROM coded
       WHERE role IN ('inner_train', 'train') GROUP BY ALL)"""
 

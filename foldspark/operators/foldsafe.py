@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foldspark.functions.hashing import seeded_md5
 from foldspark.operators import cube as cb
 from foldspark.operators import encoders as enc
+from foldspark.operators import homals as hm
 from foldspark.operators.scan import prefix_scan
 from foldspark.operators.skew import lookup
 from foldspark.operators.splits import SplitPlan
@@ -80,7 +81,7 @@ def code_rows(
     codes: DataFrame,
     columns: list[str],
     plan: SplitPlan,
-    unseen: DataFrame | float,
+    unseen: DataFrame | Column | float,
     whole_side: bool,
 ) -> DataFrame:
     """``row_id, y, outer_fold, phase, role, codes`` from fitted ``STATE, col, level, n, code``.
@@ -99,7 +100,7 @@ def code_rows(
     if isinstance(unseen, DataFrame):
         each = each.join(F.broadcast(unseen), cb.STATE)  # one record per state
     else:
-        each = each.withColumn("_unseen", F.lit(unseen))
+        each = each.withColumn("_unseen", unseen if isinstance(unseen, Column) else F.lit(unseen))
     if small is None:
         slot = _slot(F.col("outer_fold"), F.col("phase"), F.col("part"), plan)
         picked = _pick(slot, F.col("_unseen"))
@@ -284,6 +285,40 @@ def encode_onehot(
     return each.select("row_id", "y", *USE, active.alias("slots"), "width")
 
 
+def encode_homals(assigned: DataFrame, columns: list[str], plan: SplitPlan = SplitPlan()) -> DataFrame:
+    """Fold-safe quantifications: two codes per column; an unseen level is the origin."""
+    fit = F.explode(F.filter("uses", lambda u: u["part"] >= 0)).alias("_use")
+    each = assigned.select(*columns, fit).select(*columns, "_use.outer_fold", "_use.phase")
+    quants = hm.fit(each, columns, ("outer_fold", "phase"))
+    codes = quants.select(*cb.SIDE, F.lit(cb.FULL).alias("part"), "col", "level", "n", F.array("q1", "q2").alias("code"))
+    origin = F.array(F.lit(0.0), F.lit(0.0))
+    coded = code_rows(assigned, materialize(codes, "states"), columns, plan, origin, True)
+    return coded.withColumn("codes", F.flatten("codes"))
+
+
+class TooWideError(ValueError):
+    """The one-hot code of a training side is wider than the cap."""
+
+
+def encode_any(assigned: DataFrame, columns: list[str], name: str, plan: SplitPlan = SplitPlan()) -> DataFrame:
+    """Dense fold-safe codes of any encoder, by name."""
+    if name == "onehot":
+        cube = fold_cube(assigned, columns)
+        inner = cb.full_states(cube, columns[0]).where("phase = 'inner'")
+        wide = enc.onehot_eligibility(inner, ["outer_fold"]).where("status <> 'ELIGIBLE'").count()
+        if wide:
+            raise TooWideError(f"{wide} folds exceed {enc.ONEHOT_WIDTH_CAP} columns")
+        coded = encode_onehot(assigned, columns, plan, cube)
+        return coded.select("row_id", "y", *USE, dense_slots(F.col("slots"), F.col("width")).alias("codes"))
+    if name in ("hash_column", "hash_shared"):
+        coded = encode_hash(assigned, columns, name == "hash_column")
+        dense = enc.dense_counts(F.col("slots"), F.col("counts"), F.col("buckets"))
+        return coded.select("row_id", "y", *USE, dense.alias("codes"))
+    if name == "homals":
+        return encode_homals(assigned, columns, plan)
+    return encode(assigned, columns, name, plan)
+
+
 def dense_slots(slots: Column, width: Column) -> Column:
     """0/1 vector of a row from its active slots."""
     return F.transform(

@@ -7,6 +7,8 @@ number of iterations. The matrix is symmetric; its size depends on the levels, n
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +22,12 @@ TOLERANCE = 1e-8
 LOCAL_LEVELS = 2000  # up to this many levels the K x K matrix is solved on the driver
 
 
-def burt(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``col_a, level_a, col_b, level_b, n`` for both orders of each pair, and the diagonal.
+def burt(rows: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys…, col_a, level_a, col_b, level_b, n`` for both orders of each pair, and the diagonal.
 
     Rows are first counted per distinct tuple; only tuples are paired up, m x m per tuple.
     """
-    tuples = rows.groupBy(*columns).agg(F.count("*").alias("w"))
+    tuples = rows.groupBy(*keys, *columns).agg(F.count("*").alias("w"))
     pairs = F.array(
         *[
             F.struct(
@@ -36,19 +38,30 @@ def burt(rows: DataFrame, columns: list[str]) -> DataFrame:
             for b in columns
         ]
     )
-    each = tuples.select("w", F.explode(pairs).alias("p")).select("w", "p.*")
-    return each.groupBy("col_a", "level_a", "col_b", "level_b").agg(F.sum("w").alias("n"))
+    each = tuples.select(*keys, "w", F.explode(pairs).alias("_pair")).select(*keys, "w", "_pair.*")
+    return each.groupBy(*keys, "col_a", "level_a", "col_b", "level_b").agg(F.sum("w").alias("n"))
+
 
+def fit(rows: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys…, col, level, n, q1, q2``: quantification of every fitted level, per key.
 
-def fit(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``col, level, n, q1, q2``: quantification of every fitted level."""
-    matrix = materialize(burt(rows, columns), "burt")
+    One pass over the rows serves all keys (such as the training sides of all folds).
+    """
+    matrix = materialize(burt(rows, columns, keys), "burt")
     levels = matrix.where("col_a = col_b AND level_a = level_b").select(
-        F.col("col_a").alias("col"), F.col("level_a").alias("level"), "n"
+        *keys, F.col("col_a").alias("col"), F.col("level_a").alias("level"), "n"
     )
-    if levels.limit(LOCAL_LEVELS + 1).count() <= LOCAL_LEVELS:
-        return _fit_local(matrix, levels, len(columns))
-    return _fit_distributed(matrix, levels, columns)
+    sides = [{}] if not keys else [r.asDict() for r in levels.select(*keys).distinct().collect()]
+    solved = []
+    for side in sides:
+        one, own = matrix, levels
+        for name, value in side.items():
+            one, own = one.where(F.col(name) == value), own.where(F.col(name) == value)
+        one, own = one.drop(*keys), own.drop(*keys)
+        few = own.limit(LOCAL_LEVELS + 1).count() <= LOCAL_LEVELS
+        quants = _fit_local(one, own, len(columns)) if few else _fit_distributed(one, own, columns)
+        solved.append(quants.select(*[F.lit(v).alias(k) for k, v in side.items()], *quants.columns))
+    return reduce(DataFrame.unionByName, solved)
 
 
 def _inv_sqrt(g: np.ndarray) -> np.ndarray:

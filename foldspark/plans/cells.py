@@ -51,7 +51,7 @@ def scaled_codes(assigned: DataFrame, columns: list[str], encoder: str, protocol
         fit = (F.col("outer_fold") == 0) & (F.col("phase") == "outer")
         scaled = fs.scale(coded, fs.scaler_bounds(coded, ["state"], fit), ["state"]).drop("state")
     else:
-        coded = materialize(fs.encode(assigned, columns, encoder), "coded")
+        coded = materialize(fs.encode_any(assigned, columns, encoder), "coded")
         scaled = fs.scale_foldsafe(coded)
     return materialize(scaled.select("row_id", "y", *fs.USE, F.col("scaled").alias("codes")), "scaled")
 
@@ -101,6 +101,10 @@ def run_cell(spark: SparkSession, coded: DataFrame, cell: Cell, timeout_s: float
 
     rows, column = coded.where(F.col("outer_fold") == cell.outer_fold), "codes"
     if cell.layout != "none":
+        width = rows.agg(F.max(F.size("codes"))).first()[0]
+        pixels = spark.range(1).select(ly.native_pixels(F.lit(cell.layout), F.lit(width))).first()[0]
+        if pixels > ly.MAX_PIXELS:  # decided before any rendering
+            return failed("layout_eligibility", Outcome("SKIPPED_INELIGIBLE"))
         size = cell.options.get("size", ly.IMAGE_SIZE)
         out = protected(spark, lambda: materialize(images(coded, cell, size), "images"), "LAYOUT_FAILURE", timeout_s)
         if out.status != "SUCCESS":

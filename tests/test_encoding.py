@@ -214,3 +214,33 @@ def test_lineage_and_leakage(assigned):
     lin.assert_excludes(fit, test, on)
     with pytest.raises(lin.LeakageError):
         lin.assert_excludes(fit.unionByName(test.limit(3)), test, on)
+
+
+def test_every_encoder_gives_dense_codes_of_constant_width(assigned):
+    widths = {"label": 4, "count": 4, "homals": 8, "hash_column": 16, "hash_shared": 16}
+    for name, width in widths.items():
+        coded = fs.encode_any(assigned, COLS, name)
+        assert [r[0] for r in coded.select(F.size("codes")).distinct().collect()] == [width], name
+        assert coded.count() == 240 * 9
+    onehot = fs.encode_any(assigned, COLS, "onehot").selectExpr("aggregate(codes, 0D, (a, v) -> a + v) AS s").distinct()
+    assert [r.s for r in onehot.collect()] == [4.0]
+
+
+def test_foldsafe_quantifications_equal_a_fit_on_the_side(assigned):
+    from foldspark.operators import homals as hm
+
+    side = assigned.where(F.exists("uses", lambda u: (u["outer_fold"] == 2) & (u["role"] == "train")))
+    alone = {(r.col, r.level): (r.q1, r.q2) for r in hm.fit(side, COLS).collect()}
+    rows = {r.row_id: r for r in assigned.collect()}
+    for r in fs.encode_homals(assigned, COLS).where("outer_fold = 2 AND phase = 'outer'").collect():
+        want = [q for c in COLS for q in alone[(c, rows[r.row_id][c])]]
+        assert r.codes == pytest.approx(want, abs=1e-9)
+
+
+def test_one_hot_cap_is_a_typed_skip(spark, assigned, monkeypatch):
+    from foldspark.plans.outcomes import protected
+
+    monkeypatch.setattr(enc, "ONEHOT_WIDTH_CAP", 5)
+    monkeypatch.setattr(enc.onehot_eligibility, "__defaults__", (5,))
+    out = protected(spark, lambda: fs.encode_any(assigned, COLS, "onehot"), "ENCODING_FAILURE")
+    assert out.status == "SKIPPED_INELIGIBLE"
