@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldspark.catalog import blocks as B
-from foldspark.catalog.q_encoding import ORDERED_MAP, TARGET, bucket_sql
+from foldspark.catalog.q_encoding import TARGET, bucket_sql
 from foldspark.catalog.q_evaluation import rounded
 from foldspark.catalog.registry import query
 from foldspark.functions.hashing import unit_interval
