@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from foldspark.llm import sql
 from foldspark.llm.decontaminate import contaminated, contamination
+from foldspark.llm.licenses import RULES, SENTENCES, license_scan
+from foldspark.llm.mixing import mixture
 from foldspark.llm.quality_rules import quality_rules
 
 QUERIES = {}
@@ -37,3 +39,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", "n_items", ids, contaminated().alias("contaminated"))
+
+
+@register("op1_source_mixing", sql.MIXING)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents")).drop("k")
+
+
+@register("op5_license_scan", sql.license_sql(SENTENCES, RULES))
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))

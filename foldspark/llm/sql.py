@@ -65,3 +65,51 @@ select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesc
   sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
 from d left join cov using (r) left join its using (r)
 """
+
+MIXING = rf"""
+with recursive d as (select doc_id, coalesce(source, '') source, len({WORDS})::bigint n from documents),
+s as (select source, sum(n)::bigint tokens, sum(n) / sum(sum(n)) over () share from d group by 1 having sum(n) > 0),
+c as (select ln(count(*)) * 0.97 target, sum(tokens)::bigint total, -sum(share * ln(share)) plain from s),
+e as (select 0 i, 0.0::double lo, 1.0::double hi union all
+  select i + 1, case when h >= target then (lo + hi) / 2 else lo end, case when h >= target then hi else (lo + hi) / 2 end
+  from (select i, lo, hi, target, (select ln(sum(pow(share, (lo + hi) / 2))) - sum(pow(share, (lo + hi) / 2) * ln(pow(share, (lo + hi) / 2)))
+     / sum(pow(share, (lo + hi) / 2)) from s) h from e, c) where i < 32),
+f as (select 0 i, 0.0::double lo, 1.0::double hi union all
+  select i + 1, case when r <= 4 then lo else (lo + hi) / 2 end, case when r <= 4 then (lo + hi) / 2 else hi end
+  from (select i, lo, hi, (select max(pow(share, (lo + hi) / 2 - 1)) / sum(pow(share, (lo + hi) / 2)) from s) r from f) where i < 32),
+x as (select greatest(case when plain >= target then 1 else (select max(lo) from e) end,
+  case when (select max(1 / share) / count(*) from s) <= 4 then 0 else (select min(hi) from f) end) ex, total from c),
+p as (select source, tokens, floor(round(pow(share, ex) / (select sum(pow(share, ex)) from s, x), 9) * total)::bigint quota,
+  ceil(tokens / 1000000)::bigint nb from s, x),
+b as (select d.*, tokens, quota, ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint % nb block from d join p using (source)),
+z as (select source, block, sum(n)::bigint size, any_value(tokens) tokens, any_value(quota) quota from b group by all),
+ze as (select *, unnest(range(0, quota // tokens + 1)) epoch from z),
+zo as (select *, row_number() over w block_pos, sum(size) over w - size before from ze
+  window w as (partition by source, epoch order by md5('17:' || epoch || ':' || block || ':' || source), block)),
+zr as (select *, case when epoch < quota // tokens then tokens else quota % tokens end - before room from zo),
+t as (select b.doc_id, b.source, b.n, epoch, block_pos, size, room,
+  sum(b.n) over (partition by b.source, epoch, b.block order by md5('17:' || epoch || ':' || coalesce(doc_id::varchar, 'null'))) upto
+  from b join zr on zr.source = b.source and zr.block = b.block and room > 0)
+select doc_id, source, n n_words, epoch::bigint epoch, block_pos::bigint block_pos from t where size <= room or upto <= room
+"""
+
+
+def license_sql(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in sentences.items())
+    steps, hits = [], []
+    for i, (name, ids) in enumerate(rules):
+        run = "".join(f"<{x}>" for x in ids)
+        steps.append(f"q{i} as (select *, replace(l{i}, '{run}', '|') l{i + 1}, case when contains(l{i}, '{run}') then '{name}' end r{i} from {'base' if not i else f'q{i - 1}'})")
+        hits.append(f"r{i}")
+    return rf"""
+with known(sentence, id) as (values {known}),
+d as (select row_number() over () r, doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''),
+  '\n+|[.;:!?]+[\x20\x09]+|[.;:!?]+$'), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') s from documents),
+u as (select r, unnest(range(1, len(s) + 1)) i, s from d),
+h as (select r, string_agg(id, ',' order by i) ids, string_agg('<' || id || '>', '' order by i) seq
+      from (select r, i, s[i] sentence from u) join known using (sentence) group by r),
+base as (select doc_id, len(s)::bigint n_sentences, coalesce(ids, '') ids, coalesce(seq, '') l0 from d left join h using (r)),
+{", ".join(steps)}
+select doc_id, n_sentences, ids sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{", ".join(hits)}], lambda x: x is not null))), ',') licenses,
+  (length(l{len(rules)}) - length(replace(l{len(rules)}, '<', '')))::bigint n_unmatched from q{len(rules) - 1}
+"""
