@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.llm import sql
+from foldspark.llm.dart_minhash import near_duplicates
 from foldspark.llm.decontaminate import contaminated, contamination
 from foldspark.llm.licenses import RULES, SENTENCES, license_scan
 from foldspark.llm.mixing import mixture
@@ -49,3 +50,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_license_scan", sql.license_sql(SENTENCES, RULES))
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@register("op10_near_duplicates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
