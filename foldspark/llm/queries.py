@@ -9,8 +9,10 @@ from foldspark.llm import sql
 from foldspark.llm.dart_minhash import near_duplicates
 from foldspark.llm.decontaminate import contaminated, contamination
 from foldspark.llm.licenses import RULES, SENTENCES, license_scan
+from foldspark.llm.line_dedup import dedup_lines
 from foldspark.llm.mixing import mixture
 from foldspark.llm.quality_rules import quality_rules
+from foldspark.llm.rule_ensemble import quality_scores
 
 QUERIES = {}
 ORACLES = {}
@@ -55,3 +57,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_near_duplicates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+@register("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = dedup_lines(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return cut.select("doc_id", F.col("lines_total").alias("n_lines"), F.col("lines_removed").alias("n_removed"), digest)
+
+
+@register("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("k")
