@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foldspark.llm import sql
 from foldspark.llm.dart_minhash import near_duplicates
 from foldspark.llm.decontaminate import contaminated, contamination
+from foldspark.llm.language_mixture import languages
 from foldspark.llm.licenses import RULES, SENTENCES, license_scan
 from foldspark.llm.line_dedup import dedup_lines
 from foldspark.llm.mixing import mixture
@@ -69,3 +70,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_quality_classifier")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("k")
+
+
+@register("op4_language_mixture")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
