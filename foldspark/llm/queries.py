@@ -11,6 +11,7 @@ from foldspark.llm.decontaminate import contaminated, contamination
 from foldspark.llm.language_mixture import languages
 from foldspark.llm.licenses import RULES, SENTENCES, license_scan
 from foldspark.llm.line_dedup import dedup_lines
+from foldspark.llm.lm_scoring import score_documents
 from foldspark.llm.mixing import mixture
 from foldspark.llm.quality_rules import quality_rules
 from foldspark.llm.rule_ensemble import quality_scores
@@ -75,3 +76,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_language_mixture")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
+
+
+@register("op9_lm_scoring")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
