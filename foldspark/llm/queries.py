@@ -14,6 +14,7 @@ from foldspark.llm.line_dedup import dedup_lines
 from foldspark.llm.lm_scoring import score_documents
 from foldspark.llm.mixing import mixture
 from foldspark.llm.quality_rules import quality_rules
+from foldspark.llm.recompression import remove_repeats
 from foldspark.llm.rule_ensemble import quality_scores
 
 QUERIES = {}
@@ -81,3 +82,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_lm_scoring")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op6_substring_dedup", sql.SUBSTRING_DEDUP)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

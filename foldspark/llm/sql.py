@@ -113,3 +113,14 @@ base as (select doc_id, len(s)::bigint n_sentences, coalesce(ids, '') ids, coale
 select doc_id, n_sentences, ids sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{", ".join(hits)}], lambda x: x is not null))), ',') licenses,
   (length(l{len(rules)}) - length(replace(l{len(rules)}, '<', '')))::bigint n_unmatched from q{len(rules) - 1}
 """
+
+SUBSTRING_DEDUP = rf"""
+with d as (select row_number() over () r, doc_id, {WORDS} w from documents),
+win as (select r, doc_id, s, array_to_string(list_slice(w, s, s + 12), ' ') g
+        from (select r, doc_id, w, unnest(range(1, len(w) - 11)) s from d where len(w) >= 13)),
+rep as (select r, s from (select r, s, doc_id, min(doc_id) over (partition by g) low from win) where low < doc_id),
+gone as (select r, list(distinct p) ps from (select r, unnest(range(s, s + 13)) p from rep) group by r)
+select doc_id, len(w)::bigint n_words, coalesce(len(ps), 0)::bigint n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: not list_contains(coalesce(ps, []), i)), ' '), '')) kept_sha256
+from d left join gone using (r)
+"""
