@@ -179,19 +179,24 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, r
     lists = _shingled(join_documents(keyed, wanted, "left_semi")).dropDuplicates(["id"]).select("id", "h")
     cells = settle(lists.mapInArrow(_celled, "id bigint, cells array<bigint>"), "dart-cells")
 
+    # cells that no other candidate has can be in no intersection
+    own = cells.select("id", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.any_value("id").alias("id"))
+    own = settle(own.where("n = 1").groupBy("id").agg(F.count("*").alias("own")), "dart-own")
+    facts = cells.select("id", F.size("cells").alias("n")).join(own, "id", "left")
+    facts = settle(facts.select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")), "dart-facts")
+
+    def possible(x: str, y: str) -> Column:
+        most = F.least(f"{x}common", f"{y}common")
+        return most >= similarity * (F.col(f"{x}n") + F.col(f"{y}n") - most)
+
     def verify(pairs: DataFrame) -> DataFrame:
         one = cells.select(F.col("id").alias("a"), F.col("cells").alias("x"))
         two = cells.select(F.col("id").alias("b"), F.col("cells").alias("y"))
-        # lengths first: they bound the similarity without reading the cells
-        long = F.greatest("nx", "ny") * similarity <= F.least("nx", "ny")
-        sizes = cells.select("id", F.size("cells").alias("s"))
-        kept = pairs.join(sizes.select(F.col("id").alias("a"), F.col("s").alias("nx")), "a")
-        kept = settle(kept.join(sizes.select(F.col("id").alias("b"), F.col("s").alias("ny")), "b").where(long).select("a", "b"), "dart-pairs")
         both = F.size(F.array_intersect("x", "y"))
-        joined = kept.join(two, "b").join(one, "a")
+        joined = pairs.join(two, "b").join(one, "a")
         return joined.where(both >= similarity * (F.size("x") + F.size("y") - both))
 
-    classes = link(live, verify)
+    classes = link(live, verify, facts, possible)
     reps = texts.join(bounded(classes).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     firsts = reps.groupBy("root").agg(F.min(_order()).alias("first"), F.sum("copies").alias("class_size"))
     # a class of one text needs no second look

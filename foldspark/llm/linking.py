@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm.tables import bounded, settle
@@ -50,22 +50,33 @@ def _flatten(parent: DataFrame) -> DataFrame:
 
 
 def shared_blocks(members: DataFrame) -> DataFrame:
-    """The rows (block, id) of ``members`` in blocks that hold two different ids or more, each once."""
-    sizes = members.groupBy("block").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    shared = bounded(settle(sizes.select("block"), "shared"))
-    return settle(members.join(shared, "block", "left_semi").distinct(), "live")
-
-
-def link(live: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = 2) -> DataFrame:
+    """The rows (block, id) of ``members`` in blocks that hold two different ids or more, each once, with ``weight``:
+    in how large blocks the id is altogether. The centre of a group of copies shares most blocks with most of them."""
+    sizes = members.groupBy("block").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size"))
+    shared = bounded(settle(sizes.where("low < high").select("block", "size"), "shared"))
+    live = settle(members.join(shared, "block").distinct(), "live")
+    weights = settle(live.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
+    return settle(live.select("block", "id").join(bounded(weights), "id"), "live", live)
+
+
+def link(
+    live: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    facts: DataFrame,
+    possible: Callable[[str, str], Column],
+    pivots: int = 2,
+) -> DataFrame:
     """Components (node, root) of the ids in ``live`` (see ``shared_blocks``) under verified links.
 
-    ``verify`` keeps the pairs (a, b) that are similar. Each pivot round compares one member of a block
-    with those not yet connected to it, so a block of many copies closes after a few linear rounds. What is
-    left are blocks whose members stayed in different components; there every pair across components is
-    compared, so no link between ids that share a block is lost.
+    ``verify`` keeps the pairs (a, b) that are similar. ``facts`` holds a row for each id in ``live``, and
+    ``possible(prefix, prefix)`` says from their columns whether two ids can be similar at all. Each pivot round
+    compares one member of a block with those not yet connected to it, the most central one first, so a block of
+    many copies closes after a few linear rounds. What is left are blocks whose members stayed in different
+    components; there, all pairs across components that are possible are verified, so no link between ids that share
+    a block is lost.
     """
-    found = None
-    labels = live.select("block", "id", F.col("id").alias("label"))
+    found, classes = None, None
+    labels = live.select("block", "id", "weight", F.col("id").alias("label"))
     for step in range(pivots + 1):
         ends = labels.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"), _pivot(step).alias("p"))
         still = settle(ends.where("low < high").select("block", "p.*"), "open")
@@ -74,22 +85,29 @@ def link(live: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int
         if step < pivots:
             pairs = labels.join(bounded(still), "block").where("label <> pivot_label").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         else:
-            rest = labels.join(bounded(still.select("block")), "block")
-            other = rest.select("block", F.col("id").alias("b"), F.col("label").alias("other"))
-            pairs = rest.join(other, "block").where("label < other").select(F.col("id").alias("a"), "b")
+            rest = labels.join(bounded(still.select("block")), "block").select("block", "id", "label").join(facts, "id")
+            rest = settle(rest, "rest")
+            one, two = (rest.select(*[F.col(c).alias(f"{side}_{c}") for c in rest.columns]) for side in "xy")
+            apart = (F.col("x_block") == F.col("y_block")) & (F.col("x_label") < F.col("y_label"))
+            pairs = one.join(two, apart & possible("x_", "y_")).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        similar = verify(settle(ordered, "pairs")).select("a", "b")
+        one, two = (facts.select(*[F.col(c).alias(f"{side}_{c}") for c in facts.columns]) for side in "xy")
+        ordered = settle(ordered, "pairs").join(one, F.col("a") == F.col("x_id")).join(two, F.col("b") == F.col("y_id"))
+        ordered = settle(ordered.where(possible("x_", "y_")).select("a", "b"), "possible")
+        similar = verify(ordered).select("a", "b")
         found = settle(similar if found is None else found.unionByName(similar), "links")
         classes = components(found)
+        if step == pivots:
+            break
         to = bounded(classes).select(F.col("node").alias("id"), F.col("root").alias("_to"))
-        labels = live.join(to, "id", "left").select("block", "id", F.coalesce("_to", "id").alias("label"))
+        labels = live.join(to, "id", "left").select("block", "id", "weight", F.coalesce("_to", "id").alias("label"))
         labels = settle(labels, "labels")
-    else:
-        return classes
-    return classes if found is not None else live.select(F.col("id").alias("node"), F.col("id").alias("root")).where("node is null")
+    if classes is None:
+        return live.select(F.col("id").alias("node"), F.col("id").alias("root")).where("node is null")
+    return classes
 
 
-def _pivot(step: int):
-    """The smallest id first, which is the same for many blocks; later ones by a hash."""
-    order = F.col("id") if step == 0 else F.xxhash64("id", F.lit(step))
-    return F.min_by(F.struct(F.col("id").alias("pivot"), F.col("label").alias("pivot_label")), order)
+def _pivot(step: int) -> Column:
+    """The most central member first, the same for many blocks; later ones by a hash."""
+    order = F.struct(F.col("weight"), F.col("id")) if step == 0 else F.struct(F.xxhash64("id", F.lit(step)), F.col("id"))
+    return F.max_by(F.struct(F.col("id").alias("pivot"), F.col("label").alias("pivot_label")), order)
