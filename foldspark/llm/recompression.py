@@ -22,7 +22,7 @@ from foldspark.llm.tables import bounded, join_documents, settle, with_key
 from foldspark.llm.text import bind, words
 
 SPAN = 13
-LEVELS = 3
+LEVELS = 2  # higher symbols depend on more words: fewer windows hold one whole, more are needed
 CHUNK = 500_000  # words worked on at once (a single longer text is worked on alone)
 BASE = np.uint64(0x9E3779B97F4A7C55)  # odd
 
@@ -204,12 +204,13 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, levels: int = LEVELS) ->
     hashed = keyed.select("k", "doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
     kind = dict(docs.dtypes)["doc_id"]
     named = hashed.mapInArrow(_namer(span, levels), f"k long, doc_id {kind}, names array<long>")
-    named = settle(named, "names")
-    single = named.select("k", "doc_id", F.explode("names").alias("name"))
+    named = settle(named.withColumn("row", F.monotonically_increasing_id()), "names")  # stable once written
+    single = named.select("row", "doc_id", F.explode("names").alias("name"))
     ends = single.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     shared = settle(ends.select("name"), "shared-names")
-    asked = single.join(bounded(shared), "name", "left_semi").groupBy("k", "doc_id").agg(F.collect_set("name").alias("names"))
-    asked = settle(asked, "asked", named, shared)
+    asked = single.select("row", "name").join(bounded(shared), "name", "left_semi").groupBy("row").agg(F.collect_set("name").alias("names"))
+    asked = settle(asked, "asked-rows", shared)
+    asked = settle(named.select("row", "k", "doc_id").join(asked, "row").drop("row"), "asked", named, asked)
     windows = join_documents(hashed, asked, "inner").mapInArrow(_windower(span, levels), f"k long, doc_id {kind}, at array<int>, w array<long>, v array<int>")
     windows = settle(windows, "windows", asked)
     each = windows.select("k", "doc_id", F.explode(F.arrays_zip("at", "w", "v")).alias("x")).select("k", "doc_id", "x.*")
