@@ -201,7 +201,8 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, levels: int = LEVELS) ->
     Documents with a null id are neither smaller nor larger than others: nothing is taken from them or for them.
     """
     keyed = with_key(docs).where("doc_id is not null")
-    hashed = keyed.select("k", "doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    word_hashes = F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h")
+    hashed = keyed.select("k", "doc_id", word_hashes)
     kind = dict(docs.dtypes)["doc_id"]
     named = hashed.mapInArrow(_namer(span, levels), f"k long, doc_id {kind}, names array<long>")
     named = settle(named.withColumn("row", F.monotonically_increasing_id()), "names")  # stable once written
@@ -211,7 +212,9 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, levels: int = LEVELS) ->
     asked = single.select("row", "name").join(bounded(shared), "name", "left_semi").groupBy("row").agg(F.collect_set("name").alias("names"))
     asked = settle(asked, "asked-rows", shared)
     asked = settle(named.select("row", "k", "doc_id").join(asked, "row").drop("row"), "asked", named, asked)
-    windows = join_documents(hashed, asked, "inner").mapInArrow(_windower(span, levels), f"k long, doc_id {kind}, at array<int>, w array<long>, v array<int>")
+    # texts are exchanged, not their hashes: they compress
+    again = join_documents(keyed, asked, "inner").select("k", "doc_id", "names", word_hashes)
+    windows = again.mapInArrow(_windower(span, levels), f"k long, doc_id {kind}, at array<int>, w array<long>, v array<int>")
     windows = settle(windows, "windows", asked)
     each = windows.select("k", "doc_id", F.explode(F.arrays_zip("at", "w", "v")).alias("x")).select("k", "doc_id", "x.*")
     first = each.groupBy("w", "v").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
