@@ -217,7 +217,7 @@ def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with the first document of every class, all columns kept; of repeated rows one stays."""
     found = settle(near_duplicates(docs, **parameters), "dart-found")
     gone = settle(found.where("not first").select("k", "doc_id", F.lit(True).alias("gone")).distinct(), "dart-gone")
-    kept = attach(docs, bounded(gone)).where("_llm_gone is null").select(*docs.columns)
+    kept = attach(docs, bounded(gone)).where("gone is null").select("row.*")
     firsts = found.where("first and class_size > 1").groupBy("k", "doc_id").agg(F.count("*").alias("c"))
     if firsts.where("c > 1").isEmpty():
         return kept

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.tables import bounded, join_documents, settle, with_key
+from foldspark.llm.tables import attach, bounded, join_documents, settle, with_key
 from foldspark.llm.text import NOT_ALNUM, ascii_lower, bind, pieces, span_hashes
 
 WINDOW_ROWS = 200_000  # windows of about 100 bytes: at most about 20 MB are broadcast
@@ -102,8 +102,6 @@ def contaminated(percent: int = 5) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, percent: int = 5) -> DataFrame:
     """``docs`` without contaminated documents, all columns kept."""
-    from foldspark.llm.tables import attach
-
     bad = contamination(docs, benchmark, span).where(contaminated(percent)).select("k", "doc_id", F.lit(True).alias("bad"))
     verdict = bounded(settle(bad.distinct(), "contaminated"))
-    return attach(docs, verdict).where("_llm_bad is null").select(*docs.columns)
+    return attach(docs, verdict).where("bad is null").select("row.*")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.functions.hashing import seeded_md5
-from foldspark.llm.tables import bounded, settle
+from foldspark.llm.tables import bounded, join_documents, packed, settle
 from foldspark.llm.text import words
 
 STEPS = 32  # bisection steps; the exponent is exact to 2**-32
@@ -140,8 +140,6 @@ def mixture(
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """Rows of ``docs`` as often as the mixture takes them, with ``epoch`` and ``block_pos`` added."""
     taken = settle(mixture(docs, **parameters).select("k", "doc_id", "epoch", "block_pos"), "mix-taken")
-    taken = taken.withColumnsRenamed({c: f"_llm_{c}" for c in taken.columns})
-    marked = docs.withColumn("_llm_key", F.xxhash64("doc_id", "text", "source"))
-    same = (F.col("_llm_key") == F.col("_llm_k")) & F.col("doc_id").eqNullSafe(F.col("_llm_doc_id"))
-    kept = [c for c in docs.columns if c not in ("epoch", "block_pos")]
-    return marked.join(taken, same).select(*kept, F.col("_llm_epoch").alias("epoch"), F.col("_llm_block_pos").alias("block_pos"))
+    keyed = packed(docs, k=F.xxhash64("doc_id", "text", "source"), doc_id=F.col("doc_id"))
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("epoch", "block_pos")]
+    return join_documents(keyed, taken, "inner").select(*kept, "epoch", "block_pos")

@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.tables import fold_of, settle
+from foldspark.llm.tables import attach, bounded, fold_of, settle
 from foldspark.llm.text import with_word_stats
 
 # statistic -> expression over the columns of with_word_stats and the counts of ``statistics``
@@ -122,7 +122,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, f
 
 def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """``docs`` without those predicted to be bad, all columns kept."""
-    from foldspark.llm.tables import attach, bounded
-
     bad = quality_scores(docs, labels, **parameters).where("predicted = 0").select("k", "doc_id", F.lit(True).alias("bad"))
-    return attach(docs, bounded(settle(bad.distinct(), "rule-rejected"))).where("_llm_bad is null").select(*docs.columns)
+    return attach(docs, bounded(settle(bad.distinct(), "rule-rejected"))).where("bad is null").select("row.*")

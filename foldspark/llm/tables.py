@@ -54,12 +54,15 @@ def join_documents(left: DataFrame, right: DataFrame, how: str = "left") -> Data
     return joined if how in ("left_semi", "left_anti") else joined.drop("_k", "_doc_id")
 
 
-def attach(docs: DataFrame, verdicts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and, renamed to start with ``_llm_``, those of ``verdicts`` (k, doc_id, ...)."""
-    named = {c: f"_llm_{c}" for c in verdicts.columns}
-    marked = docs.withColumn("_llm_key", document_key(F.col(doc_id), F.col(text)))
-    same = (F.col("_llm_key") == F.col("_llm_k")) & F.col(doc_id).eqNullSafe(F.col("_llm_doc_id"))
-    return marked.join(verdicts.withColumnsRenamed(named), same, "left").drop("_llm_key", "_llm_k", "_llm_doc_id")
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """All columns of ``docs`` as one struct ``row``, whatever their names, beside ``keys``."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in keys.items()])
+
+
+def attach(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``row`` (the columns of ``docs``), k, doc_id and the other columns of ``verdicts`` (k, doc_id, ...)."""
+    keyed = packed(docs, k=document_key(F.col("doc_id"), F.col("text")), doc_id=F.col("doc_id"))
+    return join_documents(keyed, verdicts)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
