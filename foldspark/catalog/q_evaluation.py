@@ -410,12 +410,13 @@ def nonfinite_guard(spark, sf):
 
 @query(
     "sanitize_message",
-    r"""SELECT doc_id, left(regexp_replace('cannot read C:\data\' || source || '\' || doc_id || '.txt: ' || text,
-        '[A-Za-z]:\\\\?[^\s''"]+', '<path>', 'g'), 300) AS message FROM documents""",
+    r"""SELECT doc_id, left(regexp_replace('cannot read /mnt/' || source || '/' || doc_id || '.txt or C:\data\' || source
+        || ' or s3a://' || source || '/x: ' || text, '(^|[\s''"(=,])(?:[A-Za-z][\w+.-]*:)?[/\\]+[^\s''"]+', '\1<path>', 'g'), 300)
+        AS message FROM documents""",
 )
 def sanitize_message(spark, sf):
     d = rs.table(spark, sf, "documents")
-    message = F.concat(
-        F.lit("cannot read C:\\data\\"), "source", F.lit("\\"), F.col("doc_id").cast("string"), F.lit(".txt: "), "text"
-    )
+    ident = F.col("doc_id").cast("string")
+    where = ["cannot read /mnt/", "/", ".txt or C:\\data\\", " or s3a://", "/x: "]
+    message = F.concat(*[x for p, v in zip(where, (F.col("source"), ident, F.col("source"), F.col("source"), F.col("text"))) for x in (F.lit(p), v)])
     return d.select("doc_id", st.sanitize(message).alias("message"))

@@ -37,7 +37,9 @@ def connected_groups(
     """
     names = list(constraints)
     nodes = {
-        n: F.md5(F.concat(F.lit(f"{i}:"), c.cast("string"))) for i, (n, c) in enumerate(constraints.items())
+        # a missing value ties a row to no other: it is a node of its own
+        n: F.md5(F.coalesce(F.concat(F.lit(f"{i}:"), c.cast("string")), F.concat(F.lit(f"null{i}:"), F.col(row_id).cast("string"))))
+        for i, (n, c) in enumerate(constraints.items())
     }
     tied = rows.withColumns({f"_k{i}": nodes[n] for i, n in enumerate(names)})
     keys = [f"_k{i}" for i in range(len(names))]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foldspark.operators.scan import prefix_scan
 from foldspark.operators.skew import lookup
+from foldspark.plans.status import is_finite
 from foldspark.session import BROADCAST_ROWS, materialize, release
 
 EPS = 1e-12  # fixed values of the metrics
@@ -30,8 +31,12 @@ def histogram(preds: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _undefined(value: Column) -> Column:
-    """A run with one class has no metrics: NULL, never a filler value."""
-    return F.when((F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n_rows")), value)
+    """A run with one class or with a score that is no number has no metrics: NULL, never a filler value."""
+    return F.when((F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n_rows")) & (F.col("_bad") == 0), value)
+
+
+def _bad() -> Column:
+    return F.sum(F.when(is_finite(F.col("score")), 0).otherwise(F.col("n"))).alias("_bad")
 
 
 def ranking(hist: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
@@ -43,7 +48,7 @@ def ranking(hist: DataFrame, keys: list[str], rows: int | None = None) -> DataFr
     lost = F.col("pos") * (F.col("n_above") - F.col("pos_above") + neg / 2)
     found = F.col("pos") * (F.col("pos_above") + F.col("pos")) / (F.col("n_above") + F.col("n"))
     sums = scanned.groupBy(*keys).agg(
-        F.sum("n").alias("n_rows"), F.sum("pos").alias("n_pos"), F.sum(lost).alias("_lost"), F.sum(found).alias("_found")
+        F.sum("n").alias("n_rows"), F.sum("pos").alias("n_pos"), F.sum(lost).alias("_lost"), F.sum(found).alias("_found"), _bad()
     )
     p, q = F.col("n_pos"), F.col("n_rows") - F.col("n_pos")
     return sums.select(
@@ -75,6 +80,7 @@ def pointwise(hist: DataFrame, keys: list[str], thresholds: DataFrame | None = N
         F.sum(pos * (1 - s) * (1 - s) + neg * s * s).alias("_sq"),
         F.sum(F.when(hit, pos).otherwise(0)).alias("tp"),
         F.sum(F.when(hit, neg).otherwise(0)).alias("fp"),
+        _bad(),
     )
     tp, fp, np_ = F.col("tp"), F.col("fp"), F.col("n_pos")
     nn = F.col("n_rows") - np_
@@ -156,16 +162,21 @@ def _newton_step(x: DataFrame, fit: DataFrame, keys: list[str], runs: int) -> Da
 
 
 def status(hist: DataFrame, keys: list[str]) -> DataFrame:
-    sums = hist.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.sum("pos").alias("n_pos"))
+    """Scores that are null, NaN or infinite make a run a numerical failure; one class leaves metrics undefined."""
+    sums = hist.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.sum("pos").alias("n_pos"), _bad())
     one_class = (F.col("n_pos") == 0) | (F.col("n_pos") == F.col("n_rows"))
-    return sums.withColumn("status", F.when(one_class, "METRIC_UNDEFINED").otherwise("SUCCESS"))
+    word = F.when(F.col("_bad") > 0, "NUMERICAL_FAILURE").when(one_class, "METRIC_UNDEFINED").otherwise("SUCCESS")
+    return sums.withColumn("status", word).drop("_bad")
 
 
 def panel(hist: DataFrame, keys: list[str], thresholds: DataFrame | None = None) -> DataFrame:
     """All metrics in one record per run; ``hist`` should be materialized."""
     points = pointwise(hist, keys, thresholds).drop("n_rows", "n_pos")
-    out = ranking(hist, keys, hist.count()).join(points, keys).join(calibration(hist, keys), keys)
-    return out.withColumn("status", F.when(F.col("auc").isNull(), "METRIC_UNDEFINED").otherwise("SUCCESS"))
+    fitted = calibration(hist, keys)
+    out = ranking(hist, keys, hist.count()).join(points, keys).join(fitted, keys)
+    out = out.join(status(hist, keys).select(*keys, "status"), keys)
+    failed = F.col("status") == "NUMERICAL_FAILURE"
+    return out.withColumns({c: F.when(~failed, F.col(c)) for c in fitted.columns if c not in keys})
 
 
 def select_threshold(hist: DataFrame, keys: list[str]) -> DataFrame:

@@ -26,7 +26,8 @@ STATUSES = (
     "MODEL_ACCESS_NOT_AUTHORIZED",
 )
 FAILURES = tuple(s for s in STATUSES if s not in (SUCCESS, SKIPPED))
-PATH_PATTERN = r"""[A-Za-z]:\\\\?[^\s'"]+"""  # fixed value
+# absolute paths and addresses: a drive or scheme may stand before the slashes
+PATH_PATTERN = r"""(^|[\s'"(=,])(?:[A-Za-z][\w+.-]*:)?[/\\]+[^\s'"]+"""
 MESSAGE_LIMIT = 300
 
 
@@ -61,4 +62,4 @@ def nonfinite_guard(df: DataFrame, keys: list[str], values: str) -> DataFrame:
 
 def sanitize(message: Column) -> Column:
     """Replace file paths and keep at most 300 characters."""
-    return F.left(F.regexp_replace(message, PATH_PATTERN, "<path>"), F.lit(MESSAGE_LIMIT))
+    return F.left(F.regexp_replace(message, PATH_PATTERN, "$1<path>"), F.lit(MESSAGE_LIMIT))

@@ -212,3 +212,18 @@ def test_nonfinite_guard(spark):
     df = spark.createDataFrame(rows, "run_id STRING, codes ARRAY<DOUBLE>")
     out = {r.run_id: r.status for r in st.nonfinite_guard(df, ["run_id"], "codes").collect()}
     assert out == {"a": "SUCCESS", "b": "NUMERICAL_FAILURE", "c": "NUMERICAL_FAILURE", "d": "NUMERICAL_FAILURE"}
+
+
+def test_a_score_that_is_no_number_fails_the_run(spark):
+    rows = [("a", 1, 0.9), ("a", 0, 0.1), ("a", 1, float("nan")), ("b", 1, 0.9), ("b", 0, 0.1), ("c", 1, None), ("c", 0, 0.2)]
+    preds = spark.createDataFrame(rows, "run string, y_true int, y_score double")
+    hist = mt.histogram(preds, ["run"])
+    got = {r.run: (r.status, r.auc, r.logloss is None) for r in mt.panel(hist, ["run"]).collect()}
+    assert got == {"a": ("NUMERICAL_FAILURE", None, True), "b": ("SUCCESS", 1.0, False), "c": ("NUMERICAL_FAILURE", None, True)}
+
+
+def test_paths_of_every_kind_leave_the_message():
+    from foldspark.plans.outcomes import sanitize_text
+
+    text = "open '/mnt/secret/user/file.txt' or D:\\x\\y or hdfs://host/p and/or nothing"
+    assert sanitize_text(text) == "open '<path>' or <path> or <path> and/or nothing"

@@ -143,3 +143,11 @@ def test_split_report(spark, toy):
     for r in splits.split_report(splits.uses_of(dealt), dealt).collect():
         assert r.n_train + r.n_test == 240 and r.n_inner_train + r.n_inner_val == r.n_train
         assert r.train_test_group_overlap == 0 and r.inner_group_overlap == 0
+
+
+def test_a_missing_constraint_ties_nothing(spark):
+    rows = [(1, None, "x"), (2, None, "y"), (3, "a", "x"), (4, "a", "z"), (5, None, "z"), (6, "b", None), (7, "c", None)]
+    df = spark.createDataFrame(rows, "row_id int, g string, h string")
+    out = groups.connected_groups(df, {"g": F.col("g"), "h": F.col("h")}, "row_id")
+    found = {r.row_id: r.component_id for r in out.collect()}
+    assert found == {1: 0, 3: 0, 4: 0, 5: 0, 2: 1, 6: 2, 7: 3}
