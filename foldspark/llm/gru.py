@@ -11,7 +11,7 @@ import numpy as np
 Net = dict[str, np.ndarray]
 HIDDEN = 16
 WINDOW = 20
-LANES = 64
+LANES = 160
 
 
 def start(counts: np.ndarray, cuts: np.ndarray, hidden: int = HIDDEN, seed: int = 5) -> Net:
