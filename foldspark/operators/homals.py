@@ -1,8 +1,8 @@
-"""Homogeneity analysis: two-dimensional category quantifications by alternating least squares.
+"""Homogeneity analysis: two-dimensional category quantifications as principal axes.
 
-The row-space iteration only ever uses products of the level indicators, so it runs in category
-space on the Burt matrix (co-occurrence counts of levels): the rows are read once, whatever the
-number of iterations. The matrix is symmetric; its size depends on the levels, not on the rows.
+They are eigenvectors of the Burt matrix (co-occurrence counts of levels) in the metric of the level
+counts, scaled by the root of n times their eigenvalue: the rows are read once, whatever the number of
+iterations. The matrix is symmetric; its size depends on the levels, not on the rows.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from foldspark.functions.hashing import unit_interval
 from foldspark.session import materialize
 
-DIMENSIONS = 2  # fixed values
+DIMENSIONS = 2  # fixed value
+WIDTH = 4  # vectors iterated together
 ITERATIONS = 200
-TOLERANCE = 1e-8
+RESIDUAL = 1e-7
 LOCAL_LEVELS = 2000  # up to this many levels the K x K matrix is solved on the driver
 
 
@@ -64,12 +65,14 @@ def fit(rows: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> Data
     return reduce(DataFrame.unionByName, solved)
 
 
-def _inv_sqrt(g: np.ndarray) -> np.ndarray:
-    w, v = np.linalg.eigh(g)
-    return v @ np.diag(1.0 / np.sqrt(np.maximum(w, 1e-300))) @ v.T
+def _oriented(quants: DataFrame) -> DataFrame:
+    """Each dimension with its largest value positive; eigenvectors have no sign of their own."""
+    signs = quants.agg(*[F.max_by(F.signum(q), F.abs(F.col(q))).alias(q) for q in ("q1", "q2")]).first()
+    return quants.withColumns({q: F.col(q) * (-1.0 if (signs[q] or 0.0) < 0 else 1.0) for q in ("q1", "q2")})
 
 
 def _fit_local(matrix: DataFrame, levels: DataFrame, m: int) -> DataFrame:
+    """The eigenvectors of the centred matrix in the metric of the level counts."""
     names = levels.orderBy("col", "level").toPandas()
     at = {k: i for i, k in enumerate(zip(names["col"], names["level"]))}
     b = np.zeros((len(at), len(at)))
@@ -77,84 +80,61 @@ def _fit_local(matrix: DataFrame, levels: DataFrame, m: int) -> DataFrame:
     rows = [at[k] for k in zip(cells["col_a"], cells["level_a"])]
     cols = [at[k] for k in zip(cells["col_b"], cells["level_b"])]
     b[rows, cols] = cells["n"].to_numpy(float)
-    d = np.diag(b).copy()
+    d = np.diag(b)
     n = d.sum() / m
-    centred = b - np.outer(d, d) / n
-    w, v = np.linalg.eigh(centred)
-    top = np.argsort(-w)[:DIMENSIONS]
-    a = v[:, top] / np.sqrt(np.maximum(w[top], 1e-300)) * np.sqrt(n)
-    previous = np.inf
-    for _ in range(ITERATIONS):
-        z = centred @ a / d[:, None]
-        step = z / m
-        a = step @ _inv_sqrt(step.T @ centred @ step) * np.sqrt(n)
-        loss = (
-            DIMENSIONS * n
-            - 2.0 / m * np.trace(a.T @ centred @ z)
-            + np.trace(z.T @ (d[:, None] * z)) / m
-        )
-        if abs(previous - loss) < TOLERANCE * max(previous, 1.0):
-            break
-        previous = loss
-    z = centred @ a / d[:, None]
-    z = z[:, np.argsort(-(z**2).sum(axis=0))]
-    signs = np.sign(z[np.abs(z).argmax(axis=0), np.arange(DIMENSIONS)])
-    z = z * np.where(signs == 0, 1.0, signs)
-    names["q1"], names["q2"] = z[:, 0], z[:, 1]
-    return levels.sparkSession.createDataFrame(names)
+    root = np.sqrt(d)
+    theta, u = np.linalg.eigh((b - np.outer(d, d) / n) / np.outer(root, root))
+    quants = np.zeros((len(at), DIMENSIONS))
+    for k in range(min(DIMENSIONS, len(at))):
+        quants[:, k] = u[:, -1 - k] / root * np.sqrt(n * max(theta[-1 - k], 0.0))
+    names["q1"], names["q2"] = quants[:, 0], quants[:, 1]
+    return _oriented(levels.sparkSession.createDataFrame(names))
 
 
 def _fit_distributed(matrix: DataFrame, levels: DataFrame, columns: list[str]) -> DataFrame:
-    """Same iteration with the matrix as a table; only 2 x 2 products reach the driver."""
-    m = len(columns)
+    """Subspace iteration with the matrix as a table; only ``WIDTH`` x ``WIDTH`` products reach the driver.
+
+    Two guard vectors beyond the dimensions speed it up. It ends when the residuals of the eigen-equation
+    are below ``RESIDUAL`` of the eigenvalue.
+    """
     key = ["col", "level"]
     ident = F.concat_ws(":", *key)
-    start = [(unit_interval(s, ident) - 0.5).alias(c) for s, c in (("h1", "a1"), ("h2", "a2"))]
+    vectors, images = [f"a{i}" for i in range(WIDTH)], [f"c{i}" for i in range(WIDTH)]
+    start = [(unit_interval(f"h{i}", ident) - 0.5).alias(a) for i, a in enumerate(vectors)]
     a = materialize(levels.select(*key, F.col("n").alias("d"), *start), "homals")
     n = levels.where(F.col("col") == columns[0]).agg(F.sum("n")).first()[0]
 
-    def product(v: DataFrame) -> DataFrame:
-        """Adds c = (B - dd'/n) a."""
-        mean = v.agg(*[F.sum(F.col("d") * F.col(x) / n) for x in ("a1", "a2")]).first()
-        other = v.select(F.col("col").alias("col_b"), F.col("level").alias("level_b"), "a1", "a2")
-        sums = matrix.join(other, ["col_b", "level_b"]).groupBy(
-            F.col("col_a").alias("col"), F.col("level_a").alias("level")
-        ).agg(F.sum(F.col("n") * F.col("a1")).alias("c1"), F.sum(F.col("n") * F.col("a2")).alias("c2"))
-        joined = v.join(sums, key)
-        return materialize(
-            joined.withColumns({"c1": F.col("c1") - F.col("d") * mean[0], "c2": F.col("c2") - F.col("d") * mean[1]}),
-            "homals",
-        )
-
-    def gram(v: DataFrame, x: str, y: str) -> np.ndarray:
-        sums = [F.sum(F.col(f"{x}{i}") * F.col(f"{y}{j}")) for i in (1, 2) for j in (1, 2)]
-        return np.array(v.agg(*[s.alias(f"g{i}") for i, s in enumerate(sums)]).first(), float).reshape(2, 2)
-
-    def turned(v: DataFrame, x: str, r: np.ndarray) -> dict:
-        return {f"a{j + 1}": F.col(f"{x}1") * float(r[0, j]) + F.col(f"{x}2") * float(r[1, j]) for j in (0, 1)}
-
-    for _ in range(20):  # subspace iteration towards the leading components
-        v = product(a)
-        a = v.select(*key, "d", *[e.alias(k) for k, e in turned(v, "c", _inv_sqrt(gram(v, "c", "c"))).items()])
-    v = product(a)
-    a = v.select(*key, "d", *[e.alias(k) for k, e in turned(v, "a", _inv_sqrt(gram(v, "a", "c")) * np.sqrt(n)).items()])
-    previous = np.inf
+    def applied(v: DataFrame) -> DataFrame:
+        """Adds the images of the vectors, each per row of its level."""
+        mean = v.agg(*[F.sum(F.col("d") * F.col(x) / n) for x in vectors]).first()
+        other = v.select(F.col("col").alias("col_b"), F.col("level").alias("level_b"), *vectors)
+        sums = matrix.join(other, ["col_b", "level_b"]).groupBy(F.col("col_a").alias("col"), F.col("level_a").alias("level"))
+        sums = sums.agg(*[F.sum(F.col("n") * F.col(x)).alias(c) for x, c in zip(vectors, images)])
+        centred = {c: F.col(c) / F.col("d") - float(mean[i]) for i, c in enumerate(images)}
+        return materialize(v.join(sums, key).withColumns(centred), "homals")
+
+    def products(v: DataFrame) -> list[np.ndarray]:
+        sides = [(vectors, vectors), (vectors, images), (images, images)]
+        sums = [F.sum(F.col("d") * F.col(x) * F.col(y)) for one, two in sides for x in one for y in two]
+        row = v.agg(*[s.alias(f"g{i}") for i, s in enumerate(sums)]).first()
+        return list(np.array(row, float).reshape(3, WIDTH, WIDTH))
+
+    def mixed(names: list[str], by: np.ndarray) -> list:
+        return [sum((F.col(x) * float(by[i, j]) for i, x in enumerate(names)), F.lit(0.0)) for j in range(by.shape[1])]
+
     for _ in range(ITERATIONS):
-        v = product(a)
-        z = v.select(*key, "d", *[(F.col(f"c{i}") / F.col("d")).alias(f"z{i}") for i in (1, 2)])
-        half = product(z.select(*key, "d", *[(F.col(f"z{i}") / m).alias(f"a{i}") for i in (1, 2)]))
-        turn = _inv_sqrt(gram(half, "a", "c")) * np.sqrt(n)
-        a = half.select(*key, "d", *[e.alias(k) for k, e in turned(half, "a", turn).items()])
-        # with z = m * half: tr(a' C z) = m tr(turn' half' C half), tr(z' D z) = m^2 tr(half' D half)
-        inner = gram(half, "a", "c")
-        weighted = half.agg(F.sum(F.col("d") * (F.col("a1") ** 2 + F.col("a2") ** 2))).first()[0]
-        loss = DIMENSIONS * n - 2.0 * np.trace(turn.T @ inner) + m * weighted
-        if abs(previous - loss) < TOLERANCE * max(previous, 1.0):
+        v = applied(a)
+        own, cross, image = products(v)
+        w, e = np.linalg.eigh(own)
+        good = w > w.max() * 1e-12  # directions that the matrix has not emptied
+        white = np.where(good, e / np.sqrt(np.where(good, w, 1.0)), 0.0)
+        theta, turn = np.linalg.eigh(white.T @ (cross + cross.T) @ white / 2)
+        theta, turn = theta[::-1], (white @ turn)[:, ::-1]
+        lost = np.diag(turn.T @ image @ turn) - theta**2  # squared residuals
+        if (lost[:DIMENSIONS] <= (RESIDUAL * theta[:DIMENSIONS]) ** 2 + 1e-14 * theta[0] ** 2).all():
             break
-        previous = loss
-    v = product(a)
-    z = materialize(v.select(*key, F.col("d").alias("n"), *[(F.col(f"c{i}") / F.col("d")).alias(f"z{i}") for i in (1, 2)]), "homals")
-    norms = z.agg(F.sum(F.col("z1") ** 2), F.sum(F.col("z2") ** 2)).first()
-    order = ("z1", "z2") if norms[0] >= norms[1] else ("z2", "z1")
-    peaks = z.agg(*[F.max_by(F.signum(c), F.abs(c)) for c in order]).first()
-    return z.select(*key, "n", *[(F.col(c) * float(p or 1.0)).alias(q) for c, p, q in zip(order, peaks, ("q1", "q2"))])
+        scale = np.where(theta > theta[0] * 1e-12, 1 / np.maximum(theta, 1e-300), 0.0)
+        moved = mixed(images, turn * scale)
+        a = v.select(*key, "d", *[x.alias(name) for x, name in zip(moved, vectors)])
+    q1, q2 = mixed(vectors, turn[:, :DIMENSIONS] * np.sqrt(n * np.maximum(theta[:DIMENSIONS], 0.0)))
+    return _oriented(materialize(v.select(*key, F.col("d").alias("n"), q1.alias("q1"), q2.alias("q2")), "homals"))

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import math
 import random
 import sys
 from pathlib import Path
@@ -23,14 +22,18 @@ def spark():
     session.stop()
 
 
-def toy_rows(n: int = 240, seed: int = 1234) -> list[tuple]:
-    """Four categorical columns, label from a noisy logistic on a and c; duplicates occur."""
+TOY_ROWS = 276
+
+
+def toy_rows(n: int = TOY_ROWS, seed: int = 77) -> list[tuple]:
+    """Columns of five, three, four and two levels; two of them shift the share of positive labels. Duplicates occur."""
     rng = random.Random(seed)
+    share = {"ash": 0.2, "elm": 0.45, "fir": 0.7}
     rows = []
     for i in range(n):
-        a, b, c, d = rng.choice("wxyz"), rng.choice("mnop"), rng.choice("01"), rng.choice("defg")
-        p = 1 / (1 + math.exp(-(1.2 * (a in "wx") + 0.9 * (c == "1") - 1.0)))
-        rows.append((i, a, b, c, d, int(rng.random() < p)))
+        a, b = rng.choice(["red", "blue", "green", "grey", "pink"]), rng.choice(list(share))
+        c, d = rng.choice(["n", "e", "s", "w"]), rng.choice(["on", "off"])
+        rows.append((i, a, b, c, d, int(rng.random() < share[b] + 0.25 * (d == "on"))))
     return rows
 
 

@@ -4,7 +4,7 @@ import math
 from collections import defaultdict
 
 import pytest
-from conftest import COLS
+from conftest import COLS, TOY_ROWS
 from pyspark.sql import functions as F
 
 from foldspark.operators import cube as cb
@@ -221,7 +221,7 @@ def test_every_encoder_gives_dense_codes_of_constant_width(assigned):
     for name, width in widths.items():
         coded = fs.encode_any(assigned, COLS, name)
         assert [r[0] for r in coded.select(F.size("codes")).distinct().collect()] == [width], name
-        assert coded.count() == 240 * 9
+        assert coded.count() == TOY_ROWS * 9
     onehot = fs.encode_any(assigned, COLS, "onehot").selectExpr("aggregate(codes, 0D, (a, v) -> a + v) AS s").distinct()
     assert [r.s for r in onehot.collect()] == [4.0]
 

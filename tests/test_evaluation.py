@@ -62,13 +62,12 @@ def test_panel_matches_brute_force(spark, monkeypatch, small_sort):
 
 
 def test_constant_scores_single_class_and_extreme_threshold(spark):
-    rng = random.Random(0)
     runs = {
-        "constant": [(i % 2, 0.37) for i in range(40)],
-        "single": [(1, rng.random()) for _ in range(30)],
-        "majority": [(int(i < 30), 0.3 + 0.4 * (i < 20) * rng.random()) for i in range(200)],
+        "constant": [(int(i % 3 == 0), 0.125) for i in range(21)],
+        "single": [(0, i / 16) for i in range(11)],
+        "majority": [(1, 0.75), (1, 0.5), (1, 0.25)] + [(0, 0.25)] * 6 + [(0, 0.0)] * 8,
     }
-    limits = spark.createDataFrame([("majority", 0.9)], "run_id STRING, threshold DOUBLE")
+    limits = spark.createDataFrame([("majority", 0.8)], "run_id STRING, threshold DOUBLE")
     out = {r.run_id: r for r in mt.panel(hist(spark, runs), RUN, limits).collect()}
     assert out["constant"].auc == 0.5 and out["constant"].status == "SUCCESS"
     assert out["constant"].calibration_slope is None

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from conftest import TOY_ROWS
 from pyspark.sql import functions as F
 
 from foldspark.operators import groups, scan, splits
@@ -141,7 +142,7 @@ def test_oof_parts_ignore_labels(spark, toy):
 def test_split_report(spark, toy):
     dealt = materialize(splits.outer_folds(splits.group_table(toy)), "dealt")
     for r in splits.split_report(splits.uses_of(dealt), dealt).collect():
-        assert r.n_train + r.n_test == 240 and r.n_inner_train + r.n_inner_val == r.n_train
+        assert r.n_train + r.n_test == TOY_ROWS and r.n_inner_train + r.n_inner_val == r.n_train
         assert r.train_test_group_overlap == 0 and r.inner_group_overlap == 0
 
 
