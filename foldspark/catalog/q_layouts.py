@@ -171,27 +171,29 @@ def pixel_eligibility(spark, sf):
     return ly.pixel_eligibility(widths(spark, sf))
 
 
+CODES = ("label", "onehot", "target", "hash_column", "hash_shared")
+RUNS = [
+    *[("image", e, layout, "pca_mlp", 5) for e in CODES for layout in ("placement", "bits", "bars")],
+    *[("tabular", e, "none", model, 5) for e in CODES for model in ("logistic", "gbt", "mlp")],
+    ("raw", "raw", "none", "cat_gbt", 5),
+]
 GRID = f"""WITH {widths_sql()},
-    img AS (SELECT dataset_id, outer_fold, 'image' AS branch, encoder, layout, 'pca_mlp' AS model, seed, width, native_pixels,
-              '' AS blocked FROM px, (VALUES (1042), (2042)) s(seed)),
-    rep AS (SELECT dataset_id, outer_fold, 'representation', encoder, 'none', model, seed, width, 0, ''
-            FROM w, (VALUES ('logistic', 5), ('gbt_leaf', 5), ('gbt_depth', 5), ('mlp', 5), ('mlp', 6)) m(model, seed)),
-    bst AS (SELECT dataset_id, outer_fold, 'best_practice', e, 'none', model, seed, CASE WHEN e = 'onehot' THEN width END, 0, blocked
-            FROM w, (VALUES ('cat_gbt', 'raw', 5, ''), ('ensemble_mlp', 'onehot', 5, 'DEPENDENCY_UNAVAILABLE'),
-              ('ensemble_mlp', 'onehot', 6, 'DEPENDENCY_UNAVAILABLE'), ('in_context', 'label', 5, 'DEPENDENCY_UNAVAILABLE'),
-              ('in_context_licensed', 'label', 5, 'MODEL_ACCESS_NOT_AUTHORIZED')) m(model, e, seed, blocked) WHERE encoder = 'onehot'),
-    c AS (SELECT * FROM img UNION ALL SELECT * FROM rep UNION ALL SELECT * FROM bst)
-    SELECT dataset_id || '|f' || outer_fold || '|' || branch || '|' || encoder || '|' || layout || '|' || model || '|s' || seed AS cell_id,
-      dataset_id, outer_fold, branch, encoder, layout, model, seed,
-      CASE WHEN blocked <> '' THEN 'model_access' WHEN encoder = 'onehot' AND width > 1500 THEN 'onehot_width_cap'
-           WHEN native_pixels > 262144 THEN 'pixel_cap' ELSE 'frozen_matrix' END AS eligibility_rule,
-      CASE WHEN blocked <> '' THEN blocked WHEN (encoder = 'onehot' AND width > 1500) OR native_pixels > 262144
-           THEN 'SKIPPED_INELIGIBLE' ELSE 'PENDING' END AS status FROM c"""
+    r AS (SELECT * FROM (VALUES {", ".join(map(str, RUNS))}) v(branch, encoder, layout, model, seed)),
+    f AS (SELECT DISTINCT dataset_id, outer_fold FROM w),
+    c AS (SELECT f.dataset_id, f.outer_fold, r.*,
+            CASE WHEN r.encoder = 'onehot' AND w.width > 1500 THEN 'onehot_width_cap'
+                 WHEN px.native_pixels > 262144 THEN 'pixel_cap' ELSE 'none' END AS eligibility_rule
+          FROM f CROSS JOIN r
+          LEFT JOIN w ON w.dataset_id = f.dataset_id AND w.outer_fold = f.outer_fold AND w.encoder = r.encoder
+          LEFT JOIN px ON px.dataset_id = f.dataset_id AND px.outer_fold = f.outer_fold
+            AND px.encoder = r.encoder AND px.layout = r.layout)
+    SELECT concat_ws('/', dataset_id, outer_fold, branch, encoder, layout, model, seed) AS cell_id, *,
+      CASE eligibility_rule WHEN 'none' THEN 'PENDING' ELSE 'SKIPPED_INELIGIBLE' END AS status FROM c"""
 
 
 @query("grid_cells", GRID)
 def grid_cells(spark, sf):
-    return grid.expand(widths(spark, sf))
+    return grid.expand(widths(spark, sf), RUNS)
 
 
 @query("config_hash")
@@ -199,6 +201,6 @@ def config_hash(spark, sf):
     """Canonical-JSON hash of each grid cell's configuration."""
     from foldspark.operators.lineage import config_hash as hashed
 
-    cells = grid.expand(widths(spark, sf))
+    cells = grid.expand(widths(spark, sf), RUNS)
     names = ["branch", "encoder", "layout", "model", "seed"]
     return hashed(cells, names).select("cell_id", "config_hash")

@@ -5,21 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.operators.layouts import pixel_eligibility
+from foldspark.operators.layouts import MAX_PIXELS, native_pixels
 from foldspark.session import materialize
 
-# The default grid
-IMAGE_ENCODERS = ("label", "onehot", "target", "hash_column", "hash_shared")
-LAYOUTS = ("placement", "bits", "bars")
-IMAGE_SEEDS = (1042, 2042)
-MODELS = {"logistic": (5,), "gbt_leaf": (5,), "gbt_depth": (5,), "mlp": (5, 6)}
-NATIVE = (
-    ("cat_gbt", "raw", 5, ""),
-    ("ensemble_mlp", "onehot", 5, "DEPENDENCY_UNAVAILABLE"),
-    ("ensemble_mlp", "onehot", 6, "DEPENDENCY_UNAVAILABLE"),
-    ("in_context", "label", 5, "DEPENDENCY_UNAVAILABLE"),
-    ("in_context_licensed", "label", 5, "MODEL_ACCESS_NOT_AUTHORIZED"),
-)
+PLAN = ("branch", "encoder", "layout", "model", "seed")
 ONEHOT_CAP = 1500
 
 
@@ -37,54 +26,24 @@ def code_widths(states: DataFrame, columns: list[str]) -> DataFrame:
     return total.select("outer_fold", F.explode(F.array(*each)).alias("e")).select("outer_fold", "e.*")
 
 
-def expand(widths: DataFrame) -> DataFrame:
-    """All cells of three branches for ``dataset_id, outer_fold, encoder, width``."""
-    widths = materialize(widths, "widths")
-
-    def seeds(values):
-        return F.array(*[F.lit(s) for s in values])
-
-    image = pixel_eligibility(widths, LAYOUTS).withColumn("seed", F.explode(seeds(IMAGE_SEEDS)))
-    image = image.withColumns({"branch": F.lit("image"), "model": F.lit("pca_mlp"), "blocked": F.lit("")})
-    model = F.explode(
-        F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("seed")) for m, ss in MODELS.items() for s in ss])
-    )
-    tabular = widths.withColumn("m", model).select("dataset_id", "outer_fold", "encoder", "width", "m.model", "m.seed")
-    tabular = tabular.withColumns({"branch": F.lit("representation"), "layout": F.lit("none"), "blocked": F.lit("")})
-    native = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(m).alias("model"), F.lit(e).alias("encoder"), F.lit(s).alias("seed"), F.lit(b).alias("blocked"))
-                for m, e, s, b in NATIVE
-            ]
-        )
-    )
-    folds = widths.select("dataset_id", "outer_fold").distinct().withColumn("m", native)
-    onehot = widths.where("encoder = 'onehot'").select("dataset_id", "outer_fold", F.col("width").alias("w1"))
-    best = folds.select("dataset_id", "outer_fold", "m.*").join(onehot, ["dataset_id", "outer_fold"])
-    best = best.withColumn("width", F.when(F.col("encoder") == "onehot", F.col("w1"))).drop("w1")
-    best = best.withColumns({"branch": F.lit("best_practice"), "layout": F.lit("none")})
+def expand(widths: DataFrame, runs: list[tuple], onehot_cap: int = ONEHOT_CAP, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """One record for every planned run in every fold of every data set.
 
-    common = ["dataset_id", "outer_fold", "branch", "encoder", "layout", "model", "seed", "width", "blocked"]
-    cells = (
-        image.select(*common, F.col("status").alias("_px"))
-        .unionByName(tabular.select(*common, F.lit("ELIGIBLE").alias("_px")))
-        .unionByName(best.select(*common, F.lit("ELIGIBLE").alias("_px")))
-    )
-    too_wide = (F.col("encoder") == "onehot") & (F.col("width") > ONEHOT_CAP)
-    rule = (
-        F.when(F.col("blocked") != "", "model_access")
-        .when(too_wide, "onehot_width_cap")
-        .when(F.col("_px") != "ELIGIBLE", "pixel_cap")
-        .otherwise("frozen_matrix")
-    )
-    status = F.when(F.col("blocked") != "", F.col("blocked")).otherwise(
-        F.when(too_wide | (F.col("_px") != "ELIGIBLE"), "SKIPPED_INELIGIBLE").otherwise("PENDING")
-    )
-    ident = F.concat_ws(
-        "|", "dataset_id", F.concat(F.lit("f"), "outer_fold"), "branch", "encoder", "layout", "model", F.concat(F.lit("s"), "seed")
-    )
+    ``widths`` holds dataset_id, outer_fold, encoder, width; ``runs`` is the caller's plan, tuples of ``PLAN``.
+    Layout "none" marks tabular runs; an encoder without a width (such as "raw") is never too wide.
+    """
+    widths = materialize(widths, "widths")
+    plan = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(PLAN, run, strict=True)]) for run in runs])
+    folds = widths.select("dataset_id", "outer_fold").distinct()
+    cells = folds.withColumn("run", F.explode(plan)).select("dataset_id", "outer_fold", "run.*")
+    cells = cells.join(widths, ["dataset_id", "outer_fold", "encoder"], "left")
+    too_wide = (F.col("encoder") == "onehot") & (F.col("width") > onehot_cap)
+    too_large = (F.col("layout") != "none") & (native_pixels(F.col("layout"), F.col("width")) > max_pixels)
+    rule = F.when(too_wide, "onehot_width_cap").when(too_large, "pixel_cap").otherwise("none")
+    names = ["dataset_id", "outer_fold", *PLAN]
     return cells.select(
-        ident.alias("cell_id"), "dataset_id", "outer_fold", "branch", "encoder", "layout", "model", "seed",
-        rule.alias("eligibility_rule"), status.alias("status"),
+        F.concat_ws("/", *names).alias("cell_id"),
+        *names,
+        rule.alias("eligibility_rule"),
+        F.when(rule == "none", "PENDING").otherwise("SKIPPED_INELIGIBLE").alias("status"),
     )
