@@ -14,7 +14,7 @@ from foldspark.llm.dart_minhash import band_keys, dart_signatures, drop_near_dup
 from foldspark.llm.decontaminate import contaminated, contamination, decontaminate
 from foldspark.llm.language_mixture import languages, mixtures
 from foldspark.llm.licenses import license_scan
-from foldspark.llm.line_dedup import DISTANCE, _lines, dedup_lines, simhash
+from foldspark.llm.line_dedup import DISTANCE, _lines, dedup_lines, simhashes
 from foldspark.llm.linking import components
 from foldspark.llm.lm_scoring import score_documents
 from foldspark.llm.mixing import bisect_exponent, mix, mixture, temperature, token_shares
@@ -146,8 +146,10 @@ def roots(nodes, links):
 
 
 def test_line_dedup_against_all_pairs(docs, corpus):
-    found = _lines(with_key(docs)).select("k", "doc_id", "i", "norm", simhash(F.split("norm", " ")).alias("sim")).distinct().collect()
-    sims = {r.norm: r.sim for r in found}
+    lines = _lines(with_key(docs)).withColumn("id", F.xxhash64("norm"))
+    found = lines.distinct().collect()
+    sim = {r.id: r.sim for r in simhashes(lines.select("id", "norm").distinct()).collect()}
+    sims = {r.norm: sim[r.id] for r in found}
     texts = sorted(sims)
     links = []
     for i, a in enumerate(texts):
@@ -172,9 +174,14 @@ def test_line_dedup_against_all_pairs(docs, corpus):
 
 
 def test_simhash_is_the_majority(spark):
-    got = spark.createDataFrame([(["a", "b", "c", "a"],)], "w array<string>").select(simhash(F.col("w")), F.transform("w", lambda x: F.xxhash64(x))).first()
-    want = sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in got[1]) > 4)
-    assert got[0] & (2**64 - 1) == want
+    lines = ["a b c a", "b", "x " * 70_000 + "y"]
+    table = spark.createDataFrame(list(enumerate(lines)), "id bigint, norm string")
+    words = {r.w: r.h for r in spark.createDataFrame([(w,) for w in "abcxy"], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    got = {r.id: r.sim for r in simhashes(table).collect()}
+    for i, line in enumerate(lines):
+        ws = line.split()
+        want = sum(1 << b for b in range(64) if 2 * sum((words[w] >> b) & 1 for w in ws) > len(ws))
+        assert got[i] & (2**64 - 1) == want
 
 
 def test_components(spark):
