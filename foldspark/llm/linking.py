@@ -85,11 +85,14 @@ def link(
         if step < pivots:
             pairs = labels.join(bounded(still), "block").where("label <> pivot_label").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         else:
-            rest = labels.join(bounded(still.select("block")), "block").select("block", "id", "label").join(facts, "id")
-            rest = settle(rest, "rest")
+            rest = settle(labels.join(bounded(still.select("block")), "block").select("block", "id", "label"), "open-members")
+            blocks = rest.groupBy("id").agg(F.collect_set("block").alias("blocks"))
+            rest = settle(rest.join(blocks, "id").join(facts, "id"), "rest", rest)
             one, two = (rest.select(*[F.col(c).alias(f"{side}_{c}") for c in rest.columns]) for side in "xy")
             apart = (F.col("x_block") == F.col("y_block")) & (F.col("x_label") < F.col("y_label"))
-            pairs = one.join(two, apart & possible("x_", "y_")).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+            # a pair of several common blocks is made in one of them
+            once = F.col("x_block") == F.array_min(F.array_intersect("x_blocks", "y_blocks"))
+            pairs = one.join(two, apart & possible("x_", "y_") & once).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         one, two = (facts.select(*[F.col(c).alias(f"{side}_{c}") for c in facts.columns]) for side in "xy")
         ordered = settle(ordered, "pairs").join(one, F.col("a") == F.col("x_id")).join(two, F.col("b") == F.col("y_id"))
