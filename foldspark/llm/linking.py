@@ -65,6 +65,7 @@ def link(
     facts: DataFrame,
     possible: Callable[[str, str], Column],
     pivots: int = 2,
+    once: bool = True,
 ) -> DataFrame:
     """Components (node, root) of the ids in ``live`` (see ``shared_blocks``) under verified links.
 
@@ -73,7 +74,8 @@ def link(
     compares one member of a block with those not yet connected to it, the most central one first, so a block of
     many copies closes after a few linear rounds. What is left are blocks whose members stayed in different
     components; there, all pairs across components that are possible are verified, so no link between ids that share
-    a block is lost.
+    a block is lost. With ``once`` such a pair is made in one of its common blocks only, which takes a list of all
+    blocks in every row; without, it is made in each of them, better where ids have many blocks and few possible pairs.
     """
     found, classes = None, None
     labels = live.select("block", "id", "weight", F.col("id").alias("label"))
@@ -85,14 +87,16 @@ def link(
         if step < pivots:
             pairs = labels.join(bounded(still), "block").where("label <> pivot_label").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         else:
-            rest = settle(labels.join(bounded(still.select("block")), "block").select("block", "id", "label"), "open-members")
-            blocks = rest.groupBy("id").agg(F.collect_set("block").alias("blocks"))
-            rest = settle(rest.join(blocks, "id").join(facts, "id"), "rest", rest)
+            members = rest = settle(labels.join(bounded(still.select("block")), "block").select("block", "id", "label"), "open-members")
+            if once:
+                rest = rest.join(rest.groupBy("id").agg(F.collect_set("block").alias("blocks")), "id")
+            rest = settle(rest.join(facts, "id"), "rest", members)
             one, two = (rest.select(*[F.col(c).alias(f"{side}_{c}") for c in rest.columns]) for side in "xy")
             apart = (F.col("x_block") == F.col("y_block")) & (F.col("x_label") < F.col("y_label"))
-            # a pair of several common blocks is made in one of them
-            once = F.col("x_block") == F.array_min(F.array_intersect("x_blocks", "y_blocks"))
-            pairs = one.join(two, apart & possible("x_", "y_") & once).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+            made = apart & possible("x_", "y_")
+            if once:
+                made = made & (F.col("x_block") == F.array_min(F.array_intersect("x_blocks", "y_blocks")))
+            pairs = one.join(two, made).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         one, two = (facts.select(*[F.col(c).alias(f"{side}_{c}") for c in facts.columns]) for side in "xy")
         ordered = settle(ordered, "pairs").join(one, F.col("a") == F.col("x_id")).join(two, F.col("b") == F.col("y_id"))

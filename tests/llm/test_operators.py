@@ -173,6 +173,35 @@ def test_line_dedup_against_all_pairs(docs, corpus):
     assert sum(removed.values()) > 8 and out.where("doc_id = 71 and text is null").count() == 1
 
 
+@pytest.mark.parametrize("n_words", [3, 5, 10, 20, 40, 80, 200])
+def test_lines_of_one_changed_word_are_found(spark, n_words):
+    rng = np.random.default_rng(n_words)
+
+    def word(size):
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size))
+
+    rows, similar = [], 0
+    for i in range(200):
+        ws = [word(rng.integers(4, 9)) for _ in range(n_words)]
+        at, changed = rng.integers(n_words), list(ws)
+        short = len(" ".join(ws)) < 90  # a letter of a short line, a word of a longer one
+        changed[at] = ("#" + ws[at][1:]).replace("#", "q" if ws[at][0] != "q" else "z") if short else word(len(ws[at]))
+        a, b = " ".join(ws), " ".join(changed)
+        similar += sum(x != y for x, y in zip(a, b, strict=True)) <= len(a) // 10
+        rows += [(2 * i, a), (2 * i + 1, b)]
+    removed = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).agg(F.sum("lines_removed")).first()[0]
+    assert similar == 200 and removed >= 198  # 3 words: none before, 200 words: nine in ten
+
+
+def test_lines_without_spaces_are_found(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(100):
+        a = "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 60))
+        rows += [(2 * i, a), (2 * i + 1, a[:20] + "\u9500" + a[21:40] + a[41:])]
+    assert dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).agg(F.sum("lines_removed")).first()[0] == 100
+
+
 def test_simhash_is_the_majority(spark):
     lines = ["a b c a", "b", "x " * 70_000 + "y"]
     table = spark.createDataFrame(list(enumerate(lines)), "id bigint, norm string")
