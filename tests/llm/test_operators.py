@@ -450,3 +450,13 @@ def test_pipeline(spark, tmp_path, docs, labels, corpus):
     ids = {r.doc_id for r in rows}
     assert 4 not in ids and ids <= {i for i, *_ in corpus}  # 4 is the benchmark's text
     assert all(r.text == "" for r in rows if r.doc_id == 70)  # the lines of an exact copy are gone, the document stays
+
+
+def test_exact_copies_do_not_survive_line_and_near_dedup(spark, docs):
+    import corpus_pipeline
+
+    slim = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    marked = slim.where("doc_id in (5, 72)").unionByName(slim.where("doc_id = 5").withColumn("doc_id", F.lit(80).cast("bigint")))
+    marked = marked.unionByName(marked.where("doc_id = 5").select(F.lit(81).cast("bigint").alias("doc_id"), F.concat("text", F.lit("\n---")).alias("text"), "lang", "source", "n_chars"))
+    out = corpus_pipeline.near(spark, corpus_pipeline.lines(spark, marked, ""), "")
+    assert sorted(r.doc_id for r in out.collect()) == [5, 72]  # 72 had no words to begin with
