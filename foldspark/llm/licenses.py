@@ -1,7 +1,8 @@
 """License recognition by sentence rules.
 
 A text is cut into sentences, each is normalised (lower case, letters and digits only) and looked up among known
-license sentences; the identifiers found, in the order of the text, form a sequence. License rules are ordered:
+license sentences. A known sentence may also run over several of the pieces: line breaks, comment signs and the dot of an
+abbreviation ("v. 2.0") cut it there. The identifiers found, in the order of the text, form a sequence. License rules are ordered:
 each rule is a run of identifiers, longer and more specific ones first, and a matched run is consumed before
 the next rule looks. Sentences left over are reported as unknown uses of license language.
 """
@@ -31,6 +32,8 @@ SENTENCES = {
     "licensed under the gnu general public license version 2": "GPL2Ref",
     "this program is free software": "GPLFree",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GPLTerms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3Terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2Terms",
     "either version 3 of the license or at your option any later version": "GPL3Later",
     "either version 2 of the license or at your option any later version": "GPL2Later",
     "licensed under cc by nc 4 0": "CCBYNC4Ref",
@@ -51,6 +54,8 @@ RULES = [
     ("BSD-2-Clause", ["BSDGrant", "BSDSource", "BSDBinary"]),
     ("GPL-3.0-or-later", ["GPLFree", "GPLTerms", "GPL3Later"]),
     ("GPL-2.0-or-later", ["GPLFree", "GPLTerms", "GPL2Later"]),
+    ("GPL-3.0-or-later", ["GPLFree", "GPL3Terms"]),
+    ("GPL-2.0-or-later", ["GPLFree", "GPL2Terms"]),
     ("Apache-2.0", ["ApacheRef", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["ApacheRef", "ApacheComply"]),
     ("MIT", ["MITRef", "MITGrant", "MITNotice"]),
@@ -77,15 +82,17 @@ def _run(ids: list[str]) -> str:
 def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """One row a document: doc_id, n_sentences, sentence_ids, licenses (sorted, comma-joined), n_unmatched.
 
-    Null and empty texts have no sentences. Repeated rows are judged each; other columns are ignored.
+    ``n_sentences`` counts the pieces between breaks. Null and empty texts have no sentences. Repeated rows are judged each; other columns are ignored.
     """
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     cut = F.split(F.coalesce("text", F.lit("")), BREAKS)
     rows = docs.select("doc_id", F.filter(F.transform(cut, normalise), lambda x: x != "").alias("s"))
-    # one pass: only sentences as long as a known one are looked up
-    sizes = sorted({len(x) for x in sentences})
-    found = F.transform("s", lambda x: F.when(F.length(x).isin(sizes), F.get(F.transform(F.array(x), lambda y: known[y]), F.lit(0))))
-    rows = rows.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.filter(found, lambda x: x.isNotNull()).alias("ids"))
+    # one pass over the pieces, a line each: whole pieces that make up a known sentence, the longest first
+    inner = "|".join(x.replace(" ", "[ \\n]") for x in sorted(sentences, key=len, reverse=True))
+    lines = F.concat(F.lit("\n"), F.array_join("s", "\n"), F.lit("\n"))
+    runs = F.regexp_extract_all(lines, F.lit(f"\\n({inner})(?=\\n)"), F.lit(1))
+    found = F.transform(runs, lambda x: F.get(F.transform(F.array(F.replace(x, F.lit("\n"), F.lit(" "))), lambda y: known[y]), F.lit(0)))
+    rows = rows.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), found.alias("ids"))
     rows = rows.withColumn("left", F.concat(F.lit(""), F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")))
     hits = []
     for i, (name, ids) in enumerate(rules):

@@ -372,6 +372,68 @@ def test_license_rules(spark):
     }
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "CC-BY-4.0": """This work is licensed under a Creative Commons Attribution 4.0
+International License.""",
+    "CC-BY-SA-4.0": "Licensed under\nCC BY-SA 4.0.",
+    "CC-BY-NC-4.0": "Licensed under CC\nBY-NC 4.0.",
+    "GPL-3.0-only": "This work is licensed under the GNU General\nPublic License, version 3.",
+    "GPL-2.0-only": "Licensed under the GNU General\nPublic License, version 2.",
+}
+WRAPPED["BSD-2-Clause"] = WRAPPED["BSD-3-Clause"].partition("\n\n3.")[0]
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_wrapped_license_texts(spark, prefix):
+    rows = [(name, "Copyright (c) 2020 A\n\n" + "\n".join(prefix + x for x in text.split("\n")) + "\nand more") for name, text in WRAPPED.items()]
+    out = license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: (r.licenses, r.n_unmatched) for r in out} == {name: (name, 0) for name in WRAPPED}
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 
