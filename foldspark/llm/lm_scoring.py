@@ -2,7 +2,7 @@
 
 Counts are gathered from all learned texts. The commonest words are the symbols of the model; any other word is the
 symbol for unknown words times its share among them, so every text has a probability. Tasks train copies of the model
-on their documents and the weights are averaged by tokens, for ``passes`` rounds. Rare words, whose number grows
+on their documents and the weights are averaged by tokens, for ``PASSES`` rounds that share out all learned documents. Rare words, whose number grows
 with the corpus, are joined with their counts; only a bounded number of common ones is sent to the tasks.
 """
 
@@ -24,8 +24,7 @@ from foldspark.llm.text import ascii_lower, words
 SYMBOLS = 2_000  # words of the model
 COMMON = 65_536  # words whose counts are sent to the tasks
 CLASSES = 40
-SHARE = 16  # one learned document in so many trains the network, in each pass another one
-PASSES = 2
+PASSES = 2  # each learned document trains the network in one of them
 LEAST_TOKENS = 200_000  # a task repeats its documents until it has read so many
 PIECE = 4_096  # weights averaged as one vector
 
@@ -105,7 +104,7 @@ def _trainer(vocabulary: Vocabulary, net: gru.Net):
 def _train(tokens: DataFrame, vocabulary: Vocabulary) -> gru.Net:
     net = gru.start(vocabulary.symbol_counts, vocabulary.cuts)
     for number in range(PASSES):
-        turn = F.pmod(F.xxhash64("k", F.lit("pass")), F.lit(SHARE)) == number
+        turn = F.pmod(F.xxhash64("k", F.lit("pass")), F.lit(PASSES)) == number
         trained = tokens.where(turn).select("h").mapInPandas(_trainer(vocabulary, net), "piece long, tokens double, w array<double>")
         mean = Summarizer.mean(array_to_vector("w"), F.col("tokens"))
         averaged = trained.groupBy("piece").agg(vector_to_array(mean).alias("w")).orderBy("piece").collect()  # one model

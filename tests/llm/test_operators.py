@@ -450,6 +450,26 @@ def test_base_scores_and_proper_probabilities(docs, corpus):
     assert out.where("score >= 0 or score is null").isEmpty()
 
 
+def test_every_learned_document_trains_the_network(spark, docs, monkeypatch):
+    from foldspark.llm import lm_scoring
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(vocabulary, net):
+        def learn(batches):
+            for frame in batches:
+                read.add(len(frame))
+            yield from ()
+
+        return learn
+
+    monkeypatch.setattr(lm_scoring, "_trainer", counting)
+    vocabulary = lm_scoring.Vocabulary(np.arange(3), np.array([5, 4, 3]), 1, 13, 4)
+    tokens = lm_scoring._tokens(docs)
+    lm_scoring._train(tokens, vocabulary)
+    assert read.value == tokens.count()  # each once, over all passes
+
+
 def test_network_gradients_and_sums():
     rng = np.random.default_rng(0)
     cuts = np.array([0, 1, 2, 6, 12])
