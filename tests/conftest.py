@@ -1,18 +1,17 @@
 from __future__ import annotations
 
-import random
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
+
+from toy import SCHEMA, toy_rows, with_groups  # noqa: E402
 
 from foldspark.operators import splits  # noqa: E402
 from foldspark.session import local_session, materialize  # noqa: E402
 
-COLS = ["a", "b", "c", "d"]
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,28 +21,6 @@ def spark():
     session.stop()
 
 
-TOY_ROWS = 276
-
-
-def toy_rows(n: int = TOY_ROWS, seed: int = 77) -> list[tuple]:
-    """Columns of five, three, four and two levels; two of them shift the share of positive labels. Duplicates occur."""
-    rng = random.Random(seed)
-    share = {"ash": 0.2, "elm": 0.45, "fir": 0.7}
-    rows = []
-    for i in range(n):
-        a, b = rng.choice(["red", "blue", "green", "grey", "pink"]), rng.choice(list(share))
-        c, d = rng.choice(["n", "e", "s", "w"]), rng.choice(["on", "off"])
-        rows.append((i, a, b, c, d, int(rng.random() < share[b] + 0.25 * (d == "on"))))
-    return rows
-
-
-def with_groups(rows: list[tuple]) -> list[tuple]:
-    return [(*r, "|".join(r[1:5])) for r in rows]
-
-
-SCHEMA = "row_id BIGINT, a STRING, b STRING, c STRING, d STRING, y INT, group_id STRING"
-
-
 @pytest.fixture(scope="session")
 def toy(spark):
     return materialize(spark.createDataFrame(with_groups(toy_rows()), SCHEMA), "toy")

@@ -4,7 +4,7 @@ import math
 from collections import defaultdict
 
 import pytest
-from conftest import COLS, TOY_ROWS
+from toy import COLS, TOY_ROWS
 from pyspark.sql import functions as F
 
 from foldspark.operators import cube as cb

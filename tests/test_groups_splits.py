@@ -4,7 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import TOY_ROWS
+from toy import TOY_ROWS
 from pyspark.sql import functions as F
 
 from foldspark.operators import groups, scan, splits

@@ -4,7 +4,7 @@ import gzip
 import math
 
 import pytest
-from conftest import COLS
+from toy import COLS
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
