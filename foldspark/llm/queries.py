@@ -16,6 +16,7 @@ from foldspark.llm.mixing import mixture
 from foldspark.llm.quality_rules import quality_rules
 from foldspark.llm.recompression import remove_repeats
 from foldspark.llm.rule_ensemble import quality_scores
+from foldspark.llm.sharding import LAW, placements
 
 QUERIES = {}
 ORACLES = {}
@@ -88,3 +89,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op11_sharding", sql.SHARDING)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = placements(table(spark, sf_dir, "documents"), shards=16).select("doc_id", "size", "text_crc32", "shard", "slot")
+    return placed.withColumns({"law": F.lit(LAW), "grown_shard": F.lit(None).cast("int")})

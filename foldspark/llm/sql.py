@@ -124,3 +124,36 @@ select doc_id, len(w)::bigint n_words, coalesce(len(ps), 0)::bigint n_removed,
   sha256(coalesce(array_to_string(list_filter(w, lambda x, i: not list_contains(coalesce(ps, []), i)), ' '), '')) kept_sha256
 from d left join gone using (r)
 """
+
+CRC_TABLE = """tab as materialized (
+  select list_transform(range(256), lambda n: list_reduce(list_prepend(n::bigint, range(8)::bigint[]),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) crc_tab)"""
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of ``text``, with the 256 entries of ``CRC_TABLE`` in ``crc_tab``."""
+    code = f"hex(encode({text}))"
+    data = f"list_transform(range(length({code}) // 2), lambda i: ('0x' || ({code})[2 * i + 1:2 * i + 2])::bigint)"
+    step = "lambda c, x: xor(c >> 8, crc_tab[(xor(c, x) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), {step}), 4294967295)"
+
+
+SHARDING = f"""
+with {CRC_TABLE},
+t as (select doc_id, coalesce(source, '') source, coalesce(text, '') body, hex(encode(coalesce(text, ''))) code from documents),
+b as (select *, list_transform(range(length(code) // 2), lambda i: ('0x' || code[2 * i + 1:2 * i + 2])::bigint) bytes from t),
+d as (
+  select doc_id, source, length(code) // 2 + 1 size,
+    xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, crc_tab[(xor(c, x) & 255) + 1])), 4294967295) text_crc32
+  from b, tab),
+r as (
+  select *, row_number() over (partition by source
+      order by md5(concat_ws(':', '17', coalesce(doc_id::varchar, 'null'), text_crc32)), doc_id, size) nth,
+    count(*) over (partition by source) n
+  from d),
+g as (select *, row_number() over (order by (nth - 0.5::double) / n, source) - 1 pos, count(*) over () total from r),
+s as (select *, pos * 16 // total shard from g)
+select doc_id, size::bigint size, text_crc32::bigint text_crc32, 'rows' law, shard::int shard,
+  (pos - (shard * total + 15) // 16)::bigint slot, null::int grown_shard
+from s
+"""
