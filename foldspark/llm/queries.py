@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.llm import sql
+from foldspark.llm.conversation_repair import damage, repair_report
 from foldspark.llm.dart_minhash import near_duplicates
 from foldspark.llm.decontaminate import contaminated, contamination
 from foldspark.llm.language_mixture import languages
@@ -95,3 +96,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = placements(table(spark, sf_dir, "documents"), shards=16).select("doc_id", "size", "text_crc32", "shard", "slot")
     return placed.withColumns({"law": F.lit(LAW), "grown_shard": F.lit(None).cast("int")})
+
+
+@register("op13_conversation_repair", sql.CONVERSATION_REPAIR)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return repair_report(damage(talks), talks.select("conv_id"))

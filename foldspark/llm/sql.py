@@ -157,3 +157,67 @@ select doc_id, size::bigint size, text_crc32::bigint text_crc32, 'rows' law, sha
   (pos - (shard * total + 15) // 16)::bigint slot, null::int grown_shard
 from s
 """
+
+CONVERSATION_REPAIR = f"""
+with recursive {CRC_TABLE},
+raw as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') body,
+    {crc32_sql("concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' '))")} % 20 k
+  from conversations, tab),
+names as (select conv_id, row_number() over () c from (select distinct conv_id from conversations)),
+damaged as (
+  select conv_id, turn, case k when 4 then 'user' else role end role,
+    case k when 1 then '' when 2 then regexp_replace(body, '[.!?]', '', 'g') else body end body,
+    unnest(range(case k when 0 then 0 when 3 then 2 else 1 end)) copy
+  from raw),
+placed as (
+  select c, turn, role, body, rtrim(body, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') ended,
+    row_number() over (partition by c order by turn nulls first, md5(length(role) || ':' || role || body), copy) pos
+  from damaged join names on damaged.conv_id is not distinct from names.conv_id),
+faulty as (
+  select *, role[1:1] initial, lag(role[1:1]) over (partition by c order by pos) before,
+    case when ended = '' then 'blank' when row_number() over (partition by c, role, body order by pos) > 1 then 'duplicate'
+      when ended[-1:] not in ('.', '!', '?') then 'truncated' else '' end fault
+  from placed),
+stats as (
+  select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) n,
+    count(*) filter (fault = 'blank') blank, count(*) filter (fault = 'duplicate') duplicate,
+    count(*) filter (fault = 'truncated') truncated,
+    count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) illegal
+  from faulty group by c),
+-- states: 0 nothing written, 1 system, 2 user, 3 assistant; writes(before, initial, after)
+writes(p, w, q) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+one as (select p, q from writes where w <> 's'),
+inserts as (
+  select p, p q, 0 k from (values (0), (1), (2), (3)) s(p) union all select p, q, 1 from one
+  union all select a.p, b.q, 2 from one a join one b on a.q = b.p),
+edits as (
+  select i.p, i.q, 2 * k + 3 cost, repeat('I', k) || 'D' audit, null needs, true any_row from inserts i
+  union all select i.p, w.q, 2 * k, repeat('I', k) || 'K', w.w, false from inserts i join writes w on i.q = w.p
+  union all select i.p, w.q, 2 * k + 2, repeat('I', k) || 'R', null, false from inserts i join writes w on i.q = w.p where w.w <> 's'),
+steps as (
+  select f.c, f.pos, e.p, e.q, e.cost + case when f.fault = 'truncated' and not any_row then 1 else 0 end cost, e.audit
+  from faulty f join edits e on any_row or (f.fault not in ('blank', 'duplicate') and (needs is null or needs = f.initial))),
+ways as (
+  select c, 0::bigint pos, 0 state, {{'cost': 0, 'audit': ''}} best from names
+  union all
+  select w.c, s.pos, s.q, min({{'cost': w.best.cost + s.cost, 'audit': w.best.audit || s.audit}})
+  from ways w join steps s on s.c = w.c and s.pos = w.pos + 1 and s.p = w.state group by w.c, s.pos, s.q),
+ended as (
+  select w.c, min({{'cost': w.best.cost + 2 * e.k, 'audit': w.best.audit || repeat('I', e.k)}}) best
+  from ways w join stats using (c) join (values (0, 0), (1, 2), (2, 1), (3, 0)) e(state, k) on w.state = e.state
+  where w.pos = stats.n group by w.c),
+ops as (select c, i, best.audit[i:i] op from (select c, best, unnest(range(1, length(best.audit) + 1)) i from ended)),
+counted as (
+  select *, sum((op <> 'I')::int) over (partition by c order by i) pos, sum((op <> 'D')::int) over (partition by c order by i) line from ops),
+matched as (select o.*, role, body, initial from counted o left join faulty f on f.c = o.c and f.pos = o.pos and o.op <> 'I'),
+lead_s as (select c, count(*) filter (line = 1 and op = 'K' and initial = 's') s from matched where op <> 'D' group by c),
+written as (
+  select c, i, case when op = 'K' then role when (line - s) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(body, '') line
+  from matched join lead_s using (c) where op <> 'D'),
+texts as (select c, string_agg(line, chr(10) order by i) body from written group by c)
+select conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(duplicate, 0)::bigint duplicate,
+  coalesce(truncated, 0)::bigint truncated, coalesce(illegal, 0)::bigint illegal, coalesce(best.cost, 0)::bigint "cost",
+  coalesce(best.audit, '') audit, sha256(coalesce(body, '')) repaired_sha256
+from names left join stats using (c) left join ended using (c) left join texts using (c)
+"""
