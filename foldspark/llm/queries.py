@@ -14,6 +14,7 @@ from foldspark.llm.licenses import RULES, SENTENCES, license_scan
 from foldspark.llm.line_dedup import dedup_lines
 from foldspark.llm.lm_scoring import score_documents
 from foldspark.llm.mixing import mixture
+from foldspark.llm.prefix_trie import rebuilt, trie_of, turn_digests
 from foldspark.llm.quality_rules import quality_rules
 from foldspark.llm.recompression import remove_repeats
 from foldspark.llm.rule_ensemble import quality_scores
@@ -102,3 +103,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations")
     return repair_report(damage(talks), talks.select("conv_id"))
+
+
+@register("op12_prefix_trie", sql.PREFIX_TRIE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_of(rebuilt(turn_digests(table(spark, sf_dir, "conversations"))))

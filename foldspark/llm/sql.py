@@ -221,3 +221,38 @@ select conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank
   coalesce(best.audit, '') audit, sha256(coalesce(body, '')) repaired_sha256
 from names left join stats using (c) left join ended using (c) left join texts using (c)
 """
+
+PREFIX_TRIE = f"""
+with {CRC_TABLE},
+rows as (
+  select conv_id, turn, coalesce(role, '') role, coalesce(text, '') body,
+    row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) nth
+  from conversations),
+ids as (select c, {crc32_sql("c::varchar")} % 4 h from (select distinct conv_id c from conversations where conv_id is not null), tab),
+turns as (
+  select c, 0 part, nth, role, body from ids join rows on conv_id = c - c % 20 and nth <= h
+  union all select c, 1, nth, role, body from ids join rows on conv_id = c and nth > h),
+placed as (
+  select c, row_number() over (partition by c order by part, nth) depth,
+    md5(length(role) || ':' || role || body) mark, len({WORDS.replace("text", "body")}) n_words from turns),
+paths as (
+  select c, 0 depth, '' path, 0 n_words from ids
+  union all
+  select c, depth, string_agg(mark, '') over (partition by c order by depth), n_words from placed),
+sizes as (select c, max(depth) size from paths group by c),
+nodes as (
+  select path, any_value(depth) depth, min(c) conv_id, count(*) n_convs, any_value(n_words) n_words,
+    string_agg(c::varchar, ',' order by c) filter (depth = size) ends
+  from paths join sizes using (c) group by path),
+linked as (select n.*, p.path parent_path, p.conv_id parent_conv_id from nodes n left join nodes p on n.depth > 0 and p.path = n.path[:-33]),
+children as (select parent_path path, count(*) n from linked where depth > 0 group by 1),
+full_nodes as (select l.*, coalesce(children.n, 0) n_children from linked l left join children using (path)),
+-- every node with all nodes above it and itself
+above as (select distinct a.path top, d.path from paths a join paths d on a.c = d.c and a.depth <= d.depth),
+sums as (
+  select top path, count(*) filter (n_children = 0) n_leaves, sum((n_convs - 1) * n_words) saved
+  from above join full_nodes using (path) group by top)
+select conv_id::bigint conv_id, depth::bigint depth, parent_conv_id::bigint parent_conv_id, n_convs::bigint n_convs,
+  n_children::bigint n_children, n_leaves::bigint n_leaves, saved::bigint saved_tokens, sha256(coalesce(ends, '')) ends_sha256
+from full_nodes join sums using (path)
+"""
