@@ -137,3 +137,33 @@ fit AS (
   FROM states WHERE col = '%s' GROUP BY ALL)"""
         % columns[0]
     )
+
+
+def sided(columns: list[str], rows: str) -> str:
+    """Whole-side states with small integer keys: ``sid`` = 2 * fold + (1 if outer), ``ci`` = position of the column.
+
+    Every step is written once, so that each later join is one equality on integers and the level.
+    """
+    each = " UNION ALL ".join(
+        f'SELECT row_id, y, sid, role, part, {i} AS ci, "{c}" AS level FROM su' for i, c in enumerate(columns)
+    )
+    return f"""su AS MATERIALIZED (
+  SELECT r.*, u.outer_fold * 2 + (u.phase = 'outer')::INT AS sid, u.role, u.part FROM {rows} r JOIN uses u USING (group_id)),
+slv AS MATERIALIZED ({each}),
+side_lv AS MATERIALIZED (
+  SELECT sid, ci, level, count(*)::BIGINT AS n, sum(y)::BIGINT AS pos FROM slv WHERE part >= 0 GROUP BY sid, ci, level),
+side_fit AS MATERIALIZED (SELECT sid, sum(n)::BIGINT AS fit_n, sum(pos)::BIGINT AS fit_pos FROM side_lv WHERE ci = 0 GROUP BY sid)"""
+
+
+def side_names(alias: str) -> str:
+    return f"({alias}.sid // 2)::INT AS outer_fold, CASE {alias}.sid % 2 WHEN 1 THEN 'outer' ELSE 'inner' END AS phase"
+
+
+def blocked(rows: str, n_columns: int) -> str:
+    """Block of every row for the permutations of the ordered statistic."""
+    return f"""blk AS MATERIALIZED (
+  SELECT row_id, ({prefix48("'977:' || row_id")}
+    % (SELECT greatest(64, ceil(count(*) * {n_columns} / 1000000.0)) FROM {rows})::BIGINT)::INT AS block FROM {rows}),
+turn AS MATERIALIZED (
+  SELECT row_id, p::INT AS p, row_number() OVER (PARTITION BY p ORDER BY md5((977 + p) || ':b' || block), block,
+    md5((977 + p) || ':' || row_id), row_id) AS nth FROM blk, range(0, 4) t(p))"""

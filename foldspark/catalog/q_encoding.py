@@ -90,13 +90,12 @@ query("enc_woe", plain_sql(WOE))(plain("woe"))
 
 @query(
     "enc_ordered",
-    f"""WITH {B.ORDERS}, {B.long('orders_cat', COLS, 'row_id, y')},
+    f"""WITH {B.ORDERS}, {B.long('orders_cat', COLS, 'row_id, y')}, {B.blocked('orders_cat', len(COLS))},
     f AS (SELECT sum(y) / count(*) AS prior FROM orders_cat),
     p AS (SELECT row_id, col,
                  (coalesce(sum(y) OVER w, 0) + prior) / (count(*) OVER w + 1.0::DOUBLE) AS c
-          FROM lng, f, range(0, 4) t(p)
-          WINDOW w AS (PARTITION BY col, level, p ORDER BY md5((977 + p) || ':' || row_id), row_id
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+          FROM lng JOIN turn USING (row_id), f
+          WINDOW w AS (PARTITION BY col, level, p ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
     SELECT row_id, {POSITION.format(t='p')}, {rounded_sql('avg(c)')} AS code FROM p GROUP BY row_id, col""",
 )
 def enc_ordered(spark, sf):
@@ -267,7 +266,13 @@ def safe(name):
 
 query("foldsafe_target", f"{FOLDSAFE_TARGET} {FLAT}")(safe("target"))
 query("foldsafe_woe", f"{lookup_cte(WOE, '0.0::DOUBLE', 'u.part')} {FLAT}")(safe("woe"))
-query("foldsafe_count", f"{lookup_cte('s.n::DOUBLE / f.fit_n', '0.0::DOUBLE', '-1')} {FLAT}")(safe("count"))
+SIDED = f"{ORDERS_SPLIT}, {B.sided(COLS, 'orders_cat')}"
+query(
+    "foldsafe_count",
+    f"""{SIDED} SELECT l.row_id, {B.side_names('l')}, l.role, l.ci::INT AS position,
+    {rounded_sql('coalesce(s.n::DOUBLE / f.fit_n, 0.0::DOUBLE)')} AS code
+    FROM slv l JOIN side_fit f USING (sid) LEFT JOIN side_lv s USING (sid, ci, level)""",
+)(safe("count"))
 query(
     "foldsafe_label",
     f"""{lookup_cte('(SELECT count(*) FROM states t WHERE t.outer_fold = s.outer_fold AND t.phase = s.phase '
@@ -277,39 +282,28 @@ query(
 
 query(
     "foldsafe_ordered",
-    f"""{REFITS},
-    scan AS (SELECT u.row_id, u.outer_fold, u.phase, u.role, u.col,
+    f"""{SIDED}, {B.blocked('orders_cat', len(COLS))},
+    scan AS (SELECT l.row_id, l.sid, l.role, l.ci,
                (coalesce(sum(y) OVER w, 0) + {PRIOR}) / (count(*) OVER w + 1.0::DOUBLE) AS c
-             FROM ulng u JOIN fit f ON f.outer_fold = u.outer_fold AND f.phase = u.phase AND f.part = -1,
-                  range(0, 4) t(p)
-             WHERE u.part >= 0
-             WINDOW w AS (PARTITION BY u.outer_fold, u.phase, u.col, u.level, p
-                          ORDER BY md5((977 + p) || ':' || u.row_id), u.row_id
-                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    held AS (SELECT u.row_id, u.outer_fold, u.phase, u.role, {POSITION.format(t='u')},
-                    {rounded_sql(f"coalesce({ORDERED_MAP}, {PRIOR})")} AS code
-             FROM ulng u JOIN fit f ON f.outer_fold = u.outer_fold AND f.phase = u.phase AND f.part = -1
-             LEFT JOIN states s ON s.outer_fold = u.outer_fold AND s.phase = u.phase AND s.part = -1
-                  AND s.col = u.col AND s.level = u.level
-             WHERE u.part < 0)
-    SELECT row_id, outer_fold, phase, role, {POSITION.format(t='scan')}, {rounded_sql('avg(c)')} AS code
-    FROM scan GROUP BY row_id, outer_fold, phase, role, col
-    UNION ALL SELECT * FROM held""",
+             FROM (SELECT * FROM slv WHERE part >= 0) l JOIN turn USING (row_id) JOIN side_fit f USING (sid)
+             WINDOW w AS (PARTITION BY sid, ci, level, p ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    fitted AS (SELECT row_id, sid, role, ci, avg(c) AS code FROM scan GROUP BY row_id, sid, role, ci),
+    held AS (SELECT l.row_id, l.sid, l.role, l.ci, coalesce({ORDERED_MAP}, {PRIOR}) AS code
+             FROM (SELECT * FROM slv WHERE part < 0) l JOIN side_fit f USING (sid) LEFT JOIN side_lv s USING (sid, ci, level)),
+    every AS (SELECT * FROM fitted UNION ALL SELECT * FROM held)
+    SELECT row_id, {B.side_names('every')}, role, ci::INT AS position, {rounded_sql('code')} AS code FROM every""",
 )(safe("ordered"))
 
 
 @query(
     "foldsafe_onehot",
-    f"""{REFITS}, {FULL_LEVELS},
-    ix AS (SELECT *, row_number() OVER (PARTITION BY outer_fold, phase, col ORDER BY level) AS ix FROM lv),
-    blk AS (SELECT outer_fold, phase, col, k, coalesce(sum(k + 1) OVER (PARTITION BY outer_fold, phase
-              ORDER BY {POSITION.format(t='kk').split(' AS ')[0]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-              sum(k + 1) OVER (PARTITION BY outer_fold, phase) AS width
-            FROM (SELECT outer_fold, phase, col, count(*) AS k FROM lv GROUP BY ALL) kk)
-    SELECT u.row_id, u.outer_fold, u.phase, u.role, {POSITION.format(t='u')},
-           (b.start + coalesce(ix.ix - 1, b.k))::INT AS slot, b.width::INT AS width
-    FROM ulng u JOIN blk b ON b.outer_fold = u.outer_fold AND b.phase = u.phase AND b.col = u.col
-    LEFT JOIN ix ON ix.outer_fold = u.outer_fold AND ix.phase = u.phase AND ix.col = u.col AND ix.level = u.level""",
+    f"""{SIDED},
+    ix AS MATERIALIZED (SELECT sid, ci, level, row_number() OVER (PARTITION BY sid, ci ORDER BY level) AS ix FROM side_lv),
+    per AS MATERIALIZED (SELECT sid, ci, count(*) AS k FROM side_lv GROUP BY sid, ci),
+    bks AS MATERIALIZED (
+      SELECT sid, ci, k, sum(k + 1) OVER (PARTITION BY sid ORDER BY ci) - (k + 1) AS start, sum(k + 1) OVER (PARTITION BY sid) AS width FROM per)
+    SELECT l.row_id, {B.side_names('l')}, l.role, l.ci::INT AS position, (b.start + coalesce(ix.ix - 1, b.k))::INT AS slot, b.width::INT AS width
+    FROM slv l JOIN bks b USING (sid, ci) LEFT JOIN ix USING (sid, ci, level)""",
 )
 def foldsafe_onehot(spark, sf):
     coded = fs.encode_onehot(assigned_orders(spark, sf), COLS)

@@ -8,18 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.functions.hashing import seeded_md5
 from foldspark.operators import cube as cb
 from foldspark.operators import encoders as enc
 from foldspark.operators import homals as hm
-from foldspark.operators.scan import prefix_scan
+from foldspark.operators.ordered import PERMUTATION_SEED, ordered_codes
 from foldspark.operators.skew import lookup
 from foldspark.operators.splits import SplitPlan
 from foldspark.session import materialize
 from foldspark.sources.categories import Wide, level_array, stored_columns, to_long
 
-PERMUTATION_SEED = 977  # fixed values of the ordered statistic
-PERMUTATIONS = 4
 USE = ["outer_fold", "phase", "role"]
 
 
@@ -162,7 +159,7 @@ def _state_arrays(codes: DataFrame, columns: list[str], dictionary: Column, size
 
 def encode(
     assigned: DataFrame, columns: list[str], name: str, plan: SplitPlan = SplitPlan(),
-    cube: DataFrame | None = None,
+    cube: DataFrame | None = None, permutation_seed: int = PERMUTATION_SEED,
 ) -> DataFrame:
     """Fold-safe codes of every row in all its uses.
 
@@ -182,21 +179,16 @@ def encode(
         return code_rows(assigned, codes, columns, plan, unseen, not encoder.supervised)
     held_out = F.filter("uses", lambda u: u["part"] < 0)
     others = code_rows(assigned.withColumn("uses", held_out), codes, columns, plan, unseen, True)
-    return ordered_fit_codes(assigned, totals, columns, plan).unionByName(others)
+    return ordered_fit_codes(assigned, totals, columns, plan, permutation_seed).unionByName(others)
 
 
 fold_cube = cb.fold_cube
 
 
 def ordered_fit_codes(
-    assigned: DataFrame, totals: DataFrame, columns: list[str], plan: SplitPlan
+    assigned: DataFrame, totals: DataFrame, columns: list[str], plan: SplitPlan, seed: int = PERMUTATION_SEED
 ) -> DataFrame:
-    """Ordered codes of the training rows of every (fold, phase) from one sort per permutation.
-
-    The order is a seeded hash of the row id, the same for all folds, so the running sums of
-    all training sides are conditional sums over one scan. Codes are averaged over the
-    permutations before the folds are told apart.
-    """
+    """Ordered codes of the training rows of every (fold, phase); all sides share one scan per permutation."""
     sides = [(f, p) for f in range(plan.k) for p in ("inner", "outer")]
     priors = {(r.outer_fold, r.phase): r.fit_pos / r.fit_n for r in totals.where(F.col("part") == cb.FULL).collect()}
 
@@ -206,63 +198,22 @@ def ordered_fit_codes(
         )
 
     mask = sum((F.when(fits_in(*side), 1 << i).otherwise(0) for i, side in enumerate(sides)), F.lit(0))
-    flagged = assigned.select("row_id", "y", *stored_columns(columns), mask.alias("_mask"))
-
-    def bit(i: int) -> Column:
-        return F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0
-
-    sums = {f"n{i}": bit(i).cast("int") for i in range(len(sides))}
-    sums |= {f"s{i}": F.when(bit(i), F.col("y")).otherwise(0) for i in range(len(sides))}
-    scanned = _ordered_sums(flagged, columns, ["_mask"], sums)
-    code = [_ordered_code(F.col(f"s{i}"), F.col(f"n{i}"), priors[side]) for i, side in enumerate(sides)]
-    packed = _average_permutations(
-        scanned.select("row_id", "y", "_mask", "col", *[c.alias(f"c{i}") for i, c in enumerate(code)]),
-        columns, ["row_id", "y", "_mask"], [f"c{i}" for i in range(len(sides))],
-    )
-    side = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(f).alias("outer_fold"), F.lit(p).alias("phase"),
-                    F.lit("inner_train" if p == "inner" else "train").alias("role"),
-                    bit(i).alias("fits"), F.lit(i).alias("i"),
-                )
-                for i, (f, p) in enumerate(sides)
-            ]
+    coded = ordered_codes(assigned, columns, mask, [priors[side] for side in sides], seed)
+    named = [
+        F.struct(
+            F.lit(f).alias("outer_fold"), F.lit(p).alias("phase"),
+            F.lit("inner_train" if p == "inner" else "train").alias("role"),
         )
-    ).alias("_side")
-    each = packed.select("row_id", "y", "_c", side).where("_side.fits").select("row_id", "y", "_c", "_side.*")
-    return each.select("row_id", "y", *USE, F.transform("_c", lambda e: F.get(e["codes"], F.col("i"))).alias("codes"))
+        for f, p in sides
+    ]
+    use = F.get(F.array(*named), F.col("side"))
+    return coded.select("row_id", "y", use.alias("_use"), "codes").select("row_id", "y", "_use.*", "codes")
 
 
 def ordered_whole_codes(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Ordered codes of a plain fit on all rows."""
     prior = rows.agg(F.sum("y") / F.count("*")).first()[0]
-    flagged = rows.select("row_id", "y", *stored_columns(columns))
-    scanned = _ordered_sums(flagged, columns, [], {"n": F.lit(1), "s": F.col("y")})
-    coded = scanned.select("row_id", "col", _ordered_code(F.col("s"), F.col("n"), prior).alias("c0"))
-    packed = _average_permutations(coded, columns, ["row_id"], ["c0"])
-    return packed.select("row_id", F.transform("_c", lambda e: e["codes"][0]).alias("codes"))
-
-
-def _ordered_code(s: Column, n: Column, prior: float) -> Column:
-    return (s + F.lit(enc.ORDERED_ALPHA * prior)) / (n + F.lit(enc.ORDERED_ALPHA))
-
-
-def _ordered_sums(rows: DataFrame, columns: list[str], marks: list[str], sums: dict[str, Column]) -> DataFrame:
-    long = to_long(rows, columns, ["row_id", "y", *marks])
-    perms = long.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1))))
-    hashed = perms.withColumn("_h", seeded_md5(F.col("perm") + PERMUTATION_SEED, F.col("row_id")))
-    return prefix_scan(hashed, ["_h", "row_id"], sums, within=["col", "level", "perm"])
-
-
-def _average_permutations(each: DataFrame, columns: list[str], keys: list[str], codes: list[str]) -> DataFrame:
-    """``keys…, _c``: per column in order, the codes averaged over the permutations."""
-    # co-locate a row once: both aggregations below reuse that partitioning
-    placed = each.repartition("row_id")
-    mean = placed.groupBy(*keys, "col").agg(*[F.avg(c).alias(c) for c in codes])
-    at = F.struct(_position(columns).alias("i"), F.array(*codes).alias("codes"))
-    return mean.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("_c"))  # one entry per column
+    return ordered_codes(rows, columns, F.lit(1), [prior]).select("row_id", "codes")
 
 
 def encode_onehot(
