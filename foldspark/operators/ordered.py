@@ -150,11 +150,10 @@ def ordered_codes(
 ) -> DataFrame:
     """``row_id, y, side, codes`` of every row in every side that it belongs to: bit i of ``mask``, with prior i."""
     sides = len(priors)
-    blocks = block_count(rows.count(), len(columns))
-    plain = rows.select(
-        block_of(F.col("row_id"), blocks, seed).alias("block"), "row_id", F.col("y").cast("bigint").alias("y"),
-        mask.cast("bigint").alias("mask"), level_array(columns).alias("levels"),
-    ).where("mask <> 0")
+    plain = rows.select("row_id", F.col("y").cast("bigint").alias("y"), mask.cast("bigint").alias("mask"), level_array(columns).alias("levels"))
+    plain = materialize(plain, "ordered").where("mask <> 0")
+    blocks = block_count(plain.count(), len(columns))
+    plain = plain.withColumn("block", block_of(F.col("row_id"), blocks, seed))
     earlier = materialize(preceding_counts(block_counts(plain, sides), sides, seed), "preceding")
     none = {"perm": "int", "col": "int", "level": "string", "sums": "array<bigint>"}
     gone = {"row_id": rows.schema["row_id"].dataType, "y": "bigint", "mask": "bigint", "levels": "array<string>"}
