@@ -10,6 +10,7 @@ from foldspark.catalog.registry import query
 from foldspark.operators import cube as cb
 from foldspark.operators import encoders as enc
 from foldspark.operators import foldsafe as fs
+from foldspark.operators import homals as hm
 from foldspark.operators import layouts as ly
 from foldspark.operators import lineage as lin
 from foldspark.operators import splits
@@ -335,6 +336,56 @@ def foldsafe_homals(spark, sf):
     return rounded6(flat(fs.encode_homals(assigned_orders(spark, sf), COLS), *USE))
 
 
+def side_rows(assigned, *columns):
+    """The rows of every training side, once a side."""
+    fit = F.explode(F.filter("uses", lambda u: u["part"] >= 0)).alias("_use")
+    return assigned.select(*columns, fit).select(*columns, "_use.outer_fold", "_use.phase")
+
+
+@query(
+    "homals_audit",
+    f"""{SIDED}, k AS (SELECT sid, count(*)::BIGINT AS n_levels FROM side_lv GROUP BY sid)
+    SELECT {B.side_names('k')}, d::INT AS dimension, n_levels, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS length, 0.0::DOUBLE AS residual
+    FROM k, range(1, 3) t(d)""",
+)
+def homals_audit(spark, sf):
+    """Quantifications of all training sides: centred, of squared length n times the eigenvalue, and axes of the Burt matrix."""
+    rows = materialize(side_rows(assigned_orders(spark, sf), *COLS), "sides")
+    quants = materialize(hm.fit(rows, COLS, cb.SIDE), "quants")
+    found = hm.audit(quants, hm.burt(rows, COLS, cb.SIDE), len(COLS), cb.SIDE)
+    return found.withColumns({c: F.round(F.abs(c), 5) for c in ("mean", "length", "residual")})
+
+
+@query(
+    "homals_pair",
+    f"""{ORDERS_SPLIT}, pair AS (
+      SELECT group_id, (priority <= '2-HIGH')::INT AS a, (oyear <= '1997')::INT AS b FROM orders_cat),
+    cell AS (
+      SELECT outer_fold, phase, count(*)::DOUBLE AS n, sum(a) AS a1, sum(b) AS b1, sum(a * b) AS ab
+      FROM pair JOIN uses USING (group_id) WHERE part >= 0 GROUP BY outer_fold, phase),
+    phi AS (SELECT *, (n * ab - a1 * b1) / sqrt(a1 * (n - a1) * b1 * (n - b1)) AS phi FROM cell),
+    z AS (
+      SELECT outer_fold, phase, phi, col, level, CASE level WHEN '1' THEN k ELSE n - k END AS n,
+        CASE level WHEN '1' THEN sqrt((n - k) / k) ELSE -sqrt(k / (n - k)) END * CASE WHEN col = 'b' AND phi < 0 THEN -1 ELSE 1 END AS z
+      FROM phi, LATERAL (VALUES ('a', a1), ('b', b1)) c(col, k), (VALUES ('0'), ('1')) l(level)),
+    q AS (
+      SELECT *, z * sqrt((1 + abs(phi)) / 2) AS q1, z * sqrt((1 - abs(phi)) / 2) * CASE col WHEN 'b' THEN -1 ELSE 1 END AS q2 FROM z),
+    turned AS (
+      SELECT *, CASE WHEN arg_max(q1, (round(abs(q1), 9), col, level)) OVER w < 0 THEN -q1 ELSE q1 END AS s1,
+        CASE WHEN arg_max(q2, (round(abs(q2), 9), col, level)) OVER w < 0 THEN -q2 ELSE q2 END AS s2
+      FROM q WINDOW w AS (PARTITION BY outer_fold, phase))
+    SELECT outer_fold, phase, col, level, n::BIGINT AS n, round(1 + abs(phi), 6) AS theta1, round(1 - abs(phi), 6) AS theta2,
+      round(s1, 6) AS q1, round(s2, 6) AS q2 FROM turned""",
+)
+def homals_pair(spark, sf):
+    """Two binary columns, whose axes are known in closed form, on every training side."""
+    rows, uses = orders_uses(spark, sf)
+    pair = {"a": F.col("priority") <= "2-HIGH", "b": F.col("oyear") <= "1997"}
+    coded = rows.withColumns({c: x.cast("int").cast("string") for c, x in pair.items()})
+    quants = hm.fit(side_rows(splits.assign(coded, uses), "a", "b"), ["a", "b"], cb.SIDE)
+    return quants.withColumns({c: F.round(c, 6) for c in ("theta1", "theta2", "q1", "q2")})
+
+
 def rounded6(df):
     return df.withColumn("code", F.round("code", 6))
 

@@ -240,7 +240,7 @@ def encode_homals(assigned: DataFrame, columns: list[str], plan: SplitPlan = Spl
     """Fold-safe quantifications: two codes per column; an unseen level is the origin."""
     fit = F.explode(F.filter("uses", lambda u: u["part"] >= 0)).alias("_use")
     each = assigned.select(*columns, fit).select(*columns, "_use.outer_fold", "_use.phase")
-    quants = hm.fit(each, columns, ("outer_fold", "phase"))
+    quants = hm.fit(each, columns, tuple(cb.SIDE))
     codes = quants.select(*cb.SIDE, F.lit(cb.FULL).alias("part"), "col", "level", "n", F.array("q1", "q2").alias("code"))
     origin = F.array(F.lit(0.0), F.lit(0.0))
     coded = code_rows(assigned, materialize(codes, "states"), columns, plan, origin, True)
