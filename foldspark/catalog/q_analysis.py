@@ -63,9 +63,9 @@ def coded_cells(spark, sf):
         codes = enc.ENCODERS[name].codes(states, ())
         frames.append(fs.apply_plain(keyed, codes, COLS, F.lit(0.0)).withColumn("encoder", F.lit(name)))
     buckets = F.lit(16)
-    slots, counts = enc.sparse_counts(enc.buckets_of(enc.row_hashes(COLS, False), buckets))
-    dense = enc.dense_counts(slots, counts, buckets)
-    frames.append(keyed.withColumns({"codes": dense, "encoder": F.lit("hash_shared")}))
+    hashed = enc.with_bucket_counts(keyed, enc.buckets_of(enc.row_hashes(COLS, False), buckets))
+    dense = enc.dense_counts(F.col("slots"), F.col("counts"), buckets)
+    frames.append(hashed.withColumns({"codes": dense, "encoder": F.lit("hash_shared")}))
     return materialize(fs.union_all([f.select("encoder", *COLS, "n", "pos", "codes") for f in frames]), "coded")
 
 

@@ -139,9 +139,11 @@ def hashed(column_aware):
         buckets = enc.hash_width(cb.whole_states(rows, COLS), COLS).select("buckets").scalar()
         each = rows.withColumn("buckets", buckets)
         hits = enc.buckets_of(enc.row_hashes(COLS, column_aware), F.col("buckets"))
-        slots, counts = enc.sparse_counts(hits)  # counted inside the row, no shuffle
-        pairs = F.explode(F.arrays_zip(slots.alias("bucket"), counts.alias("hits"))).alias("p")
-        return each.select("row_id", pairs).select("row_id", "p.bucket", F.col("p.hits").cast("bigint").alias("hits"))
+        counted = enc.with_bucket_counts(each, hits)  # inside the row, no shuffle
+        pairs = F.explode(F.arrays_zip("slots", "counts")).alias("p")
+        return counted.select("row_id", pairs).select(
+            "row_id", F.col("p.slots").alias("bucket"), F.col("p.counts").cast("bigint").alias("hits")
+        )
 
     return run
 
@@ -330,6 +332,37 @@ def safe_hash(column_aware):
 query("foldsafe_hash_column", safe_hash_sql(AWARE.replace("col", "u.col").replace("level", "u.level")))(safe_hash(True))
 query("foldsafe_hash_shared", safe_hash_sql("u.level"))(safe_hash(False))
 
+
+def wide_hash_sql(aware: bool) -> str:
+    token = f"length(c::VARCHAR) || ':' || c || '=' || bit" if aware else "bit::VARCHAR"
+    return f"""{BITS_SPLIT},
+    used AS MATERIALIZED (SELECT row_id, outer_fold, phase, role, part FROM asg),
+    hit AS (SELECT DISTINCT row_id, ({B.prefix48('word')} % {rs.BITS})::INT AS c FROM (
+      SELECT d.doc_id AS row_id, unnest(string_split_regex(text, '[ \\t\\n\\r]+')) AS word
+      FROM documents d JOIN labels USING (doc_id))),
+    lv AS MATERIALIZED (
+      SELECT r.row_id, i::INT AS c, (hit.c IS NOT NULL)::INT AS bit
+      FROM docs_cat r, range(0, {rs.BITS}) t(i) LEFT JOIN hit ON hit.row_id = r.row_id AND hit.c = i),
+    widths AS MATERIALIZED (
+      SELECT outer_fold, phase, CASE WHEN k < 50 THEN 16 WHEN k < 500 THEN 32 WHEN k < 5000 THEN 64 ELSE {rs.BITS} END AS buckets
+      FROM (SELECT outer_fold, phase, count(DISTINCT c * 2 + bit) AS k FROM used JOIN lv USING (row_id) WHERE part >= 0 GROUP BY ALL)),
+    tok AS MATERIALIZED (
+      SELECT c, bit, buckets, {bucket_sql(token, 'buckets')} AS bucket
+      FROM (SELECT DISTINCT c, bit FROM lv), (SELECT DISTINCT buckets FROM widths)),
+    per AS MATERIALIZED (SELECT row_id, buckets, bucket, count(*)::DOUBLE AS code FROM lv JOIN tok USING (c, bit) GROUP BY ALL)
+    SELECT row_id, outer_fold, phase, role, bucket AS position, code
+    FROM used JOIN widths USING (outer_fold, phase) JOIN per USING (row_id, buckets)"""
+
+
+def wide_hash(column_aware):
+    def run(spark, sf):
+        coded = fs.encode_hash(assigned_bits(spark, sf), BITS, column_aware)
+        each = coded.select("row_id", *USE, F.explode(F.arrays_zip("slots", "counts")).alias("p"))
+        return each.select("row_id", *USE, F.col("p.slots").alias("position"), F.col("p.counts").alias("code"))
+
+    return run
+
+
 @query("foldsafe_homals")
 def foldsafe_homals(spark, sf):
     """Quantifications fitted on each training side (iterative: no SQL form)."""
@@ -489,6 +522,10 @@ def foldsafe_target_wide(spark, sf):
     )
 
 
+query("foldsafe_hash_column_wide", wide_hash_sql(True))(wide_hash(True))
+query("foldsafe_hash_shared_wide", wide_hash_sql(False))(wide_hash(False))
+
+
 @query("placement_wide")
 def placement_wide(spark, sf):
     """Placement of 1,024 codes on the training side of fold 0 (iterative: no SQL form)."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from foldspark.functions.hashing import token_bucket, token_hash
 from foldspark.operators.scan import exact_rank
+from foldspark.sources.categories import Wide
 
 # Fixed values of the encoders
 TARGET_ALPHA = 20.0
@@ -136,6 +137,8 @@ def hash_token(column: Column, level: Column, column_aware: bool) -> Column:
 
 def row_hashes(columns: Sequence[str], column_aware: bool) -> Column:
     """Token hash of each column, in column order: no shuffle, no fitted table."""
+    if isinstance(columns, Wide):
+        return F.transform(columns.array, lambda v, i: token_hash(hash_token(i.cast("string"), v, column_aware)))
     return F.array(*[token_hash(hash_token(F.lit(c), F.col(c), column_aware)) for c in columns])
 
 
@@ -143,21 +146,36 @@ def buckets_of(hashes: Column, buckets: Column) -> Column:
     return F.transform(hashes, lambda h: F.pmod(h, buckets).cast("int"))
 
 
-def sparse_counts(hits: Column) -> tuple[Column, Column]:
-    """Unsigned counts over shared buckets: occupied buckets in order, and their counts."""
-    slots = F.array_sort(F.array_distinct(hits))
-    counts = F.transform(slots, lambda s: F.size(F.filter(hits, lambda h: h == s)).cast("double"))
-    return slots, counts
+def with_bucket_counts(df: DataFrame, hits: Column) -> DataFrame:
+    """Adds ``slots``, the occupied buckets in order, and ``counts``, how often each is hit.
 
+    The hits are sorted once a row; a bucket is a run between two neighbouring starts.
+    """
+    df = df.withColumn("_sorted", F.array_sort(hits))
+    size = F.size("_sorted")
 
-def dense_counts(slots: Column, counts: Column, width: Column) -> Column:
-    """Dense vector of a sparse code."""
-    filled = F.map_from_arrays(slots, counts)
-    return F.transform(
-        F.sequence(F.lit(0), width - 1), lambda b: F.coalesce(F.try_element_at(filled, b), F.lit(0.0))
+    def starts(i: Column) -> Column:
+        new = (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1))
+        return (i >= 0) & (i < size) & new
+
+    df = df.withColumn("_starts", F.filter(F.sequence(F.lit(0), size - 1), starts))
+    length = F.transform("_starts", lambda i, k: (F.coalesce(F.get("_starts", k + 1), size) - i).cast("double"))
+    return df.withColumns({"slots": F.transform("_starts", lambda i: F.get("_sorted", i)), "counts": length}).drop(
+        "_sorted", "_starts"
     )
 
 
+def dense_counts(slots: Column, counts: Column, width: Column) -> Column:
+    """Dense vector of a sparse code whose ``slots`` ascend: zeros are laid between neighbours in one pass."""
+
+    def piece(slot: Column, k: Column) -> Column:
+        before = F.when(k == 0, F.lit(-1)).otherwise(F.get(slots, k - 1))
+        return F.concat(F.array_repeat(F.lit(0.0), slot - before - 1), F.array(F.get(counts, k)))
+
+    last = F.coalesce(F.try_element_at(slots, F.lit(-1)), F.lit(-1))
+    return F.concat(F.flatten(F.transform(slots, piece)), F.array_repeat(F.lit(0.0), width - last - 1))
+
+
 def sentinel_buckets(widths: DataFrame) -> DataFrame:
     """Buckets of the bare strings "0" and "1" at each width in use."""
     zero, one = (token_bucket(F.lit(s), F.col("buckets")) for s in ("0", "1"))

@@ -271,11 +271,8 @@ def encode_any(assigned: DataFrame, columns: list[str], name: str, plan: SplitPl
 
 
 def dense_slots(slots: Column, width: Column) -> Column:
-    """0/1 vector of a row from its active slots."""
-    return F.transform(
-        F.sequence(F.lit(0), width - 1),
-        lambda i: F.when(F.array_contains(slots, i), 1.0).otherwise(0.0),
-    )
+    """0/1 vector of a row from its active slots, which ascend with the columns."""
+    return enc.dense_counts(slots, F.transform(slots, lambda s: F.lit(1.0)), width)
 
 
 def encode_hash(
@@ -283,17 +280,18 @@ def encode_hash(
 ) -> DataFrame:
     """Fold-safe hashed counts: only the bucket width is fitted, per training side.
 
-    Codes are sparse, ``slots ARRAY<INT>`` with their ``counts``; the token hashes of a row are
-    computed once and reduced to buckets per use.
+    Codes are sparse, ``slots ARRAY<INT>`` with their ``counts``.
     """
     cube = fold_cube(assigned, columns) if cube is None else cube
     widths = enc.hash_width(cube.select(*cb.SIDE, "col", "level").distinct(), columns, cb.SIDE)
-    hashes = enc.row_hashes(columns, column_aware)
-    each = assigned.select("row_id", "y", hashes.alias("_h"), F.explode("uses").alias("_use"))
-    each = each.select("row_id", "y", "_h", "_use.*").join(F.broadcast(widths), cb.SIDE)  # 2k records
-    hits = each.withColumn("_hits", enc.buckets_of(F.col("_h"), F.col("buckets")))
-    slots, counts = enc.sparse_counts(F.col("_hits"))
-    return hits.select("row_id", "y", *USE, slots.alias("slots"), counts.alias("counts"), "buckets")
+    widths = materialize(widths.select(*cb.SIDE, "buckets"), "widths")  # 2k records
+    # the width rule has four values: a row is counted once for each that occurs, not once a use
+    occurring = F.explode(widths.agg(F.collect_set("buckets")).scalar()).alias("buckets")
+    each = assigned.select("row_id", "y", "uses", enc.row_hashes(columns, column_aware).alias("_h"), occurring)
+    counted = enc.with_bucket_counts(each, enc.buckets_of(F.col("_h"), F.col("buckets"))).drop("_h")
+    used = counted.select("row_id", "y", "slots", "counts", "buckets", F.explode("uses").alias("_use"))
+    used = used.select("row_id", "y", "slots", "counts", "buckets", "_use.*").join(F.broadcast(widths), [*cb.SIDE, "buckets"])
+    return used.select("row_id", "y", *USE, "slots", "counts", "buckets")
 
 
 def encode_global(assigned: DataFrame, columns: list[str], name: str) -> DataFrame:

@@ -65,6 +65,15 @@ def test_hash_tokens_and_widths(spark):
     assert got == [16, 32, 64, 10]
 
 
+def test_bucket_counts_are_runs_of_the_sorted_hits(spark):
+    rows = [([3, 1, 3, 3, 0],), ([7],), ([],), ([5, 5],), (list(range(8)),)]
+    df = spark.createDataFrame(rows, "h ARRAY<INT>")
+    out = enc.with_bucket_counts(df, F.col("h")).withColumn("dense", enc.dense_counts(F.col("slots"), F.col("counts"), F.lit(8)))
+    for r in out.collect():
+        want = [float(r.h.count(b)) for b in range(8)]
+        assert r.dense == want and r.slots == sorted(set(r.h)) and r.counts == [want[b] for b in r.slots]
+
+
 def test_blake2b_family(spark):
     import hashlib
 
