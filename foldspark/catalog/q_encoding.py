@@ -522,6 +522,50 @@ def foldsafe_target_wide(spark, sf):
     )
 
 
+COUNTS = Wide("levels", 2 * rs.BITS)
+CHECK = 97  # codes enter a checksum as integers of a millionth, weighted by position
+
+
+@query(
+    "foldsafe_target_blocks",
+    f"""{BITS_SPLIT},
+    used AS MATERIALIZED (SELECT row_id, y, outer_fold * 2 + (phase = 'outer')::INT AS sid, role, part FROM asg),
+    h AS (SELECT row_id, {B.prefix48('word')} AS h FROM (
+      SELECT d.doc_id AS row_id, unnest(string_split_regex(text, '[ \\t\\n\\r]+')) AS word FROM documents d JOIN labels USING (doc_id))),
+    hit AS (SELECT row_id, c, count(*) AS k FROM (
+      SELECT row_id, (h % {rs.BITS})::INT AS c FROM h UNION ALL SELECT row_id, ((h >> 20) % {rs.BITS} + {rs.BITS})::INT FROM h)
+      GROUP BY row_id, c),
+    lv AS MATERIALIZED (
+      SELECT r.row_id, i::INT AS c, coalesce(hit.k, 0)::INT AS level
+      FROM docs_cat r, range(0, {2 * rs.BITS}) t(i) LEFT JOIN hit ON hit.row_id = r.row_id AND hit.c = i),
+    part_n AS MATERIALIZED (
+      SELECT sid, part, c, level, count(*) AS n, sum(y) AS pos FROM used JOIN lv USING (row_id) WHERE part >= 0 GROUP BY ALL),
+    side_n AS MATERIALIZED (SELECT sid, c, level, sum(n) AS n, sum(pos) AS pos FROM part_n GROUP BY ALL),
+    fit_part AS (SELECT sid, part, sum(n) AS n, sum(pos) AS pos FROM part_n WHERE c = 0 GROUP BY ALL),
+    fit AS (
+      SELECT sid, -1 AS part, sum(n) AS fit_n, sum(pos) AS fit_pos FROM fit_part GROUP BY sid
+      UNION ALL SELECT sid, part, sum(n) OVER (PARTITION BY sid) - n, sum(pos) OVER (PARTITION BY sid) - pos FROM fit_part),
+    x AS (
+      SELECT u.row_id, u.sid, u.role, lv.c, f.fit_pos / f.fit_n AS prior,
+        coalesce(s.n, 0) - coalesce(p.n, 0) AS n, coalesce(s.pos, 0) - coalesce(p.pos, 0) AS pos
+      FROM used u JOIN fit f USING (sid, part) JOIN lv USING (row_id)
+      LEFT JOIN side_n s ON s.sid = u.sid AND s.c = lv.c AND s.level = lv.level
+      LEFT JOIN part_n p ON p.sid = u.sid AND p.part = u.part AND p.c = lv.c AND p.level = lv.level)
+    SELECT row_id, {B.side_names('x')}, role, count(*)::INT AS n_codes,
+      sum(round((CASE WHEN n > 0 THEN (pos + 20.0::DOUBLE * prior) / (n + 20.0::DOUBLE) ELSE prior END + {NUDGE}::DOUBLE) * 1000000)::BIGINT
+        * (c % {CHECK} + 1))::BIGINT AS checksum
+    FROM x GROUP BY row_id, sid, role""",
+)
+def foldsafe_target_blocks(spark, sf):
+    """2,048 counted columns with more levels than one dictionary holds; all codes of a row enter its checksum."""
+    rows = materialize(rs.docs_counts(spark, sf), "counts")
+    assigned = materialize(splits.assign(rows, splits.fold_uses(rows)), "counts")
+    coded = fs.encode(assigned, COUNTS, "target")
+    whole = F.transform("codes", lambda c, i: F.round((c + NUDGE) * 1000000).cast("bigint") * (i % CHECK + 1))
+    total = F.aggregate(whole, F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return coded.select("row_id", *USE, F.size("codes").alias("n_codes"), total.alias("checksum"))
+
+
 query("foldsafe_hash_column_wide", wide_hash_sql(True))(wide_hash(True))
 query("foldsafe_hash_shared_wide", wide_hash_sql(False))(wide_hash(False))
 

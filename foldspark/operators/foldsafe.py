@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -86,50 +87,83 @@ def code_rows(
     ``unseen`` is the code of unseen levels, or a table of it per state. ``whole_side`` uses the
     whole-side state for all rows (label-free encoders).
     """
-    small = _dictionary(codes, columns)
-    if small is None:
+    blocks = _blocks(codes, columns)
+    if blocks is None:
         each = _each_use(_attach(assigned.drop("n"), pack_codes(codes, plan), columns), "_codes")
     else:
-        slots = F.zip_with(small[0], level_array(columns), _slot_in)
-        each = _each_use(assigned.withColumn("_slots", slots), "_slots")
+        slots = {f"_slots{i}": F.zip_with(b.dictionary, _levels_of(columns, b), _slot_in) for i, b in enumerate(blocks)}
+        held = F.struct(*[x.alias(name) for name, x in slots.items()])
+        each = _each_use(assigned.withColumn("_held", held), "_held").select("*", "_held.*").drop("_held")
     if whole_side:
         each = each.withColumn("part", F.lit(cb.FULL))
     if isinstance(unseen, DataFrame):
         each = each.join(F.broadcast(unseen), cb.STATE)  # one record per state
     else:
         each = each.withColumn("_unseen", unseen if isinstance(unseen, Column) else F.lit(unseen))
-    if small is None:
+    if blocks is None:
         slot = _slot(F.col("outer_fold"), F.col("phase"), F.col("part"), plan)
-        picked = _pick(slot, F.col("_unseen"))
-    else:
-        # one record per state, each at most DICTIONARY_SLOTS codes
-        each = each.join(F.broadcast(_state_arrays(codes, columns, *small)), cb.STATE)
-        picked = F.transform("_slots", lambda s: F.coalesce(F.get("_table", s), F.col("_unseen")))
-    return each.select("row_id", "y", *USE, picked.alias("codes"))
+        return each.select("row_id", "y", *USE, _pick(slot, F.col("_unseen")).alias("codes"))
+    picked = []
+    for i, block in enumerate(blocks):
+        # one record per state; all blocks together are at most STATE_BYTES
+        tables = _state_arrays(codes, columns, block).withColumnRenamed("_table", f"_table{i}")
+        each = each.join(F.broadcast(tables), cb.STATE)
+        picked.append(_picked(f"_slots{i}", f"_table{i}"))
+    return each.select("row_id", "y", *USE, (F.concat(*picked) if len(picked) > 1 else picked[0]).alias("codes"))
 
 
-# ---- dictionary of few levels ----------------------------------------------------------------
+# ---- dictionaries of blocks of columns -------------------------------------------------------
 
-DICTIONARY_SLOTS = 8192  # levels of all columns together
-DICTIONARY_LEVELS = 256  # levels of one column
+BLOCK_SLOTS = 8192  # levels of a block of neighbouring columns
+BLOCK_BYTES = 1 << 20  # of their texts
+COLUMN_LEVELS = 256  # levels of one column
+STATE_BYTES = 256 << 20  # codes of all states that a task holds
 
 
-def _dictionary(codes: DataFrame, columns: list[str]) -> tuple[Column, int] | None:
-    """Constant ``ARRAY<STRUCT<start, levels>>`` in column order, and its number of slots.
+@dataclass(frozen=True)
+class _Block:
+    """Columns ``first`` to ``last`` (exclusive) with a constant ``ARRAY<STRUCT<start, levels>>`` of ``size`` slots."""
 
-    Offered only when the checked numbers of levels are small; rows are then coded without
-    any join on levels.
-    """
-    per = codes.select("col", "level").distinct().groupBy("col")
-    top, size, found = per.agg(F.count("*").alias("k")).agg(F.max("k"), F.sum("k"), F.count("*")).first()
-    if found != len(columns) or top > DICTIONARY_LEVELS or size > DICTIONARY_SLOTS:
+    first: int
+    last: int
+    dictionary: Column
+    size: int
+
+
+def _blocks(codes: DataFrame, columns: list[str]) -> list[_Block] | None:
+    """Dictionaries of all columns, offered only when their checked sizes are small; rows are then coded without any join
+    on levels: no row is shuffled, however many columns there are."""
+    levels = codes.select("col", "level").distinct().withColumn("b", F.octet_length("level"))
+    per = levels.groupBy("col").agg(F.count("*").alias("k"), F.sum("b").alias("b"))
+    top, size, longest, found = per.agg(F.max("k"), F.sum("k"), F.max("b"), F.count("*")).first()
+    if found != len(columns) or top > COLUMN_LEVELS or longest > BLOCK_BYTES:
+        return None
+    states = codes.select(*cb.STATE).distinct().count()
+    if size * states * 16 > STATE_BYTES:
         return None
-    levels = per.agg(F.array_sort(F.collect_list("level")).alias("levels"))
-    start, entries = 0, []
-    for row in sorted(levels.select(_position(columns).alias("i"), "levels").collect()):
+    named = levels.groupBy("col").agg(F.array_sort(F.collect_list("level")).alias("levels"), F.sum("b").alias("b"))
+    out, entries, start, held, first = [], [], 0, 0, 0
+
+    def close(last: int) -> None:
+        dictionary = F.from_json(F.lit(json.dumps(entries)), "array<struct<start:int,levels:array<string>>>")
+        out.append(_Block(first, last, dictionary, start))
+
+    for row in sorted(named.select(_position(columns).alias("i"), "levels", "b").collect()):  # bounded: see above
+        if entries and (start + len(row.levels) > BLOCK_SLOTS or held + row.b > BLOCK_BYTES):
+            close(row.i)
+            entries, start, held, first = [], 0, 0, row.i
         entries.append({"start": start, "levels": row.levels})
-        start += len(row.levels)
-    return F.from_json(F.lit(json.dumps(entries)), "array<struct<start:int,levels:array<string>>>"), size
+        start, held = start + len(row.levels), held + row.b
+    close(len(columns))
+    return out
+
+
+def _picked(slots: str, table: str) -> Column:
+    return F.transform(slots, lambda s: F.coalesce(F.get(table, s), F.col("_unseen")))
+
+
+def _levels_of(columns: list[str], block: _Block) -> Column:
+    return F.slice(level_array(columns), block.first + 1, block.last - block.first)
 
 
 def _position(columns: list[str]) -> Column:
@@ -144,14 +178,16 @@ def _slot_in(entry: Column, level: Column) -> Column:
     return (found + entry["start"] - 1).cast("int")
 
 
-def _state_arrays(codes: DataFrame, columns: list[str], dictionary: Column, size: int) -> DataFrame:
+def _state_arrays(codes: DataFrame, columns: list[str], block: _Block) -> DataFrame:
     """Codes of every state as one array indexed by slot; NULL where a level is unseen.
 
     One record per state, of ``size`` codes.
     """
-    entry = F.get(dictionary, _position(columns))
-    known = codes.select(*cb.STATE, "code", _slot_in(entry, F.col("level")).alias("slot"))
-    every = codes.select(*cb.STATE).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    at = _position(columns)
+    entry = F.get(block.dictionary, at - block.first)
+    mine = codes.where((at >= block.first) & (at < block.last))
+    known = mine.select(*cb.STATE, "code", _slot_in(entry, F.col("level")).alias("slot"))
+    every = codes.select(*cb.STATE).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(block.size - 1))))
     filled = every.join(known, [*cb.STATE, "slot"], "left")
     packed = filled.groupBy(*cb.STATE).agg(F.array_sort(F.collect_list(F.struct("slot", "code"))).alias("_t"))
     return packed.select(*cb.STATE, F.transform("_t", lambda e: e["code"]).alias("_table"))

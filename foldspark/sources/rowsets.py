@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldspark.functions.hashing import md5_prefix, unit_interval
+from foldspark.operators.encoders import dense_counts, with_bucket_counts
 from foldspark.session import spread
 from foldspark.sources.categories import define_target, normalize
 
@@ -108,6 +109,24 @@ def _bit_levels(hits: pd.Series) -> pd.Series:
     return hits.map(dense)
 
 
+def docs_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as wide categories: level i is how many of the words hash to i, by two hashes of ``BITS`` values."""
+    d = fact(spark, sf_dir, "documents", "doc_id")
+    hashes = F.transform(F.split("text", "[ \\t\\n\\r]+"), md5_prefix)
+    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(BITS)).cast("int"))
+    two = F.transform(hashes, lambda h: (F.pmod(F.shiftright(h, 20), F.lit(BITS)) + BITS).cast("int"))
+    at = F.concat(one, two)
+    rows = table(spark, sf_dir, "labels").join(d, "doc_id").select(
+        F.col("doc_id").alias("row_id"),
+        F.md5("text").alias("group_id"),
+        define_target(F.col("quality"), 1).alias("y"),
+        at.alias("at"),
+    )
+    counted = with_bucket_counts(rows, F.col("at"))
+    dense = dense_counts(F.col("slots"), F.col("counts"), F.lit(2 * BITS))
+    return counted.select("row_id", "group_id", "y", F.transform(dense, lambda c: c.cast("int").cast("string")).alias("levels"))
+
+
 def line_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the brand and type of their part; no row id (aggregates only)."""
     li = fact(spark, sf_dir, "lineitem", "l_orderkey")

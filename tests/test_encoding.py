@@ -115,7 +115,10 @@ def test_target_equals_direct_refit_on_every_path(spark, toy, uses, assigned, mo
     wide_rows = rows.withColumn("levels", F.array(*COLS))
     wide = Wide("levels", 4)
     assert codes(fs.encode(wide_rows, wide, "target")) == want
-    monkeypatch.setattr(fs, "DICTIONARY_SLOTS", 0)
+    monkeypatch.setattr(fs, "BLOCK_SLOTS", 6)  # five, three, four and two levels: a block each, and one of two columns
+    assert codes(fs.encode(rows, COLS, "target")) == want
+    assert codes(fs.encode(wide_rows, wide, "target")) == want
+    monkeypatch.setattr(fs, "COLUMN_LEVELS", 0)
     assert codes(fs.encode(rows, COLS, "target")) == want
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(skew, "HOT_SHARE", 0.1)
