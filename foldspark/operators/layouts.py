@@ -20,54 +20,90 @@ MAX_PIXELS = 262_144
 IMAGE_SIZE = 64
 SWAP_STEPS = 2000
 LAYOUT_SEED = 7
+FAN = 16  # records of moments that meet in a task
 CHUNK_PIXELS = 4_000_000  # pixels rendered at once inside a task
 
 
 # ---- placement fit ---------------------------------------------------------------------------
 
 
+def _moments(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and sums of products of the deviations from them."""
+    mean = x.mean(axis=0)
+    off = x - mean
+    drift = off.mean(axis=0)  # what rounding left in the mean
+    return len(x), mean + drift, off.T @ off - len(x) * np.outer(drift, drift)
+
+
+def _combined(a: tuple, b: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+    """Moments of two sets of rows together; no raw sums of squares, so a large mean costs no digits."""
+    n = a[0] + b[0]
+    apart = b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
+def feature_moments(coded: DataFrame, keys: list[str], codes: str = "codes", tasks: int | None = None) -> DataFrame:
+    """``keys…, n, mean, m2``: one record a key, combined in a tree.
+
+    ``tasks`` (two a core by default) read the rows, each any number of partitions one after the other, and give one
+    record a key: what is exchanged does not grow with the partitions. ``FAN`` records meet at a time.
+    """
+    schema = T.StructType([*[coded.schema[k] for k in keys], *T.StructType.fromDDL("n bigint, mean array<double>, m2 array<double>, part int").fields])
+
+    def record(key: tuple, found: tuple, part: int) -> pd.DataFrame:
+        return pd.DataFrame([(*key, found[0], found[1], found[2].ravel(), part)], columns=schema.names)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple] = {}
+        part = 0
+        for batch in batches:
+            part = int(batch["part"].iloc[0]) if len(batch) else part
+            for key, rows in batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]:
+                if len(rows):
+                    new = _moments(np.stack(rows[codes].to_numpy()).astype(float))
+                    held[key] = _combined(held[key], new) if key in held else new
+        for key, found in held.items():
+            yield record(key, found, part)
+
+    def merged(records: pd.DataFrame) -> pd.DataFrame:
+        out = None
+        for n, mean, m2 in zip(records["n"], records["mean"], records["m2"]):
+            one = (int(n), np.asarray(mean), np.asarray(m2).reshape(len(mean), -1))
+            out = one if out is None else _combined(out, one)
+        key = tuple(records[k].iloc[0] for k in keys)
+        return record(key, out, int(records["part"].iloc[0]) // FAN)
+
+    tasks = tasks or 2 * coded.sparkSession.sparkContext.defaultParallelism
+    found = coded.coalesce(tasks).select(*keys, codes, F.spark_partition_id().alias("part")).mapInPandas(partial, schema)
+    while tasks > 1:
+        found = found.groupBy(*keys, F.floor(F.col("part") / FAN).alias("_at")).applyInPandas(merged, schema)
+        tasks = -(-tasks // FAN)
+    return found.drop("part")
+
+
 def feature_distance(coded: DataFrame, keys: list[str], codes: str = "codes") -> DataFrame:
     """``keys…, i, j, dist`` for i < j: one minus Pearson correlation; undefined gives 1.
 
-    Each task adds up its rows' products with one matrix multiplication per batch and key, so a
-    task emits one record per pair and the shuffle is independent of the number of rows.
+    A column counts as constant if its deviations are no larger than the rounding of its mean.
     """
-    key_fields = [coded.schema[k] for k in keys]
-    sums = T.StructType(
-        key_fields
-        + [T.StructField(c, T.IntegerType()) for c in ("i", "j")]
-        + [T.StructField(c, T.DoubleType()) for c in ("n", "si", "sj", "sii", "sjj", "sij")]
-    )
+    schema = T.StructType([*[coded.schema[k] for k in keys], *T.StructType.fromDDL("i int, j int, dist double").fields])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple, list] = {}
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            groups = batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]
-            for key, part in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                x = np.stack(part[codes].to_numpy()).astype(float)
-                held = totals.setdefault(key, [0, 0.0, 0.0])
-                held[0] += len(x)
-                held[1] = held[1] + x.sum(axis=0)
-                held[2] = held[2] + x.T @ x
-        for key, (n, s, g) in totals.items():
-            i, j = np.triu_indices(len(s), k=1)
-            sq = np.diag(g)
-            out = pd.DataFrame(
-                {"i": i, "j": j, "n": float(n), "si": s[i], "sj": s[j], "sii": sq[i], "sjj": sq[j], "sij": g[i, j]}
-            )
-            for name, value in zip(keys, key):
-                out[name] = value
-            yield out[sums.names]
-
-    per = coded.select(*keys, codes).mapInPandas(partial, sums)
-    total = per.groupBy(*keys, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sii", "sjj", "sij")])
-    cov = F.col("sij") - F.col("si") * F.col("sj") / F.col("n")
-    var_i = F.col("sii") - F.col("si") * F.col("si") / F.col("n")
-    var_j = F.col("sjj") - F.col("sj") * F.col("sj") / F.col("n")
-    varies = (var_i > F.lit(1e-12) * F.col("sii")) & (var_j > F.lit(1e-12) * F.col("sjj"))
-    corr = F.when(varies, F.try_divide(cov, F.sqrt(var_i * var_j)))
-    return total.select(*keys, "i", "j", (1 - F.coalesce(corr, F.lit(0.0))).alias("dist"))
+            for r in batch.itertuples(index=False):
+                mean = np.asarray(r.mean)
+                m2 = np.asarray(r.m2).reshape(len(mean), -1)
+                square = np.diag(m2)
+                varies = square > r.n * (1e-13 * np.abs(mean)) ** 2
+                root = np.sqrt(np.where(varies, square, 1.0))
+                corr = np.where(varies[:, None] & varies, m2 / root[:, None] / root, 0.0)
+                i, j = np.triu_indices(len(mean), k=1)
+                out = pd.DataFrame({"i": i, "j": j, "dist": 1.0 - corr[i, j]})
+                for name in keys:
+                    out[name] = getattr(r, name)
+                yield out[schema.names]
+
+    return feature_moments(coded, keys, codes).mapInPandas(pairs, schema)
 
 
 def pair_ranks(pairs: DataFrame, keys: list[str], by: str = "dist", out: str = "feature_rank") -> DataFrame:

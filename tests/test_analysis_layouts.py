@@ -128,6 +128,33 @@ def test_distance_equals_numpy_and_constants_give_one(spark):
             assert d == 1.0
 
 
+@pytest.mark.parametrize("tasks", [1, 3, 40])
+def test_correlations_keep_their_digits_at_a_large_mean(spark, tasks):
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(300, 6))
+    z[:, 3:] += z[:, :3]
+    z += 1e8
+    df = coded(spark, z).repartition(40)
+    out = ly.feature_moments(df, ["k"], tasks=tasks).collect()
+    assert len(out) == 1 and out[0].n == 300
+    assert out[0]["mean"] == pytest.approx(z.mean(0), abs=1e-6)
+    m2 = np.array(out[0].m2).reshape(6, 6)
+    assert m2 == pytest.approx(np.cov(z.T) * 299, rel=1e-7, abs=1e-5)
+    want = 1 - np.corrcoef(z.T)
+    for r in ly.feature_distance(df, ["k"]).collect():
+        assert r.dist == pytest.approx(want[r.i, r.j], abs=1e-9)
+
+
+def test_moments_of_several_keys_and_none(spark):
+    z = np.random.default_rng(3).random((50, 3))
+    df = coded(spark, z).withColumn("k", F.when(F.col("row_id") < 20, "a").when(F.col("row_id") < 30, F.lit(None)).otherwise("b"))
+    got = {r.k: r for r in ly.feature_moments(df, ["k"]).collect()}
+    assert {k: r.n for k, r in got.items()} == {"a": 20, None: 10, "b": 20}
+    assert got["a"]["mean"] == pytest.approx(z[:20].mean(0))
+    assert ly.feature_moments(df, []).first().n == 50
+    assert ly.feature_moments(df.limit(0), ["k"]).count() == 0
+
+
 def test_search_improves_and_is_a_permutation(spark):
     z = np.random.default_rng(1).random((60, 12))
     z[:, 6:] = z[:, :6] + 0.05 * z[:, 6:]
