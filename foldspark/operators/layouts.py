@@ -27,19 +27,19 @@ CHUNK_PIXELS = 4_000_000  # pixels rendered at once inside a task
 # ---- placement fit ---------------------------------------------------------------------------
 
 
-def _moments(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, means and sums of products of the deviations from them."""
+def _moments(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, means as a rounded value and the rest, and sums of products of the deviations from them."""
     mean = x.mean(axis=0)
     off = x - mean
-    drift = off.mean(axis=0)  # what rounding left in the mean
-    return len(x), mean + drift, off.T @ off - len(x) * np.outer(drift, drift)
+    rest = off.mean(axis=0)
+    return len(x), mean, rest, off.T @ off - len(x) * np.outer(rest, rest)
 
 
-def _combined(a: tuple, b: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+def _combined(a: tuple, b: tuple) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """Moments of two sets of rows together; no raw sums of squares, so a large mean costs no digits."""
     n = a[0] + b[0]
-    apart = b[1] - a[1]
-    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+    apart = (b[1] - a[1]) + (b[2] - a[2])
+    return n, a[1], a[2] + apart * (b[0] / n), a[3] + b[3] + np.outer(apart, apart) * (a[0] * b[0] / n)
 
 
 def feature_moments(coded: DataFrame, keys: list[str], codes: str = "codes", tasks: int | None = None) -> DataFrame:
@@ -48,10 +48,13 @@ def feature_moments(coded: DataFrame, keys: list[str], codes: str = "codes", tas
     ``tasks`` (two a core by default) read the rows, each any number of partitions one after the other, and give one
     record a key: what is exchanged does not grow with the partitions. ``FAN`` records meet at a time.
     """
-    schema = T.StructType([*[coded.schema[k] for k in keys], *T.StructType.fromDDL("n bigint, mean array<double>, m2 array<double>, part int").fields])
+    schema = T.StructType([*[coded.schema[k] for k in keys], *T.StructType.fromDDL("n bigint, mean array<double>, rest array<double>, m2 array<double>, part int").fields])
+
+    def named(key) -> tuple:
+        return tuple(None if pd.isna(k) else k for k in key)
 
     def record(key: tuple, found: tuple, part: int) -> pd.DataFrame:
-        return pd.DataFrame([(*key, found[0], found[1], found[2].ravel(), part)], columns=schema.names)
+        return pd.DataFrame([(*key, found[0], found[1], found[2], found[3].ravel(), part)], columns=schema.names)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, tuple] = {}
@@ -61,24 +64,25 @@ def feature_moments(coded: DataFrame, keys: list[str], codes: str = "codes", tas
             for key, rows in batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]:
                 if len(rows):
                     new = _moments(np.stack(rows[codes].to_numpy()).astype(float))
-                    held[key] = _combined(held[key], new) if key in held else new
+                    side = named(key)
+                    held[side] = _combined(held[side], new) if side in held else new
         for key, found in held.items():
             yield record(key, found, part)
 
     def merged(records: pd.DataFrame) -> pd.DataFrame:
         out = None
-        for n, mean, m2 in zip(records["n"], records["mean"], records["m2"]):
-            one = (int(n), np.asarray(mean), np.asarray(m2).reshape(len(mean), -1))
+        for n, mean, rest, m2 in zip(*(records[c] for c in ("n", "mean", "rest", "m2"))):
+            one = (int(n), np.asarray(mean), np.asarray(rest), np.asarray(m2).reshape(len(mean), -1))
             out = one if out is None else _combined(out, one)
-        key = tuple(records[k].iloc[0] for k in keys)
-        return record(key, out, int(records["part"].iloc[0]) // FAN)
+        return record(named(records[k].iloc[0] for k in keys), out, int(records["part"].iloc[0]) // FAN)
 
     tasks = tasks or 2 * coded.sparkSession.sparkContext.defaultParallelism
     found = coded.coalesce(tasks).select(*keys, codes, F.spark_partition_id().alias("part")).mapInPandas(partial, schema)
     while tasks > 1:
         found = found.groupBy(*keys, F.floor(F.col("part") / FAN).alias("_at")).applyInPandas(merged, schema)
         tasks = -(-tasks // FAN)
-    return found.drop("part")
+    whole = F.zip_with("mean", "rest", lambda a, b: a + b)
+    return found.select(*keys, "n", whole.alias("mean"), "m2")
 
 
 def feature_distance(coded: DataFrame, keys: list[str], codes: str = "codes") -> DataFrame:
