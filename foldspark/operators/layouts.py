@@ -15,11 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldspark.session import materialize
+
 # Fixed values of the layouts
 MAX_PIXELS = 262_144
 IMAGE_SIZE = 64
 SWAP_STEPS = 2000
 LAYOUT_SEED = 7
+ROUNDS = 4  # of searches that exchange their best states
 FAN = 16  # records of moments that meet in a task
 CHUNK_PIXELS = 4_000_000  # pixels rendered at once inside a task
 
@@ -135,70 +138,117 @@ def grid_distance(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("cell_dist", F.sqrt((dy * dy + dx * dx).cast("double"))).drop("_d")
 
 
-def search_placement(
-    ranks: DataFrame, keys: list[str], seeds: list[int], steps: int = SWAP_STEPS
-) -> DataFrame:
-    """Seeded swap search from several starts per key, all starts in parallel.
+def _packed_ranks(ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """One record a key: ``keys…, d, feature, cell``, the two symmetric d x d rank matrices as int64 bytes."""
+    schema = T.StructType([*[ranks.schema[k] for k in keys], *T.StructType.fromDDL("d int, feature binary, cell binary").fields])
 
-    ``ranks`` has ``keys…, i, j, feature_rank, cell_rank``. A swap of two features is kept when it
-    lowers the mean squared gap between feature ranks and cell ranks; only the two changed
-    rows of the gap are recomputed. Returns ``keys…, seed, error, start_error, perm``.
-    """
-    key_fields = [ranks.schema[k] for k in keys]
-    schema = T.StructType(
-        key_fields
-        + [
-            T.StructField("seed", T.IntegerType()),
-            T.StructField("error", T.DoubleType()),
-            T.StructField("start_error", T.DoubleType()),
-            T.StructField("perm", T.ArrayType(T.IntegerType())),
-        ]
-    )
-
-    def search(pairs: pd.DataFrame) -> pd.DataFrame:
+    def pack(pairs: pd.DataFrame) -> pd.DataFrame:
         d = int(pairs["j"].max()) + 1
         i, j = pairs["i"].to_numpy(), pairs["j"].to_numpy()
-        feature, cell = np.zeros((d, d)), np.zeros((d, d))
-        feature[i, j] = feature[j, i] = pairs["feature_rank"]
-        cell[i, j] = cell[j, i] = pairs["cell_rank"]
-        seed = int(pairs["seed"].iloc[0])
-        perm = np.arange(d)
-        start = error = float(((feature - cell) ** 2).sum())
-        for a, b in np.random.default_rng(seed).integers(0, d, (steps, 2)):
-            if a == b:
-                continue
-            swapped = perm.copy()
-            swapped[a], swapped[b] = perm[b], perm[a]
-            rows = [a, b]
-            before = ((feature[perm[rows]][:, perm] - cell[rows]) ** 2).sum(axis=0)
-            after = ((feature[swapped[rows]][:, swapped] - cell[rows]) ** 2).sum(axis=0)
-            others = np.ones(d, bool)
-            others[rows] = False
-            # symmetric matrix, zero diagonal: the pair (a, b) itself keeps its gap
-            change = 2.0 * (after[others].sum() - before[others].sum())
-            if change < 0:
-                perm, error = swapped, error + change
-        out = {k: [pairs[k].iloc[0]] for k in keys}
-        out |= {"seed": [seed], "error": [error / d**2], "start_error": [start / d**2], "perm": [perm.tolist()]}
+        out = {k: [pairs[k].iloc[0]] for k in keys} | {"d": [d]}
+        for name in ("feature", "cell"):
+            full = np.zeros((d, d), np.int64)
+            full[i, j] = full[j, i] = pairs[f"{name}_rank"]
+            out[name] = [full.tobytes()]
         return pd.DataFrame(out)[schema.names]
 
-    starts = ranks.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    return starts.groupBy(*keys, "seed").applyInPandas(search, schema)
+    return ranks.groupBy(*keys).applyInPandas(pack, schema)
+
+
+def _climb(feature: np.ndarray, cell: np.ndarray, perm: np.ndarray, error: int, swaps: np.ndarray) -> tuple[np.ndarray, int]:
+    """Swaps that lower the squared gap are kept; only the two changed rows of the gap are recomputed."""
+    for a, b in swaps:
+        if a == b:
+            continue
+        new = perm.copy()
+        new[a], new[b] = perm[b], perm[a]
+        rows = [a, b]
+        before = ((feature[perm[rows]][:, perm] - cell[rows]) ** 2).sum(axis=0)
+        after = ((feature[new[rows]][:, new] - cell[rows]) ** 2).sum(axis=0)
+        gain = after - before
+        # symmetric matrix, zero diagonal: the pair (a, b) itself keeps its gap
+        change = 2 * int(gain.sum() - gain[a] - gain[b])
+        if change < 0:
+            perm, error = new, error + change
+    return perm, error
+
+
+def search_placement(
+    ranks: DataFrame, keys: list[str], seeds: list[int], steps: int = SWAP_STEPS, rounds: int = ROUNDS
+) -> DataFrame:
+    """Seeded swap searches per key, side by side in tasks, that exchange their best state between rounds.
+
+    ``ranks`` has ``keys…, i, j, feature_rank, cell_rank``. Every search makes ``steps`` swaps of its own seed. After each
+    round the searches that are behind go on from the best state of their key, except the first: it stays the plain
+    search of its seed, so the best result is never worse than that. Returns ``keys…, seed, error, start_error, perm``.
+    """
+    rounds = rounds if len(seeds) > 1 else 1
+    packed = materialize(_packed_ranks(ranks, keys), "ranks")
+    state = T.StructType([*[ranks.schema[k] for k in keys], *T.StructType.fromDDL("seed int, error bigint, start bigint, perm array<int>, d int").fields])
+
+    def advance(first: int, last: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.to_dict("records"):
+                    d = int(r["d"])
+                    feature, cell = (np.frombuffer(r[c], np.int64).reshape(d, d) for c in ("feature", "cell"))
+                    perm = np.arange(d) if r["perm"] is None else np.array(r["perm"])
+                    start = int(((feature - cell) ** 2).sum())
+                    error = start if r["perm"] is None else int(r["error"])
+                    swaps = np.random.default_rng(r["seed"]).integers(0, d, (steps, 2))[first:last]
+                    perm, error = _climb(feature, cell, perm, error, swaps)
+                    out = {k: [r[k]] for k in keys}
+                    out |= {"seed": [r["seed"]], "error": [error], "start": [start], "perm": [perm.tolist()], "d": [d]}
+                    yield pd.DataFrame(out)[state.names]
+
+        return run
+
+    held = packed.select(*keys, F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
+    held = held.withColumns({"error": F.lit(None).cast("bigint"), "perm": F.lit(None).cast("array<int>")})
+    for i in range(rounds):
+        spread = held.join(packed, keys).repartition(*keys, "seed")  # one search a record
+        held = spread.mapInPandas(advance(steps * i // rounds, steps * (i + 1) // rounds), state)
+        if i + 1 == rounds:
+            break
+        held = materialize(held, "searches")
+        best = held.groupBy(*keys).agg(F.min(F.struct("error", "seed", "perm")).alias("_best"))
+        behind = (F.col("seed") != seeds[0]) & (F.col("error") > F.col("_best.error"))
+        held = held.join(best, keys).select(
+            *keys, "seed", *[F.when(behind, F.col(f"_best.{c}")).otherwise(F.col(c)).alias(c) for c in ("error", "perm")]
+        )
+    cells = F.col("d").cast("double") * F.col("d")
+    return held.select(*keys, "seed", (F.col("error") / cells).alias("error"), (F.col("start") / cells).alias("start_error"), "perm")
 
 
 def best_placement(found: DataFrame, keys: list[str]) -> DataFrame:
-    """The start with the smallest error per key; ties by seed."""
+    """The search with the smallest error per key; ties by seed."""
     pick = found.groupBy(*keys).agg(F.min(F.struct("error", "seed", "start_error", "perm")).alias("m"))
     return pick.select(*keys, "m.*")
 
 
+def placement_error(ranks: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys…, n_features, recomputed``: the mean squared rank gap of ``placed.perm``, pair by pair."""
+    at = placed.select(*keys, F.posexplode("perm").alias("cell", "feature"))
+    one, two = (at.select(*keys, F.col("feature").alias(f), F.col("cell").alias(c)) for f, c in (("i", "ci"), ("j", "cj")))
+    pairs = ranks.select(*keys, "i", "j", "feature_rank").join(one, [*keys, "i"]).join(two, [*keys, "j"])
+    ends = pairs.select(*keys, "feature_rank", F.least("ci", "cj").alias("i"), F.greatest("ci", "cj").alias("j"))
+    gap = ends.join(ranks.select(*keys, "i", "j", "cell_rank"), [*keys, "i", "j"])
+    square = F.sum(F.pow(F.col("feature_rank") - F.col("cell_rank"), 2)) * 2
+    d = F.max("j") + 1
+    return gap.groupBy(*keys).agg(d.alias("n_features"), (square / (d * d)).alias("recomputed"))
+
+
+def placement_ranks(coded: DataFrame, keys: list[str], codes: str = "codes") -> DataFrame:
+    """``keys…, i, j, feature_rank, cell_rank`` of all pairs of features."""
+    pairs = materialize(feature_distance(coded, keys, codes), "pairs")
+    return materialize(pair_ranks(grid_distance(pair_ranks(pairs, keys), keys), keys, "cell_dist", "cell_rank"), "pairs")
+
+
 def fit_placement(
     coded: DataFrame, keys: list[str], codes: str = "codes", seeds: tuple[int, ...] = (LAYOUT_SEED,), steps: int = SWAP_STEPS
 ) -> DataFrame:
     """Correlation ranks, grid ranks and search in one go."""
-    pairs = pair_ranks(feature_distance(coded, keys, codes), keys)
-    both = pair_ranks(grid_distance(pairs, keys), keys, "cell_dist", "cell_rank")
-    return best_placement(search_placement(both, keys, list(seeds), steps), keys)
+    return best_placement(search_placement(placement_ranks(coded, keys, codes), keys, list(seeds), steps), keys)
 
 
 # ---- rendering -------------------------------------------------------------------------------

@@ -164,6 +164,19 @@ def test_search_improves_and_is_a_permutation(spark):
     assert again.perm == out.perm
 
 
+def test_exchanging_searches_are_never_worse_than_the_first(spark):
+    z = np.random.default_rng(5).random((80, 20))
+    z[:, 10:] = z[:, :10] + 0.1 * z[:, 10:]
+    ranks = ly.placement_ranks(coded(spark, z), ["k"])
+    many = {r.seed: r for r in ly.search_placement(ranks, ["k"], [7, 8, 9], 600).collect()}
+    alone = ly.search_placement(ranks, ["k"], [7], 600).first()
+    assert many[7].perm == alone.perm and many[7].error == alone.error
+    best = ly.best_placement(ly.search_placement(ranks, ["k"], [7, 8, 9], 600), ["k"])
+    assert best.first().error <= alone.error
+    check = ly.placement_error(ranks, best, ["k"]).first()
+    assert check.n_features == 20 and check.recomputed == pytest.approx(best.first().error)
+
+
 def test_reported_error_is_the_mean_squared_rank_gap(spark):
     z = np.random.default_rng(1).random((60, 7))
     df = coded(spark, z)
