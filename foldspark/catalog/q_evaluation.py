@@ -2,22 +2,104 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from foldspark.catalog import blocks as B
 from foldspark.catalog.q_splits import orders_uses
 from foldspark.catalog.registry import query
-from foldspark.functions.hashing import unit_interval
 from foldspark.operators import metrics as mt
 from foldspark.operators import selection as sel
 from foldspark.operators import splits
-from foldspark.operators.skew import lookup
+from foldspark.plans import cells as cl
 from foldspark.plans import status as st
-from foldspark.session import materialize
+from foldspark.plans.runs import RunTable
+from foldspark.session import materialize, scratch_dir
 from foldspark.sources import rowsets as rs
 
-PREDS = f"WITH {B.ORDERS}, {B.PREDS}"
+COLS = rs.ORDERS_COLUMNS
+# the grid: sign-weighted means of fold-safe codes, over all columns, the first two, the last one, and one that is not there
+CONFIGS = [
+    # config, branch, encoder, protocol, first and last position
+    ("target_all", "supervised", "target", "foldsafe", 0, 4),
+    ("target_two", "supervised", "target", "foldsafe", 0, 2),
+    ("target_one", "supervised", "target", "foldsafe", 3, 4),
+    ("count_all", "label_free", "count", "foldsafe", 0, 4),
+    ("count_two", "label_free", "count", "foldsafe", 0, 2),
+    ("count_fifth", "label_free", "count", "foldsafe", 4, 5),
+    ("global_all", "contrast", "target", "global", 0, 4),
+    ("global_two", "contrast", "target", "global", 0, 2),
+]
 RUN = ["run_id"]
+FITTED = f"""WITH {B.ORDERS}, {B.splits('orders_cat')}, {B.sided(COLS, 'orders_cat')},
+    cfg(config_id, branch, enc, first, last) AS (VALUES {', '.join(
+        f"('{c}', '{b}', '{'global' if p == 'global' else e}', {i}, {j})" for c, b, e, p, i, j in CONFIGS)}),
+    part_lv AS MATERIALIZED (
+      SELECT sid, part, ci, level, count(*) AS n, sum(y) AS pos FROM slv WHERE part >= 0 GROUP BY sid, part, ci, level),
+    part_fit AS MATERIALIZED (SELECT sid, part, sum(n) AS n, sum(pos) AS pos FROM part_lv WHERE ci = 0 GROUP BY sid, part),
+    left_out AS (
+      SELECT l.row_id, l.y, l.sid, l.role, l.ci, (f.fit_pos - coalesce(pf.pos, 0)) / (f.fit_n - coalesce(pf.n, 0)) AS prior,
+        coalesce(s.n, 0) - coalesce(p.n, 0) AS n, coalesce(s.pos, 0) - coalesce(p.pos, 0) AS pos, coalesce(s.n, 0)::DOUBLE / f.fit_n AS share
+      FROM slv l JOIN side_fit f USING (sid) LEFT JOIN part_fit pf ON pf.sid = l.sid AND pf.part = l.part
+      LEFT JOIN side_lv s ON s.sid = l.sid AND s.ci = l.ci AND s.level = l.level
+      LEFT JOIN part_lv p ON p.sid = l.sid AND p.part = l.part AND p.ci = l.ci AND p.level = l.level),
+    all_lv AS MATERIALIZED (SELECT ci, level, count(*) AS n, sum(y) AS pos FROM slv WHERE sid = 1 GROUP BY ci, level),
+    all_fit AS (SELECT sum(n) AS n, sum(pos) AS pos FROM all_lv WHERE ci = 0),
+    codes AS MATERIALIZED (
+      SELECT 'target' AS enc, row_id, y, sid, role, ci,
+        CASE WHEN n > 0 THEN (pos + 20.0::DOUBLE * prior) / (n + 20.0::DOUBLE) ELSE prior END AS raw FROM left_out
+      UNION ALL SELECT 'count', row_id, y, sid, role, ci, share FROM left_out
+      UNION ALL SELECT 'global', l.row_id, l.y, l.sid, l.role, l.ci, (a.pos + 20.0::DOUBLE * (f.pos / f.n)) / (a.n + 20.0::DOUBLE)
+        FROM slv l JOIN all_lv a USING (ci, level), all_fit f),
+    bounds AS MATERIALIZED (
+      SELECT enc, sid, ci, min(raw) AS lo, max(raw) AS hi FROM codes WHERE enc <> 'global' AND role IN ('inner_train', 'train') GROUP BY ALL
+      UNION ALL SELECT 'global', s, ci, min(raw), max(raw) FROM codes, range(0, 10) t(s) WHERE enc = 'global' AND sid = 1 GROUP BY ALL),
+    z AS MATERIALIZED (
+      SELECT enc, row_id, y, sid, role, ci, CASE WHEN hi > lo THEN greatest(0, least(1, (raw - lo) / (hi - lo))) ELSE 0 END AS z
+      FROM codes JOIN bounds USING (enc, sid, ci)),
+    signs AS MATERIALIZED (
+      SELECT enc, sid, ci, CASE WHEN avg(z) FILTER (y = 1) < avg(z) FILTER (y = 0) THEN -1 ELSE 1 END AS w
+      FROM z WHERE role IN ('inner_train', 'train') GROUP BY enc, sid, ci),
+    held AS MATERIALIZED (
+      SELECT config_id, sid, row_id, y AS y_true, round(sum(w * (z - 0.5::DOUBLE) ORDER BY ci) / count(*) + 0.5::DOUBLE, 9) AS y_score
+      FROM z JOIN signs USING (enc, sid, ci) JOIN cfg ON cfg.enc = z.enc AND ci >= first AND ci < last
+      WHERE role IN ('inner_val', 'test') GROUP BY config_id, sid, row_id, y),
+    preds AS (SELECT config_id AS run_id, segment, y_true, y_score FROM held JOIN orders_cat USING (row_id)
+              WHERE sid % 2 = 1 AND config_id NOT LIKE 'global%')"""
+PREDS = FITTED
+
+
+def grid_cells():
+    return [
+        cl.Cell(f, e, "signed_mean", protocol=p, options={"first": i, "last": j}, config=c)
+        for c, _, e, p, i, j in CONFIGS
+        for f in range(5)
+    ]
+
+
+def run_table(spark, sf):
+    """The run table of the grid over these tables; the first query of a session fills it, later ones find it finished."""
+    name = hashlib.md5(f"{spark.sparkContext.applicationId}:{sf}".encode()).hexdigest()
+    table = RunTable(spark, f"{scratch_dir(spark)}/foldspark/grid-{name}")
+    if len(table.finished()) < len(CONFIGS) * 5:
+        rows, uses = orders_uses(spark, sf)
+        cl.run_cells(materialize(splits.assign(rows, uses), "assigned"), COLS, grid_cells(), table=table)
+    return table
+
+
+def scored_rows(spark, sf):
+    """Held-out predictions of all fitted cells: config, outer_fold, phase, row_id, segment, y_true, y_score."""
+    table = run_table(spark, sf)
+    named = table.runs().select("run_id", "config", "outer_fold", "protocol")
+    segments = rs.orders_cat(spark, sf).select("row_id", "segment")
+    return table.predictions().join(F.broadcast(named), "run_id").join(segments, "row_id")
+
+
+def predictions(spark, sf):
+    """Each row scored once by every configuration, in the fold where it is tested."""
+    rows = scored_rows(spark, sf).where("phase = 'outer' AND protocol = 'foldsafe'")
+    return rows.select(F.col("config").alias("run_id"), "segment", "y_true", "y_score")
 
 
 def hist_sql(source: str, keys: str) -> str:
@@ -85,7 +167,7 @@ def rounded(df, *columns, digits=9):
 
 
 def run_hist(spark, sf):
-    return mt.histogram(rs.predictions(spark, sf), RUN)
+    return mt.histogram(predictions(spark, sf), RUN)
 
 
 HIST = f"{PREDS}, {hist_sql('preds', 'run_id')}"
@@ -183,31 +265,30 @@ def metric_panel(spark, sf):
     return rounded(out, "calibration_slope", "calibration_intercept", digits=6)
 
 
-# ---- cells: every (segment, run, fold) is a candidate; inner_val rows select, test rows report ----
+# ---- cells: every (segment, configuration, fold) is a candidate; inner_val rows select, test rows report ----
 
-CELL = ["segment", "run", "outer_fold", "phase"]
+CELL = ["segment", "config", "outer_fold", "phase"]
 POLICY = ["segment", "outer_fold", "branch"]
-CELLS = f"""WITH {B.ORDERS}, {B.PREDS}, {B.splits('orders_cat')},
-    scored AS (SELECT segment, run, outer_fold, phase, y_true, y_score FROM preds JOIN uses USING (group_id) WHERE part < 0),
-    {hist_sql('scored', 'segment, run, outer_fold, phase')}, {ranking_sql('segment, run, outer_fold, phase')},
-    cells AS (SELECT segment, run, outer_fold, CASE WHEN run < 4 THEN 'image' ELSE 'tabular' END AS branch,
-        'cfg' || run AS config_id, round(max(auc) FILTER (phase = 'inner'), 2) AS inner_metric,
-        round(max(auc) FILTER (phase = 'outer'), 9) AS outer_auc,
-        round(max(pr_auc) FILTER (phase = 'outer'), 9) AS outer_pr_auc,
-        (run % 3 + 1)::DOUBLE AS complexity, (run * 7 % 5)::DOUBLE AS fit_time_s,
-        {B.prefix48("'fit:' || segment || run || outer_fold")} / 281474976710656.0::DOUBLE AS u_fit,
-        {B.prefix48("'refit:' || segment || run || outer_fold")} / 281474976710656.0::DOUBLE AS u_refit
-      FROM rank_metrics GROUP BY segment, run, outer_fold),
-    cands AS (SELECT *, CASE WHEN u_fit < 0.15::DOUBLE THEN 'TRAINING_FAILURE' WHEN inner_metric IS NULL THEN 'METRIC_UNDEFINED'
-                        ELSE 'SUCCESS' END AS status,
-        CASE WHEN u_refit < 0.3::DOUBLE THEN 'TIMEOUT' WHEN outer_auc IS NULL THEN 'METRIC_UNDEFINED' ELSE 'SUCCESS' END AS refit_status
+CELLS = f"""{FITTED},
+    scored AS (SELECT segment, config_id, (sid // 2)::INT AS outer_fold, CASE sid % 2 WHEN 1 THEN 'outer' ELSE 'inner' END AS phase, y_true, y_score
+               FROM held JOIN orders_cat USING (row_id)),
+    {hist_sql('scored', 'segment, config_id, outer_fold, phase')}, {ranking_sql('segment, config_id, outer_fold, phase')},
+    everyone AS (SELECT segment, config_id, branch, (last - first)::DOUBLE AS complexity, f::INT AS outer_fold
+                 FROM cfg, range(0, 5) t(f), (SELECT DISTINCT segment FROM orders_cat)),
+    cells AS (SELECT segment, outer_fold, branch, config_id, complexity,
+        max(round(auc, 2)) FILTER (phase = 'inner') AS inner_metric, max(round(auc, 9)) FILTER (phase = 'outer') AS outer_auc,
+        max(round(pr_auc, 9)) FILTER (phase = 'outer') AS outer_pr_auc
+      FROM everyone LEFT JOIN rank_metrics USING (segment, config_id, outer_fold) GROUP BY ALL),
+    every_cand AS (SELECT *, CASE WHEN config_id = 'count_fifth' THEN 'TRAINING_FAILURE' WHEN inner_metric IS NULL THEN 'METRIC_UNDEFINED'
+        ELSE 'SUCCESS' END AS status,
+        CASE WHEN config_id = 'count_fifth' THEN 'TRAINING_FAILURE' WHEN outer_auc IS NULL THEN 'METRIC_UNDEFINED' ELSE 'SUCCESS' END AS refit_status
       FROM cells),
+    cands AS (SELECT * FROM every_cand WHERE branch <> 'contrast'),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY segment, outer_fold, branch
-        ORDER BY inner_metric DESC, complexity, fit_time_s, config_id) AS rank
+        ORDER BY inner_metric DESC, complexity, config_id) AS rank
       FROM cands WHERE status = 'SUCCESS' AND inner_metric IS NOT NULL),
     tb AS (SELECT segment, outer_fold, branch, count(*)::BIGINT AS n_tied, CASE WHEN count(*) = 1 THEN 'none'
-        WHEN count(DISTINCT complexity) > 1 THEN 'complexity' WHEN count(DISTINCT fit_time_s) > 1 THEN 'fit_time'
-        ELSE 'config_id' END AS tie_break
+        WHEN count(DISTINCT complexity) > 1 THEN 'complexity' ELSE 'config_id' END AS tie_break
       FROM (SELECT *, max(inner_metric) OVER (PARTITION BY segment, outer_fold, branch) AS best FROM ranked)
       WHERE inner_metric = best GROUP BY ALL),
     chosen AS (SELECT segment, outer_fold, branch, count(*)::BIGINT AS candidate_count FROM cands GROUP BY ALL),
@@ -221,39 +302,37 @@ CELLS = f"""WITH {B.ORDERS}, {B.PREDS}, {B.splits('orders_cat')},
       LEFT JOIN tb ON tb.segment = c.segment AND tb.outer_fold = c.outer_fold AND tb.branch = c.branch)"""
 
 
-def cells(spark, sf):
-    """Inner and outer AUC of every (segment, run, fold), with a data-derived failure pattern."""
-    _, uses = orders_uses(spark, sf)
-    held = splits.uses_by_group(uses).withColumn("uses", F.filter("uses", lambda u: u["part"] < 0))
-    each = lookup(rs.predictions(spark, sf), held, ["group_id"], ["row_id", "run"], how="inner")
-    scored = each.select("segment", "run", "y_true", "y_score", F.explode("uses").alias("u"))
-    scored = scored.select("segment", "run", "u.outer_fold", "u.phase", "y_true", "y_score")
-    ranked = mt.ranking(mt.histogram(scored, CELL), CELL)
+def every_cell(spark, sf):
+    """Inner and outer AUC of every (segment, configuration, fold) of the run table, with the status of its run."""
+    ranked = mt.ranking(mt.histogram(scored_rows(spark, sf), CELL), CELL)
     inner = F.col("phase") == "inner"
-    ident = F.concat("segment", F.col("run").cast("string"), F.col("outer_fold").cast("string"))
-    wide = ranked.groupBy("segment", "run", "outer_fold").agg(
+    wide = ranked.groupBy("segment", "config", "outer_fold").agg(
         F.round(F.max(F.when(inner, F.col("auc"))), 2).alias("inner_metric"),
         F.round(F.max(F.when(~inner, F.col("auc"))), 9).alias("outer_auc"),
         F.round(F.max(F.when(~inner, F.col("pr_auc"))), 9).alias("outer_pr_auc"),
     )
-    out = wide.select(
-        "*",
-        F.when(F.col("run") < 4, "image").otherwise("tabular").alias("branch"),
-        F.concat(F.lit("cfg"), F.col("run").cast("string")).alias("config_id"),
-        (F.col("run") % 3 + 1).cast("double").alias("complexity"),
-        (F.col("run") * 7 % 5).cast("double").alias("fit_time_s"),
-        F.when(unit_interval("fit", ident) < 0.15, "TRAINING_FAILURE")
-        .when(F.col("inner_metric").isNull(), "METRIC_UNDEFINED")
-        .otherwise("SUCCESS")
-        .alias("status"),
-        F.when(unit_interval("refit", ident) < 0.3, "TIMEOUT")
-        .when(F.col("outer_auc").isNull(), "METRIC_UNDEFINED")
-        .otherwise("SUCCESS")
-        .alias("refit_status"),
+    branch = F.element_at(F.create_map(*[F.lit(x) for c in CONFIGS for x in (c[0], c[1])]), F.col("config"))
+    size = F.element_at(F.create_map(*[F.lit(x) for c in CONFIGS for x in (c[0], float(c[5] - c[4]))]), F.col("config"))
+    segments = rs.orders_cat(spark, sf).agg(F.collect_set("segment")).scalar()  # the levels of one column
+    runs = run_table(spark, sf).runs().withColumns({"branch": branch, "complexity": size, "segment": F.explode(segments)})
+    failed = F.col("status") != "SUCCESS"
+    inner_failed = F.coalesce(F.col("inner_status") != "SUCCESS", F.lit(True))
+
+    def typed(failure, metric):
+        return F.when(failure, F.col("status")).when(F.col(metric).isNull(), "METRIC_UNDEFINED").otherwise("SUCCESS")
+
+    out = runs.join(wide, ["segment", "config", "outer_fold"], "left").select(
+        *POLICY, F.col("config").alias("config_id"), "protocol", "seed", "complexity",
+        F.coalesce("inner_elapsed_s", F.lit(0.0)).alias("fit_time_s"), "inner_metric", "outer_auc", "outer_pr_auc",
+        typed(inner_failed, "inner_metric").alias("status"), typed(failed, "outer_auc").alias("refit_status"),
     )
     return materialize(out, "cells")
 
 
+def cells(spark, sf):
+    return every_cell(spark, sf).where("branch <> 'contrast'")
+
+
 def candidates(cell_table):
     return cell_table.select(*POLICY, "config_id", "inner_metric", "complexity", "fit_time_s", "status")
 
@@ -262,6 +341,30 @@ def refits(cell_table):
     return cell_table.select(*POLICY, "config_id", "refit_status")
 
 
+@query(
+    "grid_run",
+    f"""{CELLS}, scored_n AS (SELECT config_id, outer_fold, phase, count(*) AS n FROM scored GROUP BY ALL)
+    SELECT config_id, f::INT AS outer_fold, CASE WHEN config_id = 'count_fifth' THEN 'TRAINING_FAILURE' ELSE 'SUCCESS' END AS status,
+      CASE WHEN config_id = 'count_fifth' THEN 'model_fit_inner' END AS stage_of_failure,
+      CASE WHEN config_id = 'count_fifth' THEN 'ValueError' END AS exception_class,
+      coalesce((SELECT n FROM scored_n s WHERE s.config_id = cfg.config_id AND s.outer_fold = f AND phase = 'inner'), 0)::BIGINT AS n_inner,
+      coalesce((SELECT n FROM scored_n s WHERE s.config_id = cfg.config_id AND s.outer_fold = f AND phase = 'outer'), 0)::BIGINT AS n_outer
+    FROM cfg, range(0, 5) t(f)""",
+)
+def grid_run(spark, sf):
+    """Every cell of the grid, fitted on five folds, with its typed outcome and the rows that it scored."""
+    table = run_table(spark, sf)
+    scored = table.predictions().groupBy("run_id").agg(
+        F.count_if(F.col("phase") == "inner").alias("n_inner"), F.count_if(F.col("phase") == "outer").alias("n_outer")
+    )
+    shown = table.runs().join(scored, "run_id", "left").withColumn("config_id", F.col("config"))
+    none = F.lit(0).cast("bigint")
+    return shown.select(
+        "config_id", "outer_fold", "status", "stage_of_failure", "exception_class",
+        F.coalesce("n_inner", none).alias("n_inner"), F.coalesce("n_outer", none).alias("n_outer"),
+    )
+
+
 @query(
     "rank_candidates",
     f"{CELLS} SELECT segment, outer_fold, branch, config_id, inner_metric, rank::BIGINT AS rank FROM ranked",
@@ -304,38 +407,38 @@ def selection_churn(spark, sf):
     return sel.selection_churn(sel.select_with_fallback(candidates(c), refits(c), POLICY), ["segment", "branch"])
 
 
+ARMS = ("all", "two")
 CONTRAST = f"""{CELLS},
-    arms AS (SELECT segment, outer_fold, run // 4 AS seed, CASE WHEN run % 4 < 2 THEN 'global' ELSE 'safe' END || '_' ||
-        CASE WHEN run % 2 = 0 THEN 'image' ELSE 'tabular' END AS cell, refit_status AS status,
-        CASE WHEN refit_status = 'SUCCESS' THEN outer_auc END AS auc FROM cands),
+    arms AS (SELECT segment, outer_fold, 5 AS seed, CASE WHEN config_id LIKE 'global%' THEN 'global' ELSE 'safe' END || '_' ||
+        string_split(config_id, '_')[2] AS cell, refit_status AS status, CASE WHEN refit_status = 'SUCCESS' THEN outer_auc END AS auc
+      FROM every_cand WHERE config_id IN ('target_all', 'target_two', 'global_all', 'global_two')),
     wide AS (SELECT segment, outer_fold, seed::INT AS seed,
-        max(auc) FILTER (cell = 'global_image') AS gi, max(auc) FILTER (cell = 'global_tabular') AS gt,
-        max(auc) FILTER (cell = 'safe_image') AS si, max(auc) FILTER (cell = 'safe_tabular') AS st,
+        max(auc) FILTER (cell = 'global_all') AS ga, max(auc) FILTER (cell = 'global_two') AS gt,
+        max(auc) FILTER (cell = 'safe_all') AS sa, max(auc) FILTER (cell = 'safe_two') AS st,
         bool_and(status = 'SUCCESS') AND count(*) = 4 AS ok,
         coalesce(string_agg(cell || '=' || status, ';' ORDER BY cell) FILTER (status <> 'SUCCESS'), '') AS notes
       FROM arms GROUP BY ALL),
-    contrast AS (SELECT segment, outer_fold, seed, gi AS global_image_auc, gt AS global_tabular_auc, si AS safe_image_auc,
-        st AS safe_tabular_auc, round(CASE WHEN ok THEN gi - si END, 9) AS b_image,
-        round(CASE WHEN ok THEN gt - st END, 9) AS b_tabular, round(CASE WHEN ok THEN (gi - gt) - (si - st) END, 9) AS b_delta,
+    contrast AS (SELECT segment, outer_fold, seed, ga AS global_all_auc, gt AS global_two_auc, sa AS safe_all_auc,
+        st AS safe_two_auc, round(CASE WHEN ok THEN ga - sa END, 9) AS b_all,
+        round(CASE WHEN ok THEN gt - st END, 9) AS b_two, round(CASE WHEN ok THEN (ga - gt) - (sa - st) END, 9) AS b_delta,
         CASE WHEN ok THEN 'SUCCESS' ELSE 'PARTIAL_FAILURE' END AS status, notes FROM wide)"""
 PAIR = ["segment", "outer_fold", "seed"]
 
 
 def arms(spark, sf):
-    run = F.col("run")
-    return cells(spark, sf).select(
-        "segment",
-        "outer_fold",
-        F.floor(run / 4).cast("int").alias("seed"),
-        F.when(run % 4 < 2, "global").otherwise("safe").alias("protocol"),
-        F.when(run % 2 == 0, "image").otherwise("tabular").alias("arm"),
+    """Target codes of all columns and of two, fitted fold-safe and on all rows."""
+    named = every_cell(spark, sf).where(F.col("config_id").isin("target_all", "target_two", "global_all", "global_two"))
+    return named.select(
+        *PAIR,
+        F.when(F.col("protocol") == "global", "global").otherwise("safe").alias("protocol"),
+        F.element_at(F.split("config_id", "_"), 2).alias("arm"),
         F.col("refit_status").alias("status"),
         F.col("outer_auc").alias("auc"),
     )
 
 
 def contrasts(spark, sf):
-    return rounded(sel.paired_contrast(arms(spark, sf), PAIR), "b_image", "b_tabular", "b_delta")
+    return rounded(sel.paired_contrast(arms(spark, sf), PAIR, ARMS), "b_all", "b_two", "b_delta")
 
 
 @query("paired_contrast", f"{CONTRAST} SELECT * FROM contrast")
@@ -398,14 +501,14 @@ def status_gate(spark, sf):
 
 @query(
     "nonfinite_guard",
-    f"""{PREDS} SELECT run_id, segment, count(*)::BIGINT AS n_rows, count(*) FILTER (y_score > 0.995::DOUBLE)::BIGINT AS n_nonfinite,
-    CASE WHEN count(*) FILTER (y_score > 0.995::DOUBLE) > 0 THEN 'NUMERICAL_FAILURE' ELSE 'SUCCESS' END AS status
-    FROM preds GROUP BY ALL""",
+    f"""{PREDS} SELECT run_id, segment, count(*)::BIGINT AS n_rows, count(*) FILTER (y_score <= 0 OR y_score >= 1)::BIGINT AS n_nonfinite,
+    CASE WHEN count(*) FILTER (y_score <= 0 OR y_score >= 1) > 0 THEN 'NUMERICAL_FAILURE' ELSE 'SUCCESS' END AS status
+    FROM preds GROUP BY run_id, segment""",
 )
 def nonfinite_guard(spark, sf):
-    """exp(712 s) overflows a double for the largest scores."""
-    big = F.array(F.col("y_score"), F.exp(F.col("y_score") * F.lit(712.9)))
-    return st.nonfinite_guard(rs.predictions(spark, sf).withColumn("codes", big), ["run_id", "segment"], "codes")
+    """Log odds of the fitted scores; those of 0 and 1 are not finite."""
+    odds = F.array(F.col("y_score"), F.ln(F.try_divide(F.col("y_score"), 1 - F.col("y_score"))))
+    return st.nonfinite_guard(predictions(spark, sf).withColumn("codes", odds), ["run_id", "segment"], "codes")
 
 
 @query(

@@ -19,6 +19,8 @@ from foldspark.operators import layouts as ly
 from foldspark.operators import learners as ml
 from foldspark.operators import metrics as mt
 from foldspark.plans.outcomes import Outcome, protected
+from foldspark.plans.runs import RunTable
+from foldspark.plans.status import is_finite
 from foldspark.session import materialize
 
 FIT_ROLE = {"inner": "inner_train", "outer": "train"}
@@ -36,10 +38,12 @@ class Cell:
     layout: str = "none"
     protocol: str = "foldsafe"
     options: dict = field(default_factory=dict)
+    config: str = ""  # tells cells apart that differ in their options only
 
     @property
     def cell_id(self) -> str:
-        return f"f{self.outer_fold}|{self.protocol}|{self.encoder}|{self.layout}|{self.model}|s{self.seed}"
+        name = f"f{self.outer_fold}|{self.protocol}|{self.encoder}|{self.layout}|{self.model}|s{self.seed}"
+        return f"{name}|{self.config}" if self.config else name
 
 
 def scaled_codes(assigned: DataFrame, columns: list[str], encoder: str, protocol: str) -> DataFrame:
@@ -77,23 +81,23 @@ def images(coded: DataFrame, cell: Cell, size: int) -> DataFrame:
     return rows.withColumn("image", ly.render_resized("placement", size)("codes", "perm")).drop("perm")
 
 
-def _fit_and_score(rows: DataFrame, cell: Cell, phase: str, column: str) -> DataFrame:
+def _fit_and_score(rows: DataFrame, cell: Cell, phase: str, column: str, table: RunTable, attempt: str) -> None:
+    """Fit on the training side, append the scores of the held-out side; scores must be finite."""
     side = rows.where(F.col("phase") == phase)
     learner: Callable = ml.LEARNERS[cell.model]
     options = {k: v for k, v in cell.options.items() if k not in ("steps", "size")}
     fitted = learner(side.where(F.col("role") == FIT_ROLE[phase]), column, cell.seed, **options)
     scored = fitted.score(side.where(F.col("role") == TEST_ROLE[phase]))
-    return materialize(
-        scored.select(
-            F.lit(cell.cell_id).alias("run_id"), F.lit(phase).alias("phase"), "row_id",
-            F.col("y").alias("y_true"), "y_score",
-        ),
-        "predictions",
-    )
+    scored = scored.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("y").cast("int").alias("y_true"), F.col("y_score").cast("double").alias("y_score"))
+    bad = table.write(scored, attempt, phase).where(~is_finite(F.col("y_score"))).count()
+    if bad:
+        raise FloatingPointError(f"{bad} scores are not finite")
 
 
-def run_cell(spark: SparkSession, coded: DataFrame, cell: Cell, timeout_s: float | None) -> dict:
-    """Both phases of one cell. Only inner outputs may inform a selection."""
+def run_cell(
+    spark: SparkSession, coded: DataFrame, cell: Cell, timeout_s: float | None, table: RunTable, attempt: str
+) -> dict:
+    """Both phases of one cell, appended to ``table``. Only inner outputs may inform a selection."""
     record = run_base(cell)
 
     def failed(stage: str, out: Outcome) -> dict:
@@ -111,46 +115,44 @@ def run_cell(spark: SparkSession, coded: DataFrame, cell: Cell, timeout_s: float
             return failed("layout_fit", out)
         rows, column = out.value, "image"
     for phase in ("inner", "outer"):
-        out = protected(spark, lambda p=phase: _fit_and_score(rows, cell, p, column), "TRAINING_FAILURE", timeout_s)
+        out = protected(spark, lambda p=phase: _fit_and_score(rows, cell, p, column, table, attempt), "TRAINING_FAILURE", timeout_s)
         if phase == "inner":
             record |= {"inner_status": out.status, "inner_elapsed_s": out.elapsed_s}
         if out.status != "SUCCESS":
             return failed(f"model_fit_{phase}", out)
-        record["predictions"] = [*record["predictions"], out.value]
     return record
 
 
-RUN_SCHEMA = (
-    "run_id STRING, outer_fold INT, encoder STRING, layout STRING, model STRING, seed INT, protocol STRING, "
-    "status STRING, stage_of_failure STRING, exception_class STRING, inner_status STRING, inner_elapsed_s DOUBLE"
-)
-
-
 def run_cells(
-    assigned: DataFrame, columns: list[str], cells: list[Cell], timeout_s: float | None = None, parallel: int = 4
+    assigned: DataFrame, columns: list[str], cells: list[Cell], timeout_s: float | None = None, parallel: int = 4,
+    table: RunTable | None = None,
 ) -> DataFrame:
-    """One record per cell with status, inner AUC, chosen threshold and outer metrics."""
+    """One record per cell with status, inner AUC, chosen threshold and outer metrics.
+
+    With a ``table`` that already has records, their cells are not run again.
+    """
     spark = assigned.sparkSession
+    table = table or RunTable(spark)
+    finished = table.finished()
+    open_cells = [c for c in cells if c.cell_id not in finished]
     encoded = {
         key: protected(spark, lambda k=key: scaled_codes(assigned, columns, *k), "ENCODING_FAILURE", timeout_s)
-        for key in dict.fromkeys((c.encoder, c.protocol) for c in cells)
+        for key in dict.fromkeys((c.encoder, c.protocol) for c in open_cells)
     }
 
-    def one(cell: Cell) -> dict:
-        out = encoded[(cell.encoder, cell.protocol)]
-        if out.status != "SUCCESS":
-            base = run_base(cell)
-            return base | {"status": out.status, "stage_of_failure": "encoding", "exception_class": out.exception_class}
-        return run_cell(spark, out.value, cell, timeout_s)
+    def one(cell: Cell) -> None:
+        out, attempt = encoded[(cell.encoder, cell.protocol)], table.attempt()
+        if out.status == "SUCCESS":
+            record = run_cell(spark, out.value, cell, timeout_s, table, attempt)
+        else:
+            failure = {"status": out.status, "stage_of_failure": "encoding", "exception_class": out.exception_class}
+            record = run_base(cell) | failure
+        table.commit(record, attempt)
 
     with ThreadPoolExecutor(parallel) as pool:
-        records = list(pool.map(one, cells))
-    names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
-    runs = spark.createDataFrame([tuple(r[n] for n in names) for r in records], RUN_SCHEMA)
-    tables = [p for r in records for p in r["predictions"]]
-    if not tables:
-        return runs
-    return evaluate(runs, fs.union_all(tables))
+        list(pool.map(one, open_cells))
+    wanted = spark.createDataFrame([(c.cell_id,) for c in cells], "run_id STRING")  # one name a cell
+    return evaluate(*(t.join(F.broadcast(wanted), "run_id", "left_semi") for t in (table.runs(), table.predictions())))
 
 
 def run_base(cell: Cell) -> dict:
@@ -158,7 +160,7 @@ def run_base(cell: Cell) -> dict:
         "run_id": cell.cell_id, "outer_fold": cell.outer_fold, "encoder": cell.encoder, "layout": cell.layout,
         "model": cell.model, "seed": cell.seed, "protocol": cell.protocol, "status": "SUCCESS",
         "stage_of_failure": None, "exception_class": None, "inner_status": None, "inner_elapsed_s": None,
-        "predictions": [],
+        "config": cell.config,
     }
 
 

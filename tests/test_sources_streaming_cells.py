@@ -114,6 +114,58 @@ def test_cells_have_typed_outcomes(spark, assigned):
     assert out[grid[3].cell_id].status == "SUCCESS"
 
 
+def test_a_restart_runs_only_what_is_not_committed(spark, assigned, tmp_path, monkeypatch):
+    from foldspark.plans.runs import RunTable
+
+    def cell(fold, last):
+        return cl.Cell(fold, "target", "signed_mean", options={"last": last}, config=f"c{last}")
+
+    grid = [cell(0, 4), cell(0, 2), cell(0, 9), cell(1, 4)]
+    ran = []
+    whole = cl.run_cell
+    monkeypatch.setattr(cl, "run_cell", lambda spark, coded, c, *rest: ran.append(c.cell_id) or whole(spark, coded, c, *rest))
+    table = RunTable(spark, f"{tmp_path}/run")
+    assert table.predictions().count() == 0 and table.finished() == set()
+    cl.run_cells(assigned, COLS, grid[:2], table=table)
+    # an attempt that was interrupted before its record: its rows are never read
+    junk = spark.createDataFrame([(1, 1, 0.5)], "row_id BIGINT, y_true INT, y_score DOUBLE")
+    table.write(junk, table.attempt(), "outer")
+    first = {r.run_id: r for r in cl.run_cells(assigned, COLS, grid, table=RunTable(spark, table.path)).collect()}
+    assert sorted(ran) == sorted(c.cell_id for c in grid)  # none of them twice
+    assert {r.status for r in first.values()} == {"SUCCESS", "TRAINING_FAILURE"}
+    assert first[grid[2].cell_id].exception_class == "ValueError" and first[grid[2].cell_id].auc is None
+    again = {r.run_id: r for r in cl.run_cells(assigned, COLS, grid, table=table).collect()}
+    assert len(ran) == len(grid) and again == first
+    alone = cl.run_cells(assigned, COLS, [grid[3]]).first()
+    assert (alone.auc, alone.threshold) == (first[grid[3].cell_id].auc, first[grid[3].cell_id].threshold)
+
+
+def test_signed_mean_and_finite_scores(spark):
+    from foldspark.operators import learners as ml
+
+    rows = [(i, i % 2, [0.1 * (i % 2), 0.9 - 0.5 * (i % 2), 0.3]) for i in range(10)]
+    train = spark.createDataFrame(rows, "row_id BIGINT, y INT, codes ARRAY<DOUBLE>")
+    fitted = ml.fit_signed_mean(train)
+    assert fitted.signs == [1.0, -1.0, 1.0]
+    for r in fitted.score(train).collect():
+        a, b, c = r.codes
+        assert r.y_score == pytest.approx(0.5 + ((a - 0.5) - (b - 0.5) + (c - 0.5)) / 3, abs=1e-9)
+    with pytest.raises(ValueError):
+        ml.fit_signed_mean(train, first=3)
+
+
+def test_scores_that_are_not_finite_fail_the_cell(spark, assigned, monkeypatch):
+    from foldspark.operators import learners as ml
+
+    class Odd:
+        def score(self, df):
+            return df.withColumn("y_score", F.when(F.col("row_id") % 7 == 0, F.lit(float("nan"))).otherwise(0.5))
+
+    monkeypatch.setitem(ml.LEARNERS, "odd", lambda train, codes="codes", seed=5: Odd())
+    out = cl.run_cells(assigned, COLS, [cl.Cell(0, "count", "odd")]).first()
+    assert (out.status, out.stage_of_failure, out.exception_class) == ("NUMERICAL_FAILURE", "model_fit_inner", "FloatingPointError")
+
+
 def test_choice_ignores_outer_labels(spark, toy, uses):
     """Permuted test labels change outer results at most, never inner ones."""
     from foldspark.operators import splits
