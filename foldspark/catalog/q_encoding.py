@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foldspark.catalog import blocks as B
@@ -14,7 +16,7 @@ from foldspark.operators import homals as hm
 from foldspark.operators import layouts as ly
 from foldspark.operators import lineage as lin
 from foldspark.operators import splits
-from foldspark.session import materialize
+from foldspark.session import materialize, scratch_dir
 from foldspark.sources import rowsets as rs
 from foldspark.sources.categories import Wide
 from foldspark.streaming import apply as live
@@ -579,22 +581,29 @@ def placement_wide(spark, sf):
     return out.select("state", "seed", F.round("error", 3).alias("error"), F.round("start_error", 3).alias("start_error"), "perm")
 
 
-STREAM_SQL = f"""WITH {B.EVENTS}, {B.long('events_cat', rs.EVENTS_COLUMNS, 'row_id, y')},
-    s AS (SELECT col, level, count(*) AS n, sum(y) AS pos FROM lng GROUP BY ALL),
-    f AS (SELECT count(*) AS fit_n, sum(y) AS fit_pos FROM events_cat)
-    SELECT l.row_id, (CASE l.col WHEN 'user' THEN 0 ELSE 1 END)::INT AS position, {rounded_sql(TARGET)} AS code
-    FROM lng l JOIN s ON s.col = l.col AND s.level = l.level, f"""
+HELD_BACK = 5  # every fifth user is unknown to the state
+STREAM_SQL = f"""WITH {B.EVENTS}, {B.long('events_cat', rs.EVENTS_COLUMNS, 'row_id, y, "user" AS who')},
+    s AS (SELECT col, level, count(*) AS n, sum(y) AS pos FROM lng WHERE who::BIGINT % {HELD_BACK} <> 0 GROUP BY ALL),
+    f AS (SELECT count(*) AS fit_n, sum(y) AS fit_pos FROM events_cat WHERE "user"::BIGINT % {HELD_BACK} <> 0)
+    SELECT l.row_id, 1 AS version, (CASE l.col WHEN 'user' THEN 0 ELSE 1 END)::INT AS position, {rounded_sql(f'coalesce({TARGET}, {PRIOR})')} AS code
+    FROM lng l LEFT JOIN s ON s.col = l.col AND s.level = l.level, f"""
 
 
 @query("stream_apply", STREAM_SQL)
 def stream_apply(spark, sf):
-    """Events read as a stream and coded by a state fitted in batch; append mode, stateless."""
+    """Events read as a stream and coded by a state fitted in batch on other users; the users held back get its prior."""
     events = rs.table(spark, sf, "events")
-    codes = enc.target_codes(cb.whole_states(rs.event_rows(events), rs.EVENTS_COLUMNS))
-    fitted = materialize(codes.select("col", "level", "code"), "fitted")
+    fit = rs.event_rows(events).where(F.col("user").cast("bigint") % HELD_BACK != 0)
+    states = cb.whole_states(fit, rs.EVENTS_COLUMNS)
+    unseen = states.groupBy("col").agg((F.max("fit_pos") / F.max("fit_n")).alias("code"))
+    folder = f"{scratch_dir(spark)}/foldspark/stream-{uuid.uuid4().hex}"
+    state = live.VersionedState(spark, f"{folder}/state")
+    state.publish(enc.target_codes(states), unseen)
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    coded = live.encode_stream(rs.event_rows(stream), fitted, rs.EVENTS_COLUMNS, 0.0).select("row_id", "codes")
-    return flat(live.drain(coded))
+    run = live.encode_versions(rs.event_rows(stream), state, rs.EVENTS_COLUMNS, f"{folder}/coded", f"{folder}/progress", ["row_id"])
+    run.awaitTermination()
+    coded = spark.read.schema("row_id BIGINT, codes ARRAY<DOUBLE>, version INT").parquet(f"{folder}/coded")
+    return flat(coded, "version")
 
 
 # ---- lineage ---------------------------------------------------------------------------------

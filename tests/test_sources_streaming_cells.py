@@ -98,6 +98,58 @@ def test_stream_codes_equal_batch_codes(spark, tmp_path):
     assert got.count() == events.count() and got.exceptAll(batch).isEmpty()
 
 
+def test_a_state_changes_between_micro_batches(spark, tmp_path):
+    from foldspark.streaming.apply import VersionedState, encode_versions
+
+    def state_of(shift):
+        states = spark.createDataFrame([("user", "1", 3, 0.1 + shift), ("hour", "5", 2, 0.2 + shift)], "col STRING, level STRING, n INT, code DOUBLE")
+        return states, spark.createDataFrame([("user", 0.5 + shift), ("hour", 0.6 + shift)], "col STRING, code DOUBLE")
+
+    state = VersionedState(spark, f"{tmp_path}/state")
+    assert state.current() is None
+    source, schema = f"{tmp_path}/in", "row_id BIGINT, user STRING, hour STRING"
+    got = {}
+    for batch, rows in enumerate([[(1, "1", "5"), (2, "9", None)], [(3, "1", "5"), (4, None, "7")]]):
+        assert state.publish(*state_of(float(batch))) == batch + 1
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        run = encode_versions(stream, state, ["user", "hour"], f"{tmp_path}/out", f"{tmp_path}/progress", ["row_id"])
+        run.awaitTermination(120)
+        assert run.exception() is None
+    for r in spark.read.parquet(f"{tmp_path}/out").collect():
+        got[r.row_id] = (r.version, [round(c, 6) for c in r.codes])
+    assert got == {1: (1, [0.1, 0.2]), 2: (1, [0.5, 0.6]), 3: (2, [1.1, 1.2]), 4: (2, [1.5, 1.6])}
+
+
+def test_a_job_after_the_timeout_never_starts(spark):
+    import time
+
+    from foldspark.plans.outcomes import protected
+
+    state = {}
+
+    def stage():
+        state["group"] = spark.sparkContext.getLocalProperty("spark.jobGroup.id")
+        try:
+            time.sleep(2)  # time is up while no job runs
+            state["second"] = spark.range(1000).repartition(3).count()
+        except Exception as e:  # noqa: BLE001
+            state["error"] = str(e)
+            raise
+        finally:
+            state["over"] = True
+
+    out = protected(spark, stage, "TRAINING_FAILURE", timeout_s=0.5)
+    assert out.status == "TIMEOUT" and out.elapsed_s < 1.9
+    for _ in range(100):
+        if "over" in state:
+            break
+        time.sleep(0.1)
+    assert "second" not in state and "cancel" in state["error"].lower()
+    # other work is not touched
+    assert protected(spark, lambda: spark.range(10).count(), "TRAINING_FAILURE", timeout_s=60).value == 10
+
+
 def test_cells_have_typed_outcomes(spark, assigned):
     grid = [
         cl.Cell(0, "target", "logistic"),
