@@ -222,7 +222,11 @@ def grid_cells(spark, sf):
     return grid.expand(widths(spark, sf), RUNS)
 
 
-@query("config_hash")
+@query(
+    "config_hash",
+    f"""SELECT cell_id, sha256('{{"branch":"' || branch || '","encoder":"' || encoder || '","layout":"' || layout || '","model":"' || model
+      || '","seed":' || seed || '}}') AS config_hash FROM ({GRID})""",
+)
 def config_hash(spark, sf):
     """Canonical-JSON hash of each grid cell's configuration."""
     from foldspark.operators.lineage import config_hash as hashed
