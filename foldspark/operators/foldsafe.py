@@ -16,7 +16,7 @@ from foldspark.operators.ordered import PERMUTATION_SEED, ordered_codes
 from foldspark.operators.skew import lookup
 from foldspark.operators.splits import SplitPlan
 from foldspark.session import materialize
-from foldspark.sources.categories import Wide, level_array, stored_columns, to_long
+from foldspark.sources.categories import Wide, level_array, to_long
 
 USE = ["outer_fold", "phase", "role"]
 

@@ -3,14 +3,11 @@ version of the state that is current then."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foldspark.operators.skew import lookup
-from foldspark.session import scratch_dir
 
 
 class VersionedState:
@@ -82,18 +79,3 @@ def encode_stream(stream: DataFrame, states: DataFrame, columns: list[str], unse
         out = out.join(one, c, "left")
     codes = F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit(unseen)) for i in range(len(columns))])
     return out.withColumn("codes", codes).drop(*[f"_c{i}" for i in range(len(columns))])
-
-
-def drain(stream: DataFrame) -> DataFrame:
-    """Run everything available through an exactly-once Parquet sink and read it back."""
-    spark = stream.sparkSession
-    path = f"{scratch_dir(spark)}/foldspark/stream-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", f"{path}-progress")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start(path)
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
