@@ -33,7 +33,6 @@ from pyspark.sql.types import StructField, StructType
 from foldspark.llm.tables import settle
 from foldspark.llm.text import words
 from foldspark.operators.skew import lookup
-from foldspark.session import release
 
 SKETCH_ROWS = 4
 SKETCH_BITS = (16, 24)  # log2 of the least and greatest width; at 24 the sent plane has 8 MB
