@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from foldspark.llm.linking import link, shared_blocks
 from foldspark.llm.tables import attach, bounded, join_documents, settle, with_key
 from foldspark.llm.text import span_hashes, words
+from foldspark.session import release
 
 SHINGLE = 5
+SIZES = 1.05  # ratio of neighbouring classes of set sizes
 CHUNK = 400_000  # cells worked on at once (a single longer text is worked on alone)
 
 
@@ -155,6 +157,46 @@ def _shingled(rows: DataFrame) -> DataFrame:
     return cut.select("k", "doc_id", F.xxhash64("ws").alias("id"), "n", spans.alias("h"))
 
 
+def prefix_pairs(cells: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the ids in ``left`` (id, label) with different labels, among them all that are similar.
+
+    Cells are ordered from the rarest to the commonest. Similar sets share one of their first cells, as many as may
+    be missing from the intersection; so only rare cells are joined, and those common to a whole group of copies are
+    not, unless the two sets can still be similar from there on. The longer set of a pair is looked up in every class
+    of sizes that the shorter one may have, with the first cells that this class asks for.
+    """
+    part = similarity / (1 + similarity)
+
+    def common(x, y) -> Column:
+        return F.ceil((x + y) * F.lit(part) - 1e-6).cast("int")
+
+    def size_class(n) -> Column:
+        return F.floor(F.log(n) / math.log(SIZES) + 1e-9).cast("int")
+
+    mine = cells.join(bounded(left), "id").select("id", "label", F.size("cells").alias("n"), F.explode("cells").alias("cell"))
+    often = settle(mine.groupBy("cell").agg(F.count("*").alias("f")).where("f > 1"), "cell-counts")
+    sets = mine.join(often, "cell").groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "cell"))).alias("c"))
+    # cells of no other set come first; nothing can meet there
+    sets = settle(sets.withColumn("alone", F.col("n") - F.size("c")), "cell-order", often)
+
+    def firsts(least: Column) -> Column:
+        """(cell, place) of the first cells if at least ``least`` must be in common."""
+        some = F.slice("c", 1, F.greatest(F.col("n") - least + 1 - F.col("alone"), F.lit(0)))
+        return F.transform(some, lambda x, i: F.struct(x["cell"].alias("cell"), (i + F.col("alone")).alias("p")))
+
+    shorter = sets.select("id", "label", "n", size_class(F.col("n")).alias("s"), F.explode(firsts(common(F.col("n"), F.col("n")))).alias("x"))
+    low = F.ceil(F.col("n") * similarity - 1e-6).cast("int")
+    longer = sets.select("*", F.explode(F.sequence(size_class(low), size_class(F.col("n")))).alias("s"))
+    least = F.greatest(low, F.floor(F.pow(F.lit(SIZES), F.col("s"))).cast("int"))
+    longer = longer.select("id", "label", "n", "s", F.explode(firsts(common(F.col("n"), least))).alias("x"))
+    one = shorter.select(F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), "s", "x.cell", F.col("x.p").alias("pa"))
+    two = longer.select(F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("x.cell").alias("cb"), F.col("x.p").alias("pb"))
+    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= common(F.col("na"), F.col("nb"))
+    met = (F.col("cell") == F.col("cb")) & (F.col("s") == F.col("sb")) & (F.col("la") != F.col("lb"))
+    return one.join(two, met & order & reach).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
     """One row a document: k, doc_id, class_id, class_size, first.
 
@@ -169,12 +211,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, r
     shingled = _shingled(keyed)
     names = settle(shingled.select("k", "doc_id", "id", "n"), "dart-ids")
     signed = shingled.where("n > 0").select("id", "h").mapInArrow(_signer(bands * rows, bands), "id bigint, bands array<bigint>")
-    members = settle(signed, "dart-bands").select(F.explode("bands").alias("block"), "id")
-    live = shared_blocks(members)
+    signed = settle(signed, "dart-bands")
+    signed = settle(signed.groupBy("id").agg(F.any_value("bands").alias("bands")), "dart-texts-bands", signed)
+    live = shared_blocks(signed.select(F.explode("bands").alias("block"), "id"))
+    release(signed)
 
     texts = names.where("n > 0").groupBy("id").agg(F.min(_order()).alias("first"), F.count("*").alias("copies"))
     texts = settle(texts.select("id", "first.*", "copies"), "dart-texts")
-    wanted = texts.join(bounded(settle(live.select("id").distinct(), "dart-live")), "id", "left_semi")
+    wanted = texts.join(bounded(settle(live.select("id"), "dart-live")), "id", "left_semi")
     wanted = bounded(settle(wanted.select("k", "doc_id"), "dart-wanted"))
     lists = _shingled(join_documents(keyed, wanted, "left_semi")).dropDuplicates(["id"]).select("id", "h")
     cells = settle(lists.mapInArrow(_celled, "id bigint, cells array<bigint>"), "dart-cells")
@@ -196,7 +240,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, r
         joined = pairs.join(two, "b").join(one, "a")
         return joined.where(both >= similarity * (F.size("x") + F.size("y") - both))
 
-    classes = link(live, verify, facts, possible)
+    def rest(left: DataFrame) -> DataFrame:
+        return prefix_pairs(cells, left, similarity)
+
+    classes = link(live, verify, facts, possible, rest=rest)
     reps = texts.join(bounded(classes).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     firsts = reps.groupBy("root").agg(F.min(_order()).alias("first"), F.sum("copies").alias("class_size"))
     # a class of one text needs no second look

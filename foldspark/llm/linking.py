@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm.tables import bounded, settle
+from foldspark.session import release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -50,13 +51,13 @@ def _flatten(parent: DataFrame) -> DataFrame:
 
 
 def shared_blocks(members: DataFrame) -> DataFrame:
-    """The rows (block, id) of ``members`` in blocks that hold two different ids or more, each once, with ``weight``:
-    in how large blocks the id is altogether. The centre of a group of copies shares most blocks with most of them."""
+    """(id, blocks, weight) for the ids of ``members`` (block, id; each pair once) that have blocks in common with other
+    ids: these blocks, and in how large ones the id is altogether. The centre of a group of copies shares most blocks
+    with most of them. One row an id keeps its blocks small on disk and in the joins of ``link``."""
     sizes = members.groupBy("block").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size"))
-    shared = bounded(settle(sizes.where("low < high").select("block", "size"), "shared"))
-    live = settle(members.join(shared, "block").distinct(), "live")
-    weights = settle(live.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
-    return settle(live.select("block", "id").join(bounded(weights), "id"), "live", live)
+    shared = settle(sizes.where("low < high").select("block", "size"), "shared")
+    live = members.join(bounded(shared), "block").groupBy("id")
+    return settle(live.agg(F.collect_set("block").alias("blocks"), F.sum("size").alias("weight")), "live", shared)
 
 
 def link(
@@ -65,55 +66,63 @@ def link(
     facts: DataFrame,
     possible: Callable[[str, str], Column],
     pivots: int = 2,
-    once: bool = True,
+    rest: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Components (node, root) of the ids in ``live`` (see ``shared_blocks``) under verified links.
+    """Components (node, root) of the ids in ``live`` (see ``shared_blocks``; deleted) under verified links.
 
     ``verify`` keeps the pairs (a, b) that are similar. ``facts`` holds a row for each id in ``live``, and
     ``possible(prefix, prefix)`` says from their columns whether two ids can be similar at all. Each pivot round
     compares one member of a block with those not yet connected to it, the most central one first, so a block of
     many copies closes after a few linear rounds. What is left are blocks whose members stayed in different
-    components; there, all pairs across components that are possible are verified, so no link between ids that share
-    a block is lost. With ``once`` such a pair is made in one of its common blocks only, which takes a list of all
-    blocks in every row; without, it is made in each of them, better where ids have many blocks and few possible pairs.
+    components. From their members (id, label), ``rest`` makes the pairs (a, b) of different labels to look at, at
+    least all similar ones; by default these are all possible pairs inside each block. So no link between ids that
+    share a block is lost.
     """
     found, classes = None, None
-    labels = live.select("block", "id", "weight", F.col("id").alias("label"))
+    labels = live.withColumn("label", F.col("id"))
     for step in range(pivots + 1):
-        ends = labels.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"), _pivot(step).alias("p"))
+        each = labels.select(F.explode("blocks").alias("block"), "id", "weight", "label")
+        ends = each.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"), _pivot(step).alias("p"))
         still = settle(ends.where("low < high").select("block", "p.*"), "open")
         if still.isEmpty():
             break
         if step < pivots:
-            pairs = labels.join(bounded(still), "block").where("label <> pivot_label").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+            pairs = each.join(bounded(still), "block").where("label <> pivot_label").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+            made = _in_order(pairs)
+        elif rest is not None:
+            left = each.join(bounded(still.select("block")), "block", "left_semi").select("id", "label").distinct()
+            left = settle(left, "open-members", labels, still)
+            made = _in_order(rest(left))
         else:
-            members = rest = settle(labels.join(bounded(still.select("block")), "block").select("block", "id", "label"), "open-members")
-            if once:
-                rest = rest.join(rest.groupBy("id").agg(F.collect_set("block").alias("blocks")), "id")
-            rest = settle(rest.join(facts, "id"), "rest", members)
-            one, two = (rest.select(*[F.col(c).alias(f"{side}_{c}") for c in rest.columns]) for side in "xy")
-            apart = (F.col("x_block") == F.col("y_block")) & (F.col("x_label") < F.col("y_label"))
-            made = apart & possible("x_", "y_")
-            if once:
-                made = made & (F.col("x_block") == F.array_min(F.array_intersect("x_blocks", "y_blocks")))
-            pairs = one.join(two, made).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            members = each.join(bounded(still.select("block")), "block").select("block", "id", "label")
+            members = settle(members.join(facts, "id"), "open-members", labels)
+            one, two = (members.select(*[F.col(c).alias(f"{side}_{c}") for c in members.columns]) for side in "xy")
+            apart = (F.col("x_block") == F.col("y_block")) & (F.col("x_label") < F.col("y_label")) & possible("x_", "y_")
+            made = _in_order(one.join(two, apart).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")))
+            release(members)
+        release(still)
         one, two = (facts.select(*[F.col(c).alias(f"{side}_{c}") for c in facts.columns]) for side in "xy")
-        ordered = settle(ordered, "pairs").join(one, F.col("a") == F.col("x_id")).join(two, F.col("b") == F.col("y_id"))
-        ordered = settle(ordered.where(possible("x_", "y_")).select("a", "b"), "possible")
-        similar = verify(ordered).select("a", "b")
-        found = settle(similar if found is None else found.unionByName(similar), "links")
+        ordered = made.join(one, F.col("a") == F.col("x_id")).join(two, F.col("b") == F.col("y_id"))
+        ordered = settle(ordered.where(possible("x_", "y_")).select("a", "b"), "possible", made)
+        similar = settle(verify(ordered).select("a", "b"), "similar", ordered)
+        if similar.isEmpty():
+            continue
+        found = similar if found is None else settle(found.unionByName(similar), "links", found, similar)
         classes = components(found)
         if step == pivots:
             break
         to = bounded(classes).select(F.col("node").alias("id"), F.col("root").alias("_to"))
-        labels = live.join(to, "id", "left").select("block", "id", "weight", F.coalesce("_to", "id").alias("label"))
-        labels = settle(labels, "labels")
+        moved = labels.drop("label").join(to, "id", "left").withColumn("label", F.coalesce("_to", "id")).drop("_to")
+        labels = settle(moved, "labels", labels)
     if classes is None:
-        return live.select(F.col("id").alias("node"), F.col("id").alias("root")).where("node is null")
+        return facts.select(F.col("id").alias("node"), F.col("id").alias("root")).where("node is null")
     return classes
 
 
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
 def _pivot(step: int) -> Column:
     """The most central member first, the same for many blocks; later ones by a hash."""
     order = F.struct(F.col("weight"), F.col("id")) if step == 0 else F.struct(F.xxhash64("id", F.lit(step)), F.col("id"))

@@ -1,6 +1,7 @@
 """Each operator against brute force on a small corpus with every kind of odd row, and on empty tables."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldspark.llm import gru
+from foldspark.llm import dart_minhash, gru
 from foldspark.llm.dart_minhash import band_keys, dart_signatures, drop_near_duplicates, mix64, near_duplicates
 from foldspark.llm.decontaminate import contaminated, contamination, decontaminate
 from foldspark.llm.language_mixture import languages, mixtures
@@ -542,3 +543,24 @@ def test_exact_copies_do_not_survive_line_and_near_dedup(spark, docs):
     marked = marked.unionByName(marked.where("doc_id = 5").select(F.lit(81).cast("bigint").alias("doc_id"), F.concat("text", F.lit("\n---")).alias("text"), "lang", "source", "n_chars"))
     out = corpus_pipeline.near(spark, corpus_pipeline.lines(spark, marked, ""), "")
     assert sorted(r.doc_id for r in out.collect()) == [5, 72]  # 72 had no words to begin with
+
+
+def test_prefix_pairs_make_every_similar_pair_and_few_others(spark):
+    rng = random.Random(11)
+    centre = [rng.getrandbits(60) for _ in range(120)]
+    sets = {}
+    for i in range(160):  # copies about as far from the centre as allowed, some of other sizes, some with edits in common
+        kept = rng.sample(centre, 120 - rng.randint(4, 22) - (15 if i % 7 == 0 else 0))
+        sets[i] = set(kept) | {rng.getrandbits(60) if rng.random() < 0.7 else 1000 + rng.randint(0, 40) for _ in range(rng.randint(4, 22))}
+    sets |= {200 + i: {5 + j for j in range(i + 1)} for i in range(6)} | {300: {1}, 301: {1}, 302: {2}}
+    cells = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, cells array<long>")
+    left = spark.createDataFrame([(i, i // 2) for i in sets], "id long, label long")
+    made = {(min(r.a, r.b), max(r.a, r.b)) for r in dart_minhash.prefix_pairs(cells, left, 0.8).collect()}
+    similar = set()
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and i // 2 != j // 2 and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                similar.add((i, j))
+    assert similar and similar <= made
+    assert len(made) < 160 * 159 / 4
