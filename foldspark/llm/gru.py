@@ -12,6 +12,7 @@ Net = dict[str, np.ndarray]
 HIDDEN = 16
 WINDOW = 20
 LANES = 160
+ABREAST = 1_000  # texts read side by side when scoring, which bounds the memory
 
 
 def start(counts: np.ndarray, cuts: np.ndarray, hidden: int = HIDDEN, seed: int = 5) -> Net:
@@ -165,8 +166,17 @@ def score(net: Net, cuts: np.ndarray, flat_ids: np.ndarray, lengths: np.ndarray,
     """Natural log probability of each text; ``flat_ids`` holds the texts one after the other, each ended by 0.
 
     Texts are read side by side, the longest first, so that the ones still running are the first rows; the state
-    is carried across windows to the end of every text.
+    is carried across windows to the end of every text. At most ``ABREAST`` texts of similar lengths are read at once.
     """
+    if len(lengths) > ABREAST:
+        ends = np.cumsum(lengths)
+        total = np.zeros(len(lengths))
+        by_length = np.argsort(-lengths, kind="stable")
+        for at in range(0, len(lengths), ABREAST):
+            some = by_length[at : at + ABREAST]
+            ids = np.concatenate([flat_ids[ends[i] - lengths[i] : ends[i]] for i in some])
+            total[some] = score(net, cuts, ids, lengths[some], window)
+        return total
     offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     order = np.argsort(-lengths, kind="stable")
     sizes, starts = lengths[order], offsets[order]

@@ -564,3 +564,16 @@ def test_prefix_pairs_make_every_similar_pair_and_few_others(spark):
                 similar.add((i, j))
     assert similar and similar <= made
     assert len(made) < 160 * 159 / 4
+
+
+def test_scores_do_not_depend_on_the_texts_read_side_by_side(monkeypatch):
+    rng = np.random.default_rng(4)
+    cuts = np.array([0, 1, 2, 6, 12])
+    net = gru.start(rng.integers(1, 50, 12).astype(float), cuts)
+    net["O"] = rng.normal(0, 0.5, net["O"].shape).astype(np.float32)
+    lengths = rng.integers(1, 200, 50)
+    ids = rng.integers(1, 12, lengths.sum())
+    ids[np.cumsum(lengths) - 1] = 0
+    whole = gru.score(net, cuts, ids, lengths)
+    monkeypatch.setattr(gru, "ABREAST", 7)
+    assert np.allclose(gru.score(net, cuts, ids, lengths), whole, rtol=1e-5)
