@@ -12,6 +12,8 @@ several documents reveals possible repeats, and only the windows it stands for a
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,10 +22,12 @@ from pyspark.sql import functions as F
 from foldspark.llm.dart_minhash import mix64
 from foldspark.llm.tables import bounded, join_documents, settle, with_key
 from foldspark.llm.text import bind, words
+from foldspark.session import release
 
 SPAN = 13
 LEVELS = 2  # higher symbols depend on more words: fewer windows hold one whole, more are needed
 CHUNK = 500_000  # words worked on at once (a single longer text is worked on alone)
+PARTS = 3  # shares of the window hashes compared one after the other, which divides the disk of their exchanges
 BASE = np.uint64(0x9E3779B97F4A7C55)  # odd
 
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]  # name, first and last + 1 word it depends on
@@ -217,10 +221,17 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, levels: int = LEVELS) ->
     windows = again.mapInArrow(_windower(span, levels), f"k long, doc_id {kind}, at array<int>, w array<long>, v array<int>")
     windows = settle(windows, "windows", asked)
     each = windows.select("k", "doc_id", F.explode(F.arrays_zip("at", "w", "v")).alias("x")).select("k", "doc_id", "x.*")
-    first = each.groupBy("w", "v").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    first = settle(first.select("w", "v", "low"), "first-windows")
-    later = each.join(bounded(first), ["w", "v"]).where("doc_id > low")
-    return settle(later.groupBy("k", "doc_id").agg(F.collect_set("at").alias("at")), "repeats", windows, first)
+    found = []
+    for part in range(PARTS):
+        some = each.where(F.pmod("w", F.lit(PARTS)) == part)
+        first = some.groupBy("w", "v").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+        first = settle(first.select("w", "v", "low"), "first-windows")
+        later = some.join(bounded(first), ["w", "v"]).where("doc_id > low")
+        found.append(settle(later.groupBy("k", "doc_id").agg(F.collect_set("at").alias("at")), "repeats-part", first))
+    release(windows)
+    # a place has one hash, so the parts of a text have no place in common
+    together = reduce(DataFrame.unionByName, found).groupBy("k", "doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))
+    return settle(together, "repeats", *found)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, levels: int = LEVELS) -> DataFrame:
