@@ -121,7 +121,9 @@ def assert_excludes(fit: DataFrame, forbidden: DataFrame, on: list[str], what: s
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Multiset difference both ways; empty when two runs agree."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(
-        b.exceptAll(a).withColumn("side", F.lit("right"))
-    )
+    """Multiset difference both ways, each side read once; empty when two runs agree."""
+    signed = a.withColumn("_v", F.lit(1)).unionByName(b.withColumn("_v", F.lit(-1)))
+    left = signed.groupBy(*a.columns).agg(F.sum("_v").alias("_v")).where("_v <> 0")
+    side = F.when(F.col("_v") > 0, "left").otherwise("right").alias("side")
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_v"))).alias("_i")
+    return left.select(*a.columns, side, each).drop("_i")

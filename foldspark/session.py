@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A lookup side of at most this many rows is broadcast; beyond it we shuffle.
+# A lookup side of at most this many rows and bytes in memory is broadcast; beyond it we shuffle.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:

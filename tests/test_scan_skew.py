@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from foldspark.operators import scan
+from foldspark.operators.lineage import differences
 from foldspark.operators.skew import lookup, salted_lookup
 from foldspark.session import materialize
 
@@ -57,3 +58,19 @@ def test_no_single_partition_exchange_on_rows(spark):
     plan = scan.exact_rank(df, ["k"], "r", pieces=4)._jdf.queryExecution().executedPlan().toString()
     window = plan.index("Window")
     assert "hashpartitioning(_piece" in plan[window:]
+
+
+def test_large_values_in_small_files_are_not_broadcast(spark):
+    left = spark.range(4000).select((F.col("id") % 2000).alias("g"), F.col("id").alias("i"))
+    packed = spark.range(2000).select(F.col("id").alias("g"), F.lit(2).alias("n"), F.array_repeat(F.lit(1.0), 2000).alias("x"))
+    right = materialize(packed, "right")  # 32 MB of equal values, a few KB in the file
+    joined = lookup(left, right, ["g"], ["i"]).select("i", F.size("x").alias("k"))
+    assert joined.where("k = 2000").count() == 4000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") <= 1  # the list of hot keys
+
+
+def test_differences_count_both_ways(spark):
+    a, b = (spark.createDataFrame([(x, [0.5, None]) for x in text], "k STRING, c ARRAY<DOUBLE>") for text in ("aabc", "abbd"))
+    found = sorted((r.k, r.side) for r in differences(a, b).collect())
+    assert found == [("a", "left"), ("b", "right"), ("c", "left"), ("d", "right")]
