@@ -232,3 +232,18 @@ def test_choice_ignores_outer_labels(spark, toy, uses):
         assert a[run].inner_auc == b[run].inner_auc
         assert a[run].threshold == pytest.approx(b[run].threshold, abs=1e-9)
     assert any(a[run].auc != b[run].auc for run in a)
+
+
+def test_a_cell_reads_only_its_side_of_the_scaled_codes(assigned):
+    for encoder, protocol in (("target", "foldsafe"), ("count", "global")):
+        coded = cl.scaled_codes(assigned, COLS, encoder, protocol)
+        side = coded.where("outer_fold = 1 AND phase = 'inner' AND role = 'inner_train'")
+        folders = side._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("PushedFilters")[0]
+        assert all(c in folders for c in fs.USE)
+        assert 0 < side.count() < coded.count()
+
+
+def test_narrow_codes_are_scaled_like_wide_ones(assigned):
+    coded = fs.encode(assigned, COLS, "target")
+    wide, narrow = (fs.scale_foldsafe(coded, w).select("row_id", *fs.USE, "codes", "scaled") for w in (None, len(COLS)))
+    assert sorted(wide.collect()) == sorted(narrow.collect())
