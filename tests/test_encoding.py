@@ -1,5 +1,6 @@
 """Encoders and fold-safe composition: closed forms, unseen levels, metamorphic invariants."""
 
+import hashlib
 import math
 from collections import defaultdict
 
@@ -255,3 +256,16 @@ def test_one_hot_cap_is_a_typed_skip(spark, assigned, monkeypatch):
     monkeypatch.setattr(enc.onehot_eligibility, "__defaults__", (5,))
     out = protected(spark, lambda: fs.encode_any(assigned, COLS, "onehot"), "ENCODING_FAILURE")
     assert out.status == "SKIPPED_INELIGIBLE"
+
+
+def test_plain_ordered_codes_shuffle_every_row(toy):
+    rows = toy.select("row_id", "y", COLS[0]).collect()
+    prior, want = sum(r.y for r in rows) / len(rows), {r.row_id: 0.0 for r in rows}
+    for p in range(4):
+        seen = {}
+        for r in sorted(rows, key=lambda r: (hashlib.md5(f"{977 + p}:{r.row_id}".encode()).hexdigest(), r.row_id)):
+            n, pos = seen.get(r[COLS[0]], (0, 0))
+            want[r.row_id] += (pos + prior) / (n + 1) / 4
+            seen[r[COLS[0]]] = (n + 1, pos + r.y)
+    found = {r.row_id: r.codes[0] for r in fs.ordered_whole_codes(toy, COLS).collect()}
+    assert found == pytest.approx(want)
