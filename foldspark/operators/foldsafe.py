@@ -125,6 +125,7 @@ def code_rows(
 BLOCK_SLOTS = 8192  # levels of a block of neighbouring columns
 BLOCK_BYTES = 1 << 20  # of their texts
 COLUMN_LEVELS = 256  # levels of one column
+WIDE_TIMES = 32  # as many in a wide table, whose long lookup would move the packed codes of every column
 STATE_BYTES = 256 << 20  # codes of all states that a task holds
 
 
@@ -141,15 +142,17 @@ class _Block:
 def _blocks(codes: DataFrame, columns: list[str]) -> list[_Block] | None:
     """Dictionaries of all columns, offered only when their checked sizes are small; rows are then coded without any join
     on levels: no row is shuffled, however many columns there are."""
-    levels = codes.select("col", "level").distinct().withColumn("b", F.octet_length("level"))
+    levels = codes.groupBy("col", "level").agg(F.max("n").alias("n")).withColumn("b", F.octet_length("level"))
     per = levels.groupBy("col").agg(F.count("*").alias("k"), F.sum("b").alias("b"))
     top, size, longest, found = per.agg(F.max("k"), F.sum("k"), F.max("b"), F.count("*")).first()
-    if found != len(columns) or top > COLUMN_LEVELS or longest > BLOCK_BYTES:
+    most = COLUMN_LEVELS * (WIDE_TIMES if isinstance(columns, Wide) else 1)
+    if found != len(columns) or top > most or longest > BLOCK_BYTES:
         return None
     states = codes.select(*cb.STATE).distinct().count()
     if size * states * 16 > STATE_BYTES:
         return None
-    named = levels.groupBy("col").agg(F.array_sort(F.collect_list("level")).alias("levels"), F.sum("b").alias("b"))
+    often = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "level")))  # a search finds common levels first
+    named = levels.groupBy("col").agg(F.transform(often, lambda e: e["level"]).alias("levels"), F.sum("b").alias("b"))
     out, entries, start, held, first = [], [], 0, 0, 0
 
     def close(last: int) -> None:

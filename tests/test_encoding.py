@@ -269,3 +269,18 @@ def test_plain_ordered_codes_shuffle_every_row(toy):
             seen[r[COLS[0]]] = (n + 1, pos + r.y)
     found = {r.row_id: r.codes[0] for r in fs.ordered_whole_codes(toy, COLS).collect()}
     assert found == pytest.approx(want)
+
+
+def test_wide_columns_of_many_levels_stay_in_dictionaries(spark, monkeypatch):
+    states = spark.range(600).select(
+        F.lit(0).alias("outer_fold"), F.lit("inner").alias("phase"), F.lit(-1).alias("part"), (F.col("id") % 2).cast("string").alias("col"),
+        F.floor(F.col("id") / 2).cast("string").alias("level"), F.col("id").alias("n"), (F.col("id") / 7).alias("code"),
+    )
+    codes = materialize(states, "states")
+    use = "array(named_struct('outer_fold', 0, 'phase', 'inner', 'role', 'inner_val', 'part', -1)) AS uses"
+    rows = spark.range(301).selectExpr("id AS row_id", "0 AS y", "array(string(id), string(300 - id)) AS levels", use)
+    wide = Wide("levels", 2)
+    assert fs._blocks(codes, wide) is not None
+    found = {r.row_id: r.codes for r in fs.code_rows(materialize(rows, "rows"), codes, wide, splits.SplitPlan(), 0.5, True).collect()}
+    code = lambda c, level: (2 * level + c) / 7 if level < 300 else 0.5
+    assert found == {i: [code(0, i), code(1, 300 - i)] for i in range(301)}
