@@ -81,7 +81,7 @@ def grid_cells():
 def run_table(spark, sf):
     """The run table of the grid over these tables; the first query of a session fills it, later ones find it finished."""
     name = hashlib.md5(f"{spark.sparkContext.applicationId}:{sf}".encode()).hexdigest()
-    table = RunTable(spark, f"{scratch_dir(spark)}/foldspark/grid-{name}")
+    table = RunTable(spark, f"{scratch_dir(spark)}/foldspark/grid-{name}", "segment STRING")
     if len(table.finished()) < len(CONFIGS) * 5:
         rows, uses = orders_uses(spark, sf)
         cl.run_cells(materialize(splits.assign(rows, uses), "assigned"), COLS, grid_cells(), table=table)
@@ -92,8 +92,7 @@ def scored_rows(spark, sf):
     """Held-out predictions of all fitted cells: config, outer_fold, phase, row_id, segment, y_true, y_score."""
     table = run_table(spark, sf)
     named = table.runs().select("run_id", "config", "outer_fold", "protocol")
-    segments = rs.orders_cat(spark, sf).select("row_id", "segment")
-    return table.predictions().join(F.broadcast(named), "run_id").join(segments, "row_id")
+    return table.predictions().join(F.broadcast(named), "run_id")  # one row a cell; the segment was kept with the prediction
 
 
 def predictions(spark, sf):

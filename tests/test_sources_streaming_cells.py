@@ -247,3 +247,34 @@ def test_narrow_codes_are_scaled_like_wide_ones(assigned):
     coded = fs.encode(assigned, COLS, "target")
     wide, narrow = (fs.scale_foldsafe(coded, w).select("row_id", *fs.USE, "codes", "scaled") for w in (None, len(COLS)))
     assert sorted(wide.collect()) == sorted(narrow.collect())
+
+
+def test_bounds_from_the_cube_are_those_of_the_rows(assigned):
+    for name in fs.PLAIN:
+        rows = fs.scale_foldsafe(fs.encode(assigned, COLS, name)).select("row_id", *fs.USE, "scaled")
+        cube = fs.encode_scaled(assigned, COLS, name).select("row_id", *fs.USE, "scaled")
+        assert sorted(cube.collect()) == sorted(rows.collect())
+
+
+def test_cells_share_one_pass_over_the_training_sides(spark, assigned, monkeypatch, tmp_path):
+    from foldspark.operators import learners as ml
+    from foldspark.plans.runs import RunTable
+
+    kinds = [("foldsafe", 2), ("foldsafe", 4), ("global", 4)]
+    grid = [cl.Cell(0, "target", "signed_mean", protocol=p, options={"last": n}, config=f"c{n}") for p, n in kinds]
+    monkeypatch.setattr(cl, "evaluate", lambda runs, predictions: runs)
+    passes, stored, whole, kept = [], [], ml.class_gaps, cl.coded_once
+    monkeypatch.setattr(ml, "class_gaps", lambda *a, **k: passes.append(1) or whole(*a, **k))
+    monkeypatch.setattr(cl, "coded_once", lambda *a: stored.append(kept(*a)) or stored[-1])
+    shared = RunTable(spark, f"{tmp_path}/shared", "b STRING")
+    cl.run_cells(assigned, COLS, grid, table=shared)
+    assert len(passes) == 2  # one for each encoding, not one for each phase of each cell
+    for coded in stored:
+        assert {r.role for r in coded.rows.select("role").distinct().collect()} == {"inner_val", "test"}
+    monkeypatch.setattr(ml, "BY_GAPS", {})
+    alone = RunTable(spark, f"{tmp_path}/alone")
+    cl.run_cells(assigned, COLS, grid, table=alone)
+    names = ["run_id", "phase", "row_id", "y_true", "y_score"]
+    assert sorted(shared.predictions().select(names).collect()) == sorted(alone.predictions().select(names).collect())
+    carried = shared.predictions().select("row_id", "b").distinct()
+    assert carried.join(assigned.select("row_id", "b"), ["row_id", "b"], "left_anti").count() == 0 < carried.count()
