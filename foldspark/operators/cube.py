@@ -7,7 +7,7 @@ of parts, and the state that excludes a part by subtraction, which is exact on i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.session import materialize
@@ -31,6 +31,41 @@ def fold_cube(assigned: DataFrame, columns: list[str]) -> DataFrame:
     return materialize(cube, "cube")
 
 
+PACKED_ROWS = 1 << 32  # tables below have rows and positives of a cell in one long
+
+
+def side_counts(assigned: DataFrame, columns: list[str], sides: int, parts: int) -> DataFrame:
+    """What every state of few columns is fitted on, with one record per (col, level): its rows ``n`` in the table, and
+    ``codes``, an array of rows (low 32 bits) and positives (high ones): for each side, those of the whole side and those
+    outside each part.
+
+    Rows are not told apart by their uses, so a column with a level for each row is grouped once and not once a use.
+    """
+    side = lambda u: (u["outer_fold"] * 2 + F.when(u["phase"] == "outer", 1).otherwise(0)).cast("int")
+    found = F.map_from_entries(F.transform(F.filter("uses", lambda u: u["part"] >= 0), lambda u: F.struct(side(u), u["part"])))
+    part = F.array(*[F.try_element_at(found, F.lit(s)) for s in range(sides)]).alias("_part")
+    one = (F.lit(1) + F.coalesce(F.col("y"), F.lit(0)).cast("bigint") * F.lit(1 << 32)).alias("_one")
+    long = to_long(assigned.select(one, part, *columns), columns, ["_one", "_part"])
+    cells = [F.get("_part", F.lit(s)) != q for s in range(sides) for q in (FULL, *range(parts))]  # NULL: not fitted there
+    sums = [F.coalesce(F.sum(F.when(here, F.col("_one"))), F.lit(0)).alias(f"c{i}") for i, here in enumerate(cells)]
+    counted = long.groupBy("col", "level").agg(F.count("*").alias("n"), *sums)
+    return materialize(counted.select("col", "level", "n", F.array(*[F.col(f"c{i}") for i in range(len(cells))]).alias("codes")), "counts", "col")
+
+
+def rows_and_positives(cell: Column) -> tuple[Column, Column]:
+    return cell.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(cell, 32)
+
+
+def cube_of(counts: DataFrame, parts: int) -> DataFrame:
+    """:func:`fold_cube` from :func:`side_counts`: a part is what the whole side has more than its outside."""
+    each = counts.select("col", "level", "codes", F.posexplode("codes").alias("at", "outside")).where(F.col("at") % (parts + 1) > 0)
+    side = F.floor(F.col("at") / (parts + 1)).cast("int")
+    n, pos = rows_and_positives(F.get("codes", side * (parts + 1)) - F.col("outside"))
+    phase = F.when(side % 2 == 1, "outer").otherwise("inner")
+    state = [F.floor(side / 2).cast("int").alias("outer_fold"), phase.alias("phase"), (F.col("at") % (parts + 1) - 1).alias("part")]
+    return materialize(each.select(*state, "col", "level", n.alias("n"), pos.alias("pos")).where("n > 0"), "cube")
+
+
 def state_totals(cube: DataFrame, column: str) -> DataFrame:
     """Rows ``fit_n`` and positives ``fit_pos`` of every state: a few dozen records."""
     parts = cube.where(F.col("col") == column).groupBy(*STATE).agg(
@@ -57,20 +92,16 @@ def all_states(cube: DataFrame, column: str) -> DataFrame:
 
     A level that occurs only in the excluded part has no row left and is dropped: it is unseen.
     """
-    entry = F.struct("part", F.struct("n", "pos"))
-    counts = cube.groupBy(*SIDE, "col", "level").agg(
-        F.sum("n").alias("side_n"),
-        F.sum("pos").alias("side_pos"),
-        F.map_from_entries(F.collect_list(entry)).alias("parts"),  # at most k_oof entries
-    )
+    parts = range((cube.agg(F.max("part")).first()[0] or 0) + 1)  # k_oof sums of numbers, no list to gather
+    sums = [F.sum(F.when(F.col("part") == q, F.col(c))).alias(f"{c}{q}") for c in ("n", "pos") for q in parts]
+    counts = cube.groupBy(*SIDE, "col", "level").agg(F.sum("n").alias("side_n"), F.sum("pos").alias("side_pos"), *sums)
     each = counts.join(F.broadcast(state_totals(cube, column)), SIDE)
-    own = F.try_element_at("parts", F.col("part"))
-    left = each.withColumns(
-        {
-            "n": F.col("side_n") - F.coalesce(own["n"], F.lit(0)),
-            "pos": F.col("side_pos") - F.coalesce(own["pos"], F.lit(0)),
-        }
-    )
+
+    def left_of(c: str) -> Column:
+        own = F.get(F.array(*[F.col(f"{c}{q}") for q in parts]), F.col("part"))
+        return F.col(f"side_{c}") - F.coalesce(own, F.lit(0))
+
+    left = each.withColumns({"n": left_of("n"), "pos": left_of("pos")})
     return left.where("n > 0").select(*STATE, "col", "level", "n", "pos", "fit_n", "fit_pos")
 
 

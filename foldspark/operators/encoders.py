@@ -32,22 +32,33 @@ def label_codes(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ranked.withColumn("code", F.col("code").cast("double"))
 
 
-def count_codes(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return states.withColumn("code", F.col("n") / F.col("fit_n"))
+def share(n: Column, pos: Column, fit_n: Column, fit_pos: Column) -> Column:
+    return n / fit_n
+
+
+def smoothed_mean(alpha: float) -> Callable[..., Column]:
+    return lambda n, pos, fit_n, fit_pos: (pos + F.lit(alpha) * (fit_pos / fit_n)) / (n + F.lit(alpha))
+
 
+# encoders whose code is a formula of the counts of its own level and state
+FORMULAS = {"count": share, "target": smoothed_mean(TARGET_ALPHA), "ordered": smoothed_mean(ORDERED_ALPHA)}
 
-def smoothed_mean(alpha: float) -> Column:
-    prior = F.col("fit_pos") / F.col("fit_n")
-    return (F.col("pos") + F.lit(alpha) * prior) / (F.col("n") + F.lit(alpha))
+
+def _by_formula(states: DataFrame, name: str) -> DataFrame:
+    return states.withColumn("code", FORMULAS[name](*[F.col(c) for c in ("n", "pos", "fit_n", "fit_pos")]))
+
+
+def count_codes(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return _by_formula(states, "count")
 
 
 def target_codes(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return states.withColumn("code", smoothed_mean(TARGET_ALPHA))
+    return _by_formula(states, "target")
 
 
 def ordered_map_codes(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """What the ordered statistic gives to rows it was not fitted on."""
-    return states.withColumn("code", smoothed_mean(ORDERED_ALPHA))
+    return _by_formula(states, "ordered")
 
 
 def woe_codes(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

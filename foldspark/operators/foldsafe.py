@@ -23,6 +23,7 @@ from foldspark.sources.categories import Wide, level_array, to_long
 
 USE = ["outer_fold", "phase", "role"]
 NARROW = 32  # up to so many codes a row are written out as one expression each
+COUNTED = ("count", "target")  # encoders whose codes follow from the counts of a level in one record
 PLAIN = ("label", "count", "target", "woe")  # encoders with one code a column, looked up in a small state
 
 
@@ -39,11 +40,9 @@ def pack_codes(codes: DataFrame, plan: SplitPlan) -> DataFrame:
     folds instead of one per fold.
     """
     slot = _slot(F.col("outer_fold"), F.col("phase"), F.col("part"), plan)
-    packed = codes.groupBy("col", "level").agg(
-        F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct(slot, "code"))).alias("_m")
-    )
-    slots = F.sequence(F.lit(0), F.lit(2 * plan.k * (plan.k_oof + 1) - 1))
-    dense = F.transform(slots, lambda i: F.try_element_at("_m", i))
+    each = [F.max(F.when(F.col("_slot") == i, F.col("code"))).alias(f"_s{i}") for i in range(2 * plan.k * (plan.k_oof + 1))]
+    packed = codes.withColumn("_slot", slot).groupBy("col", "level").agg(F.max("n").alias("n"), *each)
+    dense = F.array(*[F.col(f"_s{i}") for i in range(len(each))])
     return materialize(packed.select("col", "level", "n", dense.alias("codes")), "codes", "col")
 
 
@@ -74,8 +73,10 @@ def _narrow(columns: list[str]) -> bool:
     return not isinstance(columns, Wide) and len(columns) <= NARROW
 
 
-def _pick(slot: Column, unseen: Column) -> Column:
-    """The code of every category in one state."""
+def _pick(slot: Column, unseen: Column, width: int | None = None) -> Column:
+    """The code of every category in one state; few are compiled as one expression each."""
+    if width is not None:
+        return F.array(*[F.coalesce(F.get(F.get("_codes", F.lit(i)), slot), unseen) for i in range(width)])
     return F.transform("_codes", lambda c: F.coalesce(F.get(c, slot), unseen))
 
 
@@ -113,7 +114,7 @@ def code_rows(
         each = each.withColumn("_unseen", unseen if isinstance(unseen, Column) else F.lit(unseen))
     if blocks is None:
         slot = _slot(F.col("outer_fold"), F.col("phase"), F.col("part"), plan)
-        return each.select("row_id", "y", *carry, *USE, _pick(slot, F.col("_unseen")).alias("codes"))
+        return each.select("row_id", "y", *carry, *USE, _pick(slot, F.col("_unseen"), len(columns) if _narrow(columns) else None).alias("codes"))
     picked = []
     for i, block in enumerate(blocks):
         # one record per state; all blocks together are at most STATE_BYTES
@@ -123,6 +124,28 @@ def code_rows(
     return each.select("row_id", "y", *carry, *USE, (F.concat(*picked) if len(picked) > 1 else picked[0]).alias("codes"))
 
 
+def _code_by_counts(
+    assigned: DataFrame, counts: DataFrame, columns: list[str], name: str, plan: SplitPlan, carry: Sequence[str] = ()
+) -> DataFrame:
+    """:func:`code_rows` of an encoder of ``COUNTED`` from ``cb.side_counts``: a row looks up the counts of its levels and has the
+    codes of its own uses computed, so no record or code of a level is written per state."""
+    encoder = enc.ENCODERS[name]
+    first = counts.where(F.col("col") == columns[0])
+    total = [F.sum(F.get("codes", F.lit(i))).alias(f"t{i}") for i in range(2 * plan.k * (plan.k_oof + 1))]
+    states = first.agg(*total).select(F.posexplode(F.array(*[F.col(f"t{i}") for i in range(len(total))])).alias("slot", "t"))
+    fit_n, fit_pos = cb.rows_and_positives(F.col("t"))
+    states = materialize(states.select("slot", fit_n.alias("fit_n"), fit_pos.alias("fit_pos")), "totals")
+    each = _each_use(_attach(assigned.drop("n"), counts, columns), "_codes", carry)
+    part = F.col("part") if encoder.supervised else F.lit(cb.FULL)
+    each = each.withColumn("slot", _slot(F.col("outer_fold"), F.col("phase"), part, plan)).join(F.broadcast(states), "slot")  # one record per state
+    unseen = F.lit(encoder.unseen) if encoder.unseen is not None else F.col("fit_pos") / F.col("fit_n")
+    codes = []
+    for i in range(len(columns)):
+        n, pos = cb.rows_and_positives(F.get(F.get("_codes", F.lit(i)), F.col("slot")))
+        codes.append(F.when(n > 0, enc.FORMULAS[name](n, pos, F.col("fit_n"), F.col("fit_pos"))).otherwise(unseen))
+    return each.select("row_id", "y", *carry, *USE, F.array(*codes).alias("codes"))
+
+
 # ---- dictionaries of blocks of columns -------------------------------------------------------
 
 BLOCK_SLOTS = 8192  # levels of a block of neighbouring columns
@@ -225,6 +248,13 @@ def encode(
     ``carry`` names columns that are passed on (encoders of ``PLAIN`` only).
     """
     encoder = enc.ENCODERS[name]
+    if cube is None and name in COUNTED and _narrow(columns):
+        counts = cb.side_counts(assigned, columns, 2 * plan.k, plan.k_oof)
+        levels, rows = counts.groupBy("col").agg(F.count("*").alias("k"), F.sum("n").alias("n")).agg(F.max("k"), F.max("n")).first()
+        if rows is not None and rows < cb.PACKED_ROWS:
+            if levels > COLUMN_LEVELS:
+                return _code_by_counts(assigned, counts, columns, name, plan, carry)
+            cube = cb.cube_of(counts, plan.k_oof)
     cube = fold_cube(assigned, columns) if cube is None else cube
     codes, unseen = _fitted(cube, columns, name)
     if name != "ordered":

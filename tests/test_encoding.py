@@ -284,3 +284,22 @@ def test_wide_columns_of_many_levels_stay_in_dictionaries(spark, monkeypatch):
     found = {r.row_id: r.codes for r in fs.code_rows(materialize(rows, "rows"), codes, wide, splits.SplitPlan(), 0.5, True).collect()}
     code = lambda c, level: (2 * level + c) / 7 if level < 300 else 0.5
     assert found == {i: [code(0, i), code(1, 300 - i)] for i in range(301)}
+
+
+def test_columns_of_many_levels_write_one_record_a_level(toy, assigned, monkeypatch):
+    want = {name: codes(fs.encode(assigned, COLS, name)) for name in ("target", "count")}
+    monkeypatch.setattr(fs, "COLUMN_LEVELS", 2)
+    written = []
+
+    def counted(table, *args):
+        out = materialize(table, *args)
+        written.append(out.count())
+        return out
+
+    for module in (fs, cb):
+        monkeypatch.setattr(module, "materialize", counted)
+    assert {name: codes(fs.encode(assigned, COLS, name)) for name in ("target", "count")} == want
+    keyed = assigned.withColumn("u", F.col("row_id").cast("string"))
+    written.clear()
+    fs.encode(keyed, ["u", "a"], "target").count()
+    assert max(written) <= TOY_ROWS + 5  # states and codes had up to 60 records a level
