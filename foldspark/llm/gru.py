@@ -12,6 +12,7 @@ Net = dict[str, np.ndarray]
 HIDDEN = 16
 WINDOW = 20
 LANES = 160
+CHUNK = 4_096  # targets whose logits are held at once
 ABREAST = 1_000  # texts read side by side when scoring, which bounds the memory
 
 
@@ -47,7 +48,7 @@ def shaped(values: np.ndarray, like: Net) -> Net:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
 def step(net: Net, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -61,23 +62,53 @@ def step(net: Net, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return n + z * (h - n), z, r, n, un
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _choice(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log probability of the chosen row of every column, exponentials, their sums) of logits; ``x`` is overwritten.
 
+    Alternatives are rows, so that maxima and sums run along memory for all columns at once.
+    """
+    x -= x.max(axis=0)
+    log = x[chosen, np.arange(x.shape[1])]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    return log - np.log(total), x, total
 
-def log_probability(net: Net, cuts: np.ndarray, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target after each state."""
+
+def _by_class(cuts: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """(order of the targets by class, their classes in it, (first and last symbol, first and last place) of classes with a choice)"""
     kind = np.searchsorted(cuts, targets, side="right") - 1
-    out = _log_softmax(states @ net["K"] + net["c"])[np.arange(len(kind)), kind].astype(np.float64)
     order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(len(cuts)))
-    for c in np.unique(kind):
-        low, high = cuts[c], cuts[c + 1]
-        if high - low > 1:
-            at = order[bounds[c] : bounds[c + 1]]
-            inner = _log_softmax(states[at] @ net["O"][low:high].T + net["o"][low:high])
-            out[at] += inner[np.arange(len(at)), targets[at] - low]
+    kind = kind[order]
+    bounds = np.searchsorted(kind, np.arange(len(cuts))).tolist()
+    ends = cuts.tolist()
+    spans = zip(ends, ends[1:], bounds, bounds[1:])
+    return order, kind, [s for s in spans if s[1] - s[0] > 1 and s[3] > s[2]]
+
+
+def log_probability(net: Net, cuts: np.ndarray, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Natural log probability of each target after each state."""
+    order, kind, spans = _by_class(cuts, targets)
+    s, y = states[order], targets[order]
+    log = np.empty(len(y))
+    for at in range(0, len(y), CHUNK):
+        some = slice(at, at + CHUNK)
+        log[some] = _choice(net["K"].T @ s[some].T + net["c"][:, None], kind[some])[0]
+    for low, high, first, last in spans:
+        for at in range(first, last, CHUNK):
+            some = slice(at, min(at + CHUNK, last))
+            log[some] += _choice(net["O"][low:high] @ s[some].T + net["o"][low:high, None], y[some] - low)[0]
+    out = np.empty(len(y))
+    out[order] = log
+    return out
+
+
+def _summed(rows: np.ndarray, ids: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each id, in an array like ``like``."""
+    out = np.zeros_like(like)
+    order = np.argsort(ids, kind="stable")
+    found = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    out[found[first]] = np.add.reduceat(rows[order], first, axis=0)
     return out
 
 
@@ -86,54 +117,62 @@ def gradients(net: Net, cuts: np.ndarray, ids: np.ndarray, targets: np.ndarray,
     steps, lanes = ids.shape
     hidden = h.shape[1]
     g = {k: np.zeros_like(v) for k, v in net.items()}
-    xs = net["E"][ids] @ net["W"] + net["b"]
-    kept, states = [], np.empty((steps, lanes, hidden), np.float32)
+    flat_ids = ids.reshape(-1)
+    inputs = net["E"][flat_ids]
+    xs = (inputs @ net["W"] + net["b"]).reshape(steps, lanes, -1)
+    goes_on = (ids != 0).astype(np.float32)[:, :, None]  # a text begins with a clear state
+    befores, zs, rs, ns, uns, states = (np.empty((steps, lanes, hidden), np.float32) for _ in range(6))
     for t in range(steps):
-        before = np.where((ids[t] == 0)[:, None], 0, h).astype(np.float32)  # a text begins with a clear state
-        h, z, r, n, un = step(net, xs[t], before)
-        kept.append((before, z, r, n, un))
+        np.multiply(h, goes_on[t], out=befores[t])
+        h, zs[t], rs[t], ns[t], uns[t] = step(net, xs[t], befores[t])
         states[t] = h
-    s, y = states.reshape(-1, hidden), targets.reshape(-1)
+    y = targets.reshape(-1)
     count = len(y)
-    kind = np.searchsorted(cuts, y, side="right") - 1
-    log = _log_softmax(s @ net["K"] + net["c"])
-    loss = -log[np.arange(count), kind].sum()
-    d = np.exp(log)
-    d[np.arange(count), kind] -= 1
-    d /= count
-    g["K"], g["c"] = s.T @ d, d.sum(axis=0)
-    ds = d @ net["K"].T
-    order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(len(cuts)))
-    for c in np.unique(kind):
-        low, high = cuts[c], cuts[c + 1]
-        if high - low > 1:
-            at = order[bounds[c] : bounds[c + 1]]
-            log = _log_softmax(s[at] @ net["O"][low:high].T + net["o"][low:high])
-            place = y[at] - low
-            loss -= log[np.arange(len(at)), place].sum()
-            d = np.exp(log)
-            d[np.arange(len(at)), place] -= 1
-            d /= count
-            g["O"][low:high], g["o"][low:high] = d.T @ s[at], d.sum(axis=0)
-            ds[at] += d @ net["O"][low:high]
+    order, kind, spans = _by_class(cuts, y)
+    s, y = states.reshape(-1, hidden)[order], y[order]
+    place = np.arange(count)
+
+    def outer(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, float]:
+        log, d, total = _choice(x, chosen)
+        d /= total * np.float32(count)
+        d[chosen, place[: len(chosen)]] -= np.float32(1 / count)
+        return d, -float(log.sum())
+
+    d, loss = outer(net["K"].T @ s.T + net["c"][:, None], kind)
+    g["K"], g["c"] = (d @ s).T, d.sum(axis=1)
+    sorted_ds = d.T @ net["K"].T
+    for low, high, first, last in spans:
+        some, weights = s[first:last], net["O"][low:high]
+        d, more = outer(weights @ some.T + net["o"][low:high, None], y[first:last] - low)
+        loss += more
+        g["O"][low:high], g["o"][low:high] = d @ some, d.sum(axis=1)
+        sorted_ds[first:last] += d.T @ weights
+    ds = np.empty_like(sorted_ds)
+    ds[order] = sorted_ds
     ds = ds.reshape(steps, lanes, hidden)
-    dx = np.empty((steps, lanes, 3 * hidden), np.float32)
+    # what does not depend on later steps is computed for the whole window
+    by_n = (1 - zs) * (1 - ns * ns)
+    by_z = (befores - ns) * zs * (1 - zs)
+    by_r = uns * rs * (1 - rs)
+    dus = np.empty((steps, lanes, 3 * hidden), np.float32)
+    dns = np.empty((steps, lanes, hidden), np.float32)
+    back = np.ascontiguousarray(net["U"].T)
     dh = np.zeros((lanes, hidden), np.float32)
     for t in range(steps - 1, -1, -1):
-        before, z, r, n, un = kept[t]
         dh = dh + ds[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dn], axis=1)
-        du = np.concatenate([dz, dr, dn * r], axis=1)
-        g["U"] += before.T @ du
-        dh = np.where((ids[t] == 0)[:, None], 0, dh * z + du @ net["U"].T).astype(np.float32)
-    wide = dx.reshape(-1, 3 * hidden)
+        du, dn = dus[t], dns[t]
+        np.multiply(dh, by_n[t], out=dn)
+        np.multiply(dh, by_z[t], out=du[:, :hidden])
+        np.multiply(dn, by_r[t], out=du[:, hidden : 2 * hidden])
+        np.multiply(dn, rs[t], out=du[:, 2 * hidden :])
+        dh = (dh * zs[t] + du @ back) * goes_on[t]
+    flat_du = dus.reshape(-1, 3 * hidden)
+    g["U"] = befores.reshape(-1, hidden).T @ flat_du
+    wide = flat_du.copy()
+    wide[:, 2 * hidden :] = dns.reshape(-1, hidden)
     g["b"] = wide.sum(axis=0)
-    g["W"] = net["E"][ids.reshape(-1)].T @ wide
-    np.add.at(g["E"], ids.reshape(-1), wide @ net["W"].T)
+    g["W"] = inputs.T @ wide
+    g["E"] = _summed(wide @ net["W"].T, flat_ids, net["E"])
     return g, h, loss / count
 
 

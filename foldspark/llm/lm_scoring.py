@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm import gru
@@ -29,12 +29,18 @@ LEAST_TOKENS = 200_000  # a task repeats its documents until it has read so many
 PIECE = 4_096  # weights averaged as one vector
 
 
+def _words() -> Column:
+    return words(ascii_lower(F.coalesce("text", F.lit(""))))
+
+
 def _tokens(docs: DataFrame) -> DataFrame:
     """(k, doc_id, h): hashes of the words; k tells documents apart when training ones are drawn."""
-    text = ascii_lower(F.coalesce("text", F.lit("")))
-    return docs.select(
-        F.xxhash64("doc_id", "text").alias("k"), "doc_id", F.transform(words(text), lambda x: F.xxhash64(x)).alias("h")
-    )
+    return docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", F.transform(_words(), lambda x: F.xxhash64(x)).alias("h"))
+
+
+def _hashes(docs: DataFrame) -> DataFrame:
+    """(h) for every word; hashing rows is compiled, which a lambda is not."""
+    return docs.select(F.explode(_words()).alias("w")).select(F.xxhash64("w").alias("h"))
 
 
 def class_cuts(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
@@ -148,7 +154,7 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0) -> Data
     """
     fold = fold_of(F.col("doc_id"), folds) == held_out
     learned = _tokens(docs.where(~fold))
-    counts = settle(learned.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c")), "lm-counts")
+    counts = settle(_hashes(docs.where(~fold)).groupBy("h").agg(F.count("*").alias("c")), "lm-counts")
     texts = docs.where(~fold).count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(COMMON).toPandas()

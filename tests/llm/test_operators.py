@@ -577,3 +577,17 @@ def test_scores_do_not_depend_on_the_texts_read_side_by_side(monkeypatch):
     whole = gru.score(net, cuts, ids, lengths)
     monkeypatch.setattr(gru, "ABREAST", 7)
     assert np.allclose(gru.score(net, cuts, ids, lengths), whole, rtol=1e-5)
+
+
+def test_log_probabilities_hold_logits_of_some_targets_at_once():
+    import tracemalloc
+
+    rng, cuts = np.random.default_rng(3), np.array([0, 1, 2, 40, 120])
+    net = {k: v + rng.normal(0, 0.2, v.shape).astype(np.float32) for k, v in gru.start(rng.integers(1, 50, 120).astype(float), cuts).items()}
+    states, targets = rng.normal(0, 1, (200_000, 16)).astype(np.float32), rng.integers(0, 120, 200_000)
+    tracemalloc.start()
+    found = gru.log_probability(net, cuts, states, targets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * states.nbytes  # those of all targets were held: 8 times
+    assert found[-5:] == pytest.approx(gru.log_probability(net, cuts, states[-5:], targets[-5:]), abs=1e-4)
