@@ -1,7 +1,8 @@
 """Log-likelihood of whole documents under a recurrent language model.
 
-Counts are gathered from all learned texts. The commonest words are the symbols of the model; any other word is the
-symbol for unknown words times its share among them, so every text has a probability. Tasks train copies of the model
+Texts are cut into words once, and their hashes kept for the steps that follow. Counts are gathered from all learned
+texts. The commonest words are the symbols of the model; any other word is the symbol for unknown words times its
+share among them, so every text has a probability. Tasks train copies of the model
 on their documents and the weights are averaged by tokens, for ``PASSES`` rounds that share out all learned documents. Rare words, whose number grows
 with the corpus, are joined with their counts; only a bounded number of common ones is sent to the tasks.
 """
@@ -27,6 +28,7 @@ CLASSES = 40
 PASSES = 2  # each learned document trains the network in one of them
 LEAST_TOKENS = 200_000  # a task repeats its documents until it has read so many
 PIECE = 4_096  # weights averaged as one vector
+LEAD = 20  # first bits of a hash that say where among the common words it would be
 
 
 def _words() -> Column:
@@ -38,11 +40,6 @@ def _tokens(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", F.transform(_words(), lambda x: F.xxhash64(x)).alias("h"))
 
 
-def _hashes(docs: DataFrame) -> DataFrame:
-    """(h) for every word; hashing rows is compiled, which a lambda is not."""
-    return docs.select(F.explode(_words()).alias("w")).select(F.xxhash64("w").alias("h"))
-
-
 def class_cuts(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Bounds of the classes: the end and the unknown word alone, then words by equal sums of root counts."""
     root = np.sqrt(counts[2:])
@@ -62,32 +59,45 @@ class Vocabulary:
         self.cuts = class_cuts(self.symbol_counts)
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
-        self.symbols = np.where(order < symbols, order + 2, 1)
+        self.symbols = np.where(order < symbols, order + 2, 1).astype(np.int32)
+        self.weights = np.log10(self.counts + 0.1)
+        leads = np.arange(-(1 << (LEAD - 1)), (1 << (LEAD - 1)) + 1)
+        self.starts = np.searchsorted(self.hashes >> (64 - LEAD), leads).astype(np.int32)
+        self.alike = int(np.diff(self.starts).max())  # most words with one lead
         self.texts, self.tokens = texts, tokens
         self.norm = math.log10(tokens + 0.1 * (distinct + 1))
         rest = distinct - (texts > 0) - symbols
         self.rest_norm = math.log10(self.symbol_counts[1] + 0.1 * (rest + 1))
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbol, count, whether it is common) of each hash."""
+        """(symbol, log10 of the smoothed count, whether it is common) of each hash; the second is 0 where it is not."""
         if not len(self.hashes):
-            return np.ones(len(h), int), np.zeros(len(h)), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            return np.ones(len(h), np.int32), np.zeros(len(h)), np.zeros(len(h), bool)
+        lead = (h >> (64 - LEAD)) + (1 << (LEAD - 1))
+        at = np.minimum(self.starts[lead], np.int32(len(self.hashes) - 1))
         common = self.hashes[at] == h
-        return np.where(common, self.symbols[at], 1), np.where(common, self.counts[at], 0), common
+        for i in range(1, self.alike):  # words with the lead of an earlier one
+            left = np.flatnonzero(~common)
+            here = self.starts[lead[left]] + i
+            more = here < self.starts[lead[left] + 1]
+            left, here = left[more], here[more]
+            found = self.hashes[here] == h[left]
+            at[left[found]], common[left[found]] = here[found], True
+        return np.where(common, self.symbols[at], np.int32(1)), np.where(common, self.weights[at], 0.0), common
 
 
 def _joined(lists) -> tuple[np.ndarray, np.ndarray]:
     """(flat hashes, lengths)"""
     lengths = np.array([len(x) for x in lists], np.int64)
-    return (np.concatenate(list(lists)).astype(np.int64) if len(lists) else np.zeros(0, np.int64)), lengths
+    return (np.concatenate(list(lists)).astype(np.int64, copy=False) if len(lists) else np.zeros(0, np.int64)), lengths
 
 
 def _ended(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The symbols of the texts, each followed by 0."""
-    out = np.zeros(len(symbols) + len(lengths), np.int64)
-    place = np.arange(len(symbols)) + np.repeat(np.arange(len(lengths)), lengths)
-    out[place] = symbols
+    out = np.zeros(len(symbols) + len(lengths), np.int32)
+    word = np.ones(len(out), bool)
+    word[np.cumsum(lengths + 1) - 1] = False
+    out[word] = symbols
     return out
 
 
@@ -96,7 +106,7 @@ def _trainer(vocabulary: Vocabulary, net: gru.Net):
         parts = []
         for frame in batches:
             h, lengths = _joined(frame["h"])
-            parts.append(_ended(vocabulary.look_up(h)[0], lengths).astype(np.int32))
+            parts.append(_ended(vocabulary.look_up(h)[0], lengths))
         stream = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         if len(stream):
             repeats = -(-LEAST_TOKENS // len(stream))
@@ -123,13 +133,13 @@ def _scorer(vocabulary: Vocabulary, net: gru.Net):
     def score(batches):
         for frame in batches:
             h, lengths = _joined(frame["h"])
-            symbols, counts, common = vocabulary.look_up(h)
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            model = gru.score(net, vocabulary.cuts, _ended(symbols, lengths), lengths + 1) / math.log(10)
-            weight = np.where(common, np.log10(counts + 0.1), 0.0)
+            symbols, weight, common = vocabulary.look_up(h)
             n = len(lengths)
-            unknown = symbols == 1
+            owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
             rare = np.split(h[~common], np.cumsum(np.bincount(owner[~common], minlength=n))[:-1]) if n else []
+            del h  # a batch has millions of words
+            model = gru.score(net, vocabulary.cuts, _ended(symbols, lengths), lengths + 1) / math.log(10)
+            unknown = symbols == 1
             end = math.log10(vocabulary.texts + 0.1)
             yield pd.DataFrame(
                 {
@@ -153,9 +163,10 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0) -> Data
     same scores. If nothing can be learned, every word is unknown.
     """
     fold = fold_of(F.col("doc_id"), folds) == held_out
-    learned = _tokens(docs.where(~fold))
-    counts = settle(_hashes(docs.where(~fold)).groupBy("h").agg(F.count("*").alias("c")), "lm-counts")
-    texts = docs.where(~fold).count()
+    tokens = settle(_tokens(docs), "lm-tokens")
+    learned = tokens.where(~fold)
+    counts = settle(learned.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c")), "lm-counts")
+    texts = learned.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
     total = int(sums.n) + texts
@@ -164,8 +175,8 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0) -> Data
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens long, common long, base double, model double, rare array<long>"
-    scored = _tokens(docs).mapInPandas(_scorer(vocabulary, net), schema)
-    scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")  # stable once written
+    scored = tokens.drop("k").mapInPandas(_scorer(vocabulary, net), schema)
+    scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored", tokens)  # stable once written
     rare = scored.select("row", F.explode("rare").alias("h")).join(counts, "h", "left")
     known = F.coalesce("c", F.lit(0))
     weight = F.sum(F.log10(known + F.lit(0.1)))

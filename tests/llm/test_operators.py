@@ -471,6 +471,31 @@ def test_every_learned_document_trains_the_network(spark, docs, monkeypatch):
     assert read.value == tokens.count()  # each once, over all passes
 
 
+def test_texts_are_cut_into_words_once(docs, monkeypatch):
+    from foldspark.llm import lm_scoring
+
+    cuts = []
+    cut = lm_scoring._words
+    monkeypatch.setattr(lm_scoring, "_words", lambda: cuts.append(1) or cut())
+    score_documents(docs)
+    assert len(cuts) == 1  # counting, both passes and scoring read the kept hashes
+
+
+def test_common_words_are_found_by_their_leads():
+    from foldspark.llm.lm_scoring import Vocabulary
+
+    rng = np.random.default_rng(0)
+    hashes = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, 3_000), [-(2**63), 2**63 - 1], np.arange(40)]))
+    counts = np.arange(len(hashes)) + 1
+    vocabulary = Vocabulary(hashes, counts, 1, int(counts.sum()) + 1, len(hashes) + 1)
+    asked = np.concatenate([hashes, rng.integers(-(2**63), 2**63 - 1, 5_000), hashes + 1])
+    symbols, weights, common = vocabulary.look_up(asked)
+    of = dict(zip(hashes.tolist(), counts.tolist()))
+    assert common.tolist() == [h in of for h in asked.tolist()]
+    assert np.allclose(weights, [math.log10(of[h] + 0.1) if h in of else 0.0 for h in asked.tolist()], atol=1e-12)
+    assert symbols.dtype == np.int32 and ((symbols > 1) <= common).all()
+
+
 def test_network_gradients_and_sums():
     rng = np.random.default_rng(0)
     cuts = np.array([0, 1, 2, 6, 12])
