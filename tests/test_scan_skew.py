@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from foldspark.operators import scan
+from foldspark.operators import scan, skew
 from foldspark.operators.lineage import differences
 from foldspark.operators.skew import lookup, salted_lookup
 from foldspark.session import materialize
@@ -74,3 +74,14 @@ def test_differences_count_both_ways(spark):
     a, b = (spark.createDataFrame([(x, [0.5, None]) for x in text], "k STRING, c ARRAY<DOUBLE>") for text in ("aabc", "abbd"))
     found = sorted((r.k, r.side) for r in differences(a, b).collect())
     assert found == [("a", "left"), ("b", "right"), ("c", "left"), ("d", "right")]
+
+
+def test_large_sides_of_small_files_are_merged(spark, monkeypatch):
+    """Equal arrays take little room in files and much in memory: Spark by itself would send them to the driver."""
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 100)
+    uses = F.array(*[F.struct(F.lit(i).alias("outer_fold"), F.lit("outer").alias("phase")) for i in range(9)])
+    right = materialize(spark.range(1_000).select(F.col("id").alias("g"), F.lit(1).alias("n"), uses.alias("uses")))
+    left = materialize(spark.range(5_000).select(F.col("id").alias("row_id"), (F.col("id") % 1_000).alias("g")))
+    found = skew.lookup(left, right, ["g"], ["row_id"], how="inner")
+    assert found.count() == 5_000
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
