@@ -10,12 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.functions.hashing import seeded_md5
 from foldspark.operators import cube as cb
 from foldspark.operators import encoders as enc
 from foldspark.operators import homals as hm
-from foldspark.operators.ordered import PERMUTATION_SEED, PERMUTATIONS, ordered_codes
-from foldspark.operators.scan import prefix_scan
+from foldspark.operators.ordered import PERMUTATION_SEED, ordered_codes, whole_codes
 from foldspark.operators.skew import lookup
 from foldspark.operators.splits import SplitPlan
 from foldspark.session import materialize
@@ -331,18 +329,8 @@ def ordered_fit_codes(
 
 def ordered_whole_codes(rows: DataFrame, columns: list[str], seed: int = PERMUTATION_SEED) -> DataFrame:
     """Ordered codes of a plain fit on all rows; each permutation is a shuffle of all rows by a seeded hash of their ids."""
-    prior = rows.agg(F.sum("y") / F.count("*")).first()[0]
-    perm = F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1))).alias("perm")
-    long = to_long(rows, columns, ["row_id", "y"]).select("*", perm)
-    hashed = long.withColumn("_h", seeded_md5(F.col("perm") + seed, F.col("row_id")))
-    scanned = prefix_scan(hashed, ["_h", "row_id"], {"n": F.lit(1), "s": "y"}, within=["col", "level", "perm"])
-    code = (F.col("s") + F.lit(enc.ORDERED_ALPHA * prior)) / (F.col("n") + F.lit(enc.ORDERED_ALPHA))
-    # co-locate a row once: both aggregations reuse that partitioning
-    placed = scanned.select("row_id", "col", code.alias("code")).repartition("row_id")
-    mean = placed.groupBy("row_id", "col").agg(F.avg("code").alias("code"))
-    at = F.struct(_position(columns).alias("i"), "code")
-    packed = mean.groupBy("row_id").agg(F.array_sort(F.collect_list(at)).alias("_c"))  # one entry per column
-    return packed.select("row_id", F.transform("_c", lambda e: e["code"]).alias("codes"))
+    prior, n_rows = rows.agg(F.sum("y") / F.count("*"), F.count("*")).first()
+    return whole_codes(rows, columns, prior, n_rows, seed)
 
 
 def encode_onehot(

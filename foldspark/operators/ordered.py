@@ -9,6 +9,9 @@ training sides, and a row's average needs no further exchange:
 3. one exchange of rows and preceding counts by block; a task scans block after block.
 
 Blocks hold about ``BLOCK_CELLS`` values at any size of the table, so the memory of a scan is bounded.
+
+The plain statistic (:func:`whole_codes`) shuffles all rows in every permutation: its blocks are ranges of the order of one
+permutation, and the permutations follow one another. A row carries the sums of its codes, so nothing but rows is exchanged.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql.types import StructField, StructType
 
 from foldspark.functions.hashing import md5_prefix, seeded_md5
 from foldspark.operators.encoders import ORDERED_ALPHA
-from foldspark.session import materialize
+from foldspark.session import forget_shuffles, materialize, release
 from foldspark.sources.categories import level_array
 
 PERMUTATION_SEED = 977  # fixed values of the ordered statistic
@@ -114,25 +117,27 @@ def _scan_block(block: pa.Table, priors: np.ndarray, seed: int) -> Iterator[tupl
             yield i, mine, total[mine, :, i]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The records of one block after the other; the first column is the block, in ascending order."""
+    held, now = [], None
+    for batch in batches:
+        at = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                if held and at[a] != now:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                now = at[a]
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _scan(
     batches: Iterator[pa.RecordBatch], priors: np.ndarray, seed: int, schema: pa.Schema
 ) -> Iterator[pa.RecordBatch]:
-    def blocks() -> Iterator[pa.Table]:
-        held, now = [], None
-        for batch in batches:
-            at = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a < b:
-                    if held and at[a] != now:
-                        yield pa.Table.from_batches(held)
-                        held = []
-                    now = at[a]
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield pa.Table.from_batches(held)
-
-    for block in blocks():
+    for block in _blocks(batches):
         rows = block.filter(pa.array(block.column("kind").to_numpy() == 1))
         if not rows.num_rows:
             continue
@@ -168,3 +173,76 @@ def ordered_codes(
     arrow, start = to_arrow_schema(schema), np.array(priors, dtype=float)
     coded = dealt.mapInArrow(lambda batches: _scan(batches, start, seed, arrow), schema)
     return coded.withColumn("y", F.col("y").cast(rows.schema["y"].dataType))
+
+
+# ---- all rows shuffled in every permutation --------------------------------------------------
+
+
+def _scan_range(block: pa.Table, prior: float, seed: int) -> tuple[pa.Table, np.ndarray]:
+    """The rows of a range of one permutation and the sums of their codes [rows, columns], this permutation included."""
+    kinds = block.column("kind").to_numpy()
+    earlier, rows = (block.filter(pa.array(kinds == k)) for k in (0, 1))
+    n = rows.num_rows
+    if not n:
+        return rows, np.zeros((0, 0))
+    y = rows.column("y").to_numpy()
+    rank = _ranks(rows.column("row_id").to_pylist(), seed)
+    place = np.argsort(rank)  # rows in the order of the permutation
+    flat = rows.column("levels").combine_chunks().flatten()
+    width = len(flat) // n
+    sums = rows.column("sums").combine_chunks().flatten().to_numpy()
+    total = sums.reshape(n, width).copy() if len(sums) else np.zeros((n, width))
+    before = dict(zip(zip(earlier.column("col").to_pylist(), earlier.column("level").to_pylist()), zip(earlier.column("n").to_pylist(), earlier.column("s").to_pylist())))
+    for j in range(width):
+        named = flat.take(pa.array(np.arange(n) * width + j)).dictionary_encode()
+        at, levels = named.indices.to_numpy(), named.dictionary.to_pylist()
+        base = np.array([before.get((j, level), (0, 0)) for level in levels], dtype=np.int64)
+        order = place[np.argsort(at[place], kind="stable")]
+        group = at[order]
+        first = np.searchsorted(group, np.arange(len(levels)))
+        seen = np.arange(n) - first[group] + base[group, 0]
+        running = np.cumsum(y[order]) - y[order]
+        positive = running - running[first][group] + base[group, 1]
+        total[order, j] += (positive + ORDERED_ALPHA * prior) / (seen + ORDERED_ALPHA)
+    return rows, total
+
+
+def _scan_ranges(batches: Iterator[pa.RecordBatch], prior: float, seed: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for block in _blocks(batches):
+        rows, total = _scan_range(block, prior, seed)
+        if rows.num_rows:
+            ends = pa.array(np.arange(len(total) + 1) * total.shape[1], pa.int32())
+            sums = pa.ListArray.from_arrays(ends, pa.array(total.ravel()))
+            out = [*(rows.column(c).combine_chunks() for c in ("row_id", "y", "levels")), sums]
+            yield pa.RecordBatch.from_arrays([v.cast(t) for v, t in zip(out, schema.types)], schema=schema)
+
+
+def whole_codes(rows: DataFrame, columns: Sequence[str], prior: float, n_rows: int, seed: int = PERMUTATION_SEED) -> DataFrame:
+    """``row_id, codes`` of a plain fit on all rows; each permutation is a shuffle of all ``n_rows`` by a seeded hash of their ids.
+
+    The first bits of the hash are the range that a row is in, so ranges need no sample and are of one size.
+    """
+    ranges = block_count(n_rows, len(columns))
+    key = StructField("row_id", rows.schema["row_id"].dataType)
+    schema = StructType([key, *StructType.fromDDL("y bigint, levels array<string>, sums array<double>").fields])
+    arrow, kept = to_arrow_schema(schema), schema.names
+    y = F.coalesce(F.col("y"), F.lit(0)).cast("bigint").alias("y")
+    held = rows.select("row_id", y, level_array(columns).alias("levels"), F.array().cast("array<double>").alias("sums"))
+    held = materialize(held, "ordered")
+    for p in range(PERMUTATIONS):
+        turn = md5_prefix(F.concat(F.lit(f"{seed + p}:"), F.col("row_id").cast("string")))
+        placed = held.withColumn("block", F.shiftright(F.shiftright(turn, 16) * ranges, 32).cast("int"))
+        each = placed.select("block", "y", F.posexplode("levels").alias("col", "level"))
+        counts = each.groupBy("block", "col", "level").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+        before = Window.partitionBy("col", "level").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = counts.select("block", "col", "level", *[F.sum(c).over(before).alias(c) for c in ("n", "s")]).where("n > 0")
+        none = {"col": "int", "level": "string", "n": "bigint", "s": "bigint"}
+        records = placed.select("block", F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()], *kept).unionByName(
+            earlier.select("block", F.lit(0).alias("kind"), *none, *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+        )
+        dealt = records.repartition("block").sortWithinPartitions("block", "kind")
+        turned = materialize(dealt.mapInArrow(lambda batches, at=seed + p: _scan_ranges(batches, prior, at, arrow), schema), "ordered")
+        release(held)
+        forget_shuffles(held)  # else those of all permutations stay
+        held = turned
+    return held.select("row_id", F.transform("sums", lambda c: c / PERMUTATIONS).alias("codes"))

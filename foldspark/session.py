@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,6 +68,12 @@ def release(*tables: DataFrame) -> None:
             target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def forget_shuffles(df: DataFrame) -> None:
+    """Collect the driver's garbage: Spark deletes the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a small input one partition per core; a scan that already has them is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -3,6 +3,7 @@
 import hashlib
 import math
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from toy import COLS, TOY_ROWS
@@ -12,8 +13,8 @@ from foldspark.operators import cube as cb
 from foldspark.operators import encoders as enc
 from foldspark.operators import foldsafe as fs
 from foldspark.operators import lineage as lin
-from foldspark.operators import skew, splits
-from foldspark.session import materialize
+from foldspark.operators import ordered, skew, splits
+from foldspark.session import materialize, scratch_dir
 from foldspark.sources.categories import Wide, normalize
 
 
@@ -271,6 +272,21 @@ def test_plain_ordered_codes_shuffle_every_row(toy):
     assert found == pytest.approx(want)
 
 
+def test_plain_ordered_codes_write_rows_not_values(spark, toy):
+    folder = Path(scratch_dir(spark).removeprefix("file://")) / "foldspark"
+    before = set(folder.iterdir())
+    assert fs.ordered_whole_codes(toy, COLS).count() == toy.count()
+    left = set(folder.iterdir()) - before
+    # one table of rows is left, none with a record for each row, column and permutation
+    assert sum(spark.read.parquet(str(p)).count() for p in left) == toy.count()
+
+
+def test_plain_ordered_codes_over_many_ranges(toy, monkeypatch):
+    want = {r.row_id: r.codes for r in fs.ordered_whole_codes(toy, COLS).collect()}
+    monkeypatch.setattr(ordered, "LEAST_BLOCKS", 1)
+    assert {r.row_id: pytest.approx(r.codes) for r in fs.ordered_whole_codes(toy, COLS).collect()} == want
+
+
 def test_wide_columns_of_many_levels_stay_in_dictionaries(spark, monkeypatch):
     states = spark.range(600).select(
         F.lit(0).alias("outer_fold"), F.lit("inner").alias("phase"), F.lit(-1).alias("part"), (F.col("id") % 2).cast("string").alias("col"),
