@@ -7,11 +7,15 @@ of parts, and the state that excludes a part by subtraction, which is exact on i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.session import materialize
-from foldspark.sources.categories import stored_columns, to_long
+from foldspark.sources.categories import Wide, to_long
 
 SIDE = ["outer_fold", "phase"]
 STATE = ["outer_fold", "phase", "part"]
@@ -22,15 +26,97 @@ def fold_cube(assigned: DataFrame, columns: list[str]) -> DataFrame:
     """``outer_fold, phase, part, col, level → n, pos`` over the fitting roles.
 
     The explode feeds map-side partial aggregation, so what is shuffled is at most one cube
-    per task and never the exploded rows.
+    per task and never the exploded rows. Rows of a wide table are counted without an explode.
     """
+    if isinstance(columns, Wide):
+        return materialize(_wide_cube(assigned, columns), "cube")
     fit = F.explode(F.filter("uses", lambda u: u["part"] >= 0)).alias("_use")
-    long = to_long(assigned.select("y", fit, *stored_columns(columns)), columns, ["y", "_use"])
+    long = to_long(assigned.select("y", fit, *columns), columns, ["y", "_use"])
     each = long.select("_use.outer_fold", "_use.phase", "_use.part", "col", "level", "y")
     cube = each.groupBy(*STATE, "col", "level").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     return materialize(cube, "cube")
 
 
+PART_BITS = 16  # of the number of a (side, part)
+HELD_CELLS = 1 << 22  # cells of a wide cube (states times levels) that a task holds before it hands them on
+CHUNK_ROWS = 1 << 20  # values of a wide table that are counted at once
+
+
+def _count_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial cubes ``state, col, level, n, pos`` of rows ``y, fits, levels``."""
+    slots: dict[tuple[int, str | None], int] = {}  # of (column, level)
+    held: dict[int, np.ndarray] = {}  # [2, slots] of a state: rows, positives
+
+    def grown(state: int) -> np.ndarray:
+        old = held.get(state)
+        if old is None or old.shape[1] < len(slots):
+            new = np.zeros((2, max(1024, 2 * len(slots))), np.int64)
+            if old is not None:
+                new[:, : old.shape[1]] = old
+            held[state] = old = new
+        return old
+
+    def handed() -> Iterator[pa.RecordBatch]:
+        col, level = (pa.array([k[i] for k in slots], t) for i, t in enumerate((pa.int32(), pa.string())))
+        for state, (n, pos) in held.items():
+            here = np.flatnonzero(n[: len(slots)])
+            at = pa.array(here)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), state)), col.take(at), level.take(at), pa.array(n[here]), pa.array(pos[here])], ["state", "col", "level", "n", "pos"])
+        slots.clear()
+        held.clear()
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        values = batch.column("levels").value_lengths().to_numpy(zero_copy_only=False)
+        step = max(1, int(CHUNK_ROWS // max(1, values.max())))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+    for batch in batches:
+        for some in parts(batch) if batch.num_rows else ():
+            levels = some.column("levels")
+            width = levels.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(width)])
+            named = levels.flatten().dictionary_encode()
+            code = named.indices.fill_null(len(named.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = [*named.dictionary.to_pylist(), None]
+            pair = (np.arange(first[-1]) - np.repeat(first[:-1], width)) * len(texts) + code
+            found, inverse = np.unique(pair, return_inverse=True)
+            number = np.array([slots.setdefault((p // len(texts), texts[p % len(texts)]), len(slots)) for p in found.tolist()], np.int64)
+            slot = number[inverse]
+            y = some.column("y").fill_null(0).to_numpy(zero_copy_only=False)
+            fits = some.column("fits")
+            row = np.repeat(np.arange(some.num_rows), fits.value_lengths().to_numpy(zero_copy_only=False))
+            states = fits.flatten().to_numpy(zero_copy_only=False)
+            even = slot.reshape(some.num_rows, -1) if (width == width[0]).all() else None
+
+            def counted(rows: np.ndarray) -> np.ndarray:
+                mine = even[rows].ravel() if even is not None else np.concatenate([slot[:0], *(slot[first[r] : first[r + 1]] for r in rows)])
+                return np.bincount(mine, minlength=len(slots))
+
+            for state in np.unique(states).tolist():
+                mine, count = row[states == state], grown(state)
+                count[0, : len(slots)] += counted(mine)
+                for value in np.unique(y[mine]).tolist():
+                    if value:
+                        count[1, : len(slots)] += value * counted(mine[y[mine] == value])
+            if len(slots) * max(1, len(held)) > HELD_CELLS:
+                yield from handed()
+    if slots:
+        yield from handed()
+
+
+def _wide_cube(assigned: DataFrame, columns: Wide) -> DataFrame:
+    """The fold cube of a wide table; a value is counted as a number in its task, not as a record for each use."""
+    number = lambda u: (u["outer_fold"] * 2 + F.when(u["phase"] == "outer", 1).otherwise(0)).cast("bigint") * (1 << PART_BITS) + u["part"]
+    fits = F.transform(F.filter("uses", lambda u: u["part"] >= 0), number).alias("fits")
+    rows = assigned.select(F.col("y").cast("bigint").alias("y"), fits, F.col(columns.array).alias("levels")).where(F.size("fits") > 0)
+    partial = rows.mapInArrow(_count_wide, "state bigint, col int, level string, n bigint, pos bigint")
+    whole = partial.groupBy("state", "col", "level").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    side = F.shiftright("state", PART_BITS)
+    state = [F.floor(side / 2).cast("int").alias("outer_fold"), F.when(side % 2 == 1, "outer").otherwise("inner").alias("phase"), (F.col("state") % (1 << PART_BITS)).cast("int").alias("part")]
+    return whole.select(*state, F.col("col").cast("string").alias("col"), "level", "n", "pos")
+
+
 PACKED_ROWS = 1 << 32  # tables below have rows and positives of a cell in one long
 
 

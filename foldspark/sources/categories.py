@@ -60,11 +60,6 @@ class Wide(list):
         self.array = array
 
 
-def stored_columns(columns: Sequence[str]) -> list[str]:
-    """The table columns that hold the categories."""
-    return [columns.array] if isinstance(columns, Wide) else list(columns)
-
-
 def level_array(columns: Sequence[str]) -> Column:
     """All categories of a row as one array, in column order."""
     return F.col(columns.array) if isinstance(columns, Wide) else F.array(*columns)

@@ -287,6 +287,27 @@ def test_plain_ordered_codes_over_many_ranges(toy, monkeypatch):
     assert {r.row_id: pytest.approx(r.codes) for r in fs.ordered_whole_codes(toy, COLS).collect()} == want
 
 
+def test_wide_cube_counts_in_tasks(spark, assigned, monkeypatch):
+    import pyarrow as pa
+
+    wide = assigned.select("row_id", "y", "uses", F.array(*COLS).alias("levels"))
+    monkeypatch.setattr(cb, "to_long", None)  # no record for each value and use
+    found = cb.fold_cube(wide, Wide("levels", len(COLS)))
+    monkeypatch.undo()
+    plain = cb.fold_cube(assigned, COLS).withColumn("col", enc.column_positions(COLS).cast("string"))
+    assert found.columns == plain.columns and found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+    # rows of different widths, a NULL level, and cells that are handed on early
+    batch = pa.RecordBatch.from_pylist([{"y": 1, "fits": [7, 9], "levels": ["a", None]}, {"y": 0, "fits": [7], "levels": ["a"]}, {"y": 1, "fits": [], "levels": ["b", "c"]}])
+    for cells in (cb.HELD_CELLS, 1):
+        monkeypatch.setattr(cb, "HELD_CELLS", cells)
+        out = defaultdict(lambda: [0, 0])
+        for part in cb._count_wide(iter([batch, batch])):
+            for r in part.to_pylist():
+                out[r["state"], r["col"], r["level"]][0] += r["n"]
+                out[r["state"], r["col"], r["level"]][1] += r["pos"]
+        assert out == {(7, 0, "a"): [4, 2], (7, 1, None): [2, 2], (9, 0, "a"): [2, 2], (9, 1, None): [2, 2]}
+
+
 def test_wide_columns_of_many_levels_stay_in_dictionaries(spark, monkeypatch):
     states = spark.range(600).select(
         F.lit(0).alias("outer_fold"), F.lit("inner").alias("phase"), F.lit(-1).alias("part"), (F.col("id") % 2).cast("string").alias("col"),
