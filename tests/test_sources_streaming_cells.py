@@ -2,7 +2,10 @@
 
 import gzip
 import math
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from toy import COLS
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pyspark.sql import types as T
 from foldspark.operators import cube as cb
 from foldspark.operators import encoders as enc
 from foldspark.operators import foldsafe as fs
+from foldspark.operators import layouts as ly
 from foldspark.plans import cells as cl
 from foldspark.session import materialize
 from foldspark.sources import categories as cat
@@ -278,3 +282,27 @@ def test_cells_share_one_pass_over_the_training_sides(spark, assigned, monkeypat
     assert sorted(shared.predictions().select(names).collect()) == sorted(alone.predictions().select(names).collect())
     carried = shared.predictions().select("row_id", "b").distinct()
     assert carried.join(assigned.select("row_id", "b"), ["row_id", "b"], "left_anti").count() == 0 < carried.count()
+
+
+def test_contrast_run_takes_all_folds_and_full_presets(spark, monkeypatch):
+    from foldspark.catalog import q_models
+
+    asked = []
+    monkeypatch.setattr(q_models, "assigned_orders", lambda spark, sf: None)
+    monkeypatch.setattr(cl, "run_cells", lambda assigned, columns, cells: asked.extend(cells) or spark.createDataFrame([], "outer_fold int, encoder string, protocol string, layout string, status string, auc double"))
+    q_models.contrast_run(spark, "")
+    assert Counter((c.outer_fold, c.protocol, c.layout) for c in asked) == Counter((f, p, lay) for f in range(5) for p in ("global", "foldsafe") for lay in ("placement", "none"))
+    assert all(c.options == {} for c in asked)
+
+
+@pytest.mark.parametrize("layout, d, size", [("placement", 4, 8), ("placement", 5, 7), ("bits", 3, 40), ("bars", 3, 4)])
+def test_pixels_held_once_have_the_products_of_resized_images(layout, d, size):
+    z = np.random.default_rng(d).random((6, d))
+    perm = np.tile(np.random.default_rng(1).permutation(d), (6, 1))
+    whole = ly._area_average(ly._render(layout, z, perm), size).reshape(6, -1)
+    times = ly.times_shown(layout, d, size)
+    once = ly._render(layout, z, perm).reshape(6, -1) * np.sqrt(times)
+    assert times.sum() == size * size and once @ once.T == pytest.approx(whole @ whole.T)
+    assert ly.times_shown(layout, d, 1) is None
+    held = ly.render_once(layout, times, 50).func(pd.Series(list(z)), pd.Series(list(perm)))
+    assert np.stack(held)[:, : once.shape[1]] == pytest.approx(once, abs=1e-5) and not np.stack(held)[:, once.shape[1] :].any()
